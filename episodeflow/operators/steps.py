@@ -165,12 +165,19 @@ def prefix_split(items: DataFrame, idx: str, frac: float = 0.7) -> DataFrame:
                   .drop("_n"))
 
 
-def first_valid_attempt(att: DataFrame, retries: int, key: str = "request_id") -> DataFrame:
-    """The earliest valid attempt within the retry budget, per request (aggregate, no window)."""
+def first_valid_attempt(att: DataFrame, retries: int,
+                        key: Iterable[str] = ("request_id",)) -> DataFrame:
+    """The earliest valid attempt within the retry budget, per request.
+
+    A grouped ``min_by`` (partial aggregation map-side), not a window: a
+    request with many attempts never has to sit in one sorted buffer.
+    Requests without a valid attempt in budget are absent (failed).
+    """
+    keys = [key] if isinstance(key, str) else list(key)
     ok = att.where(F.col("valid") & (F.col("attempt") <= F.lit(int(retries))))
-    others = [c for c in att.columns if c not in (key, "attempt", "valid")]
+    others = [c for c in att.columns if c not in (*keys, "attempt", "valid")]
     best = F.min_by(F.struct("attempt", *others), "attempt")
-    return ok.groupBy(key).agg(best.alias("_b")).select(key, "_b.*")
+    return ok.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
 
 
 def prev_observation(steps: DataFrame, obs: str = "observation", key: str = "episode_id",
@@ -183,5 +190,6 @@ def episode_truncate(steps: DataFrame, done: Column, limit: int = 100,
                      key: str = "episode_id") -> DataFrame:
     """Keep steps up to the first ``done`` step and below the step limit."""
     before = _ep_window(key).rowsBetween(Window.unboundedPreceding, -1)
-    finished_before = F.coalesce(F.max(done.cast("int")).over(before), F.lit(0)) == 1
-    return steps.where(~finished_before & (F.col("step") < F.lit(int(limit))))
+    flagged = steps.withColumn("_done_before", F.coalesce(F.max(done.cast("int")).over(before), F.lit(0)))
+    return (flagged.where((F.col("_done_before") == 0) & (F.col("step") < F.lit(int(limit))))
+                   .drop("_done_before"))
