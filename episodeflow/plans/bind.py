@@ -184,3 +184,37 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         return read_table(self.spark, self.sf_dir, name)
+
+
+def answers(steps: DataFrame) -> DataFrame:
+    """Teacher answers per text step, with key-presence flags.
+
+    Rules: episodes with episode_id % 5 = 1 (and more than one step) lose
+    their last answer (length mismatch); episode_id % 7 = 2 lacks
+    ``corrected_action`` at step 0; ``original_reason`` is present on even
+    steps and null there when (episode_id + step) % 4 = 0; the answer
+    carries ``candidate_actions`` (first candidate only) on even episodes;
+    ``is_corrected`` is present where the step has one.
+    """
+    last = F.max("step").over(Window.partitionBy("episode_id"))
+    a = steps.withColumn("_last", last)
+    a = a.where(~((F.col("episode_id") % 5 == 1) & (F.col("step") == F.col("_last")) & (F.col("_last") > 0)))
+    has_ca = ~((F.col("episode_id") % 7 == 2) & (F.col("step") == 0))
+    has_or = F.col("step") % 2 == 0
+    has_c = F.col("episode_id") % 2 == 0
+    return a.select(
+        "episode_id", "step",
+        F.lit(True).alias("has_corrected_reason"), "corrected_reason",
+        has_ca.alias("has_corrected_action"),
+        F.when(has_ca, F.col("corrected_action")).alias("corrected_action"),
+        F.lit(False).alias("has_original_observation"),
+        F.lit(None).cast("string").alias("original_observation"),
+        has_or.alias("has_original_reason"),
+        F.when(has_or & ((F.col("episode_id") + F.col("step")) % 4 != 0), F.col("reason")).alias("original_reason"),
+        F.lit(False).alias("has_original_action"),
+        F.lit(None).cast("string").alias("original_action"),
+        has_c.alias("has_candidate_actions"),
+        F.when(has_c, F.slice("candidate_actions", 1, 1)).alias("candidate_actions"),
+        F.col("is_corrected").isNotNull().alias("has_is_corrected"),
+        "is_corrected",
+    )

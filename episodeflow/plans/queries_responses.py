@@ -1 +1,261 @@
-"""Registered queries."""
+"""Registered response jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from episodeflow.functions import parsers as R
+from episodeflow.functions.pytext import py_list
+from episodeflow.operators import correct as C
+from episodeflow.operators import responses as RS
+from episodeflow.plans import bind
+from episodeflow.plans import sqlgen as Q
+from episodeflow.plans.registry import register
+
+WS = Q.ws_class()
+WSC = Q.ws_chars()
+
+
+def _s_reason(t: str, r: str = "REASON:", a: str = "ACTION:") -> str:
+    pat = f"'(?s){r}{WS}*(.*?){WS}*{a}'"
+    return f"(CASE WHEN regexp_matches({t}, {pat}) THEN trim(regexp_extract({t}, {pat}, 1), {WSC}) ELSE {t} END)"
+
+
+def _s_line(t: str, a: str = "ACTION:") -> str:
+    return f"trim(regexp_extract({t}, '{a}{WS}*([^\\n]+)', 1), {WSC})"
+
+
+def _s_clean(x: str) -> str:
+    return f"regexp_replace(lower({x}), '[^a-z0-9 /]', '', 'g')"
+
+
+def _s_shell_action(t: str) -> str:
+    pat = f"'(?s)ACTION:{WS}*```(?:[a-zA-Z]*)?{WS}*(.*?){WS}*```'"
+    return (f"(CASE WHEN regexp_matches({t}, {pat}) THEN trim(regexp_extract({t}, {pat}, 1), {WSC}) "
+            f"ELSE {_s_line(t)} END)")
+
+
+def _s_status(t: str, action: str, r: str = "REASON:", a: str = "ACTION:") -> str:
+    return (f"(CASE WHEN {action} = '' THEN 'no_action' "
+            f"WHEN NOT regexp_matches({t}, '(?s){r}.*{a}') THEN 'no_reason' ELSE 'ok' END)")
+
+
+SHELL_T = "replace(response, '\\n', chr(10))"
+CORR_T = "replace(replace(response, 'REASON:', 'CORRECTED_REASON:'), 'ACTION:', 'CORRECTED_ACTION:')"
+
+_DIALECT_SQL = {
+    "game": ("response", _s_reason("response"), _s_clean(_s_line("response")), "REASON:", "ACTION:"),
+    "shop": ("response", _s_reason("response"), _s_line("response"), "REASON:", "ACTION:"),
+    "shell": (SHELL_T, _s_reason(SHELL_T), _s_shell_action(SHELL_T), "REASON:", "ACTION:"),
+    "sql": (SHELL_T, _s_reason(SHELL_T),
+            f"(CASE WHEN contains(split_part({_s_shell_action(SHELL_T)}, chr(10), 1), ';') "
+            f"THEN split_part(split_part({_s_shell_action(SHELL_T)}, chr(10), 1), ';', 1) || ';' "
+            f"ELSE split_part({_s_shell_action(SHELL_T)}, chr(10), 1) END)", "REASON:", "ACTION:"),
+    "corrected": (CORR_T, _s_reason(CORR_T, "CORRECTED_REASON:", "CORRECTED_ACTION:"),
+                  _s_clean(_s_line(CORR_T, "CORRECTED_ACTION:")), "CORRECTED_REASON:", "CORRECTED_ACTION:"),
+}
+
+
+def _parse_sql(dialect: str) -> str:
+    t, reason, action, r, a = _DIALECT_SQL[dialect]
+    status_src = "response" if dialect != "corrected" else CORR_T
+    return Q.with_(Q.RESPONSES) + f"""
+SELECT event_id, {reason} AS reason, {action} AS action, {_s_status(status_src, action, r, a)} AS status
+FROM resp"""
+
+
+def _responses(spark, sf_dir):
+    t = bind.Tables(spark, sf_dir)
+    return bind.responses(t.events, t.documents)
+
+
+def _make_parse(dialect: str, key: str, rid: str):
+    @register(key, ids=(rid, "U1"), sql=_parse_sql(dialect))
+    def q(spark, sf_dir):
+        df = _responses(spark, sf_dir)
+        if dialect == "corrected":
+            df = df.withColumn("response", F.replace(F.replace(
+                "response", F.lit("REASON:"), F.lit("CORRECTED_REASON:")),
+                F.lit("ACTION:"), F.lit("CORRECTED_ACTION:")))
+        return RS.parse_responses(df, dialect).select("event_id", "reason", "action", "status")
+    return q
+
+
+for _d, _k, _id in [("game", "parse_game", "R1"), ("shop", "parse_shop", "R2"),
+                    ("shell", "parse_shell", "R3"), ("sql", "parse_sql", "R4"),
+                    ("corrected", "parse_corrected", "R5")]:
+    _make_parse(_d, _k, _id)
+
+
+# --- JSON blocks -------------------------------------------------------------
+
+FENCED_SQL = """
+fenced AS (
+  SELECT doc_id,
+         'Here is the answer:' || chr(10) || '```json' || chr(10) ||
+         '{"id": ' || CAST(doc_id AS VARCHAR) || ', "lang": "' || lang || '", ' || chr(10) ||
+         '  "note": "say \\"hi\\" to C:\\\\dir",' || chr(10) ||
+         '  "first": "' || replace(split_part(text, chr(10), 1), '"', '') || '",' || chr(10) || '}' ||
+         CASE WHEN doc_id % 3 = 0 THEN '```' ELSE chr(10) || '```' END AS response
+  FROM documents)"""
+
+
+def fenced(spark, sf_dir):
+    d = bind.Tables(spark, sf_dir).documents
+    nl = F.lit("\n")
+    first = F.replace(F.substring_index("text", "\n", 1), F.lit('"'), F.lit(""))
+    body = F.concat(
+        F.lit("Here is the answer:"), nl, F.lit("```json"), nl,
+        F.lit('{"id": '), F.col("doc_id").cast("string"), F.lit(', "lang": "'), F.col("lang"), F.lit('", '), nl,
+        F.lit('  "note": "say \\"hi\\" to C:\\\\dir",'), nl,
+        F.lit('  "first": "'), first, F.lit('",'), nl, F.lit("}"),
+        F.when(F.col("doc_id") % 3 == 0, F.lit("```")).otherwise(F.concat(nl, F.lit("```"))))
+    return d.select("doc_id", body.alias("response"))
+
+
+def _s_block(t: str) -> str:
+    pat = "'```json\\n([\\s\\S]*?)\\n```'"
+    return f"(CASE WHEN regexp_matches({t}, {pat}) THEN regexp_extract({t}, {pat}, 1) END)"
+
+
+def _s_repair(b: str) -> str:
+    s = f"replace({b}, '\\\"', '''')"
+    s = f"replace({s}, '\\', '\\\\')"
+    s = f"regexp_replace({s}, '{WS}+', ' ', 'g')"
+    s = f"regexp_replace({s}, ',{WS}*}}', '}}', 'g')"
+    s = f"regexp_replace({s}, ',{WS}*]', ']', 'g')"
+    return s
+
+
+@register("json_block", ids=("R6",), sql=Q.with_(FENCED_SQL) + f"""
+SELECT doc_id, {_s_block('response')} AS block FROM fenced""")
+def q_json_block(spark, sf_dir):
+    return fenced(spark, sf_dir).select("doc_id", R.json_block(F.col("response")).alias("block"))
+
+
+@register("json_repair", ids=("R7",), sql=Q.with_(FENCED_SQL) + f"""
+SELECT doc_id, {_s_repair(_s_block('response'))} AS repaired FROM fenced""")
+def q_json_repair(spark, sf_dir):
+    b = R.json_block(F.col("response"))
+    return fenced(spark, sf_dir).select("doc_id", R.json_repair(b).alias("repaired"))
+
+
+@register("json_parse", ids=("R8", "X21"), sql="""
+SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+       json_exists(props, '$.k') AS has_k, 'ok' AS status
+FROM events""")
+def q_json_parse(spark, sf_dir):
+    ev = bind.Tables(spark, sf_dir).events
+    ok = RS.json_valid(F.col("props"))
+    parsed = F.when(ok, F.from_json("props", "k long"))
+    keys = F.when(ok, F.json_object_keys("props"))
+    return ev.select(
+        "event_id", parsed["k"].alias("k"),
+        F.coalesce(F.array_contains(keys, "k"), F.lit(False)).alias("has_k"),
+        F.when(ok, F.lit("ok")).otherwise(F.lit("invalid_json")).alias("status"))
+
+
+@register("task_extract", ids=("R10",), sql="""
+WITH x AS (
+  SELECT doc_id, CASE WHEN doc_id % 2 = 0
+                      THEN split_part(text, chr(10), 1) || chr(10) || chr(10) || 'Your task is to: ' || lang ||
+                           ' ' || source || chr(10) || 'more'
+                      ELSE text END AS obs
+  FROM documents)
+SELECT doc_id, regexp_extract(obs, '\\n\\nYour task is to: ([^\\n]*)', 1) AS task FROM x""")
+def q_task_extract(spark, sf_dir):
+    d = bind.Tables(spark, sf_dir).documents
+    obs = F.when(F.col("doc_id") % 2 == 0, F.concat(
+        F.substring_index("text", "\n", 1), F.lit("\n\nYour task is to: "), F.col("lang"), F.lit(" "),
+        F.col("source"), F.lit("\nmore"))).otherwise(F.col("text"))
+    return d.select("doc_id", R.task_extract(obs).alias("task"))
+
+
+@register("path_key", ids=("R11",), sql="""
+SELECT page_id, CASE WHEN instr(url, 'example.com/') > 0
+                     THEN substr(url, instr(url, 'example.com/') + 12) END AS path_key
+FROM pages""")
+def q_path_key(spark, sf_dir):
+    p = bind.Tables(spark, sf_dir).pages
+    return p.select("page_id", R.path_key(F.col("url"), "example.com/").alias("path_key"))
+
+
+# --- answers: validation, merge, flags ---------------------------------------
+
+def _steps_answers(spark, sf_dir):
+    st = bind.text_steps(bind.Tables(spark, sf_dir).conversations)
+    return st, bind.answers(st)
+
+
+@register("validate_answer", ids=("R12",), sql=Q.with_(Q.TEXT_STEPS, Q.ANSWERS) + """
+SELECT episode_id, coalesce(reject_reason, 'ok') AS status FROM judged""")
+def q_validate_answer(spark, sf_dir):
+    st, ans = _steps_answers(spark, sf_dir)
+    good, rejects = C.validate_answers(ans, st)
+    ok = good.select("episode_id").distinct().withColumn("status", F.lit("ok"))
+    return ok.unionByName(rejects.select("episode_id", F.col("reject_reason").alias("status")))
+
+
+MERGED_SQL = Q.with_(Q.TEXT_STEPS, Q.ANSWERS) + """,
+merged AS (
+  SELECT a.episode_id, a.step, s.observation AS original_observation,
+         CASE WHEN a.has_original_reason THEN a.original_reason ELSE s.reason END AS original_reason,
+         s.action AS original_action, a.corrected_reason, a.corrected_action,
+         CASE WHEN s.candidate_actions IS NULL THEN a.a_candidate_actions
+              WHEN a.has_candidate_actions THEN a.a_candidate_actions ELSE s.candidate_actions END AS candidate_actions,
+         s.candidate_actions IS NOT NULL AS rollout_has_cands, a.has_is_corrected, a.is_corrected
+  FROM ans a JOIN tsteps s USING (episode_id, step)
+  WHERE a.episode_id IN (SELECT episode_id FROM judged WHERE reject_reason IS NULL)),
+flagged AS (
+  SELECT *, CASE WHEN rollout_has_cands AND has_is_corrected
+                      AND NOT coalesce(list_contains(candidate_actions, corrected_action), false)
+                 THEN false ELSE is_corrected END AS flag
+  FROM merged)"""
+
+
+def _merged(spark, sf_dir):
+    st, ans = _steps_answers(spark, sf_dir)
+    good, _ = C.validate_answers(ans, st)
+    return C.correction_merge(st, good)
+
+
+@register("correction_merge", ids=("J3",), sql=MERGED_SQL + f"""
+SELECT episode_id, step, original_observation, original_reason, original_action, corrected_reason,
+       corrected_action, {Q.py_list('candidate_actions')} AS candidates_text, flag AS is_corrected
+FROM flagged""")
+def q_correction_merge(spark, sf_dir):
+    m = _merged(spark, sf_dir)
+    return m.select("episode_id", "step", "original_observation", "original_reason", "original_action",
+                    "corrected_reason", "corrected_action",
+                    py_list(F.col("candidate_actions")).alias("candidates_text"), "is_corrected")
+
+
+@register("teacher_flag", ids=("R13",), sql=MERGED_SQL + """
+SELECT episode_id, step, has_is_corrected, flag AS is_corrected FROM flagged""")
+def q_teacher_flag(spark, sf_dir):
+    return _merged(spark, sf_dir).select("episode_id", "step", "has_is_corrected", "is_corrected")
+
+
+@register("self_flag", ids=("R14",), sql=Q.with_(Q.TEXT_STEPS) + """
+SELECT episode_id, step,
+       CASE WHEN corrected_action = action THEN false
+            WHEN NOT coalesce(list_contains(candidate_actions, corrected_action), false)
+                 AND NOT contains(corrected_action, 'search') THEN false
+            ELSE true END AS is_corrected
+FROM tsteps""")
+def q_self_flag(spark, sf_dir):
+    st = bind.text_steps(bind.Tables(spark, sf_dir).conversations)
+    return st.select("episode_id", "step",
+                     C.self_flag(F.col("action"), F.col("corrected_action"), F.col("candidate_actions"))
+                     .alias("is_corrected"))
+
+
+@register("candidate_check", ids=("J12", "X14"), sql=Q.with_(Q.TEXT_STEPS) + """
+SELECT episode_id, step, coalesce(list_contains(candidate_actions, corrected_action), false) AS in_candidates,
+       CAST(len(candidate_actions) AS BIGINT) AS n_candidates
+FROM tsteps""")
+def q_candidate_check(spark, sf_dir):
+    st = bind.text_steps(bind.Tables(spark, sf_dir).conversations)
+    return st.select("episode_id", "step",
+                     C.candidate_check(F.col("corrected_action"), F.col("candidate_actions")).alias("in_candidates"),
+                     F.size("candidate_actions").cast("long").alias("n_candidates"))

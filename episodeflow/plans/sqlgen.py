@@ -105,3 +105,48 @@ def render(text: str, slots: dict[str, str]) -> str:
         if name is not None:
             parts.append(f"({slots[name]})")
     return "(" + " || ".join(parts) + ")"
+
+
+def ws_class() -> str:
+    from episodeflow.functions.parsers import WS
+    return WS
+
+
+def ws_chars() -> str:
+    from episodeflow.functions.parsers import PY_WHITESPACE
+    return lit(PY_WHITESPACE)
+
+
+RESPONSES = """
+resp AS (
+  SELECT e.event_id,
+         (CASE WHEN e.event_id % 7 = 0 THEN d.w ELSE 'REASON: ' || d.w END) || chr(10) ||
+         (CASE WHEN e.event_id % 11 = 0
+               THEN 'ACTION: ```bash' || chr(10) || e.event_type || '!' || chr(10) || '```'
+               ELSE 'ACTION: ' || e.event_type || '!' END) AS response
+  FROM events e
+  JOIN (SELECT doc_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS w FROM documents) d
+    ON d.doc_id = e.event_id)"""
+
+ANSWERS = """
+ans AS (
+  SELECT episode_id, step,
+         true AS has_corrected_reason, corrected_reason,
+         NOT (episode_id % 7 = 2 AND step = 0) AS has_corrected_action,
+         CASE WHEN NOT (episode_id % 7 = 2 AND step = 0) THEN corrected_action END AS corrected_action,
+         step % 2 = 0 AS has_original_reason,
+         CASE WHEN step % 2 = 0 AND (episode_id + step) % 4 <> 0 THEN reason END AS original_reason,
+         episode_id % 2 = 0 AS has_candidate_actions,
+         CASE WHEN episode_id % 2 = 0 THEN candidate_actions[1:1] END AS a_candidate_actions,
+         is_corrected IS NOT NULL AS has_is_corrected, is_corrected
+  FROM (SELECT *, max(step) OVER (PARTITION BY episode_id) AS last_step FROM tsteps)
+  WHERE NOT (episode_id % 5 = 1 AND step = last_step AND last_step > 0)),
+judged AS (
+  SELECT s.episode_id,
+         CASE WHEN s.n <> a.m THEN 'length mismatch'
+              WHEN a.all_r = 0 THEN 'missing corrected_reason'
+              WHEN a.all_a = 0 THEN 'missing corrected_action' END AS reject_reason
+  FROM (SELECT episode_id, count(*) AS n FROM tsteps GROUP BY episode_id) s
+  JOIN (SELECT episode_id, count(*) AS m, min(CAST(has_corrected_reason AS INTEGER)) AS all_r,
+               min(CAST(has_corrected_action AS INTEGER)) AS all_a
+        FROM ans GROUP BY episode_id) a USING (episode_id))"""
