@@ -227,7 +227,7 @@ def pack_blocks(rows: DataFrame, length: Column, max_len: int, key: str,
     """
     from episodeflow.plans.rank import prefix_sum
 
-    with_len = rows.withColumn("_len", length.cast("double"))
+    with_len = rows.withColumn("_len", length.cast("long"))
     if shard is None:
         cum = prefix_sum(with_len, [order, key], "_len", "_cum")
     else:

@@ -1 +1,153 @@
-"""Registered queries."""
+"""Registered join queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from episodeflow.operators import correct as C
+from episodeflow.operators import metering as M
+from episodeflow.operators import metrics as MT
+from episodeflow.operators import steps as S
+from episodeflow.plans import bind
+from episodeflow.plans import sqlgen as Q
+from episodeflow.plans.registry import register
+
+
+@register("state_lookup", ids=("J1", "M5"), sql=Q.with_(Q.SCORED_STEPS, Q.STATE) + """
+SELECT e.episode_id, e.n_steps, s.state, s.state IS NOT NULL AS has_state
+FROM (SELECT episode_id, count(*) AS n_steps FROM ssteps GROUP BY episode_id) e
+LEFT JOIN state s ON s.id = CAST(e.episode_id AS VARCHAR)""")
+def q_state_lookup(spark, sf_dir):
+    t = bind.Tables(spark, sf_dir)
+    eps = S.episodes(bind.scored_steps(t.events)).select("episode_id", "n_steps")
+    j = C.state_lookup(eps, bind.state_table(t.customer), "episode_id")
+    return j.select("episode_id", "n_steps", "state", F.col("state").isNotNull().alias("has_state"))
+
+
+GEN_SQL = """
+gen AS (SELECT doc_id // 4 AS episode_id, CAST(doc_id % 4 AS INTEGER) AS step,
+               split_part(text, chr(10), 1) AS reason FROM documents)"""
+
+
+@register("reason_merge", ids=("J2",), sql=Q.with_(Q.TEXT_STEPS, GEN_SQL) + """,
+ok AS (SELECT episode_id FROM (SELECT episode_id, count(*) AS n FROM tsteps GROUP BY episode_id) s
+       JOIN (SELECT episode_id, count(*) AS m FROM gen GROUP BY episode_id) g USING (episode_id) WHERE n = m)
+SELECT t.episode_id, t.step, t.observation, t.action, g.reason
+FROM tsteps t JOIN gen g USING (episode_id, step) WHERE t.episode_id IN (SELECT episode_id FROM ok)""")
+def q_reason_merge(spark, sf_dir):
+    t = bind.Tables(spark, sf_dir)
+    st = bind.text_steps(t.conversations).select("episode_id", "step", "observation", "action")
+    gen = t.documents.select(F.expr("doc_id div 4").alias("episode_id"),
+                             (F.col("doc_id") % 4).cast("int").alias("step"),
+                             bind.first_line(F.col("text")).alias("reason"))
+    return C.reason_merge(st, gen).select("episode_id", "step", "observation", "action", "reason")
+
+
+@register("detail_enrich", ids=("J4", "S8"), sql=Q.with_(Q.SCORED_STEPS) + """
+SELECT e.env_idx, e.score, coalesce(l.quality, 0) AS r_att, coalesce(l.toxic, 0) AS r_type
+FROM (SELECT episode_id AS env_idx, arg_max(score, step) AS score FROM ssteps GROUP BY episode_id) e
+LEFT JOIN labels l ON l.doc_id = e.env_idx""")
+def q_detail_enrich(spark, sf_dir):
+    t = bind.Tables(spark, sf_dir)
+    sm = S.episodes(bind.scored_steps(t.events)).select(
+        F.col("episode_id").alias("env_idx"), F.col("last_score").alias("score"))
+    detail = t.labels.select(F.col("doc_id").alias("env_idx"), F.col("quality").alias("r_att"),
+                             F.col("toxic").alias("r_type"))
+    return sm.join(detail, "env_idx", "left").na.fill(0, ["r_att", "r_type"])
+
+
+MODELS = ["F", "O", "P"]
+
+
+@register("outer_merge", ids=("J5",), sql=Q.with_(Q.SUMMARIES) + """
+SELECT coalesce(f.env_idx, o.env_idx, p.env_idx) AS env_idx, f.score AS score_F, o.score AS score_O,
+       p.score AS score_P
+FROM (SELECT env_idx, score FROM summ WHERE model_id = 'F') f
+FULL JOIN (SELECT env_idx, score FROM summ WHERE model_id = 'O') o ON o.env_idx = f.env_idx
+FULL JOIN (SELECT env_idx, score FROM summ WHERE model_id = 'P') p ON p.env_idx = coalesce(f.env_idx, o.env_idx)""")
+def q_outer_merge(spark, sf_dir):
+    sm = bind.summaries(bind.Tables(spark, sf_dir).orders)
+    # Same result as N full outer joins, with one shuffle: union of long rows + pivot.
+    return MT.model_pivot(sm, "env_idx", "model_id", MODELS, values=("score",), check=False)
+
+
+@register("model_pivot", ids=("A4", "J6"), sql=Q.with_(Q.SUMMARIES) + """
+SELECT env_idx,
+       max(score) FILTER (WHERE model_id = 'F') AS score_F, max(num_actions) FILTER (WHERE model_id = 'F') AS num_actions_F,
+       max(score) FILTER (WHERE model_id = 'O') AS score_O, max(num_actions) FILTER (WHERE model_id = 'O') AS num_actions_O,
+       max(score) FILTER (WHERE model_id = 'P') AS score_P, max(num_actions) FILTER (WHERE model_id = 'P') AS num_actions_P
+FROM summ GROUP BY env_idx""")
+def q_model_pivot(spark, sf_dir):
+    sm = bind.summaries(bind.Tables(spark, sf_dir).orders)
+    return MT.model_pivot(sm, "env_idx", "model_id", MODELS)
+
+
+@register("resume_anti", ids=("J7", "ST2"), sql="""
+SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def q_resume_anti(spark, sf_dir):
+    t = bind.Tables(spark, sf_dir)
+    return C.resume_anti(t.documents.select("doc_id"), t.labels, "doc_id")
+
+
+@register("name_to_id", ids=("J9", "X5"), sql="""
+WITH m AS (SELECT lower(p_name) AS title, max(p_partkey) AS item_id FROM part GROUP BY lower(p_name))
+SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, m.item_id
+FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey LEFT JOIN m ON m.title = lower(upper(p.p_name))""")
+def q_name_to_id(spark, sf_dir):
+    t = bind.Tables(spark, sf_dir)
+    # Title -> id dictionary: on a duplicate title the last id (highest position) wins.
+    names = t.part.groupBy(F.lower("p_name").alias("title")).agg(F.max_by("p_partkey", "p_partkey").alias("item_id"))
+    clicks = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey").join(
+        t.part.select(F.col("p_partkey").alias("l_partkey"), F.upper("p_name").alias("clicked")), "l_partkey")
+    return (clicks.join(names, F.lower(clicks["clicked"]) == names["title"], "left")
+                  .select("l_orderkey", "l_linenumber", "l_partkey", "item_id"))
+
+
+def _priced(spark, sf_dir):
+    st = bind.text_steps(bind.Tables(spark, sf_dir).conversations)
+    return M.usage_cost(bind.usage(st))
+
+
+USAGE_SQL = """
+usage AS (
+  SELECT episode_id AS run_id, step,
+         CASE WHEN episode_id % 3 = 0 THEN 'gpt-4o' WHEN episode_id % 3 = 1 THEN 'gpt-4o-mini'
+              ELSE 'local-student' END AS model,
+         CAST(length(observation) AS BIGINT) AS prompt_tokens, CAST(length(reason) AS BIGINT) AS completion_tokens
+  FROM tsteps),
+prices AS (SELECT * FROM (VALUES {values}) p(model, in_units, out_units)),
+priced AS (
+  SELECT u.*, u.prompt_tokens * p.in_units + u.completion_tokens * p.out_units AS cost_units,
+         CASE WHEN p.in_units IS NULL THEN 'unpriced' ELSE 'ok' END AS status
+  FROM usage u LEFT JOIN prices p USING (model))""".format(
+    values=", ".join(f"('{m}', {M._units(i)}, {M._units(o)})" for m, i, o in M.PRICES_USD))
+
+
+@register("usage_cost", ids=("J10", "R16", "M13"), sql=Q.with_(Q.TEXT_STEPS, USAGE_SQL) + """
+SELECT run_id, step, model, cost_units, CAST(cost_units AS DOUBLE) * 1e-10 AS cost, status FROM priced""")
+def q_usage_cost(spark, sf_dir):
+    return _priced(spark, sf_dir).select("run_id", "step", "model", "cost_units", "cost", "status")
+
+
+EXP_SQL = """
+g AS (SELECT p_partkey AS idx,
+             p_name || ', and price lower than ' || CAST(p_size AS VARCHAR) || '.00 dollars' AS instruction
+      FROM part),
+x AS (SELECT p_name || '.' AS k, list_sort(list(DISTINCT p_brand)) AS texts FROM part WHERE p_size > 25 GROUP BY p_name)"""
+
+
+@register("query_expand", ids=("J11",), sql=Q.with_(EXP_SQL) + """
+SELECT g.idx, CAST(coalesce(len(x.texts), 0) AS BIGINT) AS n_texts, coalesce(array_to_string(x.texts, '|'), '') AS texts
+FROM g LEFT JOIN x ON trim(x.k, '.') = split_part(g.instruction, ', and price lower than', 1)""")
+def q_query_expand(spark, sf_dir):
+    p = bind.Tables(spark, sf_dir).part
+    goals = p.select(F.col("p_partkey").alias("idx"), F.concat(
+        "p_name", F.lit(", and price lower than "), F.col("p_size").cast("string"), F.lit(".00 dollars"))
+        .alias("instruction"))
+    exp = (p.where(F.col("p_size") > 25).groupBy("p_name")
+            .agg(F.array_sort(F.collect_set("p_brand")).alias("texts"))
+            .select(F.btrim(F.concat("p_name", F.lit(".")), F.lit(".")).alias("k"), "texts"))
+    cleaned = F.substring_index("instruction", ", and price lower than", 1)
+    j = goals.join(exp, cleaned == exp["k"], "left")
+    texts = F.coalesce("texts", F.array().cast("array<string>"))
+    return j.select("idx", F.size(texts).cast("long").alias("n_texts"), F.array_join(texts, "|").alias("texts"))

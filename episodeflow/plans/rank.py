@@ -72,28 +72,43 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], rank_col: str = "r
 
 
 def prefix_sum(df: DataFrame, order: Sequence[str | Column], value: str,
-               out_col: str = "cum", num_partitions: int | None = None) -> DataFrame:
+               out_col: str = "cum", num_partitions: int | None = None,
+               rank_col: str | None = None) -> DataFrame:
     """Running sum of ``value`` over all rows up to and including each row.
 
     The local running sum inside a partition is an Arrow-batched pandas
     cumsum (a narrow step, no extra shuffle); the carry between partitions
-    comes from a broadcast table with one row per partition.
+    comes from a broadcast table with one row per partition. Integral
+    values are summed exactly in int64. ``rank_col`` also adds the exact
+    1-based row position from the same pass.
     """
     parts = _sorted_ranges(df, order, num_partitions)
-    schema = T.StructType(parts.schema.fields + [T.StructField("_local", T.DoubleType())])
+    integral = isinstance(df.schema[value].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+    vtype = T.LongType() if integral else T.DoubleType()
+    np_type = "int64" if integral else "float64"
+    schema = T.StructType(parts.schema.fields + [T.StructField("_local", vtype),
+                                                 T.StructField("_lpos", T.LongType())])
 
     def local_cumsum(batches):
-        carry = 0.0
+        carry, seen = 0, 0
         for pdf in batches:
-            cs = pdf[value].fillna(0.0).astype("float64").cumsum() + carry
+            cs = pdf[value].fillna(0).astype(np_type).cumsum() + carry
             if len(cs):
-                carry = float(cs.iloc[-1])
+                carry = cs.iloc[-1]
             pdf["_local"] = cs
+            pdf["_lpos"] = range(seen + 1, seen + len(pdf) + 1)
+            seen += len(pdf)
             yield pdf
 
     local = parts.mapInPandas(local_cumsum, schema)
-    totals = parts.groupBy("_pid").agg(F.sum(F.coalesce(F.col(value).cast("double"), F.lit(0.0))).alias("_t"))
-    offs = F.broadcast(_offsets(totals, "_t"))
-    return (local.join(offs, "_pid")
-                 .withColumn(out_col, F.col("_off") + F.col("_local"))
-                 .drop("_pid", "_local", "_off", "_total"))
+    zero = F.lit(0) if integral else F.lit(0.0)
+    totals = parts.groupBy("_pid").agg(
+        F.sum(F.coalesce(F.col(value).cast(vtype), zero)).alias("_t"), F.count(F.lit(1)).alias("_c"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = F.broadcast(totals.select(  # one row per partition
+        "_pid", F.coalesce(F.sum("_t").over(w), zero).alias("_off"),
+        F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_coff")))
+    out = local.join(offs, "_pid").withColumn(out_col, F.col("_off") + F.col("_local"))
+    if rank_col:
+        out = out.withColumn(rank_col, (F.col("_coff") + F.col("_lpos")).cast("long"))
+    return out.drop("_pid", "_local", "_off", "_lpos", "_coff")
