@@ -150,15 +150,16 @@ def teacher_request(steps: DataFrame, state: Column | None = None,
 
 
 def goal_state_text(goals: DataFrame) -> DataFrame:
-    """Privileged state of a shop goal."""
+    """Privileged state of a shop goal (price with two decimals)."""
+    opts = (py_list(F.coalesce(F.col("goal_options"), F.array().cast("array<string>")))
+            if "goal_options" in goals.columns else F.lit("[]"))
+    example = F.col("name") if "name" in goals.columns else F.col("instruction")
     text = F.concat(
         F.lit("Instruction: "), shown(F.col("instruction")),
         F.lit("\nAttributes: "), py_list(F.col("attributes")),
-        F.lit("\nPrice upper limit: "), shown(F.col("price_upper")),
-        F.lit("\nOptions: "), py_list(F.coalesce(F.col("goal_options"), F.array().cast("array<string>")))
-        if "goal_options" in goals.columns else F.lit("\nOptions: []"),
-        F.lit("\nExample product: "), shown(F.col("name")) if "name" in goals.columns
-        else shown(F.col("instruction")),
+        F.lit("\nPrice upper limit: "), F.format_string("%.2f", F.col("price_upper")),
+        F.lit("\nOptions: "), opts,
+        F.lit("\nExample product: "), shown(example),
     )
     return goals.select("idx", text.alias("state"))
 
@@ -214,8 +215,9 @@ def left_truncate(text: Column, budget: int, unit: str = "chars") -> Column:
     """P10: keep the tail of ``text`` within ``budget`` characters or whitespace tokens."""
     if unit == "chars":
         return F.when(F.length(text) > budget, F.substring(text, -int(budget), int(budget))).otherwise(text)
-    toks = F.split(text, "\\s+")
-    return F.array_join(F.slice(toks, -int(budget), int(budget)), " ")
+    toks = F.split(text, "[ \\t\\n\\r\\f]+")
+    tail = F.when(F.size(toks) > budget, F.slice(toks, -int(budget), int(budget))).otherwise(toks)
+    return F.array_join(tail, " ")
 
 
 def pack_blocks(rows: DataFrame, length: Column, max_len: int, key: str,
