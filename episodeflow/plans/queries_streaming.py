@@ -1 +1,67 @@
-"""Registered queries."""
+"""Registered incremental, sink-shaped and generation queries (ST1, ST3, S11, S13, U3, R15)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from episodeflow.operators.generate import EchoGenerator, batch_generate
+from episodeflow.plans import bind
+from episodeflow.plans import sqlgen as Q
+from episodeflow.plans.registry import register
+from episodeflow.sources import sinks
+from episodeflow.streaming import stream as ST
+
+
+@register("stream_summary", ids=("ST1", "S12"), sql="""
+SELECT user_id AS episode_id, count(*) AS num_actions, arg_max(value, (ts, event_id)) AS score
+FROM events GROUP BY user_id""")
+def q_stream_summary(spark, sf_dir):
+    ev = ST.file_stream(spark, sf_dir, ST.EVENTS, glob="events.parquet")
+    return ST.run_to_sink(ST.summary_stream(ev), "stream_summary")
+
+
+@register("stream_counts", ids=("ST3",), sql="""
+SELECT event_type AS action, count(*) AS n FROM events GROUP BY event_type""")
+def q_stream_counts(spark, sf_dir):
+    ev = ST.file_stream(spark, sf_dir, ST.EVENTS, glob="events.parquet")
+    return ST.run_to_sink(ST.counter_stream(ev), "stream_counts")
+
+
+@register("state_last_wins", ids=("S11", "M5"), sql="""
+SELECT CAST(user_id AS VARCHAR) AS id, arg_max(props, (ts, event_id)) AS state FROM events GROUP BY user_id""")
+def q_state_last_wins(spark, sf_dir):
+    ev = bind.Tables(spark, sf_dir).events
+    rows = ev.select(F.col("user_id").cast("string").alias("id"), F.col("props").alias("state"), "ts", "event_id")
+    return sinks.state_last_wins(rows, "id", "state", ["ts", "event_id"])
+
+
+@register("encode_values", ids=("S13", "X23"), sql="""
+SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS DOUBLE) AS total,
+       CASE WHEN strftime(o_orderdate, '%f') = '000000' THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')
+            ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f') END AS orderdate
+FROM orders""")
+def q_encode_values(spark, sf_dir):
+    o = bind.Tables(spark, sf_dir).orders
+    x = o.select("o_orderkey", F.col("o_totalprice").cast("decimal(12,2)").alias("total"),
+                 F.col("o_orderdate").alias("orderdate"))
+    return sinks.encode_values(x)
+
+
+@register("use_db", ids=("U3",), sql="""
+SELECT n.n_nationkey, 'use ' || lower(replace(r.r_name, ' ', '_')) || '; SELECT * FROM ' || n.n_name AS statement
+FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey""")
+def q_use_db(spark, sf_dir):
+    t = bind.Tables(spark, sf_dir)
+    nation, region = t.nation, t.region
+    j = nation.join(region, nation["n_regionkey"] == region["r_regionkey"])
+    db = F.lower(F.replace(F.col("r_name"), F.lit(" "), F.lit("_")))
+    return j.select("n_nationkey", F.concat(F.lit("use "), db, F.lit("; SELECT * FROM "), F.col("n_name")).alias("statement"))
+
+
+@register("batch_generate", ids=("R15", "U2", "W6"))
+def q_batch_generate(spark, sf_dir):
+    from episodeflow.operators import prompts as P
+    st = bind.text_steps(bind.Tables(spark, sf_dir).conversations)
+    req = P.teacher_request(st, state=F.col("task")).select(
+        F.col("episode_id").alias("request_id"), F.col("messages")[1]["content"].alias("prompt"))
+    return batch_generate(req, EchoGenerator, retries=3)
