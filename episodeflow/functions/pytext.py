@@ -14,10 +14,8 @@ from pyspark.sql import functions as F
 
 # Python's repr escapes these three control characters by name.
 _NAMED_ESCAPES = [("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]
-# Latin-1 code points that repr() prints as \xNN (built from ranges).
-_HEX_ESCAPED = ([c for c in range(0x00, 0x20) if c not in (0x09, 0x0A, 0x0D)]
-                + list(range(0x7F, 0xA1)) + [0xAD])
-_HEX_CLASS = "[" + "".join(f"\\x{{{c:02x}}}" for c in _HEX_ESCAPED) + "]"
+# Characters repr() shows as hex escapes: Unicode "Other" and "Separator" classes except the space.
+_NONPRINT = "[\\p{Cc}\\p{Cf}\\p{Co}\\p{Cn}\\p{Cs}\\p{Zl}\\p{Zp}\\p{Zs}&&[^ ]]"
 
 
 def _lit(s: str) -> Column:
@@ -28,20 +26,40 @@ def _replace(c: Column, a: str, b: str) -> Column:
     return F.replace(c, _lit(a), _lit(b))
 
 
+def chars(c: Column) -> Column:
+    """The code points of a string (a surrogate pair stays one element)."""
+    return F.regexp_extract_all(c, _lit("(?s)."), 0)
+
+
+def _hex_escape(ch: Column) -> Column:
+    cp = F.ascii(ch)
+    h = F.lower(F.hex(cp))
+    return (F.when(cp < 0x100, F.concat(_lit("\\x"), F.lpad(h, 2, "0")))
+             .when(cp < 0x10000, F.concat(_lit("\\u"), F.lpad(h, 4, "0")))
+             .otherwise(F.concat(_lit("\\U"), F.lpad(h, 8, "0"))))
+
+
 def py_str(c: Column) -> Column:
     """``repr(str)``; null prints as ``None``."""
+    use_double = F.contains(c, _lit("'")) & ~F.contains(c, _lit('"'))
     esc = _replace(c, "\\", "\\\\")
     for raw, shown in _NAMED_ESCAPES:
         esc = _replace(esc, raw, shown)
-    # Rare path: other Latin-1 control characters become \xNN.
-    rare = esc
-    for code in _HEX_ESCAPED:
-        rare = _replace(rare, chr(code), f"\\x{code:02x}")
-    esc = F.when(c.rlike(_HEX_CLASS), rare).otherwise(esc)
-    use_double = F.contains(c, _lit("'")) & ~F.contains(c, _lit('"'))
-    return (F.when(c.isNull(), _lit("None"))
-             .when(use_double, F.concat(_lit('"'), esc, _lit('"')))
-             .otherwise(F.concat(_lit("'"), _replace(esc, "'", "\\'"), _lit("'"))))
+    fast = F.when(use_double, esc).otherwise(_replace(esc, "'", "\\'"))
+
+    # Rare path (a non-printable character is present): escape per character.
+    def one(ch: Column) -> Column:
+        named = F.when(ch == "\\", _lit("\\\\"))
+        for raw, shown in _NAMED_ESCAPES:
+            named = named.when(ch == raw, _lit(shown))
+        return (named.when((ch == "'") & ~use_double, _lit("\\'"))
+                     .when(ch.rlike(_NONPRINT), _hex_escape(ch))
+                     .otherwise(ch))
+
+    slow = F.array_join(F.transform(chars(c), one), "")
+    body = F.when(c.rlike(_NONPRINT), slow).otherwise(fast)
+    quote = F.when(use_double, _lit('"')).otherwise(_lit("'"))
+    return F.when(c.isNull(), _lit("None")).otherwise(F.concat(quote, body, quote))
 
 
 def py_dict(fields: Sequence[tuple[str, Column]]) -> Column:
@@ -88,8 +106,7 @@ def json_str(c: Column) -> Column:
     for raw, shown in _JSON_NAMED:
         esc = _replace(esc, raw, shown)
     # Rare path: control characters and non-ASCII go through per-character escapes.
-    chars = F.split(esc, "(?!^)")
-    slow = F.array_join(F.transform(chars, _json_escape_char), "")
+    slow = F.array_join(F.transform(chars(esc), _json_escape_char), "")
     esc = F.when(esc.rlike("[^\\x{20}-\\x{7e}]"), slow).otherwise(esc)
     return F.when(c.isNull(), _lit("null")).otherwise(F.concat(_lit('"'), esc, _lit('"')))
 
