@@ -218,3 +218,15 @@ def answers(steps: DataFrame) -> DataFrame:
         F.col("is_corrected").isNotNull().alias("has_is_corrected"),
         "is_corrected",
     )
+
+
+def scored_episodes(events: DataFrame) -> DataFrame:
+    """A1 over events without numbering steps first.
+
+    ``max_by(value, (ts, event_id))`` is the score of the last step; a pure
+    aggregate combines partial results map-side, so a user with a huge
+    share of the events is never sorted inside one task.
+    """
+    return events.groupBy(F.col("user_id").alias("episode_id")).agg(
+        F.count(F.lit(1)).alias("n_steps"),
+        F.max_by("value", F.struct("ts", "event_id")).alias("last_score"))

@@ -19,7 +19,7 @@ FROM (SELECT episode_id, count(*) AS n_steps FROM ssteps GROUP BY episode_id) e
 LEFT JOIN state s ON s.id = CAST(e.episode_id AS VARCHAR)""")
 def q_state_lookup(spark, sf_dir):
     t = bind.Tables(spark, sf_dir)
-    eps = S.episodes(bind.scored_steps(t.events)).select("episode_id", "n_steps")
+    eps = bind.scored_episodes(t.events).select("episode_id", "n_steps")
     j = C.state_lookup(eps, bind.state_table(t.customer), "episode_id")
     return j.select("episode_id", "n_steps", "state", F.col("state").isNotNull().alias("has_state"))
 
@@ -49,7 +49,7 @@ FROM (SELECT episode_id AS env_idx, arg_max(score, step) AS score FROM ssteps GR
 LEFT JOIN labels l ON l.doc_id = e.env_idx""")
 def q_detail_enrich(spark, sf_dir):
     t = bind.Tables(spark, sf_dir)
-    sm = S.episodes(bind.scored_steps(t.events)).select(
+    sm = bind.scored_episodes(t.events).select(
         F.col("episode_id").alias("env_idx"), F.col("last_score").alias("score"))
     detail = t.labels.select(F.col("doc_id").alias("env_idx"), F.col("quality").alias("r_att"),
                              F.col("toxic").alias("r_type"))

@@ -19,7 +19,7 @@ def scored(spark, sf_dir):
 
 
 def scored_episodes(spark, sf_dir):
-    return S.episodes(scored(spark, sf_dir))
+    return bind.scored_episodes(bind.Tables(spark, sf_dir).events)
 
 
 @register("episode_summary", ids=("A1",), sql=Q.with_(Q.SCORED_STEPS) + """
@@ -66,10 +66,9 @@ def q_uncorrected_skip(spark, sf_dir):
 failed AS (SELECT episode_id FROM ssteps GROUP BY episode_id HAVING arg_max(score, step) <= 25.0)
 SELECT episode_id, step, action FROM ssteps WHERE episode_id IN (SELECT episode_id FROM failed)""")
 def q_failed_select(spark, sf_dir):
-    st = scored(spark, sf_dir)
-    summ = S.episodes(st).withColumnRenamed("last_score", "score")
+    summ = scored_episodes(spark, sf_dir).withColumnRenamed("last_score", "score")
     ids = S.failed_select(summ, 25.0).select("episode_id")
-    return S.id_subset(st, ids, "episode_id").select("episode_id", "step", "action")
+    return S.id_subset(scored(spark, sf_dir), ids, "episode_id").select("episode_id", "step", "action")
 
 
 @register("start_index", ids=("F6",), sql=Q.with_(Q.SCORED_STEPS) + """
@@ -89,7 +88,7 @@ GROUP BY episode_id""")
 def q_id_subset(spark, sf_dir):
     t = bind.Tables(spark, sf_dir)
     ids = t.customer.where(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("episode_id"))
-    return S.episodes(S.id_subset(bind.scored_steps(t.events), ids, "episode_id"))
+    return bind.scored_episodes(S.id_subset(t.events, ids.withColumnRenamed("episode_id", "user_id"), "user_id"))
 
 
 @register("goal_ranges", ids=("F8",), sql=Q.with_(Q.GOALS) + """
