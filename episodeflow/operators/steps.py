@@ -139,9 +139,19 @@ def step_history(steps: DataFrame, obs: str = "observation", act: str = "action"
     return steps.withColumn(out, F.collect_list(pair).over(w))
 
 
-def step_number(rows: DataFrame, key: str, order: Iterable[str], out: str = "step") -> DataFrame:
-    """0-based step number within the episode."""
-    return rows.withColumn(out, (F.row_number().over(_ep_window(key, order)) - 1).cast("int"))
+def step_number(rows: DataFrame, key: str, order: Iterable[str], out: str = "step",
+                skew_safe: bool = True) -> DataFrame:
+    """0-based step number within the episode.
+
+    ``skew_safe`` numbers steps with a distributed rank over (key, order)
+    rebased per episode, so an episode holding a large share of all rows is
+    range-split over many tasks; otherwise a window per episode is used.
+    """
+    if not skew_safe:
+        return rows.withColumn(out, (F.row_number().over(_ep_window(key, order)) - 1).cast("int"))
+    from episodeflow.operators.ordering import rank_in_group
+    return (rank_in_group(rows, key, list(order), "_rig")
+            .withColumn(out, (F.col("_rig") - 1).cast("int")).drop("_rig"))
 
 
 def episode_split(eps: DataFrame, key: str = "episode_id", frac: float = 0.85,
@@ -181,14 +191,33 @@ def first_valid_attempt(att: DataFrame, retries: int,
 
 
 def prev_observation(steps: DataFrame, obs: str = "observation", key: str = "episode_id",
-                     out: str = "prev_observation") -> DataFrame:
-    """Previous observation within the episode (null at start)."""
-    return steps.withColumn(out, F.lag(obs, 1).over(_ep_window(key)))
+                     out: str = "prev_observation", skew_safe: bool = True) -> DataFrame:
+    """Previous observation within the episode (null at start).
+
+    ``skew_safe``: an equi-join on (episode, step - 1) -- the join key
+    includes the step, so a long episode is hashed over all tasks -- instead
+    of ``lag`` over a window that holds the whole episode in one task.
+    """
+    if not skew_safe:
+        return steps.withColumn(out, F.lag(obs, 1).over(_ep_window(key)))
+    prev = steps.select(F.col(key).alias("_k"), (F.col("step") + 1).alias("_s"), F.col(obs).alias(out))
+    j = steps.join(prev, (steps[key] == prev["_k"]) & (steps["step"] == prev["_s"]), "left")
+    return j.drop("_k", "_s")
 
 
 def episode_truncate(steps: DataFrame, done: Column, limit: int = 100,
-                     key: str = "episode_id") -> DataFrame:
-    """Keep steps up to the first ``done`` step and below the step limit."""
+                     key: str = "episode_id", skew_safe: bool = True) -> DataFrame:
+    """Keep steps up to the first ``done`` step and below the step limit.
+
+    ``skew_safe``: the first done step per episode is a grouped ``min``
+    (partial aggregation), joined back; no window over a whole episode.
+    """
+    if skew_safe:
+        first = (steps.where(done).groupBy(key).agg(F.min("step").alias("_first_done")))
+        j = steps.join(first, key, "left")
+        keep = (F.col("_first_done").isNull() | (F.col("step") <= F.col("_first_done"))) & \
+            (F.col("step") < F.lit(int(limit)))
+        return j.where(keep).drop("_first_done")
     before = _ep_window(key).rowsBetween(Window.unboundedPreceding, -1)
     flagged = steps.withColumn("_done_before", F.coalesce(F.max(done.cast("int")).over(before), F.lit(0)))
     return (flagged.where((F.col("_done_before") == 0) & (F.col("step") < F.lit(int(limit))))

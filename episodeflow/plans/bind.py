@@ -85,17 +85,22 @@ def text_steps(conversations: DataFrame) -> DataFrame:
     )
 
 
-def scored_steps(events: DataFrame) -> DataFrame:
-    """events -> one row per (episode_id, step) with a score."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return events.select(
-        F.col("user_id").alias("episode_id"),
-        (F.row_number().over(w) - 1).cast("int").alias("step"),
-        "event_id", "ts",
+def scored_steps(events: DataFrame, skew_safe: bool = True) -> DataFrame:
+    """events -> one row per (episode_id, step) with a score.
+
+    Steps are numbered with the distributed per-group rank (W2), so a user
+    with a very large share of the events is not sorted inside one task.
+    """
+    from episodeflow.operators.steps import step_number
+
+    ev = events.select(
+        F.col("user_id").alias("episode_id"), "event_id", "ts",
         F.col("props").alias("observation"),
         F.col("event_type").alias("action"),
         F.col("value").alias("score"),
     )
+    numbered = step_number(ev, "episode_id", ["ts", "event_id"], "step", skew_safe=skew_safe)
+    return numbered.select("episode_id", "step", "event_id", "ts", "observation", "action", "score")
 
 
 def event_candidates(events: DataFrame) -> DataFrame:

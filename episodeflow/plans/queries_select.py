@@ -158,7 +158,7 @@ def q_conditional_ban(spark, sf_dir):
 @register("step_number", ids=("W2",), sql=Q.with_(Q.SCORED_STEPS) + """
 SELECT episode_id, event_id, step FROM ssteps""")
 def q_step_number(spark, sf_dir):
-    ev = bind.Tables(spark, sf_dir).events
+    ev = bind.Tables(spark, sf_dir).events.select("user_id", "ts", "event_id")
     return (S.step_number(ev, "user_id", ["ts", "event_id"])
              .select(F.col("user_id").alias("episode_id"), "event_id", "step"))
 
