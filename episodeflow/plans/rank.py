@@ -63,11 +63,11 @@ def bucketize(df: DataFrame, order: Sequence[str], num_partitions: int | None =
     keys = df.select(*cols)
     bounds: list[tuple] = []
     if n > 1:
-        total = keys.count()
         target = SAMPLE_PER_BUCKET * n
-        sample = keys if total <= target else keys.sample(False, min(1.0, 1.5 * target / total), seed)
-        # At most 2 * target key tuples reach the driver, already sorted by Spark.
-        picked = [tuple(r) for r in sample.orderBy(*cols).limit(2 * target).collect()]
+        # One job: a uniform sample of ``target`` keys (seeded top-k by a random
+        # number, no prior count), sorted by Spark; only these reach the driver.
+        sample = keys.orderBy(F.rand(seed)).limit(target).orderBy(*cols)
+        picked = [tuple(r) for r in sample.collect()]
         if picked:
             step = len(picked) / n
             for i in range(1, n):
