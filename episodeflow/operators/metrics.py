@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,15 +31,10 @@ def means_with_overall(sm: DataFrame, category: str, cols: Iterable[str],
     group is dropped after grouping so the overall row still counts it.
     """
     cols = list(cols)
-    aggs = ", ".join(f"avg(nanvl(CAST(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE))) AS `mean_{c}`" for c in cols)
-    view = f"_sm_{abs(hash((category, tuple(cols)))) % 10**8}"
-    sm.createOrReplaceTempView(view)
-    spark: SparkSession = sm.sparkSession
-    g = spark.sql(
-        f"SELECT `{category}` AS _cat, grouping_id() AS _gid, {aggs} "
-        f"FROM {view} GROUP BY GROUPING SETS ((`{category}`), ())")
-    return (g.where((F.col("_gid") == 1) | F.col("_cat").isNotNull())
-             .select(F.when(F.col("_gid") == 1, F.lit(overall)).otherwise(F.col("_cat")).alias(category),
+    g = sm.groupingSets([[F.col(category)], []], F.col(category)).agg(
+        F.grouping_id().alias("_gid"), *[F.avg(_clean(F.col(c))).alias(f"mean_{c}") for c in cols])
+    return (g.where((F.col("_gid") == 1) | F.col(category).isNotNull())
+             .select(F.when(F.col("_gid") == 1, F.lit(overall)).otherwise(F.col(category)).alias(category),
                      *[f"mean_{c}" for c in cols]))
 
 

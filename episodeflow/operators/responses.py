@@ -44,6 +44,30 @@ def json_answers(df: DataFrame, schema: str, text: str = "response") -> DataFram
     )
 
 
+TRAJECTORY = "struct<trajectory: array<map<string, string>>>"
+
+
+def trajectory_answers(df: DataFrame, text: str = "response") -> DataFrame:
+    """The block must be an object whose ``trajectory`` is a list of objects.
+
+    Shape is checked on the parsed VARIANT (``schema_of_variant``), so a list
+    of strings or a missing key is a reject, not a list of nulls.
+    """
+    fixed = R.json_repair(R.json_block(F.col(text)))
+    v = F.try_parse_json(fixed)
+    traj = F.try_variant_get(v, "$.trajectory", "variant")
+    shape = F.schema_of_variant(traj)
+    ok = json_valid(fixed) & traj.isNotNull() & (shape.startswith("ARRAY<OBJECT") | (shape == "ARRAY<VOID>"))
+    parsed = F.from_json(fixed, TRAJECTORY)["trajectory"]
+    return df.select(
+        "*",
+        F.when(ok, parsed).alias("trajectory"),
+        F.when(R.json_block(F.col(text)).isNull(), F.lit("no_block"))
+         .when(~json_valid(fixed), F.lit("invalid_json"))
+         .when(~ok, F.lit("not_a_list_of_objects")).otherwise(F.lit("ok")).alias("status"),
+    )
+
+
 def split_status(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with status ok, and the reject table (everything else)."""
     return df.where(F.col("status") == "ok"), df.where(F.col("status") != "ok")
