@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 # Python's repr escapes these three control characters by name.
 _NAMED_ESCAPES = [("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]
-# Characters repr() shows as hex escapes: Unicode "Other" and "Separator" classes except the space.
-_NONPRINT = "[\\p{Cc}\\p{Cf}\\p{Co}\\p{Cn}\\p{Cs}\\p{Zl}\\p{Zp}\\p{Zs}&&[^ ]]"
+# Characters repr() shows as hex escapes: Unicode "Other" and "Separator" classes except the
+# space and the three named escapes.
+_NONPRINT = "[\\p{Cc}\\p{Cf}\\p{Co}\\p{Cn}\\p{Cs}\\p{Zl}\\p{Zp}\\p{Zs}&&[^ \\t\\n\\r]]"
 
 
 def _lit(s: str) -> Column:
@@ -39,6 +40,16 @@ def _hex_escape(ch: Column) -> Column:
              .otherwise(F.concat(_lit("\\U"), F.lpad(h, 8, "0"))))
 
 
+def _fold_escapes(text: Column, source: Column, pattern: str, escape) -> Column:
+    """Replace every distinct character of ``source`` matching ``pattern`` by ``escape(ch)``.
+
+    Work is one ``replace`` per distinct rare character present (usually a
+    handful), not per character of the text.
+    """
+    found = F.array_distinct(F.regexp_extract_all(source, _lit(pattern), 0))
+    return F.aggregate(found, text, lambda acc, ch: F.replace(acc, ch, escape(ch)))
+
+
 def py_str(c: Column) -> Column:
     """``repr(str)``; null prints as ``None``."""
     use_double = F.contains(c, _lit("'")) & ~F.contains(c, _lit('"'))
@@ -46,18 +57,8 @@ def py_str(c: Column) -> Column:
     for raw, shown in _NAMED_ESCAPES:
         esc = _replace(esc, raw, shown)
     fast = F.when(use_double, esc).otherwise(_replace(esc, "'", "\\'"))
-
-    # Rare path (a non-printable character is present): escape per character.
-    def one(ch: Column) -> Column:
-        named = F.when(ch == "\\", _lit("\\\\"))
-        for raw, shown in _NAMED_ESCAPES:
-            named = named.when(ch == raw, _lit(shown))
-        return (named.when((ch == "'") & ~use_double, _lit("\\'"))
-                     .when(ch.rlike(_NONPRINT), _hex_escape(ch))
-                     .otherwise(ch))
-
-    slow = F.array_join(F.transform(chars(c), one), "")
-    body = F.when(c.rlike(_NONPRINT), slow).otherwise(fast)
+    # Rare path: non-printable characters become \xNN / \uNNNN / \UNNNNNNNN.
+    body = F.when(c.rlike(_NONPRINT), _fold_escapes(fast, c, _NONPRINT, _hex_escape)).otherwise(fast)
     quote = F.when(use_double, _lit('"')).otherwise(_lit("'"))
     return F.when(c.isNull(), _lit("None")).otherwise(F.concat(quote, body, quote))
 
@@ -105,9 +106,9 @@ def json_str(c: Column) -> Column:
     esc = c
     for raw, shown in _JSON_NAMED:
         esc = _replace(esc, raw, shown)
-    # Rare path: control characters and non-ASCII go through per-character escapes.
-    slow = F.array_join(F.transform(chars(esc), _json_escape_char), "")
-    esc = F.when(esc.rlike("[^\\x{20}-\\x{7e}]"), slow).otherwise(esc)
+    # Rare path: other control characters and non-ASCII become \uNNNN (surrogate pairs above FFFF).
+    rare = "[^\\x{20}-\\x{7e}]"
+    esc = F.when(esc.rlike(rare), _fold_escapes(esc, esc, rare, _json_escape_char)).otherwise(esc)
     return F.when(c.isNull(), _lit("null")).otherwise(F.concat(_lit('"'), esc, _lit('"')))
 
 

@@ -139,7 +139,7 @@ def step_history(steps: DataFrame, obs: str = "observation", act: str = "action"
     return steps.withColumn(out, F.collect_list(pair).over(w))
 
 
-def step_number(rows: DataFrame, key: str, order: Iterable[str], out: str = "step",
+def step_number(rows: DataFrame, key: str | list[str], order: Iterable[str], out: str = "step",
                 skew_safe: bool = True) -> DataFrame:
     """0-based step number within the episode.
 
@@ -148,7 +148,9 @@ def step_number(rows: DataFrame, key: str, order: Iterable[str], out: str = "ste
     range-split over many tasks; otherwise a window per episode is used.
     """
     if not skew_safe:
-        return rows.withColumn(out, (F.row_number().over(_ep_window(key, order)) - 1).cast("int"))
+        keys = [key] if isinstance(key, str) else key
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return rows.withColumn(out, (F.row_number().over(w) - 1).cast("int"))
     from episodeflow.operators.ordering import rank_in_group
     return (rank_in_group(rows, key, list(order), "_rig")
             .withColumn(out, (F.col("_rig") - 1).cast("int")).drop("_rig"))

@@ -155,15 +155,18 @@ def usage(steps: DataFrame) -> DataFrame:
 
 
 def attempts(events: DataFrame) -> DataFrame:
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return events.select(
+    """Attempts as rows: number within (user_id, event_type) by (ts, event_id), skew-safe."""
+    from episodeflow.operators.steps import step_number
+
+    ev = events.select(
         F.col("user_id").alias("request_id"),
         F.col("event_type").alias("kind"),
-        F.row_number().over(w).alias("attempt"),
-        "event_id",
+        "ts", "event_id",
         (F.col("value") > 5).alias("valid"),
         F.col("props").alias("text"),
     )
+    numbered = step_number(ev, ["request_id", "kind"], ["ts", "event_id"], "_a")
+    return numbered.select("request_id", "kind", (F.col("_a") + 1).alias("attempt"), "event_id", "valid", "text")
 
 
 def responses(events: DataFrame, documents: DataFrame) -> DataFrame:

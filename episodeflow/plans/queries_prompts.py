@@ -244,12 +244,11 @@ SELECT episode_id, step, observation, array_to_string(c, ',') AS candidates,
        CASE WHEN idx < 0 THEN action_text ELSE c[idx + 1] END AS action
 FROM s WHERE (CASE WHEN idx < 0 THEN action_text ELSE c[idx + 1] END) IS NOT NULL""")
 def q_zip_demo(spark, sf_dir):
-    from pyspark.sql import Window
-
     from episodeflow.operators.candidates import zip_demo
     ev = bind.Tables(spark, sf_dir).events
-    rn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    e = ev.select("user_id", "event_id", "event_type", "props", "value", rn.alias("rn"))
+    # Event numbering per user with the skew-safe per-group rank (no per-user window).
+    e = S.step_number(ev.select("user_id", "ts", "event_id", "event_type", "props", "value"),
+                      "user_id", ["ts", "event_id"], "rn")
     # Parallel-array records, one per 20-event chunk of a user (bounded arrays).
     rec = F.struct(
         (F.col("rn") % 20).alias("step"), F.col("props").alias("state"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from episodeflow.functions import parsers as R
 from episodeflow.functions.pytext import json_str, py_dict_list, py_list, py_str
 
-ALPHABET = st.sampled_from(list("ab '\"\\\n\t\r é€ACTIONREASON:```json{},]\x00\x0b\x1c\xa0\u2028;") + ["\U0001F600"])
+ALPHABET = st.sampled_from(list("ab '\"\\\n\t\r é€ACTIONREASON:```json{},]\x00\x0b\x1c\x7f\x85\xa0\xad\u2028\ufeff;") + ["\U0001F600"])
 TEXTS = st.text(alphabet=ALPHABET, max_size=40)
 
 
