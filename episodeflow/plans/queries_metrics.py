@@ -91,7 +91,7 @@ def q_model_means(spark, sf_dir):
 
 
 @register("failure_fix", ids=("A6", "F12"), sql=Q.with_(Q.SCORED_STEPS) + """,
-s AS (SELECT episode_id, count(*) AS num_actions, CASE WHEN arg_max(score, step) > 100 THEN 1.0 ELSE 0.0 END AS score
+s AS (SELECT episode_id, count(*) AS num_actions, CAST(CASE WHEN arg_max(score, step) > 100 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score
       FROM ssteps WHERE step < 20 GROUP BY episode_id)
 SELECT episode_id, CASE WHEN score = 0 AND num_actions = 20 THEN 30 ELSE num_actions END AS num_actions, score FROM s""")
 def q_failure_fix(spark, sf_dir):
@@ -128,8 +128,8 @@ WITH x AS (
          [b.p_brand, b.p_type, CAST(b.p_size AS VARCHAR)] AS bought
   FROM lineitem l JOIN part g ON g.p_partkey = l.l_partkey JOIN part b ON b.p_partkey = l.l_partkey + l.l_linenumber),
 e AS (SELECT unnest(attributes) AS attribute, bought FROM x)
-SELECT attribute, sum(CAST(list_contains(bought, attribute) AS BIGINT)) AS n_ok,
-       sum(1 - CAST(list_contains(bought, attribute) AS BIGINT)) AS n_fail
+SELECT attribute, CAST(sum(CAST(list_contains(bought, attribute) AS BIGINT)) AS BIGINT) AS n_ok,
+       CAST(sum(1 - CAST(list_contains(bought, attribute) AS BIGINT)) AS BIGINT) AS n_fail
 FROM e GROUP BY attribute""")
 def q_attribute_outcomes(spark, sf_dir):
     t = bind.Tables(spark, sf_dir)
