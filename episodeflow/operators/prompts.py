@@ -211,13 +211,24 @@ def completion_span(text: Column, marker: str = RESPONSE_MARKER) -> tuple[Column
     return start.cast("long"), n.cast("long")
 
 
-def left_truncate(text: Column, budget: int, unit: str = "chars") -> Column:
-    """P10: keep the tail of ``text`` within ``budget`` characters or whitespace tokens."""
+def left_truncate(text: Column, budget: int, unit: str = "chars", window_per_token: int = 32) -> Column:
+    """P10: keep the tail of ``text`` within ``budget`` characters or whitespace tokens.
+
+    For tokens only a suffix window of the text is split: when it holds
+    more than ``budget`` tokens, the last ``budget`` of them are complete
+    (only the window's first token can be cut), so the result is exact;
+    otherwise the whole text is split. Long texts never become huge arrays.
+    """
+    n = int(budget)
     if unit == "chars":
-        return F.when(F.length(text) > budget, F.substring(text, -int(budget), int(budget))).otherwise(text)
-    toks = F.split(text, "[ \\t\\n\\r\\f]+")
-    tail = F.when(F.size(toks) > budget, F.slice(toks, -int(budget), int(budget))).otherwise(toks)
-    return F.array_join(tail, " ")
+        return F.when(F.length(text) > n, F.substring(text, -n, n)).otherwise(text)
+    sep = "[ \\t\\n\\r\\f]+"
+    window = n * int(window_per_token)
+    tail_toks = F.split(F.substring(text, -window, window), sep)
+    use_tail = (F.length(text) > window) & (F.size(tail_toks) > n)
+    toks = F.when(use_tail, tail_toks).otherwise(F.split(text, sep))
+    kept = F.when(F.size(toks) > n, F.slice(toks, -n, n)).otherwise(toks)
+    return F.array_join(kept, " ")
 
 
 def pack_blocks(rows: DataFrame, length: Column, max_len: int, key: str,

@@ -105,3 +105,14 @@ def test_conditional_ban_and_candidate_build(spark):
                                  (["search"], [None], False)], "c array<string>, l array<string>, s boolean")
     out = [r[0] for r in df2.select(candidate_build(F.col("c"), F.col("l"), F.col("s"))).collect()]
     assert out == [["search[<search query>]", "click[B07X - Lamp]", "click[back]"], ["finish"]]
+
+
+def test_left_truncate_tokens_exact(spark):
+    import re
+
+    from episodeflow.operators.prompts import left_truncate
+    texts = ["a b  c\td\n", "  lead", "x " * 300 + "end", ("w" * 50 + " ") * 40, "", "one", "p q r s t u"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    got = [r[0] for r in df.orderBy("i").select(left_truncate(F.col("s"), 3, "tokens", window_per_token=4)).collect()]
+    want = [" ".join(re.split(r"[ \t\n\r\f]+", t)[-3:]) for t in texts]
+    assert got == want
