@@ -97,3 +97,38 @@ def test_stream_resume_exactly_once(spark, tmp_path):
     spark.createDataFrame([(3, None, 2, "click", 1.0, "{}")], schema).write.mode("append").parquet(src)
     out2 = ST.run_to_sink(ST.counter_stream(ST.file_stream(spark, src, ST.EVENTS)), "t", checkpoint=ckpt)
     assert {r.action: r.n for r in out2.collect()} == {"click": 2, "view": 1}
+
+
+def test_split_sink_training_scan_and_append(spark, tmp_path):
+    from episodeflow.operators import prompts as P
+    rows = spark.createDataFrame([(1, "p1", "r1", "train"), (2, "p2", "r2", "test")],
+                                 "episode_id long, p string, r string, split string")
+    sft = rows.select("split", P.message("user", F.col("p")).alias("prompt"),
+                      P.message("assistant", F.col("r")).alias("response"))
+    out = str(tmp_path / "ds")
+    sinks.write_splits(sft, out, fmt="json")
+    assert sorted(x for x in os.listdir(out) if x.startswith("split=")) == ["split=test", "split=train"]
+    back = spark.read.schema(files.SFT_ROW).json(f"{out}/split=train")
+    assert [r.prompt[0].content for r in back.collect()] == ["p1"]
+    arr = str(tmp_path / "train.json")
+    with open(arr, "w") as f:
+        json.dump([{"prompt": [{"role": "user", "content": "a"}], "response": [{"role": "assistant", "content": "b"}]},
+                   {"prompt": [{"role": "user", "content": "c"}], "response": [{"role": "assistant", "content": "d"}]}], f)
+    ts = files.scan_training_set(spark, arr)
+    assert sorted(r.response[0].content for r in ts.collect()) == ["b", "d"]
+    summ = str(tmp_path / "summ")
+    first = spark.createDataFrame([(1, "m", 3, 1.0)], "env_idx long, model_id string, num_actions int, score double")
+    sinks.append_summary(first, summ)
+    sinks.append_summary(first.withColumn("env_idx", F.lit(2).cast("long")), summ)
+    assert sorted(r.env_idx for r in spark.read.parquet(summ).collect()) == [1, 2]
+
+
+def test_episode_sink_partitioned(spark, tmp_path):
+    out = str(tmp_path / "episodes")
+    df = spark.createDataFrame([("game", 0, 1, 0, "o"), ("shop", 1, 2, 0, "p")],
+                               "family string, iter int, episode_id long, step int, observation string")
+    sinks.write_rows(df, out, ["family", "iter"])
+    back = spark.read.parquet(out).where((F.col("family") == "shop") & (F.col("iter") == 1))
+    assert [r.episode_id for r in back.collect()] == [2]
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "family" in plan
