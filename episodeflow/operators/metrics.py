@@ -47,14 +47,27 @@ def check_unique(df: DataFrame, keys: Sequence[str], what: str = "rows") -> None
 
 def model_pivot(sm: DataFrame, key: str, model: str, models: Sequence[str],
                 values: Sequence[str] = ("score", "num_actions"), check: bool = True) -> DataFrame:
-    """One row per key with ``<value>_<model>`` columns (full-outer semantics)."""
+    """One row per key with ``<value>_<model>`` columns (full-outer semantics).
+
+    ``check``: a duplicate (key, model) fails the job. The guard is part of
+    the same pivot aggregation (a per-cell count and ``raise_error``), so it
+    costs no extra pass over the data.
+    """
+    aggs = [F.first(v).alias(v) for v in values]
+    if check:
+        aggs.append(F.count(F.lit(1)).alias("_n"))
+    p = sm.groupBy(key).pivot(model, list(models)).agg(*aggs)
     if check:
-        check_unique(sm, [key, model], "(key, model)")
-    p = sm.groupBy(key).pivot(model, list(models)).agg(*[F.first(v).alias(v) for v in values])
+        dup = None
+        for m in models:
+            d = F.coalesce(F.col(f"`{m}__n`"), F.lit(0)) > 1
+            dup = d if dup is None else (dup | d)
+        msg = F.concat(F.lit(f"duplicate ({key}, {model}) for {key}="), F.col(key).cast("string"))
+        p = p.where(F.when(dup, F.raise_error(msg)).otherwise(F.lit(True)))
     out = [key]
     for m in models:
         for v in values:
-            src = f"{m}_{v}" if len(values) > 1 else m
+            src = f"{m}_{v}" if len(aggs) > 1 else m
             out.append(F.col(f"`{src}`").alias(f"{v}_{m}"))
     return p.select(*out)
 

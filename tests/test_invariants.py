@@ -108,8 +108,10 @@ def test_rounding_fixed_values(spark):
 
 def test_model_pivot_rejects_duplicates(spark):
     sm = spark.createDataFrame([(1, "m", 1.0, 3), (1, "m", 0.0, 4)], "env_idx long, model_id string, score double, num_actions int")
-    with pytest.raises(ValueError):
-        MT.model_pivot(sm, "env_idx", "model_id", ["m"])
+    with pytest.raises(Exception, match="duplicate"):
+        MT.model_pivot(sm, "env_idx", "model_id", ["m"]).collect()
+    ok = spark.createDataFrame([(1, "m", 1.0, 3), (1, "n", 0.0, 4)], "env_idx long, model_id string, score double, num_actions int")
+    assert MT.model_pivot(ok, "env_idx", "model_id", ["m", "n"]).first() == (1, 1.0, 3, 0.0, 4)
 
 
 def test_state_lookup_strict(spark):
