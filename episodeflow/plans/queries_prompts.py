@@ -263,3 +263,32 @@ def q_zip_demo(spark, sf_dir):
     ok, _rejects = zip_demo(demos)
     return ok.select("episode_id", "step", "observation", F.array_join("candidate_actions", ",").alias("candidates"),
                      "action")
+
+
+# --- P5 (state-extraction variant) with X3 JSON text --------------------------
+
+EXTRACT_SYSTEM = "You read a trajectory and write down the hidden state it reveals."
+EXTRACT_KEYS = ("observation", "candidate_actions", "reason", "action")
+_EXTRACT_ITEM = ("'{\"observation\": ' || " + Q.json_str("observation")
+                 + " || ', \"candidate_actions\": ' || " + Q.json_list("candidate_actions")
+                 + " || ', \"reason\": ' || " + Q.json_str("reason")
+                 + " || ', \"action\": ' || " + Q.json_str("action") + " || '}'")
+
+
+@register("extraction_request", ids=("P5", "X3"), sql=Q.with_(Q.TEXT_STEPS) + f""",
+r AS (SELECT episode_id, '[' || string_agg({_EXTRACT_ITEM}, ', ' ORDER BY step) || ']' AS traj
+      FROM tsteps GROUP BY episode_id)
+SELECT episode_id, '{EXTRACT_SYSTEM}' AS system_content, 'Trajectory (JSON):' || chr(10) || traj AS user_content
+FROM r""")
+def q_extraction_request(spark, sf_dir):
+    from episodeflow.functions.pytext import json_dict, json_list, json_str
+    st = bind.text_steps(bind.Tables(spark, sf_dir).conversations)
+    item = F.struct("step", json_dict([
+        ("observation", F.col("observation")),
+        ("candidate_actions", json_list(F.col("candidate_actions"), json_str)),
+        ("reason", F.col("reason")), ("action", F.col("action"))],
+        kinds={"candidate_actions": "raw"}).alias("j"))
+    per_ep = st.groupBy("episode_id").agg(F.array_sort(F.collect_list(item)).alias("_s"))
+    traj = F.concat(F.lit("["), F.array_join(F.transform("_s", lambda x: x["j"]), ", "), F.lit("]"))
+    return per_ep.select("episode_id", F.lit(EXTRACT_SYSTEM).alias("system_content"),
+                         F.concat(F.lit("Trajectory (JSON):\n"), traj).alias("user_content"))

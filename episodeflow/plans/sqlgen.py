@@ -150,3 +150,26 @@ judged AS (
   JOIN (SELECT episode_id, count(*) AS m, min(CAST(has_corrected_reason AS INTEGER)) AS all_r,
                min(CAST(has_corrected_action AS INTEGER)) AS all_a
         FROM ans GROUP BY episode_id) a USING (episode_id))"""
+
+
+def _chr(c: str) -> str:
+    return f"chr({ord(c)})" if ord(c) < 32 else lit(c)
+
+
+def json_str(x: str) -> str:
+    """SQL for Python ``json.dumps(str)`` (ASCII escapes, surrogate pairs above FFFF)."""
+    esc = x
+    for raw, shown in [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"),
+                       ("\b", "\\b"), ("\f", "\\f")]:
+        esc = f"replace({esc}, {_chr(raw)}, {lit(shown)})"
+    per = ("CASE WHEN unicode(ch) BETWEEN 32 AND 126 THEN ch "
+           "WHEN unicode(ch) > 65535 THEN '\\u' || lower(hex(55296 + (unicode(ch) - 65536) // 1024)) "
+           "|| '\\u' || lower(hex(56320 + (unicode(ch) - 65536) % 1024)) "
+           "ELSE '\\u' || lpad(lower(hex(unicode(ch))), 4, '0') END")
+    return (f"(CASE WHEN {x} IS NULL THEN 'null' ELSE '\"' || "
+            f"array_to_string(list_transform(string_split({esc}, ''), lambda ch: {per}), '') || '\"' END)")
+
+
+def json_list(lst: str, render=json_str) -> str:
+    return (f"(CASE WHEN {lst} IS NULL THEN 'null' ELSE "
+            f"'[' || array_to_string(list_transform({lst}, lambda e: {render('e')}), ', ') || ']' END)")

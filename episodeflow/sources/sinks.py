@@ -66,3 +66,12 @@ def encode_values(df: DataFrame) -> DataFrame:
         else:
             out.append(c)
     return df.select(*out)
+
+
+def to_text(c: Column, dtype: T.DataType) -> Column:
+    """A value as text: strings as they are, structured values as JSON."""
+    if isinstance(dtype, T.StringType):
+        return c
+    if isinstance(dtype, (T.StructType, T.MapType, T.ArrayType)):
+        return F.to_json(c)
+    return c.cast("string")

@@ -132,3 +132,50 @@ def test_episode_sink_partitioned(spark, tmp_path):
     assert [r.episode_id for r in back.collect()] == [2]
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "family" in plan
+
+
+def test_summary_csv_iter_folders_and_to_text(spark, tmp_path):
+    p = str(tmp_path / "s.csv")
+    _write(p, "env_idx,gamefile,model_id,num_actions,score\n3,a/b,m,7,0.5\n", raw=True)
+    r = files.scan_summary_csv(spark, p).first()
+    assert (r.env_idx, r.model_id, r.num_actions, r.score) == (3, "m", 7, 0.5)
+    root = str(tmp_path / "mix")
+    for k in range(3):
+        _write(f"{root}/iter{k}/train.json", [{"prompt": [{"role": "user", "content": f"p{k}"}],
+                                               "response": [{"role": "assistant", "content": "r"}]}])
+    got = files.scan_iterations(spark, root, 1)
+    assert sorted((r.iter, r.prompt[0].content) for r in got.collect()) == [(0, "p0"), (1, "p1")]
+    df = spark.sql("SELECT named_struct('a', 1) AS s, 'x' AS t, 2 AS n")
+    out = df.select(*[sinks.to_text(F.col(f.name), f.dataType) for f in df.schema.fields]).first()
+    assert tuple(out) == ('{"a":1}', "x", "2")
+
+
+def test_natural_sort_limit_rejects(spark):
+    from episodeflow.operators.ordering import natural_sort_limit
+    files_df = spark.createDataFrame([("10.json",), ("9.json",), ("abc.json",), ("100.json",)], "name string")
+    good, rej = natural_sort_limit(files_df, "name", 2)
+    assert [r.name for r in good.collect()] == ["9.json", "10.json"]
+    assert [r.name for r in rej.collect()] == ["abc.json"]
+
+
+def test_batch_generate_retries_and_pluggable_generator(spark):
+    from episodeflow.operators.generate import batch_generate
+
+    class FlakyFactory:
+        """Fails the first two calls for every prompt (deterministic, picklable)."""
+
+        def __call__(self):
+            seen = {}
+
+            def gen(prompt):
+                seen[prompt] = seen.get(prompt, 0) + 1
+                ok = seen[prompt] > 2
+                return ("ACTION: go" if ok else "garbled", 3, 2)
+            return gen
+
+    req = spark.createDataFrame([(1, "a"), (2, "b")], "request_id long, prompt string")
+    out = batch_generate(req, FlakyFactory(), retries=3)
+    rows = sorted((r.request_id, r.attempt, r.ok) for r in out.collect())
+    assert rows == [(1, 1, False), (1, 2, False), (1, 3, True), (2, 1, False), (2, 2, False), (2, 3, True)]
+    out2 = batch_generate(req, FlakyFactory(), retries=2)
+    assert {(r.request_id, r.ok) for r in out2.collect()} == {(1, False), (2, False)}

@@ -50,3 +50,19 @@ def test_chat_render_and_span(spark):
     assert out[0] == "<|user|>\nhi\n<|end|>\n<|assistant|>\n<|response|> ok\n<|end|>\n"
     start = out[0].index(P.RESPONSE_MARKER) + len(P.RESPONSE_MARKER) + 1
     assert out[1] == start and out[0][start - 1:] == out[0][start - 1:start - 1 + out[2]]
+
+
+def test_extraction_request_is_json_dumps(spark):
+    import json
+
+    import __spark_entry__ as E
+    out = {r.episode_id: r.user_content for r in E.queries()["extraction_request"](spark, SMOKE).collect()}
+    st = bind.text_steps(bind.Tables(spark, SMOKE).conversations).collect()
+    by_ep = {}
+    for r in st:
+        by_ep.setdefault(r.episode_id, []).append(r)
+    for ep, steps in by_ep.items():
+        steps.sort(key=lambda r: r.step)
+        traj = [{"observation": r.observation, "candidate_actions": list(r.candidate_actions),
+                 "reason": r.reason, "action": r.action} for r in steps]
+        assert out[ep] == "Trajectory (JSON):\n" + json.dumps(traj)
