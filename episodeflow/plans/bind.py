@@ -15,7 +15,7 @@ event candidates         events         sorted distinct event types of the user
 is_corrected             conversations  null if conv_id % 3 = 0, false if
                                         (conv_id + turn) % 3 = 1, else true
 corrected reason/action  conversations  reason/action of the next step, else its own
-text candidates          conversations  actions of the episode's steps up to this one
+text candidates          conversations  previous step's action (if any) and this action
 state                    customer       id = string(c_custkey), text = c_name; keys with
                                         c_custkey % 10 = 0 are absent (lookup misses)
 summaries                orders         key = o_custkey, model = o_orderstatus,
@@ -51,8 +51,17 @@ def first_line(c: Column) -> Column:
     return F.substring_index(c, NL, 1)
 
 
-def text_steps(conversations: DataFrame) -> DataFrame:
-    """conversations -> one row per (episode_id, step)."""
+def text_steps(conversations: DataFrame, skew_safe: bool = False) -> DataFrame:
+    """conversations -> one row per (episode_id, step).
+
+    Default: windows partitioned by the conversation (one exchange for all
+    of them); right when conversations are bounded, as episodes are by the
+    action caps. ``skew_safe=True`` gives the same rows from distributed
+    ranks and equi-joins on (episode, position +- 1) only, for inputs where
+    one conversation may hold a large share of all turns.
+    """
+    if skew_safe:
+        return _text_steps_joins(conversations)
     by_conv = Window.partitionBy("conv_id").orderBy("turn")
     whole = by_conv.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     turns = conversations.select(
@@ -72,19 +81,52 @@ def text_steps(conversations: DataFrame) -> DataFrame:
         F.col("next_text").alias("reason"),
         first_line(F.col("next_text")).alias("action"),
     )
+    return _text_step_columns(steps,
+                              F.lead("reason").over(by_step), F.lead("action").over(by_step),
+                              F.lag("action").over(by_step))
+
+
+def _text_step_columns(steps: DataFrame, next_reason: Column, next_action: Column,
+                       prev_action: Column) -> DataFrame:
     is_corr = (F.when(F.col("episode_id") % 3 == 0, F.lit(None).cast("boolean"))
                 .when((F.col("episode_id") + F.col("turn")) % 3 == 1, F.lit(False))
                 .otherwise(F.lit(True)))
-    upto = by_step.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Candidates: the previous step's action (if any) and this step's action.
+    cands = F.when(prev_action.isNull(), F.array("action")).otherwise(F.array(prev_action, F.col("action")))
     return steps.select(
-        "*",
+        "episode_id", "step", "turn", "task", "observation", "reason", "action",
         is_corr.alias("is_corrected"),
-        F.coalesce(F.lead("reason").over(by_step), F.col("reason")).alias("corrected_reason"),
-        F.coalesce(F.lead("action").over(by_step), F.col("action")).alias("corrected_action"),
-        F.collect_list("action").over(upto).alias("candidate_actions"),
+        F.coalesce(next_reason, F.col("reason")).alias("corrected_reason"),
+        F.coalesce(next_action, F.col("action")).alias("corrected_action"),
+        cands.alias("candidate_actions"),
     )
 
 
+def _text_steps_joins(conversations: DataFrame) -> DataFrame:
+    from episodeflow.operators.steps import step_number
+
+    turns = step_number(conversations.select("conv_id", "turn", "role", "text"),
+                        "conv_id", ["turn"], "pos")
+    nxt = turns.select(F.col("conv_id").alias("_c"), (F.col("pos") - 1).alias("_p"),
+                       F.col("role").alias("next_role"), F.col("text").alias("next_text"))
+    task = (conversations.where(F.col("role") == "system").groupBy("conv_id")
+            .agg(F.max("text").alias("task")))
+    pairs = (turns.join(nxt, (turns["conv_id"] == nxt["_c"]) & (turns["pos"] == nxt["_p"]))
+                  .where((F.col("role") == "user") & (F.col("next_role") == "assistant"))
+                  .join(task, "conv_id", "left"))
+    steps = step_number(pairs.select(
+        F.col("conv_id").alias("episode_id"), "turn", "task",
+        F.col("text").alias("observation"), F.col("next_text").alias("reason"),
+        first_line(F.col("next_text")).alias("action")), "episode_id", ["turn"], "step")
+    nb = steps.select(F.col("episode_id").alias("_e"), (F.col("step") - 1).alias("_s"),
+                      F.col("reason").alias("_nr"), F.col("action").alias("_na"))
+    pb = steps.select(F.col("episode_id").alias("_e2"), (F.col("step") + 1).alias("_s2"),
+                      F.col("action").alias("_pa"))
+    j = (steps.join(nb, (steps["episode_id"] == nb["_e"]) & (steps["step"] == nb["_s"]), "left")
+              .join(pb, (steps["episode_id"] == pb["_e2"]) & (steps["step"] == pb["_s2"]), "left"))
+    return _text_step_columns(j, F.col("_nr"), F.col("_na"), F.col("_pa"))
+
+
 def scored_steps(events: DataFrame, skew_safe: bool = True) -> DataFrame:
     """events -> one row per (episode_id, step) with a score.
 

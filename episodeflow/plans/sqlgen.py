@@ -44,8 +44,8 @@ tsteps AS (
               WHEN (episode_id + turn) % 3 = 1 THEN false ELSE true END AS is_corrected,
          coalesce(lead(reason) OVER (PARTITION BY episode_id ORDER BY step), reason) AS corrected_reason,
          coalesce(lead(action) OVER (PARTITION BY episode_id ORDER BY step), action) AS corrected_action,
-         list(action) OVER (PARTITION BY episode_id ORDER BY step
-                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS candidate_actions
+         CASE WHEN lag(action) OVER (PARTITION BY episode_id ORDER BY step) IS NULL THEN [action]
+              ELSE [lag(action) OVER (PARTITION BY episode_id ORDER BY step), action] END AS candidate_actions
   FROM pairs)"""
 
 SCORED_STEPS = """

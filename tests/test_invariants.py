@@ -134,3 +134,11 @@ def test_plans_have_no_python_udf_except_generation(spark):
     for k in ["sft_rows", "parse_game", "correction_merge", "teacher_request", "episode_split"]:
         plan = qs[k](spark, SF001)._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, k
+
+
+def test_text_steps_window_and_join_forms_agree(spark):
+    for sf in ("/root/testdata/sf0.001", SF001):
+        conv = bind.Tables(spark, sf).conversations
+        a = bind.text_steps(conv)
+        b = bind.text_steps(conv, skew_safe=True).select(*a.columns)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
