@@ -236,18 +236,28 @@ def q_teacher_flag(spark, sf_dir):
     return _merged(spark, sf_dir).select("episode_id", "step", "has_is_corrected", "is_corrected")
 
 
-@register("self_flag", ids=("R14",), sql=Q.with_(Q.TEXT_STEPS) + """
+@register("self_flag", ids=("R14",), sql=Q.with_(Q.TEXT_STEPS) + """,
+x AS (SELECT episode_id, step, action,
+             CASE WHEN step % 3 = 2 THEN 'search[' || split_part(observation, ' ', 1) || ']'
+                  ELSE corrected_action END AS new_action,
+             CASE WHEN episode_id % 2 = 0 THEN list_append(candidate_actions, corrected_action)
+                  ELSE candidate_actions END AS cands
+      FROM tsteps)
 SELECT episode_id, step,
-       CASE WHEN corrected_action = action THEN false
-            WHEN NOT coalesce(list_contains(candidate_actions, corrected_action), false)
-                 AND NOT contains(corrected_action, 'search') THEN false
+       CASE WHEN new_action = action THEN false
+            WHEN NOT coalesce(list_contains(cands, new_action), false)
+                 AND NOT contains(new_action, 'search') THEN false
             ELSE true END AS is_corrected
-FROM tsteps""")
+FROM x""")
 def q_self_flag(spark, sf_dir):
     st = bind.text_steps(bind.Tables(spark, sf_dir).conversations)
-    return st.select("episode_id", "step",
-                     C.self_flag(F.col("action"), F.col("corrected_action"), F.col("candidate_actions"))
-                     .alias("is_corrected"))
+    # The student's self-correction: every third step proposes a search, others the next action;
+    # even episodes also list the proposed action among the candidates.
+    new = F.when(F.col("step") % 3 == 2, F.concat(F.lit("search["), F.substring_index("observation", " ", 1),
+                                                  F.lit("]"))).otherwise(F.col("corrected_action"))
+    cands = F.when(F.col("episode_id") % 2 == 0,
+                   F.array_append("candidate_actions", F.col("corrected_action"))).otherwise(F.col("candidate_actions"))
+    return st.select("episode_id", "step", C.self_flag(F.col("action"), new, cands).alias("is_corrected"))
 
 
 @register("candidate_check", ids=("J12", "X14"), sql=Q.with_(Q.TEXT_STEPS) + """
