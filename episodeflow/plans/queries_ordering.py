@@ -28,27 +28,29 @@ def q_seeded_shuffle(spark, sf_dir):
 
 
 @register("prior_mix", ids=("O3", "O5"), sql="""
-WITH cur AS (SELECT doc_id FROM documents WHERE lang = 'en'),
+WITH cur AS (SELECT doc_id FROM documents WHERE lang <> 'en'),
 prior AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rk
-          FROM documents WHERE lang <> 'en')
+          FROM documents WHERE lang = 'en')
 SELECT doc_id, 'current' AS origin FROM cur
 UNION ALL
 SELECT doc_id, 'prior' AS origin FROM prior WHERE rk <= (SELECT count(*) FROM cur)""")
 def q_prior_mix(spark, sf_dir):
     d = bind.Tables(spark, sf_dir).documents
-    cur = d.where(F.col("lang") == "en").select("doc_id")
-    prior = d.where(F.col("lang") != "en").select("doc_id")
+    # Current iteration: the non-English documents; prior data: the (larger) English set.
+    cur = d.where(F.col("lang") != "en").select("doc_id")
+    prior = d.where(F.col("lang") == "en").select("doc_id")
     return O.prior_mix(cur, prior, "doc_id", 42)
 
 
 @register("balanced_mix", ids=("O4", "S7"), sql="""
-WITH r AS (SELECT source AS dir, doc_id,
-                  row_number() OVER (PARTITION BY source ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn
+WITH r AS (SELECT lang AS dir, doc_id,
+                  row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn
            FROM documents)
 SELECT dir, doc_id FROM r
-WHERE rn <= (SELECT min(n) FROM (SELECT count(*) AS n FROM documents GROUP BY source))""")
+WHERE rn <= (SELECT min(n) FROM (SELECT count(*) AS n FROM documents GROUP BY lang))""")
 def q_balanced_mix(spark, sf_dir):
-    d = bind.datasets(bind.Tables(spark, sf_dir).documents).select("dir", "doc_id")
+    # One data set per language (unequal sizes: the balance takes the smallest size from each).
+    d = bind.Tables(spark, sf_dir).documents.select(F.col("lang").alias("dir"), "doc_id")
     return O.balanced_mix(d, "dir", "doc_id", 42).select("dir", "doc_id")
 
 
