@@ -133,7 +133,8 @@ EXP_SQL = """
 g AS (SELECT p_partkey AS idx,
              p_name || ', and price lower than ' || CAST(p_size AS VARCHAR) || '.00 dollars' AS instruction
       FROM part),
-x AS (SELECT p_name || '.' AS k, list_sort(list(DISTINCT p_brand)) AS texts FROM part WHERE p_size > 25 GROUP BY p_name)"""
+x AS (SELECT p_name || '.' AS k, list_sort(list(DISTINCT p_brand)) AS texts FROM part
+      WHERE p_size > 25 AND p_name LIKE 'small %' GROUP BY p_name)"""
 
 
 @register("query_expand", ids=("J11",), sql=Q.with_(EXP_SQL) + """
@@ -144,7 +145,8 @@ def q_query_expand(spark, sf_dir):
     goals = p.select(F.col("p_partkey").alias("idx"), F.concat(
         "p_name", F.lit(", and price lower than "), F.col("p_size").cast("string"), F.lit(".00 dollars"))
         .alias("instruction"))
-    exp = (p.where(F.col("p_size") > 25).groupBy("p_name")
+    # Expansions exist only for 'small ...' instructions (the rest default to an empty list).
+    exp = (p.where((F.col("p_size") > 25) & F.col("p_name").startswith("small ")).groupBy("p_name")
             .agg(F.array_sort(F.collect_set("p_brand")).alias("texts"))
             .select(F.btrim(F.concat("p_name", F.lit(".")), F.lit(".")).alias("k"), "texts"))
     cleaned = F.substring_index("instruction", ", and price lower than", 1)
