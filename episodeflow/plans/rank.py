@@ -3,21 +3,21 @@
 A global ``row_number()`` or running ``sum`` without ``partitionBy`` moves
 every row into one task. These helpers keep the work spread out instead:
 
-1. take a small sample of the order key (bounded by the bucket count),
-   sort it with Spark and pick ``n - 1`` boundary keys,
-2. give every row its bucket with a pure expression of its key (a binary
-   search over the boundaries), so bucket ids are monotone in the key and a
-   hot value of a leading column is still split over many buckets as long
-   as the order key is total,
-3. rank / sum inside each bucket with a window partitioned by the bucket,
-4. add offsets from a table with one row per bucket (its size is bounded by
-   the bucket count, so broadcasting it is safe).
-
-Everything is a deterministic function of the data: a partition recomputed
-after a lost executor, or a second evaluation of the same plan, gives the
-same buckets and therefore the same ranks. (Physical partition ids are not
-used: two shuffles of the same data may pick different range bounds.) The
-order must be total (end it with a unique column) and its columns non-null.
+1. range-partition on the order key (``repartitionByRange``: sampled
+   bounds, any number of partitions; a hot value of a leading column is
+   still split because the order is total), sort inside each partition,
+   and tag every row with its partition id and local position,
+2. ``checkpoint()`` that tagged data into the shared
+   ``spark.checkpoint.dir``,
+3. count (or sum) per partition -- one row per partition, so broadcasting
+   the resulting offsets is safe -- and add them to the local positions.
+
+Why the checkpoint: the range bounds are drawn from a sample whose seed
+depends on the RDD id, so two evaluations of the same plan (the counting
+branch and the ranking branch) may partition differently. Reading both
+branches from one materialized copy makes ranks exact and consistent; it
+also cuts the lineage, so a lost executor re-reads the copy instead of
+re-sampling. The order must be total (end it with a unique column).
 """
 
 from __future__ import annotations
@@ -26,112 +26,87 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SAMPLE_PER_BUCKET = 64
+from episodeflow.session import ensure_checkpoint_dir
 
+_LOCAL_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row index in the low 33 bits
 
-def _num_buckets(df: DataFrame, num_partitions: int | None) -> int:
+
+def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
         return int(num_partitions)
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _greater(keys: list[Column], bound: tuple) -> Column:
-    """Lexicographic ``keys > bound``."""
-    out = None
-    for i in reversed(range(len(keys))):
-        gt = keys[i] > F.lit(bound[i])
-        out = gt if out is None else (gt | ((keys[i] == F.lit(bound[i])) & out))
-    return out
-
-
-def _bucket_expr(keys: list[Column], bounds: list[tuple]) -> Column:
-    """Number of boundaries strictly below the key (binary search as nested CASE)."""
-    def search(lo: int, hi: int) -> Column:
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(_greater(keys, bounds[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
-    return search(0, len(bounds))
-
-
-def bucketize(df: DataFrame, order: Sequence[str], num_partitions: int | None = None,
-              seed: int = 17) -> DataFrame:
-    """Add ``_b``: a range bucket that is a pure function of the order key."""
-    cols = list(order)
-    n = _num_buckets(df, num_partitions)
-    keys = df.select(*cols)
-    bounds: list[tuple] = []
-    if n > 1:
-        target = SAMPLE_PER_BUCKET * n
-        # One job: a uniform sample of ``target`` keys (seeded top-k by a random
-        # number, no prior count), sorted by Spark; only these reach the driver.
-        sample = keys.orderBy(F.rand(seed)).limit(target).orderBy(*cols)
-        picked = [tuple(r) for r in sample.collect()]
-        if picked:
-            step = len(picked) / n
-            for i in range(1, n):
-                b = picked[min(len(picked) - 1, int(i * step))]
-                if not bounds or bounds[-1] != b:
-                    bounds.append(b)
-    return df.withColumn("_b", _bucket_expr([F.col(c) for c in cols], bounds))
-
-
-def _named(df: DataFrame, order: Sequence[str | Column]) -> tuple[DataFrame, list[str], list[str]]:
-    """Materialize Column order keys as temporary columns."""
-    names, tmp = [], []
-    for i, c in enumerate(order):
-        if isinstance(c, str):
-            names.append(c)
-        else:
-            t = f"_o{i}"
-            df = df.withColumn(t, c)
-            names.append(t)
-            tmp.append(t)
-    return df, names, tmp
+def ranged(df: DataFrame, order: Sequence[str | Column], num_partitions: int | None = None) -> DataFrame:
+    """Range-partitioned, sorted copy with ``_pid`` and 0-based ``_local`` position, checkpointed."""
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    n = _num_partitions(df, num_partitions)
+    parts = (df.repartitionByRange(n, *cols)
+               .sortWithinPartitions(*cols)
+               .withColumn("_pid", F.spark_partition_id())
+               .withColumn("_local", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_BITS))))
+    ensure_checkpoint_dir(df.sparkSession)
+    return parts.checkpoint(eager=True)
+
+
+def _offsets(per_part: DataFrame, cols: dict[str, str]) -> DataFrame:
+    # One row per partition: unpartitioned windows here touch at most n rows.
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = [F.col("_pid")]
+    for src, name in cols.items():
+        out.append(F.coalesce(F.sum(src).over(before), F.lit(0)).alias(name))
+    out.append(F.sum(list(cols)[0]).over(everything).alias("_total"))
+    return F.broadcast(per_part.select(*out))
 
 
 def global_rank(df: DataFrame, order: Sequence[str | Column], rank_col: str = "rank",
                 num_partitions: int | None = None, total_col: str | None = None) -> DataFrame:
-    """Add a 1-based exact rank of each row under ``order`` (total, non-null columns).
+    """Add a 1-based exact rank of each row under ``order`` (must be total).
 
     ``total_col`` also adds the row count of the whole input, taken from the
-    same per-bucket counts.
+    same per-partition counts.
     """
-    df, cols, tmp = _named(df, order)
-    keyed = bucketize(df, cols, num_partitions)
-    local = keyed.withColumn("_l", F.row_number().over(Window.partitionBy("_b").orderBy(*cols)))
-    counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per bucket: unpartitioned windows here touch at most n rows.
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offs = counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
-                         F.sum("_n").over(everything).alias("_total"))
-    out = (local.join(F.broadcast(offs), "_b")
-                .withColumn(rank_col, (F.col("_off") + F.col("_l")).cast("long")))
+    parts = ranged(df, order, num_partitions)
+    counts = parts.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    out = (parts.join(_offsets(counts, {"_n": "_off"}), "_pid")
+                .withColumn(rank_col, (F.col("_off") + F.col("_local") + 1).cast("long")))
     if total_col:
         out = out.withColumn(total_col, F.col("_total").cast("long"))
-    return out.drop("_b", "_l", "_off", "_total", *tmp)
+    return out.drop("_pid", "_local", "_off", "_total")
 
 
 def prefix_sum(df: DataFrame, order: Sequence[str], value: str, out_col: str = "cum",
                num_partitions: int | None = None, rank_col: str | None = None) -> DataFrame:
     """Running sum of ``value`` over all rows up to and including each row.
 
-    Integral values stay integral (exact); ``rank_col`` also adds the exact
-    1-based position from the same bucket window.
+    The sum inside a partition is an Arrow-batched pandas ``cumsum`` over the
+    checkpointed, sorted partition (narrow, no shuffle); integral values are
+    summed exactly in int64. ``rank_col`` also adds the exact position.
     """
-    keyed = bucketize(df, list(order), num_partitions)
-    w = Window.partitionBy("_b").orderBy(*order)
-    v = F.coalesce(F.col(value), F.lit(0))
-    local = keyed.withColumn("_l", F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    if rank_col:
-        local = local.withColumn("_lr", F.row_number().over(w))
-    per = keyed.groupBy("_b").agg(F.sum(v).alias("_t"), F.count(F.lit(1)).alias("_c"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = per.select("_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"),
-                      F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_coff"))
-    out = local.join(F.broadcast(offs), "_b").withColumn(out_col, F.col("_off") + F.col("_l"))
+    parts = ranged(df, order, num_partitions)
+    integral = isinstance(df.schema[value].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+    vtype = T.LongType() if integral else T.DoubleType()
+    np_type = "int64" if integral else "float64"
+    schema = T.StructType(parts.schema.fields + [T.StructField("_lsum", vtype)])
+
+    def local_cumsum(batches):
+        carry = 0
+        for pdf in batches:
+            cs = pdf[value].fillna(0).astype(np_type).cumsum() + carry
+            if len(cs):
+                carry = cs.iloc[-1]
+            pdf["_lsum"] = cs
+            yield pdf
+
+    local = parts.mapInPandas(local_cumsum, schema)
+    zero = F.lit(0) if integral else F.lit(0.0)
+    per = parts.groupBy("_pid").agg(F.sum(F.coalesce(F.col(value).cast(vtype), zero)).alias("_t"),
+                                    F.count(F.lit(1)).alias("_c"))
+    out = (local.join(_offsets(per, {"_t": "_off", "_c": "_coff"}), "_pid")
+                .withColumn(out_col, F.col("_off") + F.col("_lsum")))
     if rank_col:
-        out = out.withColumn(rank_col, (F.col("_coff") + F.col("_lr")).cast("long"))
-    return out.drop("_b", "_l", "_lr", "_off", "_coff")
+        out = out.withColumn(rank_col, (F.col("_coff") + F.col("_local") + 1).cast("long"))
+    return out.drop("_pid", "_local", "_lsum", "_off", "_coff", "_total")
