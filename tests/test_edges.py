@@ -116,3 +116,29 @@ def test_left_truncate_tokens_exact(spark):
     got = [r[0] for r in df.orderBy("i").select(left_truncate(F.col("s"), 3, "tokens", window_per_token=4)).collect()]
     want = [" ".join(re.split(r"[ \t\n\r\f]+", t)[-3:]) for t in texts]
     assert got == want
+
+
+def test_small_operators(spark):
+    from episodeflow.operators import metrics as MT
+    from episodeflow.operators.prompts import pack_blocks
+    st = spark.createDataFrame([(1, 0, "o", ["a"], "r", "a")],
+                               "episode_id long, step int, observation string, candidate_actions array<string>, "
+                               "reason string, action string")
+    p = S.teacher_payload(st).first().payload
+    assert (p.timestep, p.observation, p.candidate_actions, p.reason, p.action) == (0, "o", ["a"], "r", "a")
+    a = spark.createDataFrame([(1, 0.5), (2, 1.0)], "k long, x double")
+    b = spark.createDataFrame([(2, 3), (3, 4)], "k long, y int")
+    got = sorted(tuple(r) for r in MT.outer_merge([a, b], "k").collect())
+    assert got == [(1, 0.5, None), (2, 1.0, 3), (3, None, 4)]
+    rows = spark.createDataFrame([("s", i, 40) for i in range(6)] + [("t", i, 60) for i in range(3)],
+                                 "shard string, id int, n int")
+    blocks = {(r.shard, r.id): r.block for r in pack_blocks(rows, F.col("n"), 100, "id", "id", shard="shard").collect()}
+    assert [blocks[("s", i)] for i in range(6)] == [0, 0, 0, 1, 1, 2]
+    assert [blocks[("t", i)] for i in range(3)] == [0, 0, 1]
+    eps = spark.createDataFrame([(i,) for i in [5, 1, 9, 3]], "env_idx long")
+    assert [r.env_idx for r in S.episode_cap(eps, 2, "env_idx").collect()] == [1, 3]
+    assert sorted(r.env_idx for r in S.start_index(eps, 3, inclusive=False).collect()) == [5, 9]
+    assert sorted(r.env_idx for r in S.start_index(eps, 3).collect()) == [3, 5, 9]
+    g = spark.createDataFrame([(1,), (700,), (2000,)], "idx long")
+    assert {r.split for r in S.goal_ranges(g, capped=True).collect()} == {"all"}
+    assert [r.split for r in S.goal_ranges(g).orderBy("idx").collect()] == ["test", "eval", "train"]
