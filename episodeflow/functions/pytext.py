@@ -27,11 +27,6 @@ def _replace(c: Column, a: str, b: str) -> Column:
     return F.replace(c, _lit(a), _lit(b))
 
 
-def chars(c: Column) -> Column:
-    """The code points of a string (a surrogate pair stays one element)."""
-    return F.regexp_extract_all(c, _lit("(?s)."), 0)
-
-
 def _hex_escape(ch: Column) -> Column:
     cp = F.ascii(ch)
     h = F.lower(F.hex(cp))

@@ -270,13 +270,29 @@ def answers(steps: DataFrame) -> DataFrame:
     )
 
 
+_EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def seq_key(ts: Column, tiebreak: Column) -> Column:
+    """The pair (ts, tiebreak) as one exact decimal with the same order.
+
+    Microseconds since the epoch (no time zone involved) times 2e19 plus a
+    long tiebreak: the gap exceeds the whole long range, and any Spark
+    timestamp keeps the product below 1e38. As a ``max_by`` key it keeps the
+    aggregate a hash aggregate (a struct key would force a sort aggregate).
+    """
+    micros = F.timestamp_diff("MICROSECOND", F.lit(_EPOCH_NTZ).cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+    dec = "decimal(38,0)"
+    return micros.cast(dec) * F.lit("20000000000000000000").cast(dec) + tiebreak.cast(dec)
+
+
 def scored_episodes(events: DataFrame) -> DataFrame:
     """A1 over events without numbering steps first.
 
     ``max_by(value, (ts, event_id))`` is the score of the last step; a pure
-    aggregate combines partial results map-side, so a user with a huge
+    hash aggregate combines partial results map-side, so a user with a huge
     share of the events is never sorted inside one task.
     """
     return events.groupBy(F.col("user_id").alias("episode_id")).agg(
         F.count(F.lit(1)).alias("n_steps"),
-        F.max_by("value", F.struct("ts", "event_id")).alias("last_score"))
+        F.max_by("value", seq_key(F.col("ts"), F.col("event_id"))).alias("last_score"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from episodeflow.operators import correct as C
 from episodeflow.operators import metering as M
 from episodeflow.operators import metrics as MT
-from episodeflow.operators import steps as S
 from episodeflow.plans import bind
 from episodeflow.plans import sqlgen as Q
 from episodeflow.plans.registry import register

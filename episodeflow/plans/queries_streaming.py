@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from episodeflow.operators.generate import EchoGenerator, batch_generate
 from episodeflow.plans import bind
-from episodeflow.plans import sqlgen as Q
 from episodeflow.plans.registry import register
 from episodeflow.sources import sinks
 from episodeflow.streaming import stream as ST
@@ -31,8 +30,9 @@ def q_stream_counts(spark, sf_dir):
 SELECT CAST(user_id AS VARCHAR) AS id, arg_max(props, (ts, event_id)) AS state FROM events GROUP BY user_id""")
 def q_state_last_wins(spark, sf_dir):
     ev = bind.Tables(spark, sf_dir).events
-    rows = ev.select(F.col("user_id").cast("string").alias("id"), F.col("props").alias("state"), "ts", "event_id")
-    return sinks.state_last_wins(rows, "id", "state", ["ts", "event_id"])
+    rows = ev.select(F.col("user_id").cast("string").alias("id"), F.col("props").alias("state"),
+                     bind.seq_key(F.col("ts"), F.col("event_id")).alias("seq"))
+    return sinks.state_last_wins(rows, "id", "state", ["seq"])
 
 
 @register("encode_values", ids=("S13", "X23"), sql="""

@@ -29,8 +29,13 @@ def write_splits(rows: DataFrame, path: str, fmt: str = "json") -> None:
 
 
 def state_last_wins(rows: DataFrame, key: str, text: str, seq: Sequence[str]) -> DataFrame:
-    """Keyed state map; on repeated ids the last write (highest ``seq``) wins."""
-    return rows.groupBy(key).agg(F.max_by(F.col(text), F.struct(*seq)).alias(text))
+    """Keyed state map; on repeated ids the last write (highest ``seq``) wins.
+
+    With a single primitive ``seq`` column this is a hash aggregate; several
+    columns are compared as a struct (a sort aggregate).
+    """
+    order = F.col(seq[0]) if len(seq) == 1 else F.struct(*seq)
+    return rows.groupBy(key).agg(F.max_by(F.col(text), order).alias(text))
 
 
 def append_summary(rows: DataFrame, path: str) -> None:

@@ -142,3 +142,16 @@ def test_text_steps_window_and_join_forms_agree(spark):
         a = bind.text_steps(conv)
         b = bind.text_steps(conv, skew_safe=True).select(*a.columns)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_seq_key_orders_like_the_pair(spark):
+    import datetime
+    import random
+    rnd = random.Random(7)
+    base = datetime.datetime(2024, 1, 1)
+    rows = [(base + datetime.timedelta(microseconds=rnd.choice([0, 1, 5, 10**6, 10**12])),
+             rnd.choice([-(2**63), -5, 0, 3, 2**63 - 1, rnd.randint(-10**18, 10**18)])) for _ in range(300)]
+    rows += [(datetime.datetime(1, 1, 1), 2**63 - 1), (datetime.datetime(9999, 12, 31, 23, 59, 59, 999999), -(2**63))]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, id long").withColumn("k", bind.seq_key(F.col("ts"), F.col("id")))
+    got = [(r.ts, r.id) for r in df.orderBy("k").collect()]
+    assert got == sorted(rows)
