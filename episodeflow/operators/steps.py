@@ -188,8 +188,10 @@ def first_valid_attempt(att: DataFrame, retries: int,
     keys = [key] if isinstance(key, str) else list(key)
     ok = att.where(F.col("valid") & (F.col("attempt") <= F.lit(int(retries))))
     others = [c for c in att.columns if c not in (*keys, "attempt", "valid")]
-    best = F.min_by(F.struct("attempt", *others), "attempt")
-    return ok.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
+    # Attempt numbers are unique per request, so per-column min_by picks one row; with
+    # fixed-width columns this stays a hash aggregate.
+    return ok.groupBy(*keys).agg(F.min("attempt").alias("attempt"),
+                                 *[F.min_by(c, "attempt").alias(c) for c in others])
 
 
 def prev_observation(steps: DataFrame, obs: str = "observation", key: str = "episode_id",
