@@ -59,15 +59,21 @@ def shown(c: Column) -> Column:
 def prompt_slots(steps: DataFrame, history: str = "history",
                  candidates: str | None = "candidate_actions",
                  task: str | None = "task") -> dict[str, Column]:
-    """P1 slot values (F10 defaults: no candidates -> "", no task -> "")."""
+    """P1 slot values (F10 defaults: no candidates -> "", no task -> "").
+
+    Uses a pre-rendered ``history_text`` column when present (see
+    ``steps.step_history_text``), else renders the ``history`` structs.
+    """
     if candidates is None or candidates not in steps.columns:
         cands = F.lit("")
     else:
         c = F.col(candidates)
         cands = F.when(c.isNull(), F.lit("")).otherwise(py_list(c))
+    hist = (F.col("history_text") if "history_text" in steps.columns
+            else py_dict_list(F.col(history), ["observation", "action"]))
     return {
         "task": F.coalesce(F.col(task), F.lit("")) if task and task in steps.columns else F.lit(""),
-        "history": py_dict_list(F.col(history), ["observation", "action"]),
+        "history": hist,
         "observation": shown(F.col("observation")),
         "candidates": cands,
     }

@@ -139,6 +139,27 @@ def step_history(steps: DataFrame, obs: str = "observation", act: str = "action"
     return steps.withColumn(out, F.collect_list(pair).over(w))
 
 
+def step_history_text(steps: DataFrame, obs: str = "observation", act: str = "action",
+                      key: str = "episode_id", max_len: int | None = None,
+                      out: str = "history_text", count_out: str | None = "n_history") -> DataFrame:
+    """W1 rendered: the Python text form of the history list, built from per-step items.
+
+    Each step's ``{'observation': ..., 'action': ...}`` text is rendered once
+    and the window collects those strings, so escaping work is linear in the
+    episode length (only the concatenation is inherently quadratic).
+    """
+    from episodeflow.functions.pytext import py_dict
+
+    lo = Window.unboundedPreceding if max_len is None else -int(max_len)
+    w = _ep_window(key).rowsBetween(lo, -1)
+    item = py_dict([("observation", F.col(obs)), ("action", F.col(act))])
+    out_df = steps.withColumn(
+        out, F.concat(F.lit("["), F.array_join(F.collect_list(item).over(w), ", "), F.lit("]")))
+    if count_out:
+        out_df = out_df.withColumn(count_out, F.count(F.lit(1)).over(w))
+    return out_df
+
+
 def step_number(rows: DataFrame, key: str | list[str], order: Iterable[str], out: str = "step",
                 skew_safe: bool = True) -> DataFrame:
     """0-based step number within the episode.

@@ -14,9 +14,9 @@ TPL = P.Template()
 
 
 def history_steps(spark, sf_dir):
-    """Text steps with the W1 history column (computed before any step filter)."""
+    """Text steps with the rendered W1 history (computed before any step filter)."""
     t = bind.Tables(spark, sf_dir)
-    return S.step_history(bind.text_steps(t.conversations))
+    return S.step_history_text(bind.text_steps(t.conversations))
 
 
 HIST_CTE = """
@@ -40,10 +40,8 @@ SELECT episode_id, step, CAST(coalesce(len(history), 0) AS BIGINT) AS n_history,
        {Q.history_text('history')} AS history_text
 FROM hsteps""")
 def q_step_history(spark, sf_dir):
-    from episodeflow.functions.pytext import py_dict_list
     h = history_steps(spark, sf_dir)
-    return h.select("episode_id", "step", F.size("history").cast("long").alias("n_history"),
-                    py_dict_list(F.col("history"), ["observation", "action"]).alias("history_text"))
+    return h.select("episode_id", "step", F.col("n_history").cast("long").alias("n_history"), "history_text")
 
 
 @register("prompt_build", ids=("P1", "F10"), sql=Q.with_(Q.TEXT_STEPS, HIST_CTE) + f"""

@@ -59,7 +59,7 @@ SELECT episode_id, step, is_corrected, CAST(coalesce(len(history), 0) AS BIGINT)
 FROM hsteps WHERE is_corrected IS DISTINCT FROM false""")
 def q_uncorrected_skip(spark, sf_dir):
     h = S.uncorrected_skip(history_steps(spark, sf_dir))
-    return h.select("episode_id", "step", "is_corrected", F.size("history").cast("long").alias("n_history"))
+    return h.select("episode_id", "step", "is_corrected", F.col("n_history").cast("long").alias("n_history"))
 
 
 @register("failed_select", ids=("F5", "J8"), sql=Q.with_(Q.SCORED_STEPS) + """,
