@@ -36,13 +36,37 @@ REASON, ACTION = "REASON:", "ACTION:"
 C_REASON, C_ACTION = "CORRECTED_REASON:", "CORRECTED_ACTION:"
 
 
+def _locate(needle: str, text: Column, start: Column) -> Column:
+    """1-based position of ``needle`` in ``text`` at or after ``start``; 0 if absent."""
+    return F.call_function("locate", F.lit(needle), text, start)
+
+
+def _between(text: Column, r: str, a: str) -> tuple[Column, Column]:
+    """(found, text between the first ``r`` and the first ``a`` after it).
+
+    The same span as the dot-all search ``r\\s*(.*?)\\s*a`` once stripped, found
+    with ``instr``/``locate`` in one linear pass instead of a lazy regex.
+    """
+    p1 = F.instr(text, r)
+    start = p1 + F.lit(len(r))
+    p2 = _locate(a, text, start)
+    return (p1 > 0) & (p2 > 0), F.substr(text, start, p2 - start)
+
+
 def _reason(text: Column, r: str, a: str) -> Column:
-    hit, grp = search_group(text, f"(?s){r}{WS}*(.*?){WS}*{a}")
-    return F.when(hit, strip(grp)).otherwise(text)
+    found, inner = _between(text, r, a)
+    return F.when(found, strip(inner)).otherwise(text)
 
 
 def _line_action(text: Column, a: str) -> Column:
-    return strip(F.regexp_extract(text, f"{a}{WS}*([^\\n]+)", 1))
+    """First non-blank line after the first ``a`` (the span of ``a\\s*([^\\n]+)``), stripped.
+
+    Whitespace-only text after the marker gives '' either way, so the first
+    marker decides.
+    """
+    p = F.instr(text, a)
+    rest = F.ltrim(F.substr(text, p + F.lit(len(a))), F.lit(PY_WHITESPACE))
+    return F.when(p > 0, strip(F.substring_index(rest, "\n", 1))).otherwise(F.lit(""))
 
 
 def _clean(action: Column) -> Column:
@@ -63,8 +87,9 @@ def parse_shell(text: Column) -> tuple[Column, Column]:
     """Literal backslash-n becomes a newline; a closed fenced block after ACTION: wins."""
     t = F.replace(text, F.lit("\\n"), F.lit("\n"))
     fence = f"(?s){ACTION}{WS}*```(?:[a-zA-Z]*)?{WS}*(.*?){WS}*```"
-    hit, grp = search_group(t, fence)
-    action = F.when(hit, strip(grp)).otherwise(_line_action(t, ACTION))
+    # The fence regex only runs on texts that contain a fence at all.
+    hit = F.contains(t, F.lit("```")) & t.rlike(fence)
+    action = F.when(hit, strip(F.regexp_extract(t, fence, 1))).otherwise(_line_action(t, ACTION))
     return _reason(t, REASON, ACTION), action
 
 
@@ -105,18 +130,30 @@ JSON_FENCE = "```json\\n([\\s\\S]*?)\\n```"
 
 
 def json_block(text: Column) -> Column:
-    """First block between a json fence line and a closing fence line, else null."""
-    hit, grp = search_group(text, JSON_FENCE)
-    return F.when(hit, grp)
+    """First block between a json fence line and a closing fence line, else null.
+
+    The span of ``JSON_FENCE``'s first match, found with ``instr``/``locate``.
+    """
+    opening = "```json\n"
+    p1 = F.instr(text, opening)
+    start = p1 + F.lit(len(opening))
+    p2 = _locate("\n```", text, start)
+    return F.when((p1 > 0) & (p2 > 0), F.substr(text, start, p2 - start))
 
 
 def json_repair(block: Column) -> Column:
-    """Escaped quote -> ', double every backslash, squeeze whitespace, drop trailing commas."""
+    """Escaped quote -> ', double every backslash, squeeze whitespace, drop trailing commas.
+
+    Whitespace runs become one space by mapping every whitespace character to
+    a space (``translate``) and collapsing runs of spaces; after that the
+    trailing-comma rules only ever see single spaces.
+    """
     s = F.replace(block, F.lit('\\"'), F.lit("'"))
     s = F.replace(s, F.lit("\\"), F.lit("\\\\"))
-    s = F.regexp_replace(s, f"{WS}+", " ")
-    s = F.regexp_replace(s, f",{WS}*}}", "}")
-    s = F.regexp_replace(s, f",{WS}*]", "]")
+    s = F.translate(s, PY_WHITESPACE, " " * len(PY_WHITESPACE))
+    s = F.regexp_replace(s, " +", " ")
+    s = F.regexp_replace(s, ", ?}", "}")
+    s = F.regexp_replace(s, ", ?]", "]")
     return s
 
 

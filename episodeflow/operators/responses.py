@@ -17,7 +17,8 @@ def parse_responses(df: DataFrame, dialect: str, text: str = "response") -> Data
     parse = R.get_parser(dialect)
     reason, action = parse(F.col(text))
     markers = (R.C_REASON, R.C_ACTION) if dialect == "corrected" else (R.REASON, R.ACTION)
-    has_reason = F.col(text).rlike(f"(?s){markers[0]}.*{markers[1]}")
+    has_reason = F.col(text).contains(markers[0]) & (
+        R._locate(markers[1], F.col(text), F.instr(F.col(text), markers[0]) + F.lit(len(markers[0]))) > 0)
     status = (F.when(action == "", F.lit("no_action"))
                .when(~has_reason, F.lit("no_reason"))
                .otherwise(F.lit("ok")))

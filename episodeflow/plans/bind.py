@@ -31,7 +31,8 @@ usage                    conversations  prompt_tokens = len(user text),
                                         conv_id % 3 (one model has no price)
 attempts                 events         attempt = number within (user_id, event_type),
                                         valid = value > 5
-responses                events+docs    doc_id = event_id; text built with concat
+responses                events+docs    doc_id = event_id; 'REASON: ' + whole document text +
+                                        '\\nACTION: ' + event type (variants by event_id)
 
 All of these are plain projections, filters and windows partitioned by the
 episode key, so one exchange on the key serves every window of a job.
@@ -212,8 +213,8 @@ def attempts(events: DataFrame) -> DataFrame:
 
 
 def responses(events: DataFrame, documents: DataFrame) -> DataFrame:
-    """Model answers built from document words and event types."""
-    words = F.substring_index(F.col("text"), " ", 6)
+    """Model answers: a whole document as the reasoning, the event type as the action."""
+    words = F.col("text")
     plain_action = F.concat(F.lit("ACTION: "), F.col("event_type"), F.lit("!"))
     fenced_action = F.concat(F.lit("ACTION: ```bash\n"), F.col("event_type"), F.lit("!\n```"))
     action = F.when(F.col("event_id") % 11 == 0, fenced_action).otherwise(plain_action)

@@ -25,7 +25,7 @@ def q_state_lookup(spark, sf_dir):
 
 GEN_SQL = """
 gen AS (SELECT doc_id // 4 AS episode_id, CAST(doc_id % 4 AS INTEGER) AS step,
-               split_part(text, chr(10), 1) AS reason FROM documents)"""
+               text AS reason FROM documents)"""
 
 
 @register("reason_merge", ids=("J2",), sql=Q.with_(Q.TEXT_STEPS, GEN_SQL) + """,
@@ -38,7 +38,7 @@ def q_reason_merge(spark, sf_dir):
     st = bind.text_steps(t.conversations).select("episode_id", "step", "observation", "action")
     gen = t.documents.select(F.expr("doc_id div 4").alias("episode_id"),
                              (F.col("doc_id") % 4).cast("int").alias("step"),
-                             bind.first_line(F.col("text")).alias("reason"))
+                             F.col("text").alias("reason"))
     return C.reason_merge(st, gen).select("episode_id", "step", "observation", "action", "reason")
 
 

@@ -188,8 +188,8 @@ def q_episode_metrics(spark, sf_dir):
 
 @register("match_score", ids=("A12", "X10"), sql="""
 WITH x AS (
-  SELECT d.doc_id, string_split(b.text, ' ')[1:3] AS attrs, [d.lang, 'src'] AS opts, d.text,
-         [d.source || ' ' || split_part(d.text, chr(10), 1)] AS cands
+  SELECT d.doc_id, string_split(b.text, ' ') AS attrs, [d.lang, 'src'] AS opts, d.text,
+         [d.source || ' ' || d.text] AS cands
   FROM documents d JOIN benchmark b ON b.item_id = d.doc_id),
 c AS (SELECT doc_id, len(list_filter(attrs, lambda a: contains(text, a))) AS n_att,
              len(list_filter(opts, lambda o: len(list_filter(cands, lambda c: contains(c, o))) > 0)) AS n_opt,
@@ -200,8 +200,8 @@ FROM c""")
 def q_match_score(spark, sf_dir):
     t = bind.Tables(spark, sf_dir)
     x = t.documents.join(t.benchmark.select(F.col("item_id").alias("doc_id"), F.col("text").alias("btext")), "doc_id")
-    m = MT.match_score(F.slice(F.split("btext", " "), 1, 3), F.array("lang", F.lit("src")), F.col("text"),
-                       F.array(F.concat("source", F.lit(" "), bind.first_line(F.col("text")))))
+    m = MT.match_score(F.split("btext", " "), F.array("lang", F.lit("src")), F.col("text"),
+                       F.array(F.concat("source", F.lit(" "), F.col("text"))))
     return x.select("doc_id", *[F.round(m[k], 9).alias(k) for k in ("r_att", "r_opt", "r")])
 
 

@@ -95,7 +95,7 @@ fenced AS (
          'Here is the answer:' || chr(10) || '```json' || chr(10) ||
          '{"id": ' || CAST(doc_id AS VARCHAR) || ', "lang": "' || lang || '", ' || chr(10) ||
          '  "note": "say \\"hi\\" to C:\\\\dir",' || chr(10) ||
-         '  "first": "' || replace(split_part(text, chr(10), 1), '"', '') || '",' || chr(10) || '}' ||
+         '  "text": "' || replace(text, '"', '') || '",' || chr(10) || '}' ||
          CASE WHEN doc_id % 3 = 0 THEN '```' ELSE chr(10) || '```' END AS response
   FROM documents)"""
 
@@ -103,12 +103,12 @@ fenced AS (
 def fenced(spark, sf_dir):
     d = bind.Tables(spark, sf_dir).documents
     nl = F.lit("\n")
-    first = F.replace(F.substring_index("text", "\n", 1), F.lit('"'), F.lit(""))
+    whole = F.replace(F.col("text"), F.lit('"'), F.lit(""))
     body = F.concat(
         F.lit("Here is the answer:"), nl, F.lit("```json"), nl,
         F.lit('{"id": '), F.col("doc_id").cast("string"), F.lit(', "lang": "'), F.col("lang"), F.lit('", '), nl,
         F.lit('  "note": "say \\"hi\\" to C:\\\\dir",'), nl,
-        F.lit('  "first": "'), first, F.lit('",'), nl, F.lit("}"),
+        F.lit('  "text": "'), whole, F.lit('",'), nl, F.lit("}"),
         F.when(F.col("doc_id") % 3 == 0, F.lit("```")).otherwise(F.concat(nl, F.lit("```"))))
     return d.select("doc_id", body.alias("response"))
 
@@ -158,7 +158,7 @@ def q_json_parse(spark, sf_dir):
 @register("task_extract", ids=("R10",), sql="""
 WITH x AS (
   SELECT doc_id, CASE WHEN doc_id % 2 = 0
-                      THEN split_part(text, chr(10), 1) || chr(10) || chr(10) || 'Your task is to: ' || lang ||
+                      THEN text || chr(10) || chr(10) || 'Your task is to: ' || lang ||
                            ' ' || source || chr(10) || 'more'
                       ELSE text END AS obs
   FROM documents)
@@ -166,7 +166,7 @@ SELECT doc_id, regexp_extract(obs, '\\n\\nYour task is to: ([^\\n]*)', 1) AS tas
 def q_task_extract(spark, sf_dir):
     d = bind.Tables(spark, sf_dir).documents
     obs = F.when(F.col("doc_id") % 2 == 0, F.concat(
-        F.substring_index("text", "\n", 1), F.lit("\n\nYour task is to: "), F.col("lang"), F.lit(" "),
+        F.col("text"), F.lit("\n\nYour task is to: "), F.col("lang"), F.lit(" "),
         F.col("source"), F.lit("\nmore"))).otherwise(F.col("text"))
     return d.select("doc_id", R.task_extract(obs).alias("task"))
 

@@ -125,7 +125,7 @@ resp AS (
                THEN 'ACTION: ```bash' || chr(10) || e.event_type || '!' || chr(10) || '```'
                ELSE 'ACTION: ' || e.event_type || '!' END) AS response
   FROM events e
-  JOIN (SELECT doc_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS w FROM documents) d
+  JOIN (SELECT doc_id, text AS w FROM documents) d
     ON d.doc_id = e.event_id)"""
 
 ANSWERS = """
