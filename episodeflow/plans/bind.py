@@ -265,7 +265,7 @@ def answers(steps: DataFrame) -> DataFrame:
         F.lit(False).alias("has_original_action"),
         F.lit(None).cast("string").alias("original_action"),
         has_c.alias("has_candidate_actions"),
-        F.when(has_c, F.slice("candidate_actions", 1, 1)).alias("candidate_actions"),
+        F.when(has_c, F.concat("candidate_actions", F.array("corrected_action"))).alias("candidate_actions"),
         F.col("is_corrected").isNotNull().alias("has_is_corrected"),
         "is_corrected",
     )

@@ -137,7 +137,7 @@ ans AS (
          step % 2 = 0 AS has_original_reason,
          CASE WHEN step % 2 = 0 AND (episode_id + step) % 4 <> 0 THEN reason END AS original_reason,
          episode_id % 2 = 0 AS has_candidate_actions,
-         CASE WHEN episode_id % 2 = 0 THEN candidate_actions[1:1] END AS a_candidate_actions,
+         CASE WHEN episode_id % 2 = 0 THEN list_concat(candidate_actions, [corrected_action]) END AS a_candidate_actions,
          is_corrected IS NOT NULL AS has_is_corrected, is_corrected
   FROM (SELECT *, max(step) OVER (PARTITION BY episode_id) AS last_step FROM tsteps)
   WHERE NOT (episode_id % 5 = 1 AND step = last_step AND last_step > 0)),
