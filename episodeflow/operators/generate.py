@@ -9,12 +9,19 @@ makes a non-deterministic model call replayable.
 
 from __future__ import annotations
 
+import sys
 from typing import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+# Ship this module's functions and classes (e.g. EchoGenerator) by value, so
+# Python workers need not import the package. Generators defined elsewhere
+# travel the usual way (``--py-files``).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 RESPONSES = T.StructType([
     T.StructField("request_id", T.LongType()),
     T.StructField("attempt", T.IntegerType()),
