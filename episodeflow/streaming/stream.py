@@ -50,9 +50,10 @@ def run_to_sink(agg: DataFrame, name: str, mode: str = "complete", checkpoint: s
 
 def summary_stream(events: DataFrame) -> DataFrame:
     """ST1: running episode summary (steps so far, score of the latest step)."""
+    from episodeflow.plans.bind import seq_key
     return events.groupBy(F.col("user_id").alias("episode_id")).agg(
         F.count(F.lit(1)).alias("num_actions"),
-        F.max_by("value", F.struct("ts", "event_id")).alias("score"))
+        F.max_by("value", seq_key(F.col("ts"), F.col("event_id"))).alias("score"))
 
 
 def counter_stream(events: DataFrame) -> DataFrame:
