@@ -179,3 +179,20 @@ def test_batch_generate_retries_and_pluggable_generator(spark):
     assert rows == [(1, 1, False), (1, 2, False), (1, 3, True), (2, 1, False), (2, 2, False), (2, 3, True)]
     out2 = batch_generate(req, FlakyFactory(), retries=2)
     assert {(r.request_id, r.ok) for r in out2.collect()} == {(1, False), (2, False)}
+
+
+def test_running_summary_updates_incrementally(spark, tmp_path):
+    import datetime
+    src = str(tmp_path / "ev")
+    ckpt = str(tmp_path / "ck")
+    os.makedirs(src)
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    t = datetime.datetime(2024, 1, 1)
+    spark.createDataFrame([(1, t, 7, "view", 1.0, "{}"), (2, t + datetime.timedelta(seconds=1), 7, "click", 2.0, "{}")],
+                          schema).write.mode("append").parquet(src)
+    out1 = ST.run_to_sink(ST.summary_stream(ST.file_stream(spark, src, ST.EVENTS)), "s", checkpoint=ckpt)
+    assert [(r.episode_id, r.num_actions, r.score) for r in out1.collect()] == [(7, 2, 2.0)]
+    spark.createDataFrame([(3, t + datetime.timedelta(seconds=2), 7, "purchase", 9.0, "{}"),
+                           (4, t, 8, "view", 4.0, "{}")], schema).write.mode("append").parquet(src)
+    out2 = ST.run_to_sink(ST.summary_stream(ST.file_stream(spark, src, ST.EVENTS)), "s", checkpoint=ckpt)
+    assert sorted((r.episode_id, r.num_actions, r.score) for r in out2.collect()) == [(7, 3, 9.0), (8, 1, 4.0)]
