@@ -121,3 +121,77 @@ def json_dict(fields: Sequence[tuple[str, Column]], kinds: dict[str, str] | None
 def json_list(arr: Column, render) -> Column:
     body = F.array_join(F.transform(arr, render), ", ")
     return F.when(arr.isNull(), _lit("null")).otherwise(F.concat(_lit("["), body, _lit("]")))
+
+
+# --- The same builders as one SQL expression (for named columns) -------------
+# Building a Column tree from Python costs one Py4J round trip per node (and
+# lambdas cost more); a SQL string is parsed once on the JVM side. No
+# backslash appears in a SQL literal (char(92) instead), so the text means
+# the same under either setting of spark.sql.parser.escapedStringLiterals.
+
+_BS = "char(92)"
+
+
+def _sql_regex(pattern: str) -> str:
+    parts = pattern.split("\\")
+    return "concat(" + ", ".join(
+        ([f"'{parts[0]}'"] if parts[0] else []) +
+        [x for p in parts[1:] for x in (_BS, f"'{p}'") if x != "''"]) + ")"
+
+
+_NONPRINT_SQL = _sql_regex(_NONPRINT)
+
+
+def _hex_sql(ch: str) -> str:
+    cp = f"ascii({ch})"
+    h = f"lower(hex({cp}))"
+    return (f"CASE WHEN {cp} < 256 THEN concat({_BS}, 'x', lpad({h}, 2, '0')) "
+            f"WHEN {cp} < 65536 THEN concat({_BS}, 'u', lpad({h}, 4, '0')) "
+            f"ELSE concat({_BS}, 'U', lpad({h}, 8, '0')) END")
+
+
+def py_str_sql(x: str) -> str:
+    """SQL text of ``py_str`` for the SQL expression ``x``."""
+    esc = f"replace({x}, {_BS}, concat({_BS}, {_BS}))"
+    for code, letter in ((10, "n"), (13, "r"), (9, "t")):
+        esc = f"replace({esc}, char({code}), concat({_BS}, '{letter}'))"
+    dq = f"(instr({x}, char(39)) > 0 AND instr({x}, char(34)) = 0)"
+    fast = f"CASE WHEN {dq} THEN {esc} ELSE replace({esc}, char(39), concat({_BS}, char(39))) END"
+    fold = (f"aggregate(array_distinct(regexp_extract_all({x}, {_NONPRINT_SQL}, 0)), {fast}, "
+            f"(acc, ch) -> replace(acc, ch, {_hex_sql('ch')}))")
+    body = f"CASE WHEN {x} RLIKE {_NONPRINT_SQL} THEN {fold} ELSE {fast} END"
+    quote = f"CASE WHEN {dq} THEN char(34) ELSE char(39) END"
+    return f"(CASE WHEN {x} IS NULL THEN 'None' ELSE concat({quote}, {body}, {quote}) END)"
+
+
+def py_list_sql(arr: str, var: str = "e") -> str:
+    body = f"array_join(transform({arr}, {var} -> {py_str_sql(var)}), ', ')"
+    return f"(CASE WHEN {arr} IS NULL THEN 'None' ELSE concat('[', {body}, ']') END)"
+
+
+def py_dict_sql(fields: Sequence[tuple[str, str]]) -> str:
+    parts = ["'{'"]
+    for i, (k, x) in enumerate(fields):
+        parts.append("'" + ("" if i == 0 else ", ") + repr(k).replace("'", "''") + ": '")
+        parts.append(py_str_sql(x))
+    parts.append("'}'")
+    return "concat(" + ", ".join(parts) + ")"
+
+
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def py_str_of(name: str) -> Column:
+    """``py_str`` of a named column, as one parsed SQL expression."""
+    return F.expr(py_str_sql(_q(name)))
+
+
+def py_list_of(name: str) -> Column:
+    """``py_list`` of a named array<string> column, as one parsed SQL expression."""
+    return F.expr(py_list_sql(_q(name)))
+
+
+def py_dict_of(fields: Sequence[tuple[str, str]]) -> Column:
+    """``py_dict`` of named columns (key, column name), as one parsed SQL expression."""
+    return F.expr(py_dict_sql([(k, _q(c)) for k, c in fields]))

@@ -14,7 +14,7 @@ from typing import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from episodeflow.functions.pytext import py_dict_list, py_list, py_str
+from episodeflow.functions.pytext import py_dict_list, py_list, py_list_of, py_str_of
 
 # The answer layout the parsers expect.
 OUTPUT_LAYOUT = "\nREASON:\n{reason}\nACTION:\n{action}\n"
@@ -68,7 +68,7 @@ def prompt_slots(steps: DataFrame, history: str = "history",
         cands = F.lit("")
     else:
         c = F.col(candidates)
-        cands = F.when(c.isNull(), F.lit("")).otherwise(py_list(c))
+        cands = F.when(c.isNull(), F.lit("")).otherwise(py_list_of(candidates))
     hist = (F.col("history_text") if "history_text" in steps.columns
             else py_dict_list(F.col(history), ["observation", "action"]))
     return {
@@ -130,21 +130,20 @@ def teacher_request(steps: DataFrame, state: Column | None = None,
                     key: str = "episode_id") -> DataFrame:
     """P5: one request per episode: system message + user message with the trajectory text.
 
-    The per-episode step list is a grouped aggregate (``collect_list`` of
-    structs sorted by step), so only one episode is held per group.
+    Each step's text is rendered on its own row; the per-episode list is a
+    grouped ``collect_list`` of those strings, sorted by step.
     """
-    payload = F.struct("step", F.struct(
-        F.col("step").alias("timestep"), "observation", "candidate_actions",
-        "reason", "action").alias("p"))
-    grouped = steps.groupBy(key).agg(F.array_sort(F.collect_list(payload)).alias("_steps"),
-                                     *([F.first(state).alias("_state")] if state is not None else []))
-    traj = py_list(F.transform("_steps", lambda x: x["p"]),
-                   lambda p: F.concat(
-                       F.lit("{'timestep': "), p["timestep"].cast("string"),
-                       F.lit(", 'observation': "), py_str(p["observation"]),
-                       F.lit(", 'candidate_actions': "), py_list(p["candidate_actions"]),
-                       F.lit(", 'reason': "), py_str(p["reason"]),
-                       F.lit(", 'action': "), py_str(p["action"]), F.lit("}")))
+    item = F.concat(
+        F.lit("{'timestep': "), F.col("step").cast("string"),
+        F.lit(", 'observation': "), py_str_of("observation"),
+        F.lit(", 'candidate_actions': "), py_list_of("candidate_actions"),
+        F.lit(", 'reason': "), py_str_of("reason"),
+        F.lit(", 'action': "), py_str_of("action"), F.lit("}"))
+    rows = steps.select(key, F.struct("step", item.alias("t")).alias("_i"),
+                        *([state.alias("_st")] if state is not None else []))
+    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list("_i")).alias("_steps"),
+                                    *([F.first("_st").alias("_state")] if state is not None else []))
+    traj = F.concat(F.lit("["), F.array_join(F.col("_steps.t"), ", "), F.lit("]"))
     user = render(user_template, {
         "trajectory": traj,
         "state": shown(F.col("_state")) if state is not None else F.lit("None")})
@@ -161,7 +160,7 @@ def goal_state_text(goals: DataFrame) -> DataFrame:
     example = F.col("name") if "name" in goals.columns else F.col("instruction")
     text = F.concat(
         F.lit("Instruction: "), shown(F.col("instruction")),
-        F.lit("\nAttributes: "), py_list(F.col("attributes")),
+        F.lit("\nAttributes: "), py_list_of("attributes"),
         F.lit("\nPrice upper limit: "), F.format_string("%.2f", F.col("price_upper")),
         F.lit("\nOptions: "), opts,
         F.lit("\nExample product: "), shown(example),

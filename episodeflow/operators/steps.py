@@ -148,11 +148,11 @@ def step_history_text(steps: DataFrame, obs: str = "observation", act: str = "ac
     and the window collects those strings, so escaping work is linear in the
     episode length (only the concatenation is inherently quadratic).
     """
-    from episodeflow.functions.pytext import py_dict
+    from episodeflow.functions.pytext import py_dict_of
 
     lo = Window.unboundedPreceding if max_len is None else -int(max_len)
     w = _ep_window(key).rowsBetween(lo, -1)
-    item = py_dict([("observation", F.col(obs)), ("action", F.col(act))])
+    item = py_dict_of([("observation", obs), ("action", act)])
     out_df = steps.withColumn(
         out, F.concat(F.lit("["), F.array_join(F.collect_list(item).over(w), ", "), F.lit("]")))
     if count_out:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from episodeflow.functions import parsers as R
-from episodeflow.functions.pytext import py_list
+from episodeflow.functions.pytext import py_list_of
 from episodeflow.operators import correct as C
 from episodeflow.operators import responses as RS
 from episodeflow.plans import bind
@@ -227,7 +227,7 @@ def q_correction_merge(spark, sf_dir):
     m = _merged(spark, sf_dir)
     return m.select("episode_id", "step", "original_observation", "original_reason", "original_action",
                     "corrected_reason", "corrected_action",
-                    py_list(F.col("candidate_actions")).alias("candidates_text"), "is_corrected")
+                    py_list_of("candidate_actions").alias("candidates_text"), "is_corrected")
 
 
 @register("teacher_flag", ids=("R13",), sql=MERGED_SQL + """

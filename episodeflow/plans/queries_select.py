@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from episodeflow.functions.pytext import py_list
+from episodeflow.functions.pytext import py_list_of
 from episodeflow.operators import steps as S
 from episodeflow.plans import bind
 from episodeflow.plans import sqlgen as Q
@@ -121,8 +121,9 @@ def q_optional_defaults(spark, sf_dir):
     cands = F.when(F.col("quality").isNull(), F.lit(None)).otherwise(
         F.array(F.col("quality").cast("string"), F.col("toxic").cast("string")))
     task = F.when(F.col("toxic") == 1, F.col("lang"))
+    x = x.withColumn("_cands", cands)
     return x.select("doc_id",
-                    F.when(cands.isNull(), F.lit("")).otherwise(py_list(cands)).alias("candidates_text"),
+                    F.when(F.col("_cands").isNull(), F.lit("")).otherwise(py_list_of("_cands")).alias("candidates_text"),
                     S.optional_default(task, "").alias("task_text"))
 
 

@@ -112,3 +112,14 @@ def test_task_extract_and_path_key(spark):
     got = df.select(R.task_extract(F.col("s")), R.path_key(F.col("s"))).collect()
     assert [g[0] for g in got] == ["put a mug in sink.", "", ""]
     assert [g[1] for g in got] == [None, None, "train/pick_x/trial"]
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(TEXTS, min_size=1, max_size=30))
+def test_sql_builders_equal_repr(spark, values):
+    from episodeflow.functions.pytext import py_dict_of, py_list_of, py_str_of
+    df = spark.createDataFrame([(i, v, [v, "x"]) for i, v in enumerate(values)], "i int, s string, l array<string>")
+    rows = df.orderBy("i").select(py_str_of("s"), py_list_of("l"), py_dict_of([("observation", "s"), ("action", "s")])).collect()
+    assert [r[0] for r in rows] == [repr(v) for v in values]
+    assert [r[1] for r in rows] == [repr([v, "x"]) for v in values]
+    assert [r[2] for r in rows] == [repr({"observation": v, "action": v}) for v in values]
