@@ -60,3 +60,22 @@ def test_no_python_evaluation_outside_generation_and_prefix_sums(static):
             continue
         p = plan(static, k)
         assert not re.search(r"BatchEvalPython|ArrowEvalPython|MapInPandas|FlatMapGroupsInPandas", p), k
+
+
+def test_sql_text_builders_independent_of_literal_escaping(spark):
+    from episodeflow.functions.pytext import py_list_of, py_str_of
+    df = spark.createDataFrame([("a'b\\c\nd\x01", ["x\ty", "it's"])], "s string, l array<string>")
+    want = (repr("a'b\\c\nd\x01"), repr(["x\ty", "it's"]))
+    for flag in ("false", "true"):
+        spark.conf.set("spark.sql.parser.escapedStringLiterals", flag)
+        try:
+            assert tuple(df.select(py_str_of("s"), py_list_of("l")).first()) == want, flag
+        finally:
+            spark.conf.set("spark.sql.parser.escapedStringLiterals", "false")
+
+
+def test_join_form_of_text_steps_has_no_episode_window(static):
+    from episodeflow.plans import bind
+    conv = bind.Tables(static, SF001).conversations
+    p = bind.text_steps(conv, skew_safe=True)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"windowspecdefinition\((conv_id|episode_id)#", p)
