@@ -69,8 +69,8 @@ def _responses(spark, sf_dir):
     return bind.responses(t.events, t.documents)
 
 
-def _make_parse(dialect: str, key: str, rid: str):
-    @register(key, ids=(rid, "U1"), sql=_parse_sql(dialect))
+def _make_parse(dialect: str, key: str, rids: tuple[str, ...]):
+    @register(key, ids=(*rids, "U1"), sql=_parse_sql(dialect))
     def q(spark, sf_dir):
         df = _responses(spark, sf_dir)
         if dialect == "corrected":
@@ -81,9 +81,9 @@ def _make_parse(dialect: str, key: str, rid: str):
     return q
 
 
-for _d, _k, _id in [("game", "parse_game", "R1"), ("shop", "parse_shop", "R2"),
-                    ("shell", "parse_shell", "R3"), ("sql", "parse_sql", "R4"),
-                    ("corrected", "parse_corrected", "R5")]:
+for _d, _k, _id in [("game", "parse_game", ("R1", "X1", "X4", "X6")), ("shop", "parse_shop", ("R2",)),
+                    ("shell", "parse_shell", ("R3", "X7")), ("sql", "parse_sql", ("R4",)),
+                    ("corrected", "parse_corrected", ("R5",))]:
     _make_parse(_d, _k, _id)
 
 

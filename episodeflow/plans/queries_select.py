@@ -31,7 +31,7 @@ def q_episode_summary(spark, sf_dir):
                     F.coalesce("last_score", F.lit(0.0)).alias("score"))
 
 
-@register("score_filter", ids=("F1",), sql=Q.with_(Q.SCORED_STEPS) + EP_SQL + """
+@register("score_filter", ids=("F1", "X11"), sql=Q.with_(Q.SCORED_STEPS) + EP_SQL + """
 GROUP BY episode_id HAVING arg_max(score, step) >= 50.0""")
 def q_score_filter(spark, sf_dir):
     return S.score_filter(scored_episodes(spark, sf_dir), 50.0)
@@ -164,7 +164,7 @@ def q_step_number(spark, sf_dir):
              .select(F.col("user_id").alias("episode_id"), "event_id", "step"))
 
 
-@register("episode_split", ids=("W4",), sql=Q.with_(Q.TEXT_STEPS) + """,
+@register("episode_split", ids=("W4", "X13"), sql=Q.with_(Q.TEXT_STEPS) + """,
 eps AS (SELECT DISTINCT episode_id FROM tsteps),
 r AS (SELECT episode_id,
              row_number() OVER (ORDER BY md5('42:' || CAST(episode_id AS VARCHAR)), episode_id) AS rk,
@@ -177,7 +177,7 @@ def q_episode_split(spark, sf_dir):
     return S.episode_split(eps, "episode_id", 0.85, 42).select("episode_id", "split")
 
 
-@register("prefix_split", ids=("W5",), sql="""
+@register("prefix_split", ids=("W5", "X13"), sql="""
 WITH r AS (SELECT p_partkey AS idx, row_number() OVER (ORDER BY p_partkey) AS rk, count(*) OVER () AS n
            FROM part)
 SELECT idx, CASE WHEN rk <= floor(n * 0.7) THEN 'train' ELSE 'test' END AS split FROM r""")
