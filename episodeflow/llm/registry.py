@@ -7,22 +7,60 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from episodeflow.llm import (
+    bit_sliced_topk, budget_mix, collision_ann, language_id, near_dedup, quality_gam, rendezvous_shards, retrieval_packing, token_counts, wrapper_extract,
+)
 from episodeflow.llm.common import table
 
 
-def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from episodeflow.llm.near_dedup import near_duplicates
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from episodeflow.llm.token_counts import token_counts
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op5_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return budget_mix.select(table(spark, sf_dir, "documents"))
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_sliced_topk.top_products(table(spark, sf_dir, "embeddings"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendezvous_shards.shards(table(spark, sf_dir, "documents"), [1.0] * rendezvous_shards.N_SHARDS, 1.0)
+
+
+def op8_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval_packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (doc_id set) and pages (page_id set) share one model and one set of host priors."""
+    docs = language_id.document_rows(table(spark, sf_dir, "documents"))
+    pages = language_id.page_rows(table(spark, sf_dir, "pages"))
+    rows = (docs.withColumns({"doc_id": F.col("id"), "page_id": F.lit(None).cast("long"), "id": F.concat(F.lit("d"), F.col("id").cast("string"))})
+            .unionByName(pages.withColumns({"doc_id": F.lit(None).cast("long"), "page_id": F.col("id"), "id": F.concat(F.lit("p"), F.col("id").cast("string"))})))
+    return language_id.identify(rows).drop("id")
+
 
-    return token_counts(table(spark, sf_dir, "documents"))
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper_extract.main_text(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_near_dedup, op4_token_counts)}
+    f.__name__: f for f in (
+        op1_quality_classifier, op2_nearest_neighbours, op3_near_dedup, op4_token_counts, op5_budget_mix, op6_exact_topk, op7_sharding,
+        op8_retrieval_packing, op9_language_id, op10_html_extraction)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_budget_mix": budget_mix.sql(), "op6_exact_topk": bit_sliced_topk.SQL, "op7_sharding": rendezvous_shards.SQL}
