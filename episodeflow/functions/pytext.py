@@ -79,6 +79,34 @@ def py_dict_list(arr: Column, keys: Sequence[str]) -> Column:
     return py_list(arr, lambda x: py_dict([(k, x[k]) for k in keys]))
 
 
+def py_repr_variant(v: Column, depth: int = 4) -> Column:
+    """``repr`` of any JSON value (variant): None, True, numbers, texts, lists, dicts.
+
+    Lists and dicts nested deeper than ``depth`` are shown as JSON text; a
+    dict's keys come in the variant's own (sorted) order.
+    """
+    kind = F.schema_of_variant(v)
+    text = F.try_variant_get(v, "$", "string")
+    out = (F.when(kind == "VOID", _lit("None")).when(kind == "STRING", py_str(text))
+            .when(kind == "BOOLEAN", F.initcap(text)))
+    if depth:
+        items = F.try_variant_get(v, "$", "array<variant>")
+        pairs = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+        out = out.when(kind.startswith("ARRAY"), F.concat(
+            _lit("["), F.array_join(F.transform(items, lambda x: py_repr_variant(x, depth - 1)), ", "), _lit("]")))
+        out = out.when(kind.startswith("OBJECT"), F.concat(
+            _lit("{"), F.array_join(F.transform(pairs, lambda e: F.concat(
+                py_str(e["key"]), _lit(": "), py_repr_variant(e["value"], depth - 1))), ", "), _lit("}")))
+    return F.when(v.isNull(), _lit("None")).otherwise(out.otherwise(F.when(
+        kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.to_json(v)).otherwise(text)))
+
+
+def py_variant(v: Column) -> Column:
+    """What a template prints for a JSON value: a text as it is, another value as its ``repr``; null stays null."""
+    kind = F.schema_of_variant(v)
+    return F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind != "VOID", py_repr_variant(v))
+
+
 # --- X3: json.dumps(obj) with ", " / ": " separators and ASCII escapes -----
 
 _JSON_NAMED = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"),

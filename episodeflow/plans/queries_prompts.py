@@ -201,11 +201,11 @@ def q_search_texts(spark, sf_dir):
 @register("candidate_build", ids=("P13", "J9"), sql=Q.with_(Q.EVENT_CANDIDATES) + """,
 c AS (SELECT episode_id, list_concat(candidate_actions, ['search', CAST(episode_id AS VARCHAR)]) AS clickables
       FROM ecands),
-x AS (SELECT c.episode_id, list_transform(list_filter(c.clickables, lambda v: lower(v) <> 'search'),
+x AS (SELECT c.episode_id, list_transform(list_filter(c.clickables, lambda v: v <> 'search'),
                lambda v: 'click[' || CASE WHEN v = CAST(c.episode_id AS VARCHAR) AND p.p_partkey IS NOT NULL
-                                          THEN v || ' - ' || p.p_name ELSE v END || ']') AS clicks
+                                          THEN 'item - ' || p.p_name ELSE v END || ']') AS clicks
       FROM c LEFT JOIN part p ON p.p_partkey = c.episode_id),
-y AS (SELECT episode_id, CASE WHEN episode_id % 4 = 0 THEN ['search[<search query>]'] || clicks ELSE clicks END AS l
+y AS (SELECT episode_id, CASE WHEN episode_id % 4 = 0 THEN ['search[<search query>]'] ELSE clicks END AS l
       FROM x)
 SELECT episode_id, array_to_string(CASE WHEN len(l) = 0 THEN ['finish'] ELSE l END, ',') AS candidates
 FROM y""")
@@ -215,13 +215,11 @@ def q_candidate_build(spark, sf_dir):
     c = bind.event_candidates(t.events).select(
         "episode_id", F.concat("candidate_actions", F.array(F.lit("search"), F.col("episode_id").cast("string")))
         .alias("clickables"))
-    # Item ids shown as 'id - title' from the id -> title dictionary (join, then align labels).
+    # Items are shown by their title from the id -> title dictionary (join, then align titles).
     titles = t.part.select(F.col("p_partkey").alias("episode_id"), "p_name")
     j = c.join(titles, "episode_id", "left")
-    labels = F.transform("clickables", lambda v: F.when(
-        (v == F.col("episode_id").cast("string")) & F.col("p_name").isNotNull(),
-        F.concat(v, F.lit(" - "), F.col("p_name"))))
-    cands = candidate_build(F.col("clickables"), labels, F.col("episode_id") % 4 == 0)
+    titles = F.transform("clickables", lambda v: F.when(v == F.col("episode_id").cast("string"), F.col("p_name")))
+    cands = candidate_build(F.col("clickables"), titles, F.col("episode_id") % 4 == 0)
     return j.select("episode_id", F.array_join(cands, ",").alias("candidates"))
 
 
@@ -235,12 +233,13 @@ demo AS (SELECT user_id, rn // 20 AS chunk, CAST(rn % 20 AS INTEGER) AS step, pr
 
 
 @register("zip_demo", ids=("P14", "M4", "S2"), sql=Q.with_(DEMO_SQL) + """,
-s AS (SELECT user_id * 100000 + chunk AS episode_id, step, observation,
-             CASE WHEN len(cands) = 0 THEN ['search[<search query>]'] ELSE cands END AS c, idx, action_text
-      FROM demo)
-SELECT episode_id, step, observation, array_to_string(c, ',') AS candidates,
-       CASE WHEN idx < 0 THEN action_text ELSE c[idx + 1] END AS action
-FROM s WHERE (CASE WHEN idx < 0 THEN action_text ELSE c[idx + 1] END) IS NOT NULL""")
+s AS (SELECT user_id, chunk, step, observation,
+             CASE WHEN len(cands) = 0 THEN ['search[search query]'] ELSE cands END AS c, idx, action_text
+      FROM demo),
+a AS (SELECT *, CASE WHEN idx < 0 THEN action_text ELSE c[idx + 1] END AS action FROM s)
+SELECT user_id, chunk, step, observation, array_to_string(c, ',') AS candidates, action,
+       CASE WHEN action IS NULL THEN 'action index out of range' END AS reject_reason
+FROM a""")
 def q_zip_demo(spark, sf_dir):
     from episodeflow.operators.candidates import zip_demo
     ev = bind.Tables(spark, sf_dir).events
@@ -254,13 +253,14 @@ def q_zip_demo(spark, sf_dir):
          .otherwise(F.array("event_type", F.lit("back"))).alias("avail"),
         F.col("event_type").alias("act"),
         F.when(F.col("value") < 1, F.lit(-1)).otherwise(F.col("event_id") % 3).cast("int").alias("idx"))
-    demos = (e.groupBy((F.col("user_id") * 100000 + F.expr("rn div 20")).alias("episode_id"))
+    demos = (e.groupBy("user_id", F.expr("rn div 20").alias("chunk"))
               .agg(F.array_sort(F.collect_list(rec)).alias("r"))
-              .select("episode_id", F.col("r.state").alias("states"), F.col("r.avail").alias("available_actions"),
+              .select("user_id", "chunk", F.col("r.state").alias("states"), F.col("r.avail").alias("available_actions"),
                       F.col("r.act").alias("actions"), F.col("r.idx").alias("action_idxs")))
-    ok, _rejects = zip_demo(demos)
-    return ok.select("episode_id", "step", "observation", F.array_join("candidate_actions", ",").alias("candidates"),
-                     "action")
+    ok, rejects = zip_demo(demos, ["user_id", "chunk"])
+    steps = ok.withColumn("reject_reason", F.lit(None).cast("string")).unionByName(rejects.drop("action_idx"))
+    return steps.select("user_id", "chunk", "step", "observation", F.array_join("candidate_actions", ",").alias("candidates"),
+                        "action", "reject_reason")
 
 
 # --- P5 (state-extraction variant) with X3 JSON text --------------------------

@@ -42,8 +42,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's shared checkpoint folder.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; it is read
-    from the session and never replaced. Only when it is unset (local tests)
-    a scratch folder is created and set.
+    from the session and never replaced. Only when it is unset in local mode
+    (tests) a scratch folder is created and set; a cluster session without
+    the setting is an error, since a folder of the driver is not shared.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -53,6 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = sc.getCheckpointDir()
     if not current:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="episodeflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if sc.getCheckpointDir() is None:

@@ -10,22 +10,8 @@ TABLES = (
 ).split()
 
 
-_HANDLES: dict[tuple[int, str], DataFrame] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan of one driver table.
-
-    The DataFrame handle (file listing + footer schema) is kept per session
-    and path, so composing many jobs over the same table does not re-list
-    and re-read footers on the driver. The data itself is not cached.
-    """
+    """Parquet scan of one driver table, with the files that are there now."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    df = _HANDLES.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(path)
-        _HANDLES[key] = df
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

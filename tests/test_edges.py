@@ -67,7 +67,16 @@ def test_polymorphic_fields_and_boolean_score(spark, tmp_path):
     assert [r.observation for r in st] == ["o0", "o1", "o2", "o3"]
     assert st[0].candidate_actions == ["a", "b"]
     assert all(r.candidate_actions is None for r in st[1:])
-    assert [r.score for r in st] == [1.0, None, None, None]
+    assert [r.score for r in st] == [1.0, 1.0, None, None]
+
+
+def test_observations_of_any_json_type_print_as_python_text(spark, tmp_path):
+    shown = [[["Ann", 3], ["Bob", None]], "plain 'text'", [], True, 3, {"a": [1.5, False]}, [["it's"], [[["deep"]]]]]
+    with open(tmp_path / "sql.json", "w") as f:
+        json.dump({"trajectory": [{"observation": o} for o in shown] + [{"action": "x"}]}, f)
+    eps, _ = files.scan_episode_dir(spark, str(tmp_path))
+    got = [r.observation for r in files.episode_steps(eps).orderBy("step").collect()]
+    assert got == [str(o) for o in shown] + [None]
 
 
 def test_first_valid_attempt_budget(spark):
@@ -101,10 +110,11 @@ def test_conditional_ban_and_candidate_build(spark):
                                "c array<string>, sel int, tot int")
     got = [r[0] for r in df.select(S.conditional_ban(F.col("c"), F.col("sel"), F.col("tot"))).collect()]
     assert got == [["click[a]"], ["click[buy now]"]]
-    df2 = spark.createDataFrame([(["Search", "B07X", "back"], [None, "B07X - Lamp", None], True),
+    df2 = spark.createDataFrame([(["search", "b07x", "back"], [None, "Lamp", None], True),
+                                 (["search", "b07x", "back"], [None, "Lamp", None], False),
                                  (["search"], [None], False)], "c array<string>, l array<string>, s boolean")
     out = [r[0] for r in df2.select(candidate_build(F.col("c"), F.col("l"), F.col("s"))).collect()]
-    assert out == [["search[<search query>]", "click[B07X - Lamp]", "click[back]"], ["finish"]]
+    assert out == [["search[<search query>]"], ["click[item - Lamp]", "click[back]"], ["finish"]]
 
 
 def test_left_truncate_tokens_exact(spark):

@@ -25,6 +25,9 @@ def test_episode_dir_scan_and_rejects(spark, tmp_path):
     _write(f"{d}/x1.json", {"trajectory": [step]})
     _write(f"{d}/notes.txt", "ignored", raw=True)
     eps, rej = files.scan_episode_dir(spark, d)
+    assert sorted(r.episode_name for r in eps.collect()) == ["12", "3", "x1"]
+    assert [r.reject_reason for r in rej.collect()] == ["no trajectory"]
+    eps, rej = files.scan_episode_dir(spark, d, numbered=True)
     assert sorted(r.episode_id for r in eps.collect()) == [3, 12]
     assert sorted(r.reject_reason for r in rej.collect()) == ["no trajectory", "non-numeric file stem"]
     st = files.episode_steps(eps)
@@ -42,7 +45,7 @@ def test_jsonl_demo_zip(spark, tmp_path):
     _write(p, "\n".join(json.dumps(r) for r in recs), raw=True)
     demos = files.scan_jsonl(spark, p).withColumn("episode_id", F.lit(1))
     ok, rej = zip_demo(demos)
-    assert [(r.step, r.action) for r in ok.orderBy("step").collect()] == [(0, "search[<search query>]"), (1, "x")]
+    assert [(r.step, r.action) for r in ok.orderBy("step").collect()] == [(0, "search[search query]"), (1, "x")]
     assert [r.step for r in rej.collect()] == [2]
 
 
@@ -59,6 +62,25 @@ def test_summary_discovery_and_details(spark, tmp_path):
     assert (r.model_id, r.env_idx, r.r_att, r.r_type, r.r_price) == ("org/m1", 1, 0.5, 1.0, 0.0)
 
 
+def test_summaries_of_two_families_and_odd_paths(spark, tmp_path):
+    """Columns are bound by each file's header; paths with spaces, plus and percent signs are keys."""
+    root = str(tmp_path / "all runs+%41")
+    _write(f"{root}/shop/summary.csv", "env_idx,model_id,num_actions,score\n500,org/m1,7,0.5\n", raw=True)
+    _write(f"{root}/game 2/summary.csv", "env_idx,gamefile,model_id,num_actions,score\n1,\"g,a\",m2,5,1.0\n", raw=True)
+    _write(f"{root}/shop/org/m1/500.json", {"info": {"verbose": {"r_att": 0.5}}})
+    _write(f"{root}/game 2/m2/1.json", {"info": {}})
+    sm = files.discover_summaries(spark, root)
+    got = sorted(tuple(r) for r in sm.select("env_idx", "gamefile", "model_id", "num_actions", "score", "run_dir").collect())
+    assert got == [(1, "g,a", "m2", 5, 1.0, f"{root}/game 2"), (500, None, "org/m1", 7, 0.5, f"{root}/shop")]
+    one = files.scan_summary_csv(spark, f"{root}/shop/summary.csv").first()
+    assert tuple(one) == (500, None, "org/m1", 7, 0.5)
+    det = files.scan_eval_details(spark, root)
+    key = files.detail_key(F.col("run_dir"), F.col("model_id"), F.col("env_idx"))
+    joined = sm.withColumn("detail_path", key).join(det.select("detail_path", "r_att"), "detail_path", "left")
+    assert sorted((r.env_idx, r.r_att) for r in joined.collect()) == [(1, 0.0), (500, 0.5)]
+    assert sorted((r.model_id, r.env_idx) for r in files.scan_eval_details(spark, f"{root}/shop").collect()) == [("org/m1", 500)]
+
+
 def test_state_map_and_last_wins(spark, tmp_path):
     p = str(tmp_path / "state.json")
     _write(p, {"1": "a", "2": "b", "2": "c"} if False else '{"1": "a", "2": "b", "2": "c"}', raw=True)
