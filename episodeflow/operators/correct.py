@@ -31,17 +31,34 @@ def state_lookup(eps: DataFrame, state: DataFrame, id_col: str, strict: bool = F
     return out.drop("_sid", "id")
 
 
-def reason_merge(steps: DataFrame, answers: DataFrame, key: str = "episode_id") -> DataFrame:
+def query_expand(goals: DataFrame, expansions: DataFrame) -> DataFrame:
+    """Search texts of each goal: its expansions, then the lower-cased instruction.
+
+    ``expansions`` has ``k`` (cleaned instruction, perhaps with dots around
+    it) and ``texts``; the lookup key is the instruction before its price.
+    """
+    cleaned = F.substring_index("instruction", ", and price lower than", 1)
+    keyed = expansions.select(F.btrim("k", F.lit(".")).alias("_k"), "texts")
+    found = F.coalesce("texts", F.array().cast("array<string>"))
+    return (goals.join(keyed, cleaned == F.col("_k"), "left")
+                 .withColumn("texts", F.concat(found, F.array(F.lower("instruction")))).drop("_k"))
+
+
+def reason_merge(steps: DataFrame, answers: DataFrame, key: str = "episode_id") -> tuple[DataFrame, DataFrame]:
     """Put generated reasons onto steps by position when both lists have equal length.
 
-    Episodes whose answer has another length are left out (not annotated).
+    Returns (annotated steps, one reject row per episode without an answer or
+    with one of another length).
     """
     n_steps = steps.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     n_ans = answers.groupBy(key).agg(F.count(F.lit(1)).alias("_m"))
-    ok = n_steps.join(n_ans, key).where(F.col("_n") == F.col("_m")).select(key)
+    why = F.when(F.col("_m").isNull(), F.lit("no answer")).when(F.col("_n") != F.col("_m"), F.lit("length mismatch"))
+    judged = n_steps.join(n_ans, key, "left").select(key, why.alias("reject_reason"))
+    ok = judged.where(F.col("reject_reason").isNull()).select(key)
     base = steps.drop("reason") if "reason" in steps.columns else steps
-    return (base.join(ok, key, "left_semi")
+    good = (base.join(ok, key, "left_semi")
                 .join(answers.select(key, "step", "reason"), [key, "step"]))
+    return good, judged.where(F.col("reject_reason").isNotNull())
 
 
 def validate_answers(answers: DataFrame, steps: DataFrame, key: str = "episode_id",
@@ -49,7 +66,8 @@ def validate_answers(answers: DataFrame, steps: DataFrame, key: str = "episode_i
                      ) -> tuple[DataFrame, DataFrame]:
     """Episode guards. Length must equal the rollout's; required keys present on every step.
 
-    Returns (answers of good episodes, one reject row per bad episode).
+    Returns (answers of good episodes, one reject row per bad episode; an
+    episode without any answer counts as a length mismatch).
     Key presence is carried as ``has_<key>`` boolean columns.
     """
     req = list(required)
@@ -57,8 +75,8 @@ def validate_answers(answers: DataFrame, steps: DataFrame, key: str = "episode_i
         F.count(F.lit(1)).alias("_m"),
         *[F.min(F.col(f"has_{k}").cast("int")).alias(f"_all_{k}") for k in req])
     agg_st = steps.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    j = agg_st.join(agg_ans, key)
-    reason = F.when(F.col("_n") != F.col("_m"), F.lit("length mismatch"))
+    j = agg_st.join(agg_ans, key, "left")
+    reason = F.when(F.col("_n") != F.coalesce("_m", F.lit(0)), F.lit("length mismatch"))
     for k in req:
         reason = reason.when(F.col(f"_all_{k}") == 0, F.lit(f"missing {k}"))
     judged = j.select(key, reason.alias("reject_reason"))

@@ -12,7 +12,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodeflow.plans.rank import prefix_sum
+from episodeflow.plans.rank import in_group
 
 # USD per input token and per output token, by model.
 PRICES_USD = [
@@ -66,18 +66,17 @@ def running_cost(priced: DataFrame, run: str, order: list[str]) -> DataFrame:
     """Running cost, running mean (divided by the position, failed calls included) and projection.
 
     A run can be a very large group, so no window partitioned by the run:
-    an exact distributed prefix sum over (run, order) and a distributed
-    rank, each rebased by the run's first row (a small per-run aggregate).
+    one range-partitioned pass with a carry between partitions gives the sum
+    and the position. Only the number of calls of a run is joined in, an
+    aggregate of one row per run.
     """
     x = priced.withColumn("_u", F.coalesce(F.col("cost_units"), F.lit(0)).cast("long"))
-    ranked = prefix_sum(x, [run, *order], "_u", "_cum", rank_col="_rk")
-    base = ranked.groupBy(run).agg(F.min(F.col("_cum") - F.col("_u")).alias("_base"),
-                                   F.min("_rk").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    j = ranked.join(base, run)
-    running = (F.col("_cum") - F.col("_base")).cast("double") * F.lit(float(UNIT))
-    pos = F.col("_rk") - F.col("_first") + 1
+    ranked = in_group(x, run, order, position="_pos_in_run", sums={"_cum": "_u"})
+    j = ranked.join(priced.groupBy(run).agg(F.count(F.lit(1)).alias("_n")), run)
+    running = F.col("_cum").cast("double") * F.lit(float(UNIT))
+    pos = F.col("_pos_in_run")
     return (j.withColumn("running_cost", running)
              .withColumn("position", pos)
              .withColumn("running_mean", running / pos)
              .withColumn("projected_cost", running / pos * F.col("_n"))
-             .drop("_u", "_cum", "_rk", "_base", "_first", "_n"))
+             .drop("_u", "_cum", "_pos_in_run", "_n"))

@@ -38,38 +38,41 @@ def means_with_overall(sm: DataFrame, category: str, cols: Iterable[str],
                      *[f"mean_{c}" for c in cols]))
 
 
-def check_unique(df: DataFrame, keys: Sequence[str], what: str = "rows") -> None:
-    """Guard (A4): raise if a key occurs twice. Only a handful of offending keys reach the driver."""
-    dup = df.groupBy(*keys).count().where(F.col("count") > 1).limit(5).collect()
-    if dup:
-        raise ValueError(f"duplicate {what}: {[tuple(r)[:-1] for r in dup]}")
+#: Models that one report may compare (columns of a pivot).
+MAX_MODELS = 500
 
 
-def model_pivot(sm: DataFrame, key: str, model: str, models: Sequence[str],
-                values: Sequence[str] = ("score", "num_actions"), check: bool = True) -> DataFrame:
+def models_of(sm: DataFrame, model: str) -> list[str]:
+    """The models that occur, in order; more than ``MAX_MODELS`` are an error (they become columns)."""
+    found = [r[0] for r in sm.select(model).where(F.col(model).isNotNull()).distinct().orderBy(model).limit(MAX_MODELS + 1).collect()]
+    if len(found) > MAX_MODELS:
+        raise ValueError(f"more than {MAX_MODELS} values of {model}")
+    return found
+
+
+def model_pivot(sm: DataFrame, key: str, model: str, models: Sequence[str] | None = None,
+                values: Sequence[str] = ("score", "num_actions")) -> DataFrame:
     """One row per key with ``<value>_<model>`` columns (full-outer semantics).
 
-    ``check``: a duplicate (key, model) fails the job. The guard is part of
-    the same pivot aggregation (a per-cell count and ``raise_error``), so it
-    costs no extra pass over the data.
+    Without ``models`` every model that occurs gets its columns. A duplicate
+    (key, model) and a row of a model outside a given list fail the job. The
+    guards are part of the same aggregation (counts and ``raise_error``), so
+    they cost no extra pass over the data.
     """
-    aggs = [F.first(v).alias(v) for v in values]
-    if check:
-        aggs.append(F.count(F.lit(1)).alias("_n"))
-    p = sm.groupBy(key).pivot(model, list(models)).agg(*aggs)
-    if check:
-        dup = None
-        for m in models:
-            d = F.coalesce(F.col(f"`{m}__n`"), F.lit(0)) > 1
-            dup = d if dup is None else (dup | d)
-        msg = F.concat(F.lit(f"duplicate ({key}, {model}) for {key}="), F.col(key).cast("string"))
-        p = p.where(F.when(dup, F.raise_error(msg)).otherwise(F.lit(True)))
-    out = [key]
-    for m in models:
-        for v in values:
-            src = f"{m}_{v}" if len(aggs) > 1 else m
-            out.append(F.col(f"`{src}`").alias(f"{v}_{m}"))
-    return p.select(*out)
+    models = models_of(sm, model) if models is None else list(models)
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for i, m in enumerate(models):
+        mine = F.col(model) == m
+        aggs.append(F.count(F.when(mine, 1)).alias(f"_n{i}"))
+        aggs += [F.max(F.when(mine, F.col(v))).alias(f"{v}_{m}") for v in values]
+    p = sm.groupBy(key).agg(*aggs)
+    counts = [F.col(f"_n{i}") for i in range(len(models))]
+    listed = sum(counts, F.lit(0))
+    name = F.col(key).cast("string")
+    fault = (F.when(F.greatest(F.lit(0), F.lit(0), *counts) > 1, F.concat(F.lit(f"duplicate ({key}, {model}) for {key}="), name))
+              .when(F.col("_rows") != listed, F.concat(F.lit(f"a {model} outside the list for {key}="), name)))
+    p = p.where(F.when(fault.isNotNull(), F.raise_error(fault)).otherwise(F.lit(True)))
+    return p.select(key, *[F.col(f"`{v}_{m}`") for m in models for v in values])
 
 
 def outer_merge(frames: Sequence[DataFrame], key: str) -> DataFrame:
@@ -112,9 +115,21 @@ def episode_metrics(reward: Column, steps: Column, bought_goal: Column) -> dict[
             "norm": F.try_divide(reward, steps.cast("double"))}
 
 
-def match_score(attrs: Column, opts: Column, text: Column, cands: Column) -> dict[str, Column]:
-    """attribute/option match estimate."""
-    n_att = F.size(F.filter(attrs, lambda a: F.contains(text, a)))
+def match_score(attrs: Column, opts: Column, texts: Sequence[Column], cands: Column) -> dict[str, Column]:
+    """attribute/option match estimate.
+
+    ``texts`` are the description, the features and the page; an attribute
+    counts if any of them holds it in lower case.
+    """
+    lowered = [F.lower(F.coalesce(t, F.lit(""))) for t in texts]
+
+    def held(a: Column) -> Column:
+        out = F.lit(False)
+        for t in lowered:
+            out = out | F.contains(t, a)
+        return out
+
+    n_att = F.size(F.filter(attrs, held))
     n_opt = F.size(F.filter(opts, lambda o: F.exists(cands, lambda c: F.contains(c, o))))
     la, lo = F.size(attrs), F.size(opts)
     return {
@@ -124,6 +139,26 @@ def match_score(attrs: Column, opts: Column, text: Column, cands: Column) -> dic
     }
 
 
+MEANS = ("r_att", "r_option", "r_type", "r_price", "score", "num_actions")
+
+
+def model_means(sm: DataFrame, model: str = "model_id") -> DataFrame:
+    """A5: means of the six metrics per model: shares times 100, score times 10, rounded to one decimal.
+
+    NaN and null are left out of a mean.
+    """
+    g = sm.groupBy(model).agg(*[F.avg(_clean(F.col(c))).alias(c) for c in MEANS], F.count(F.lit(1)).alias("n"))
+    scale = {"score": 10, "num_actions": 1}
+    return g.select(model, *[round1(F.col(c) * scale.get(c, 100)).alias(c) for c in MEANS], "n")
+
+
+def detail_enrich(sm: DataFrame, detail: DataFrame, keys: Sequence[str] = ("run_dir", "model_id", "env_idx"),
+                  values: Sequence[str] = ("r_type", "r_att", "r_price", "r_option")) -> DataFrame:
+    """Summary rows with their detail scores; a missing file or key counts 0."""
+    got = detail.select(*keys, *values)
+    return sm.join(got, list(keys), "left").na.fill(0, list(values))
+
+
 def success_rate(score: Column) -> Column:
     """Share of scores equal to 1.0."""
     return F.avg((score == F.lit(1.0)).cast("double"))

@@ -13,7 +13,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from episodeflow.plans.rank import global_rank
+from episodeflow.plans.rank import global_rank, in_group
 
 
 def seeded_key(key: Column, seed: int = 42) -> Column:
@@ -48,18 +48,10 @@ def prior_mix(cur: DataFrame, prior: DataFrame, key: str, seed: int = 42) -> Dat
     return cur.withColumn("origin", F.lit("current")).unionByName(taken.withColumn("origin", F.lit("prior")))
 
 
-def rank_in_group(rows: DataFrame, group: str | Sequence[str], order: Sequence[str | Column],
+def rank_in_group(rows: DataFrame, group: str | Sequence[str], order: Sequence[str],
                   out: str = "rank_in_group") -> DataFrame:
-    """Exact 1-based rank inside each group without a window partitioned by the group.
-
-    A global rank over (group, order) minus the group's first rank; the
-    per-group table is an aggregate (one row per group), joined back.
-    """
-    groups = [group] if isinstance(group, str) else list(group)
-    ranked = global_rank(rows, [*[F.col(g) for g in groups],
-                                *[F.col(o) if isinstance(o, str) else o for o in order]], "_rk")
-    first = ranked.groupBy(*groups).agg(F.min("_rk").alias("_first"))
-    return ranked.join(first, groups).withColumn(out, F.col("_rk") - F.col("_first") + 1).drop("_rk", "_first")
+    """Exact 1-based rank inside each group without a window or a join on the group."""
+    return in_group(rows, group, list(order), position=out)
 
 
 def balanced_mix(rows: DataFrame, group: str, key: str, seed: int = 42) -> DataFrame:

@@ -26,10 +26,16 @@ def parse_responses(df: DataFrame, dialect: str, text: str = "response") -> Data
 
 
 def json_valid(s: Column) -> Column:
-    """R8 validity: the text is one JSON object or array with nothing after it."""
+    """R8 validity: the text is one JSON object or array with nothing after it.
+
+    Repeated keys and NaN are accepted, as Python's parser does: the text is
+    read as the only element of an array, which also rules out a second value.
+    """
     t = R.strip(s)
-    shape = (t.startswith("{") & t.endswith("}")) | (t.startswith("[") & t.endswith("]"))
-    return shape & F.try_parse_json(t).isNotNull()
+    one = F.concat(F.lit("["), t, F.lit("]"))
+    read = lambda kind: F.coalesce(F.size(F.from_json(one, f"array<{kind}>")) == 1, F.lit(False))
+    return F.coalesce(F.when(t.startswith("{") & t.endswith("}"), read("map<string,string>"))
+                       .when(t.startswith("[") & t.endswith("]"), read("array<string>")), F.lit(False))
 
 
 def json_answers(df: DataFrame, schema: str, text: str = "response") -> DataFrame:

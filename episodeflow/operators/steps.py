@@ -12,7 +12,7 @@ from typing import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from episodeflow.plans.rank import global_rank
+from episodeflow.plans.rank import global_rank, in_group
 
 
 def _ep_window(key: str = "episode_id", order: Iterable[str] = ("step",)) -> Window:
@@ -215,35 +215,39 @@ def first_valid_attempt(att: DataFrame, retries: int,
                                  *[F.min_by(c, "attempt").alias(c) for c in others])
 
 
+def _numbered(rows: DataFrame, number: str | None) -> DataFrame:
+    return rows.withColumn(number, (F.col(number) - 1).cast("int")) if number else rows
+
+
 def prev_observation(steps: DataFrame, obs: str = "observation", key: str = "episode_id",
-                     out: str = "prev_observation", skew_safe: bool = True) -> DataFrame:
+                     out: str = "prev_observation", skew_safe: bool = True, order: Iterable[str] = ("step",),
+                     number: str | None = None) -> DataFrame:
     """Previous observation within the episode (null at start).
 
-    ``skew_safe``: an equi-join on (episode, step - 1) -- the join key
-    includes the step, so a long episode is hashed over all tasks -- instead
-    of ``lag`` over a window that holds the whole episode in one task.
+    ``skew_safe``: one range-partitioned pass with a carry between partitions
+    (``rank.in_group``) instead of ``lag`` over a window that holds the whole
+    episode in one task. It can also number the steps (``number``), so rows
+    that are not numbered yet are sorted once.
     """
     if not skew_safe:
-        return steps.withColumn(out, F.lag(obs, 1).over(_ep_window(key)))
-    prev = steps.select(F.col(key).alias("_k"), (F.col("step") + 1).alias("_s"), F.col(obs).alias(out))
-    j = steps.join(prev, (steps[key] == prev["_k"]) & (steps["step"] == prev["_s"]), "left")
-    return j.drop("_k", "_s")
+        return steps.withColumn(out, F.lag(obs, 1).over(_ep_window(key, order)))
+    return _numbered(in_group(steps, key, list(order), position=number, lags={out: obs}), number)
 
 
 def episode_truncate(steps: DataFrame, done: Column, limit: int = 100,
-                     key: str = "episode_id", skew_safe: bool = True) -> DataFrame:
+                     key: str = "episode_id", skew_safe: bool = True, order: Iterable[str] = ("step",),
+                     number: str | None = None) -> DataFrame:
     """Keep steps up to the first ``done`` step and below the step limit.
 
-    ``skew_safe``: the first done step per episode is a grouped ``min``
-    (partial aggregation), joined back; no window over a whole episode.
+    ``skew_safe``: one range-partitioned pass that carries "was done before"
+    between partitions; ``number`` numbers the steps in the same pass.
     """
     if skew_safe:
-        first = (steps.where(done).groupBy(key).agg(F.min("step").alias("_first_done")))
-        j = steps.join(first, key, "left")
-        keep = (F.col("_first_done").isNull() | (F.col("step") <= F.col("_first_done"))) & \
-            (F.col("step") < F.lit(int(limit)))
-        return j.where(keep).drop("_first_done")
-    before = _ep_window(key).rowsBetween(Window.unboundedPreceding, -1)
+        flagged = in_group(steps.withColumn("_done", F.coalesce(done, F.lit(False))), key, list(order), position=number,
+                           flags={"_ended": "_done"})
+        rows = _numbered(flagged, number)
+        return rows.where(~F.col("_ended") & (F.col(number or "step") < F.lit(int(limit)))).drop("_done", "_ended")
+    before = _ep_window(key, order).rowsBetween(Window.unboundedPreceding, -1)
     flagged = steps.withColumn("_done_before", F.coalesce(F.max(done.cast("int")).over(before), F.lit(0)))
     return (flagged.where((F.col("_done_before") == 0) & (F.col("step") < F.lit(int(limit))))
                    .drop("_done_before"))

@@ -16,8 +16,8 @@ is_corrected             conversations  null if conv_id % 3 = 0, false if
                                         (conv_id + turn) % 3 = 1, else true
 corrected reason/action  conversations  reason/action of the next step, else its own
 text candidates          conversations  previous step's action (if any) and this action
-state                    customer       id = string(c_custkey), text = c_name; keys with
-                                        c_custkey % 10 = 0 are absent (lookup misses)
+state                    supplier       id = string(s_suppkey), text = s_name (fewer suppliers
+                                        than users: the rest are lookup misses)
 summaries                orders         key = o_custkey, model = o_orderstatus,
                                         num_actions = count, score = floor(avg price /
                                         50000) / 10
@@ -128,6 +128,16 @@ def _text_steps_joins(conversations: DataFrame) -> DataFrame:
     return _text_step_columns(j, F.col("_nr"), F.col("_na"), F.col("_pa"))
 
 
+def scored_rows(events: DataFrame) -> DataFrame:
+    """events as scored steps before they are numbered (order: ts, event_id)."""
+    return events.select(
+        F.col("user_id").alias("episode_id"), "event_id", "ts",
+        F.col("props").alias("observation"),
+        F.col("event_type").alias("action"),
+        F.col("value").alias("score"),
+    )
+
+
 def scored_steps(events: DataFrame, skew_safe: bool = True) -> DataFrame:
     """events -> one row per (episode_id, step) with a score.
 
@@ -136,13 +146,7 @@ def scored_steps(events: DataFrame, skew_safe: bool = True) -> DataFrame:
     """
     from episodeflow.operators.steps import step_number
 
-    ev = events.select(
-        F.col("user_id").alias("episode_id"), "event_id", "ts",
-        F.col("props").alias("observation"),
-        F.col("event_type").alias("action"),
-        F.col("value").alias("score"),
-    )
-    numbered = step_number(ev, "episode_id", ["ts", "event_id"], "step", skew_safe=skew_safe)
+    numbered = step_number(scored_rows(events), "episode_id", ["ts", "event_id"], "step", skew_safe=skew_safe)
     return numbered.select("episode_id", "step", "event_id", "ts", "observation", "action", "score")
 
 
@@ -154,9 +158,8 @@ def event_candidates(events: DataFrame) -> DataFrame:
         F.filter("types", lambda x, i: i != (F.col("user_id") % 5)).alias("candidate_actions"))
 
 
-def state_table(customer: DataFrame) -> DataFrame:
-    return (customer.where(F.col("c_custkey") % 10 != 0)
-                    .select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("state")))
+def state_table(supplier: DataFrame) -> DataFrame:
+    return supplier.select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("state"))
 
 
 def summaries(orders: DataFrame) -> DataFrame:
@@ -214,13 +217,14 @@ def attempts(events: DataFrame) -> DataFrame:
 
 def responses(events: DataFrame, documents: DataFrame) -> DataFrame:
     """Model answers: a whole document as the reasoning, the event type as the action."""
-    words = F.col("text")
+    # An event without a document of its number reasons with its own props.
+    words = F.coalesce("text", "props")
     plain_action = F.concat(F.lit("ACTION: "), F.col("event_type"), F.lit("!"))
     fenced_action = F.concat(F.lit("ACTION: ```bash\n"), F.col("event_type"), F.lit("!\n```"))
     action = F.when(F.col("event_id") % 11 == 0, fenced_action).otherwise(plain_action)
     reason = F.when(F.col("event_id") % 7 == 0, words).otherwise(F.concat(F.lit("REASON: "), words))
-    j = events.select("event_id", "event_type").join(
-        documents.select(F.col("doc_id").alias("event_id"), "text"), "event_id")
+    j = events.select("event_id", "event_type", "props").join(
+        documents.select(F.col("doc_id").alias("event_id"), "text"), "event_id", "left")
     return j.select("event_id", F.concat(reason, F.lit("\n"), action).alias("response"))
 
 
@@ -240,7 +244,7 @@ class Tables:
 def answers(steps: DataFrame) -> DataFrame:
     """Teacher answers per text step, with key-presence flags.
 
-    Rules: episodes with episode_id % 5 = 1 (and more than one step) lose
+    Rules: episodes with episode_id % 13 = 5 have no answer; those with episode_id % 5 = 1 (and more than one step) lose
     their last answer (length mismatch); episode_id % 7 = 2 lacks
     ``corrected_action`` at step 0; ``original_reason`` is present on even
     steps and null there when (episode_id + step) % 4 = 0; the answer
@@ -249,6 +253,7 @@ def answers(steps: DataFrame) -> DataFrame:
     """
     last = F.max("step").over(Window.partitionBy("episode_id"))
     a = steps.withColumn("_last", last)
+    a = a.where(F.col("episode_id") % 13 != 5)
     a = a.where(~((F.col("episode_id") % 5 == 1) & (F.col("step") == F.col("_last")) & (F.col("_last") > 0)))
     has_ca = ~((F.col("episode_id") % 7 == 2) & (F.col("step") == 0))
     has_or = F.col("step") % 2 == 0

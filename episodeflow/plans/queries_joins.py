@@ -19,7 +19,7 @@ LEFT JOIN state s ON s.id = CAST(e.episode_id AS VARCHAR)""")
 def q_state_lookup(spark, sf_dir):
     t = bind.Tables(spark, sf_dir)
     eps = bind.scored_episodes(t.events).select("episode_id", "n_steps")
-    j = C.state_lookup(eps, bind.state_table(t.customer), "episode_id")
+    j = C.state_lookup(eps, bind.state_table(t.supplier), "episode_id")
     return j.select("episode_id", "n_steps", "state", F.col("state").isNotNull().alias("has_state"))
 
 
@@ -29,17 +29,21 @@ gen AS (SELECT doc_id // 4 AS episode_id, CAST(doc_id % 4 AS INTEGER) AS step,
 
 
 @register("reason_merge", ids=("J2",), sql=Q.with_(Q.TEXT_STEPS, GEN_SQL) + """,
-ok AS (SELECT episode_id FROM (SELECT episode_id, count(*) AS n FROM tsteps GROUP BY episode_id) s
-       JOIN (SELECT episode_id, count(*) AS m FROM gen GROUP BY episode_id) g USING (episode_id) WHERE n = m)
-SELECT t.episode_id, t.step, t.observation, t.action, g.reason
-FROM tsteps t JOIN gen g USING (episode_id, step) WHERE t.episode_id IN (SELECT episode_id FROM ok)""")
+j AS (SELECT episode_id, CASE WHEN m IS NULL THEN 'no answer' WHEN n <> m THEN 'length mismatch' END AS why
+      FROM (SELECT episode_id, count(*) AS n FROM tsteps GROUP BY episode_id) s
+      LEFT JOIN (SELECT episode_id, count(*) AS m FROM gen GROUP BY episode_id) g USING (episode_id))
+SELECT t.episode_id, t.step, t.observation, t.action, g.reason, NULL::VARCHAR AS reject_reason
+FROM tsteps t JOIN gen g USING (episode_id, step) WHERE t.episode_id IN (SELECT episode_id FROM j WHERE why IS NULL)
+UNION ALL SELECT episode_id, NULL, NULL, NULL, NULL, why FROM j WHERE why IS NOT NULL""")
 def q_reason_merge(spark, sf_dir):
     t = bind.Tables(spark, sf_dir)
     st = bind.text_steps(t.conversations).select("episode_id", "step", "observation", "action")
     gen = t.documents.select(F.expr("doc_id div 4").alias("episode_id"),
                              (F.col("doc_id") % 4).cast("int").alias("step"),
                              F.col("text").alias("reason"))
-    return C.reason_merge(st, gen).select("episode_id", "step", "observation", "action", "reason")
+    good, rejects = C.reason_merge(st, gen)
+    return (good.select("episode_id", "step", "observation", "action", "reason", F.lit(None).cast("string").alias("reject_reason"))
+            .unionByName(rejects, allowMissingColumns=True))
 
 
 @register("detail_enrich", ids=("J4", "S8"), sql=Q.with_(Q.SCORED_STEPS) + """
@@ -67,7 +71,7 @@ FULL JOIN (SELECT env_idx, score FROM summ WHERE model_id = 'P') p ON p.env_idx
 def q_outer_merge(spark, sf_dir):
     sm = bind.summaries(bind.Tables(spark, sf_dir).orders)
     # Same result as N full outer joins, with one shuffle: union of long rows + pivot.
-    return MT.model_pivot(sm, "env_idx", "model_id", MODELS, values=("score",), check=False)
+    return MT.model_pivot(sm, "env_idx", "model_id", MODELS, values=("score",))
 
 
 @register("model_pivot", ids=("A4", "J6"), sql=Q.with_(Q.SUMMARIES) + """
@@ -129,26 +133,25 @@ def q_usage_cost(spark, sf_dir):
 
 
 EXP_SQL = """
-g AS (SELECT p_partkey AS idx,
-             p_name || ', and price lower than ' || CAST(p_size AS VARCHAR) || '.00 dollars' AS instruction
+g AS (SELECT p_partkey AS idx, p_name || ' ' || p_type AS title,
+             p_name || ' ' || p_type || ', and price lower than ' || CAST(p_size AS VARCHAR) || '.00 Dollars' AS instruction
       FROM part),
-x AS (SELECT p_name || '.' AS k, list_sort(list(DISTINCT p_brand)) AS texts FROM part
-      WHERE p_size > 25 AND p_name LIKE 'small %' GROUP BY p_name)"""
+x AS (SELECT p_name || ' ' || p_type || '.' AS k, list_sort(list(DISTINCT p_brand)) AS texts FROM part
+      GROUP BY p_name, p_type HAVING count(*) > 1)"""
 
 
 @register("query_expand", ids=("J11",), sql=Q.with_(EXP_SQL) + """
-SELECT g.idx, CAST(coalesce(len(x.texts), 0) AS BIGINT) AS n_texts, coalesce(array_to_string(x.texts, '|'), '') AS texts
+SELECT g.idx, CAST(coalesce(len(x.texts), 0) + 1 AS BIGINT) AS n_texts,
+       array_to_string(coalesce(x.texts, []) || [lower(g.instruction)], '|') AS texts
 FROM g LEFT JOIN x ON trim(x.k, '.') = split_part(g.instruction, ', and price lower than', 1)""")
 def q_query_expand(spark, sf_dir):
     p = bind.Tables(spark, sf_dir).part
+    title = F.concat_ws(" ", "p_name", "p_type")
     goals = p.select(F.col("p_partkey").alias("idx"), F.concat(
-        "p_name", F.lit(", and price lower than "), F.col("p_size").cast("string"), F.lit(".00 dollars"))
+        title, F.lit(", and price lower than "), F.col("p_size").cast("string"), F.lit(".00 Dollars"))
         .alias("instruction"))
-    # Expansions exist only for 'small ...' instructions (the rest default to an empty list).
-    exp = (p.where((F.col("p_size") > 25) & F.col("p_name").startswith("small ")).groupBy("p_name")
-            .agg(F.array_sort(F.collect_set("p_brand")).alias("texts"))
-            .select(F.btrim(F.concat("p_name", F.lit(".")), F.lit(".")).alias("k"), "texts"))
-    cleaned = F.substring_index("instruction", ", and price lower than", 1)
-    j = goals.join(exp, cleaned == exp["k"], "left")
-    texts = F.coalesce("texts", F.array().cast("array<string>"))
-    return j.select("idx", F.size(texts).cast("long").alias("n_texts"), F.array_join(texts, "|").alias("texts"))
+    # A title that several parts share expands to their brands; the others have no expansion.
+    exp = (p.groupBy(title.alias("title")).agg(F.array_sort(F.collect_set("p_brand")).alias("texts"), F.count("*").alias("n"))
+            .where("n > 1").select(F.concat("title", F.lit(".")).alias("k"), "texts"))
+    out = C.query_expand(goals, exp)
+    return out.select("idx", F.size("texts").cast("long").alias("n_texts"), F.array_join("texts", "|").alias("texts"))

@@ -69,24 +69,22 @@ def q_ordered_report(spark, sf_dir):
 MODEL_ROWS_SQL = """
 mr AS (SELECT event_type AS model_id, value / 500 AS score, CAST(value > 100 AS DOUBLE) AS r_type,
               CAST(value > 50 AS DOUBLE) AS r_att, CAST(value > 10 AS DOUBLE) AS r_price,
-              CAST(value > 5 AS DOUBLE) AS r_option FROM events)"""
+              CAST(value > 5 AS DOUBLE) AS r_option, CAST(event_id % 30 AS DOUBLE) AS num_actions FROM events)"""
 
 
 @register("model_means", ids=("A5", "X18"), sql=Q.with_(MODEL_ROWS_SQL) + """
 SELECT model_id, round_even(avg(r_att) * 100, 1) AS r_att, round_even(avg(r_option) * 100, 1) AS r_option,
        round_even(avg(r_type) * 100, 1) AS r_type, round_even(avg(r_price) * 100, 1) AS r_price,
-       round_even(avg(score) * 10, 1) AS score, count(*) AS n
+       round_even(avg(score) * 10, 1) AS score, round_even(avg(num_actions), 1) AS num_actions, count(*) AS n
 FROM mr GROUP BY model_id""")
 def q_model_means(spark, sf_dir):
     ev = bind.Tables(spark, sf_dir).events
     v = F.col("value")
     rows = ev.select(F.col("event_type").alias("model_id"), (v / 500).alias("score"),
+                     (F.col("event_id") % 30).cast("double").alias("num_actions"),
                      *[(v > t).cast("double").alias(n) for n, t in
                        [("r_type", 100), ("r_att", 50), ("r_price", 10), ("r_option", 5)]])
-    g = rows.groupBy("model_id").agg(*[F.avg(c).alias(c) for c in ["r_att", "r_option", "r_type", "r_price", "score"]],
-                                     F.count(F.lit(1)).alias("n"))
-    return g.select("model_id", *[MT.round1(F.col(c) * 100).alias(c) for c in ["r_att", "r_option", "r_type", "r_price"]],
-                    MT.round1(F.col("score") * 10).alias("score"), "n")
+    return MT.model_means(rows)
 
 
 @register("failure_fix", ids=("A6", "F12"), sql=Q.with_(Q.SCORED_STEPS) + """,
@@ -189,9 +187,9 @@ def q_episode_metrics(spark, sf_dir):
 @register("match_score", ids=("A12", "X10"), sql="""
 WITH x AS (
   SELECT d.doc_id, string_split(b.text, ' ') AS attrs, [d.lang, 'src'] AS opts, d.text,
-         [d.source || ' ' || d.text] AS cands
-  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id),
-c AS (SELECT doc_id, len(list_filter(attrs, lambda a: contains(text, a))) AS n_att,
+         [d.source || ' ' || d.text] AS cands, d.source
+  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
+c AS (SELECT doc_id, len(list_filter(attrs, lambda a: contains(lower(text), a) OR contains(lower(source), a) OR contains(lower(opts[1]), a))) AS n_att,
              len(list_filter(opts, lambda o: len(list_filter(cands, lambda c: contains(c, o))) > 0)) AS n_opt,
              len(attrs) AS la, len(opts) AS lo FROM x)
 SELECT doc_id, round(n_att / la, 9) AS r_att, round(n_opt / lo, 9) AS r_opt,
@@ -199,8 +197,10 @@ SELECT doc_id, round(n_att / la, 9) AS r_att, round(n_opt / lo, 9) AS r_opt,
 FROM c""")
 def q_match_score(spark, sf_dir):
     t = bind.Tables(spark, sf_dir)
-    x = t.documents.join(t.benchmark.select(F.col("item_id").alias("doc_id"), F.col("text").alias("btext")), "doc_id")
-    m = MT.match_score(F.split("btext", " "), F.array("lang", F.lit("src")), F.col("text"),
+    # Every document is estimated against one benchmark item (items are numbered from 0).
+    items = t.benchmark.select("item_id", F.col("text").alias("btext"))
+    x = t.documents.withColumn("item_id", F.col("doc_id") % F.lit(items.count())).join(items, "item_id")
+    m = MT.match_score(F.split("btext", " "), F.array("lang", F.lit("src")), [F.col("text"), F.col("source"), F.col("lang")],
                        F.array(F.concat("source", F.lit(" "), F.col("text"))))
     return x.select("doc_id", *[F.round(m[k], 9).alias(k) for k in ("r_att", "r_opt", "r")])
 

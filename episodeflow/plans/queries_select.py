@@ -140,16 +140,15 @@ def q_episode_cap(spark, sf_dir):
 
 
 @register("conditional_ban", ids=("F14",), sql=Q.with_(Q.SCORED_STEPS, Q.EVENT_CANDIDATES) + """,
-sel AS (SELECT episode_id, count(DISTINCT action) AS selected FROM ssteps WHERE step < 10 GROUP BY episode_id)
+sel AS (SELECT episode_id, count(DISTINCT action) AS selected FROM ssteps GROUP BY episode_id)
 SELECT c.episode_id,
        array_to_string(list_filter(c.candidate_actions,
            lambda x: x <> 'purchase' OR s.selected = p.p_size % 5 + 1), ',') AS candidates_text
 FROM ecands c JOIN sel s USING (episode_id) JOIN part p ON p.p_partkey = c.episode_id""")
 def q_conditional_ban(spark, sf_dir):
     t = bind.Tables(spark, sf_dir)
-    st = bind.scored_steps(t.events)
-    sel = (S.step_cap(st, 10).groupBy("episode_id")
-           .agg(F.count_distinct("action").alias("selected")))
+    sel = (t.events.groupBy(F.col("user_id").alias("episode_id"))
+           .agg(F.count_distinct("event_type").alias("selected")))
     opts = t.part.select(F.col("p_partkey").alias("episode_id"), (F.col("p_size") % 5 + 1).alias("total"))
     j = bind.event_candidates(t.events).join(sel, "episode_id").join(opts, "episode_id")
     kept = S.conditional_ban(F.col("candidate_actions"), F.col("selected"), F.col("total"), "purchase")
@@ -203,7 +202,9 @@ def q_first_valid_attempt(spark, sf_dir):
 SELECT episode_id, step, lag(observation) OVER (PARTITION BY episode_id ORDER BY step) AS prev_observation
 FROM ssteps""")
 def q_prev_observation(spark, sf_dir):
-    return S.prev_observation(scored(spark, sf_dir)).select("episode_id", "step", "prev_observation")
+    rows = bind.scored_rows(bind.Tables(spark, sf_dir).events).select("episode_id", "event_id", "ts", "observation")
+    return (S.prev_observation(rows, order=("ts", "event_id"), number="step")
+             .select("episode_id", "step", "prev_observation"))
 
 
 @register("episode_truncate", ids=("W8",), sql=Q.with_(Q.SCORED_STEPS) + """,
@@ -212,5 +213,6 @@ d AS (SELECT *, coalesce(max(CAST(action = 'purchase' AS INTEGER)) OVER (
       FROM ssteps)
 SELECT episode_id, step, action FROM d WHERE done_before = 0 AND step < 100""")
 def q_episode_truncate(spark, sf_dir):
-    st = scored(spark, sf_dir)
-    return S.episode_truncate(st, F.col("action") == "purchase", 100).select("episode_id", "step", "action")
+    rows = bind.scored_rows(bind.Tables(spark, sf_dir).events).select("episode_id", "event_id", "ts", "action")
+    return (S.episode_truncate(rows, F.col("action") == "purchase", 100, order=("ts", "event_id"), number="step")
+             .select("episode_id", "step", "action"))

@@ -15,15 +15,15 @@ from episodeflow.streaming import stream as ST
 SELECT user_id AS episode_id, count(*) AS num_actions, arg_max(value, (ts, event_id)) AS score
 FROM events GROUP BY user_id""")
 def q_stream_summary(spark, sf_dir):
-    ev = ST.file_stream(spark, sf_dir, ST.EVENTS, glob="events.parquet")
-    return ST.run_to_sink(ST.summary_stream(ev), "stream_summary")
+    ev = ST.table_stream(spark, sf_dir, "events", ST.EVENTS)
+    return ST.run_to_sink(ST.summary_stream(ev), "stream_summary", ["episode_id"])
 
 
 @register("stream_counts", ids=("ST3",), sql="""
 SELECT event_type AS action, count(*) AS n FROM events GROUP BY event_type""")
 def q_stream_counts(spark, sf_dir):
-    ev = ST.file_stream(spark, sf_dir, ST.EVENTS, glob="events.parquet")
-    return ST.run_to_sink(ST.counter_stream(ev), "stream_counts")
+    ev = ST.table_stream(spark, sf_dir, "events", ST.EVENTS)
+    return ST.run_to_sink(ST.counter_stream(ev), "stream_counts", ["action"])
 
 
 @register("state_last_wins", ids=("S11", "M5"), sql="""

@@ -63,7 +63,7 @@ ecands AS (
 
 STATE = """
 state AS (
-  SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS state FROM customer WHERE c_custkey % 10 <> 0)"""
+  SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS state FROM supplier)"""
 
 SUMMARIES = """
 summ AS (
@@ -120,12 +120,12 @@ def ws_chars() -> str:
 RESPONSES = """
 resp AS (
   SELECT e.event_id,
-         (CASE WHEN e.event_id % 7 = 0 THEN d.w ELSE 'REASON: ' || d.w END) || chr(10) ||
+         (CASE WHEN e.event_id % 7 = 0 THEN coalesce(d.w, e.props) ELSE 'REASON: ' || coalesce(d.w, e.props) END) || chr(10) ||
          (CASE WHEN e.event_id % 11 = 0
                THEN 'ACTION: ```bash' || chr(10) || e.event_type || '!' || chr(10) || '```'
                ELSE 'ACTION: ' || e.event_type || '!' END) AS response
   FROM events e
-  JOIN (SELECT doc_id, text AS w FROM documents) d
+  LEFT JOIN (SELECT doc_id, text AS w FROM documents) d
     ON d.doc_id = e.event_id)"""
 
 ANSWERS = """
@@ -140,14 +140,14 @@ ans AS (
          CASE WHEN episode_id % 2 = 0 THEN list_concat(candidate_actions, [corrected_action]) END AS a_candidate_actions,
          is_corrected IS NOT NULL AS has_is_corrected, is_corrected
   FROM (SELECT *, max(step) OVER (PARTITION BY episode_id) AS last_step FROM tsteps)
-  WHERE NOT (episode_id % 5 = 1 AND step = last_step AND last_step > 0)),
+  WHERE NOT (episode_id % 5 = 1 AND step = last_step AND last_step > 0) AND episode_id % 13 <> 5),
 judged AS (
   SELECT s.episode_id,
-         CASE WHEN s.n <> a.m THEN 'length mismatch'
+         CASE WHEN s.n <> coalesce(a.m, 0) THEN 'length mismatch'
               WHEN a.all_r = 0 THEN 'missing corrected_reason'
               WHEN a.all_a = 0 THEN 'missing corrected_action' END AS reject_reason
   FROM (SELECT episode_id, count(*) AS n FROM tsteps GROUP BY episode_id) s
-  JOIN (SELECT episode_id, count(*) AS m, min(CAST(has_corrected_reason AS INTEGER)) AS all_r,
+  LEFT JOIN (SELECT episode_id, count(*) AS m, min(CAST(has_corrected_reason AS INTEGER)) AS all_r,
                min(CAST(has_corrected_action AS INTEGER)) AS all_a
         FROM ans GROUP BY episode_id) a USING (episode_id))"""
 

@@ -9,6 +9,7 @@ micro-batch id), never collected to the driver.
 from __future__ import annotations
 
 import uuid
+from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,20 +33,38 @@ def file_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: st
     return r.parquet(folder)
 
 
-def run_to_sink(agg: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Run an aggregate stream over everything available, land each result as Parquet, read it back."""
+def table_stream(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType) -> DataFrame:
+    """Stream of a whole driver table, one file or a folder of part files.
+
+    The path is a pattern that only the table matches: for a plain path the
+    source takes it as the base folder, which a single file is not.
+    """
+    return file_stream(spark, f"{sf_dir.rstrip('/')}/{name}.parque[t]", schema)
+
+
+def run_to_sink(agg: DataFrame, name: str, keys: Sequence[str], checkpoint: str | None = None) -> DataFrame:
+    """Run an aggregate stream over everything available and return its current result.
+
+    Update mode: a micro-batch lands only the keys that changed, as
+    ``batch=<id>`` of a sink that belongs to the checkpoint (a repeated batch
+    overwrites itself). The result is the row of the latest batch for each
+    key, so a resumed run without new data returns what is there.
+    """
     spark = agg.sparkSession
-    run = f"{name}-{uuid.uuid4().hex[:12]}"
-    sink = scratch_path(spark, f"sinks/{run}")
-    ckpt = checkpoint or scratch_path(spark, f"streams/{run}")
+    ckpt = checkpoint or scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
+    sink = f"{ckpt.rstrip('/')}-results"
+    schema = agg.schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{sink}/batch=-1")
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
-    q = (agg.writeStream.outputMode(mode).foreachBatch(land)
+    q = (agg.writeStream.outputMode("update").foreachBatch(land)
             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(sink)
+    rows = spark.read.schema(T.StructType(schema.fields + [T.StructField("batch", T.LongType())])).parquet(sink)
+    values = [c for c in schema.names if c not in keys]
+    return rows.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in values]).select(*schema.names)
 
 
 def summary_stream(events: DataFrame) -> DataFrame:

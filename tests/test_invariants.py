@@ -110,6 +110,10 @@ def test_model_pivot_rejects_duplicates(spark):
     sm = spark.createDataFrame([(1, "m", 1.0, 3), (1, "m", 0.0, 4)], "env_idx long, model_id string, score double, num_actions int")
     with pytest.raises(Exception, match="duplicate"):
         MT.model_pivot(sm, "env_idx", "model_id", ["m"]).collect()
+    two = spark.createDataFrame([(1, "m", 1.0, 3), (2, "q", 0.0, 4)], "env_idx long, model_id string, score double, num_actions int")
+    with pytest.raises(Exception, match="outside the list"):
+        MT.model_pivot(two, "env_idx", "model_id", ["m"]).collect()
+    assert MT.model_pivot(two, "env_idx", "model_id").columns == ["env_idx", "score_m", "num_actions_m", "score_q", "num_actions_q"]
     ok = spark.createDataFrame([(1, "m", 1.0, 3), (1, "n", 0.0, 4)], "env_idx long, model_id string, score double, num_actions int")
     assert MT.model_pivot(ok, "env_idx", "model_id", ["m", "n"]).first() == (1, 1.0, 3, 0.0, 4)
 

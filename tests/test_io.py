@@ -114,11 +114,12 @@ def test_stream_resume_exactly_once(spark, tmp_path):
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     first = spark.createDataFrame([(1, None, 1, "click", 1.0, "{}"), (2, None, 1, "view", 2.0, "{}")], schema)
     first.write.mode("append").parquet(src)
-    out1 = ST.run_to_sink(ST.counter_stream(ST.file_stream(spark, src, ST.EVENTS)), "t", checkpoint=ckpt)
+    run = lambda: ST.run_to_sink(ST.counter_stream(ST.file_stream(spark, src, ST.EVENTS)), "t", ["action"], checkpoint=ckpt)
+    out1 = run()
     assert {r.action: r.n for r in out1.collect()} == {"click": 1, "view": 1}
     spark.createDataFrame([(3, None, 2, "click", 1.0, "{}")], schema).write.mode("append").parquet(src)
-    out2 = ST.run_to_sink(ST.counter_stream(ST.file_stream(spark, src, ST.EVENTS)), "t", checkpoint=ckpt)
-    assert {r.action: r.n for r in out2.collect()} == {"click": 2, "view": 1}
+    assert {r.action: r.n for r in run().collect()} == {"click": 2, "view": 1}
+    assert {r.action: r.n for r in run().collect()} == {"click": 2, "view": 1}  # nothing new
 
 
 def test_split_sink_training_scan_and_append(spark, tmp_path):
@@ -212,9 +213,22 @@ def test_running_summary_updates_incrementally(spark, tmp_path):
     t = datetime.datetime(2024, 1, 1)
     spark.createDataFrame([(1, t, 7, "view", 1.0, "{}"), (2, t + datetime.timedelta(seconds=1), 7, "click", 2.0, "{}")],
                           schema).write.mode("append").parquet(src)
-    out1 = ST.run_to_sink(ST.summary_stream(ST.file_stream(spark, src, ST.EVENTS)), "s", checkpoint=ckpt)
+    out1 = ST.run_to_sink(ST.summary_stream(ST.file_stream(spark, src, ST.EVENTS)), "s", ["episode_id"], checkpoint=ckpt)
     assert [(r.episode_id, r.num_actions, r.score) for r in out1.collect()] == [(7, 2, 2.0)]
     spark.createDataFrame([(3, t + datetime.timedelta(seconds=2), 7, "purchase", 9.0, "{}"),
                            (4, t, 8, "view", 4.0, "{}")], schema).write.mode("append").parquet(src)
-    out2 = ST.run_to_sink(ST.summary_stream(ST.file_stream(spark, src, ST.EVENTS)), "s", checkpoint=ckpt)
+    out2 = ST.run_to_sink(ST.summary_stream(ST.file_stream(spark, src, ST.EVENTS)), "s", ["episode_id"], checkpoint=ckpt)
     assert sorted((r.episode_id, r.num_actions, r.score) for r in out2.collect()) == [(7, 3, 9.0), (8, 1, 4.0)]
+
+
+def test_table_stream_reads_one_file_or_a_folder(spark, tmp_path):
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    rows = spark.createDataFrame([(i, None, 1, "click", 1.0, "{}") for i in range(5)], schema)
+    rows.repartition(3).write.parquet(str(tmp_path / "a" / "events.parquet"))
+    part = next((tmp_path / "a" / "events.parquet").glob("part-*"))
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "events.parquet").write_bytes(part.read_bytes())
+    n = spark.read.parquet(str(part)).count()
+    for folder, want in (("a", 5), ("b", n)):
+        got = ST.run_to_sink(ST.counter_stream(ST.table_stream(spark, str(tmp_path / folder), "events", ST.EVENTS)), "t", ["action"])
+        assert [tuple(r) for r in got.collect()] == [("click", want)]
