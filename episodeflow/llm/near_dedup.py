@@ -94,6 +94,21 @@ def joint_similarity(more: np.ndarray, less: np.ndarray, n_u: np.ndarray, n_v: n
     return (lo + hi) / 2
 
 
+def likely(more: np.ndarray, less: np.ndarray, n_u: np.ndarray, n_v: np.ndarray, goal: float) -> np.ndarray:
+    """Is the maximum-likelihood similarity at least ``goal``?
+
+    The likelihood is concave, so it is if its slope at ``goal`` is not negative.
+    """
+    u = n_u / (n_u + n_v)
+    v = 1.0 - u
+    c = (BASE - 1.0) / BASE
+    a, b = np.clip(u - v * goal, 1e-12, None), np.clip(v - u * goal, 1e-12, None)
+    pa_, pb = -np.log1p(-a * c) / np.log(BASE), -np.log1p(-b * c) / np.log(BASE)
+    da, db = c / (np.log(BASE) * (1 - a * c)), c / (np.log(BASE) * (1 - b * c))
+    slope = (REGISTERS - more - less) * (v * da + u * db) / np.clip(1 - pa_ - pb, 1e-12, None) - more * v * da / pa_ - less * u * db / pb
+    return (slope >= 0) & (np.minimum(u / v, v / u) >= goal)
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, n, c1, c2, sig``: distinct shingles, hashes of the word sequence, registers."""
 
@@ -159,45 +174,51 @@ def task_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def promising(t: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, j) of a task worth confirming and their estimates, best first.
+def promising(t: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of a task worth confirming, those with most equal registers first.
 
     A pair counts in the first band it shares, if its components differ, at least one side is
     outside the bucket's main component, and size and likelihood allow the threshold.
     """
     sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-    n, comp = t["n"].to_numpy().astype(np.float64), t["comp"].to_numpy()
+    n, comp = t["n"].to_numpy(), t["comp"].to_numpy()
     band, block, main = t["band"][0].as_py(), t["block"].to_numpy(), t["main"].to_numpy()
     ids = t["rep"].to_numpy()
     one = bool((block == block[0]).all() and (main == main[0]).all())
-    side = np.zeros(len(n), bool) if one else (block != block[0]) | (main != main[0])
+    side = (block != block[0]) | (main != main[0])
     left, right = (np.arange(len(n)),) * 2 if one else (np.flatnonzero(~side), np.flatnonzero(side))
-    found = [], [], []
-    for i in left:
-        js = right[right > i] if one else right
-        small, big = np.minimum(n[i], n[js]), np.maximum(n[i], n[js])
-        js = js[(comp[js] != comp[i]) & (ids[js] != ids[i]) & (den * small >= num * big)]
-        if not len(js):
+    goal = num / den
+    least = goal - MARGIN * np.sqrt(goal * (1 - goal) / REGISTERS)
+    found = []
+    step = max(1, 40_000 // max(len(right), 1))
+    for at in range(0, len(left), step):
+        x, y = left[at: at + step, None], right[None, :]
+        ok = (comp[x] != comp[y]) & (ids[x] != ids[y]) & (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y]))
+        if one:
+            ok &= x < y
+        i, j = np.nonzero(ok)
+        i, j = i + at, j
+        i, j = left[i], right[j]
+        if not len(i):
             continue
-        equal = sig[js] == sig[i]
-        first = equal.reshape(len(js), BANDS, ROWS).all(-1).argmax(-1) == band
-        js, equal = js[first], equal[first]
-        if len(js):
-            more = (sig[i] > sig[js]).sum(-1)
-            est = joint_similarity(more, REGISTERS - equal.sum(-1) - more, n[i], n[js])
-            goal = num / den
-            ok = est >= goal - MARGIN * np.sqrt(goal * (1 - goal) / REGISTERS)
-            for out, x in zip(found, (np.full(int(ok.sum()), i), js[ok], est[ok])):
-                out.append(x)
-    a, b, e = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
-    best = np.argsort(-e, kind="stable")
-    return a[best].astype(int), b[best].astype(int), e[best]
+        equal = sig[i] == sig[j]
+        first = equal.reshape(len(i), BANDS, ROWS).all(-1).argmax(-1) == band
+        i, j, equal = i[first], j[first], equal[first]
+        same = equal.sum(-1)
+        more = (sig[i] > sig[j]).sum(-1)
+        good = likely(more, REGISTERS - same - more, n[i].astype(float), n[j].astype(float), least)
+        found.append((i[good], j[good], same[good]))
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int)
+    a, b, same = (np.concatenate(x) for x in zip(*found))
+    best = np.argsort(-same, kind="stable")
+    return a[best], b[best]
 
 
 def _needed(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in task_groups(batches):
-            a, b, _ = promising(t, num, den)
+            a, b = promising(t, num, den)
             if len(a):
                 yield from t.take(pa.array(np.unique(np.concatenate([a, b])))).combine_chunks().to_batches()
     return run
@@ -206,7 +227,7 @@ def _needed(num: int, den: int):
 def _confirm_blocks(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in task_groups(batches):
-            a, b, _ = promising(t, num, den)
+            a, b = promising(t, num, den)
             if not len(a):
                 continue
             (_, data, offsets), = passes(t.select(["text"]).combine_chunks().to_batches()[0], "text", 1 << 62)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from episodeflow.llm import near_dedup
-from episodeflow.llm.near_dedup import REGISTERS, joint_similarity, near_duplicates, registers
+from episodeflow.llm.near_dedup import REGISTERS, joint_similarity, likely, near_duplicates, registers
 
 
 def shingles(text):
@@ -101,3 +101,12 @@ def test_registers_are_mergeable_and_estimate():
         est = joint_similarity(np.array([(su > sv).sum()]), np.array([(su < sv).sum()]), np.array([float(len(u))]), np.array([float(len(v))]))[0]
         j = both / 3000
         assert abs(est - j) < 4.5 * np.sqrt(j * (1 - j) / REGISTERS)
+
+
+def test_likely_is_the_estimate_against_a_goal():
+    rng = np.random.default_rng(4)
+    more, less = rng.integers(0, 30, 400), rng.integers(0, 30, 400)
+    u, v = rng.integers(50, 200, 400).astype(float), rng.integers(50, 200, 400).astype(float)
+    est = joint_similarity(more, less, u, v)
+    for goal in (0.5, 0.61, 0.85):
+        assert (likely(more, less, u, v, goal) == (est >= goal))[np.abs(est - goal) > 1e-3].all()
