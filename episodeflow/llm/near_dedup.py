@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = (mates.join(leaders, ["band", "key"]).filter("rep <> -top.neg").groupBy("rep").agg(F.max("top").alias("top"))
              .select((-F.col("top.neg")).alias("a"), F.col("rep").alias("b")))
     texts = land(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-                 .join(fame.select(F.col("rep").alias("id")), "id", "left_semi"), "mate-texts")
+                 .join(fame.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi"), "mate-texts")  # one plan at every size
     links = land(confirmed(stars, texts, num, den), "star-links")
     comp = components(links)
 
