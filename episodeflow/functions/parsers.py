@@ -26,11 +26,6 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(PY_WHITESPACE))
 
 
-def search_group(text: Column, pattern: str, group: int = 1) -> tuple[Column, Column]:
-    """(matched?, group text) of the first match; group is '' when absent."""
-    return text.rlike(pattern), F.regexp_extract(text, pattern, group)
-
-
 # Answer markers of the plain and corrected dialects.
 REASON, ACTION = "REASON:", "ACTION:"
 C_REASON, C_ACTION = "CORRECTED_REASON:", "CORRECTED_ACTION:"
@@ -86,7 +81,7 @@ def parse_shop(text: Column) -> tuple[Column, Column]:
 def parse_shell(text: Column) -> tuple[Column, Column]:
     """Literal backslash-n becomes a newline; a closed fenced block after ACTION: wins."""
     t = F.replace(text, F.lit("\\n"), F.lit("\n"))
-    fence = f"(?s){ACTION}{WS}*```(?:[a-zA-Z]*)?{WS}*(.*?){WS}*```"
+    fence = f"(?s){ACTION}{WS}*```[a-zA-Z]*{WS}*(.*?){WS}*```"
     # The fence regex only runs on texts that contain a fence at all.
     hit = F.contains(t, F.lit("```")) & t.rlike(fence)
     action = F.when(hit, strip(F.regexp_extract(t, fence, 1))).otherwise(_line_action(t, ACTION))
@@ -126,13 +121,10 @@ def get_parser(name: str) -> Callable[[Column], tuple[Column, Column]]:
 
 # --- R6/R7: fenced JSON block and repair --------------------------------------
 
-JSON_FENCE = "```json\\n([\\s\\S]*?)\\n```"
-
-
 def json_block(text: Column) -> Column:
     """First block between a json fence line and a closing fence line, else null.
 
-    The span of ``JSON_FENCE``'s first match, found with ``instr``/``locate``.
+    The first opening line and the first closing line after it, found with ``instr``/``locate``.
     """
     opening = "```json\n"
     p1 = F.instr(text, opening)

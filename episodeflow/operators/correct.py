@@ -122,6 +122,65 @@ def correction_merge(steps: DataFrame, answers: DataFrame, key: str = "episode_i
     return teacher_flag(merged).drop("_rollout_has_cands")
 
 
+def _last_value(m: Column, key: str) -> Column:
+    """Value of a key of a parsed object; of a repeated key the last, as in Python."""
+    hits = F.filter(F.map_entries(m), lambda e: e["key"] == F.lit(key))
+    return F.get(hits, F.size(hits) - 1)["value"]
+
+
+def parse_corrections(responses: DataFrame, text: str = "response") -> DataFrame:
+    """R6 -> R7 -> R8 -> X21: adds ``fault`` (null if usable), ``summary`` and ``answer`` (array of text maps)."""
+    from episodeflow.functions import parsers as R
+    from episodeflow.operators.responses import json_valid
+
+    one = F.concat(F.lit("["), R.strip(F.col("_fixed")), F.lit("]"))
+    top = F.get(F.from_json(one, "array<map<string,string>>"), 0)
+    rows = (responses.withColumn("_block", R.json_block(F.col(text)))
+                     .withColumn("_fixed", R.json_repair(F.col("_block")))
+                     .withColumn("_ok", json_valid(F.col("_fixed")))
+                     .withColumn("_top", F.when(F.col("_ok"), top))
+                     .withColumn("answer", F.from_json(_last_value(F.col("_top"), "trajectory"), "array<map<string,string>>")))
+    has = lambda k: F.coalesce(F.map_contains_key("_top", k), F.lit(False))
+    fault = (F.when(F.col("_block").isNull(), F.lit("no_block")).when(~F.col("_ok"), F.lit("invalid_json"))
+              .when(~has("summary"), F.lit("missing summary"))
+              .when(F.col("answer").isNull() | F.exists("answer", lambda m: m.isNull()), F.lit("missing trajectory")))
+    return (rows.withColumn("fault", fault).withColumn("summary", _last_value(F.col("_top"), "summary"))
+                .drop("_block", "_fixed", "_ok", "_top"))
+
+
+#: Keys that an answer may carry for a step.
+ANSWER_KEYS = ("corrected_reason", "corrected_action", "original_observation", "original_reason", "original_action",
+               "candidate_actions", "is_corrected")
+
+
+def correct_job(responses: DataFrame, steps: DataFrame, retries: int = 3, key: str = "episode_id",
+                required: Iterable[str] = ("corrected_reason", "corrected_action")) -> tuple[DataFrame, DataFrame]:
+    """The correction job: answers (key, attempt, response) and rollout steps -> corrections and rejects.
+
+    Parse (R6-R8), guard (X21, R12), first usable attempt within the retry
+    budget (W6), merge with the rollout (J3, R13). A reject names the fault of
+    the last attempt; an episode without an answer is a reject too.
+    """
+    parsed = parse_corrections(responses).where(F.col("attempt") <= F.lit(int(retries)))
+    lengths = steps.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    fault = F.when(F.col("fault").isNotNull(), F.col("fault")).when(F.size("answer") != F.col("_n"), F.lit("length mismatch"))
+    for k in required:
+        fault = fault.when(F.exists("answer", lambda m: ~F.map_contains_key(m, k)), F.lit(f"missing {k}"))
+    judged = parsed.join(lengths, key).withColumn("fault", fault)
+    usable = F.when(F.col("fault").isNull(), F.col("attempt"))
+    tries = judged.groupBy(key).agg(F.min(usable).alias("attempt"), F.max_by("fault", "attempt").alias("fault"))
+    good = judged.select(key, "attempt", "summary", "answer").join(tries.select(key, "attempt"), [key, "attempt"])
+    rows = good.select(key, F.posexplode("answer").alias("step", "m"))
+    answers = rows.select(key, F.col("step").cast("int").alias("step"),
+                          *[F.map_contains_key("m", k).alias(f"has_{k}") for k in ANSWER_KEYS],
+                          *[_last_value(F.col("m"), k).alias(k) for k in ANSWER_KEYS[:5]],
+                          F.from_json(_last_value(F.col("m"), "candidate_actions"), "array<string>").alias("candidate_actions"),
+                          _last_value(F.col("m"), "is_corrected").try_cast("boolean").alias("is_corrected"))
+    merged = correction_merge(steps, answers, key).join(good.select(key, "attempt", "summary"), key)
+    failed = lengths.join(tries, key, "left").where(F.col("attempt").isNull())
+    return merged, failed.select(key, F.coalesce("fault", F.lit("no answer")).alias("reject_reason"))
+
+
 def teacher_flag(df: DataFrame) -> DataFrame:
     """Answer has is_corrected and its action is not a candidate -> false; else unchanged."""
     not_cand = ~F.coalesce(F.array_contains(F.col("candidate_actions"), F.col("corrected_action")), F.lit(False))

@@ -27,6 +27,9 @@ DEFAULT_INPUT = (
     "    \"candidate_actions\": {candidates}\n}}\n\n"
     "Answer with REASON: and ACTION:."
 )
+# The teacher's variant: the same input with the privileged state of the task.
+PRIVILEGED_INPUT = DEFAULT_INPUT.replace(
+    "\n\nAnswer with", "\n\nPrivileged state (do not quote it):\n{privileged_state}\n\nAnswer with")
 
 
 @dataclass(frozen=True)
@@ -76,6 +79,8 @@ def prompt_slots(steps: DataFrame, history: str = "history",
         "history": hist,
         "observation": shown(F.col("observation")),
         "candidates": cands,
+        # The state joined by ``correct.state_lookup``; without one the slot is empty.
+        "privileged_state": F.coalesce(F.col("state"), F.lit("")) if "state" in steps.columns else F.lit(""),
     }
 
 
@@ -127,18 +132,17 @@ def pref_rows(steps: DataFrame, template: Template = Template(),
 def teacher_request(steps: DataFrame, state: Column | None = None,
                     system_text: str = "You correct the steps of a student agent.",
                     user_template: str = "Trajectory:\n{trajectory}\n\nPrivileged state:\n{state}",
-                    key: str = "episode_id") -> DataFrame:
+                    key: str = "episode_id",
+                    fields: tuple[str, ...] = ("observation", "candidate_actions", "reason", "action")) -> DataFrame:
     """P5: one request per episode: system message + user message with the trajectory text.
 
-    Each step's text is rendered on its own row; the per-episode list is a
+    ``fields`` are the step's fields after its ``timestep``; the annotation
+    job shows only observation and action. Each step's text is rendered on its own row; the per-episode list is a
     grouped ``collect_list`` of those strings, sorted by step.
     """
-    item = F.concat(
-        F.lit("{'timestep': "), F.col("step").cast("string"),
-        F.lit(", 'observation': "), py_str_of("observation"),
-        F.lit(", 'candidate_actions': "), py_list_of("candidate_actions"),
-        F.lit(", 'reason': "), py_str_of("reason"),
-        F.lit(", 'action': "), py_str_of("action"), F.lit("}"))
+    shown_as = [py_list_of(f) if f == "candidate_actions" else py_str_of(f) for f in fields]
+    item = F.concat(F.lit("{'timestep': "), F.col("step").cast("string"),
+                    *[x for f, c in zip(fields, shown_as) for x in (F.lit(f", '{f}': "), c)], F.lit("}"))
     rows = steps.select(key, F.struct("step", item.alias("t")).alias("_i"),
                         *([state.alias("_st")] if state is not None else []))
     grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list("_i")).alias("_steps"),
@@ -207,6 +211,11 @@ def chat_render(rows: DataFrame, layout: ChatLayout = ChatLayout()) -> DataFrame
     return rows.withColumn("text", F.concat(chat_text(F.col("prompt"), layout), chat_text(resp, layout)))
 
 
+def pref_chat_render(rows: DataFrame, layout: ChatLayout = ChatLayout()) -> DataFrame:
+    """P8 for preference rows: prompt, chosen and rejected each become their chat text."""
+    return rows.withColumns({c: chat_text(F.col(c), layout) for c in ("prompt", "chosen", "rejected")})
+
+
 def completion_span(text: Column, marker: str = RESPONSE_MARKER) -> tuple[Column, Column]:
     """(start, length) of the trained part: everything after the first marker; 0 if absent."""
     pos = F.instr(text, marker)

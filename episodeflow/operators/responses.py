@@ -73,8 +73,3 @@ def trajectory_answers(df: DataFrame, text: str = "response") -> DataFrame:
          .when(~json_valid(fixed), F.lit("invalid_json"))
          .when(~ok, F.lit("not_a_list_of_objects")).otherwise(F.lit("ok")).alias("status"),
     )
-
-
-def split_status(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with status ok, and the reject table (everything else)."""
-    return df.where(F.col("status") == "ok"), df.where(F.col("status") != "ok")

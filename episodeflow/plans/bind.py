@@ -302,3 +302,39 @@ def scored_episodes(events: DataFrame) -> DataFrame:
     return events.groupBy(F.col("user_id").alias("episode_id")).agg(
         F.count(F.lit(1)).alias("n_steps"),
         F.max_by("value", seq_key(F.col("ts"), F.col("event_id"))).alias("last_score"))
+
+
+def correction_responses(steps: DataFrame) -> DataFrame:
+    """Fenced JSON answers of a teacher for text steps: ``episode_id, attempt, response``.
+
+    Rules, by episode_id: % 13 = 5 has no answer; % 11 = 3 only cut-off JSON
+    (three attempts); % 11 = 4 an answer without a block first, then a good
+    one; % 11 = 5 no summary; % 5 = 1 (and more than one step) lacks the last
+    step; % 7 = 2 lacks ``corrected_action`` at step 0; % 3 = 0 has that key
+    with another value before it (the last one counts). ``original_reason`` is
+    there on even steps, ``is_corrected`` where the step has one.
+    """
+    from episodeflow.functions.pytext import json_str
+
+    def pair(k: str, v: Column) -> Column:
+        return F.concat(F.lit(f'"{k}": '), v)
+
+    e, s = F.col("episode_id"), F.col("step")
+    parts = F.filter(F.array(
+        pair("corrected_reason", json_str(F.col("corrected_reason"))),
+        F.when((e % 3 == 0) & (s == 0), pair("corrected_action", F.lit('"zzz"'))),
+        F.when(~((e % 7 == 2) & (s == 0)), pair("corrected_action", json_str(F.col("corrected_action")))),
+        F.when(s % 2 == 0, pair("original_reason", json_str(F.col("reason")))),
+        F.when(F.col("is_corrected").isNotNull(), pair("is_corrected", F.col("is_corrected").cast("string")))),
+        lambda x: x.isNotNull())
+    item = F.concat(F.lit("{"), F.array_join(parts, ", "), F.lit("}"))
+    per = steps.select("episode_id", F.struct("step", item.alias("j")).alias("i")).groupBy("episode_id").agg(
+        F.array_sort(F.collect_list("i")).alias("l"))
+    items = F.when((e % 5 == 1) & (F.size("l") > 1), F.slice("l", F.lit(1), F.greatest(F.size("l") - 1, F.lit(1)))).otherwise(F.col("l"))
+    body = F.concat(F.lit("{"), F.when(e % 11 != 5, F.concat(F.lit('"summary": "episode '), e.cast("string"), F.lit('", '))).otherwise(F.lit("")),
+                    F.lit('"trajectory": ['), F.array_join(F.transform(items, lambda x: x["j"]), ", "),
+                    F.when(e % 11 == 3, F.lit("")).otherwise(F.lit("]}")))
+    fenced = F.concat(F.lit("Sure.\n```json\n"), body, F.lit("\n```"))
+    out = per.where(e % 13 != 5).withColumn("attempt", F.explode(
+        F.when(e % 11 == 3, F.sequence(F.lit(1), F.lit(3))).when(e % 11 == 4, F.sequence(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    return out.select("episode_id", "attempt", F.when((e % 11 == 4) & (F.col("attempt") == 1), F.lit("I cannot.")).otherwise(fenced).alias("response"))

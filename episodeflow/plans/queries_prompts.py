@@ -50,6 +50,25 @@ def q_prompt_build(spark, sf_dir):
     return P.prompt_build(history_steps(spark, sf_dir), TPL).select("episode_id", "step", "prompt")
 
 
+PRIVILEGED = P.Template(input=P.PRIVILEGED_INPUT)
+PRIVILEGED_SQL = Q.render(PRIVILEGED.input, {
+    "task": "coalesce(task, '')",
+    "history": Q.history_text("history"),
+    "observation": Q.shown("observation"),
+    "candidates": f"CASE WHEN candidate_actions IS NULL THEN '' ELSE {Q.py_list('candidate_actions')} END",
+    "privileged_state": "coalesce(state, '')",
+})
+
+
+@register("privileged_prompt", ids=("P1", "J1"), sql=Q.with_(Q.TEXT_STEPS, HIST_CTE, Q.STATE) + f"""
+SELECT episode_id, step, {PRIVILEGED_SQL} AS prompt
+FROM (SELECT h.*, s.state FROM hsteps h LEFT JOIN state s ON s.id = CAST(h.episode_id AS VARCHAR))""")
+def q_privileged_prompt(spark, sf_dir):
+    from episodeflow.operators.correct import state_lookup
+    st = state_lookup(history_steps(spark, sf_dir), bind.state_table(bind.Tables(spark, sf_dir).supplier), "episode_id")
+    return P.prompt_build(st, PRIVILEGED).select("episode_id", "step", "prompt")
+
+
 @register("response_build", ids=("P2",), sql=Q.with_(Q.TEXT_STEPS) + f"""
 SELECT episode_id, step, {RESPONSE_SQL} AS response FROM tsteps""")
 def q_response_build(spark, sf_dir):
@@ -93,10 +112,7 @@ def q_pref_rows(spark, sf_dir):
         F.col("chosen")[0]["content"].alias("chosen"), F.col("rejected")[0]["content"].alias("rejected"), "quality")
 
 
-_REQ_ITEM = ("'{''timestep'': ' || CAST(step AS VARCHAR) || ', ''observation'': ' || " + Q.py_str("observation")
-             + " || ', ''candidate_actions'': ' || " + Q.py_list("candidate_actions")
-             + " || ', ''reason'': ' || " + Q.py_str("reason") + " || ', ''action'': ' || " + Q.py_str("action")
-             + " || '}'")
+_REQ_ITEM = Q.request_item()
 SYSTEM_TEXT = "You correct the steps of a student agent."
 
 
@@ -114,6 +130,22 @@ def q_teacher_request(spark, sf_dir):
                       F.col("messages")[1]["content"].alias("user_content"))
 
 
+ANNOTATE_TEXT = "You write the reason behind each action."
+_ANN_ITEM = ("'{''timestep'': ' || CAST(step AS VARCHAR) || ', ''observation'': ' || " + Q.py_str("observation")
+             + " || ', ''action'': ' || " + Q.py_str("action") + " || '}'")
+
+
+@register("annotation_request", ids=("P5", "F11"), sql=Q.with_(Q.TEXT_STEPS) + f"""
+SELECT episode_id, '{ANNOTATE_TEXT}' AS system_content,
+       'Trajectory:' || chr(10) || '[' || string_agg({_ANN_ITEM}, ', ' ORDER BY step) || ']' AS user_content
+FROM tsteps GROUP BY episode_id""")
+def q_annotation_request(spark, sf_dir):
+    st = bind.text_steps(bind.Tables(spark, sf_dir).conversations)
+    req = P.teacher_request(st, system_text=ANNOTATE_TEXT, user_template="Trajectory:\n{trajectory}", fields=("observation", "action"))
+    return req.select("episode_id", F.col("messages")[0]["content"].alias("system_content"),
+                      F.col("messages")[1]["content"].alias("user_content"))
+
+
 @register("goal_state_text", ids=("P6", "U4", "M11"), sql=Q.with_(Q.GOALS) + f"""
 SELECT idx, 'Instruction: ' || instruction || chr(10) || 'Attributes: ' || {Q.py_list('attributes')} || chr(10) ||
        'Price upper limit: ' || printf('%.2f', price_upper) || chr(10) || 'Options: []' || chr(10) ||
@@ -155,6 +187,22 @@ def q_chat_render(spark, sf_dir):
     return chat_frame(spark, sf_dir).select("episode_id", "step", "text")
 
 
+def _chat_sql(role: str, content: str) -> str:
+    return f"({Q.lit(_PRE)} || '{role}' || {Q.lit(_POST)} || {content} || {Q.lit(LAYOUT.end)})"
+
+
+CHOSEN_SQL = Q.render(TPL.output, {"reason": Q.shown("corrected_reason"), "action": Q.shown("corrected_action")})
+
+
+@register("pref_chat_render", ids=("P8", "P4"), sql=Q.with_(Q.TEXT_STEPS, HIST_CTE) + f"""
+SELECT episode_id, step, {_chat_sql('user', PROMPT_SQL)} AS prompt, {_chat_sql('assistant', CHOSEN_SQL)} AS chosen,
+       {_chat_sql('assistant', RESPONSE_SQL)} AS rejected
+FROM hsteps WHERE is_corrected IS DISTINCT FROM false""")
+def q_pref_chat_render(spark, sf_dir):
+    rows = P.pref_rows(S.uncorrected_skip(history_steps(spark, sf_dir)), TPL)
+    return P.pref_chat_render(rows, LAYOUT)
+
+
 @register("completion_span", ids=("P9",), sql=Q.with_(Q.TEXT_STEPS, HIST_CTE) + f""",
 c AS (SELECT episode_id, step, {CHAT_SQL} AS text FROM hsteps WHERE is_corrected IS DISTINCT FROM false)
 SELECT episode_id, step,
@@ -266,11 +314,13 @@ def q_zip_demo(spark, sf_dir):
 # --- P5 (state-extraction variant) with X3 JSON text --------------------------
 
 EXTRACT_SYSTEM = "You read a trajectory and write down the hidden state it reveals."
-EXTRACT_KEYS = ("observation", "candidate_actions", "reason", "action")
 _EXTRACT_ITEM = ("'{\"observation\": ' || " + Q.json_str("observation")
                  + " || ', \"candidate_actions\": ' || " + Q.json_list("candidate_actions")
                  + " || ', \"reason\": ' || " + Q.json_str("reason")
-                 + " || ', \"action\": ' || " + Q.json_str("action") + " || '}'")
+                 + " || ', \"action\": ' || " + Q.json_str("action")
+                 + " || ', \"is_corrected\": ' || coalesce(CAST(is_corrected AS VARCHAR), 'null')"
+                 + " || ', \"corrected_reason\": ' || " + Q.json_str("corrected_reason")
+                 + " || ', \"corrected_action\": ' || " + Q.json_str("corrected_action") + " || '}'")
 
 
 @register("extraction_request", ids=("P5", "X3"), sql=Q.with_(Q.TEXT_STEPS) + f""",
@@ -284,8 +334,9 @@ def q_extraction_request(spark, sf_dir):
     item = F.struct("step", json_dict([
         ("observation", F.col("observation")),
         ("candidate_actions", json_list(F.col("candidate_actions"), json_str)),
-        ("reason", F.col("reason")), ("action", F.col("action"))],
-        kinds={"candidate_actions": "raw"}).alias("j"))
+        ("reason", F.col("reason")), ("action", F.col("action")), ("is_corrected", F.col("is_corrected")),
+        ("corrected_reason", F.col("corrected_reason")), ("corrected_action", F.col("corrected_action"))],
+        kinds={"candidate_actions": "raw", "is_corrected": "raw"}).alias("j"))  # every key of a step
     per_ep = st.groupBy("episode_id").agg(F.array_sort(F.collect_list(item)).alias("_s"))
     traj = F.concat(F.lit("["), F.array_join(F.transform("_s", lambda x: x["j"]), ", "), F.lit("]"))
     return per_ep.select("episode_id", F.lit(EXTRACT_SYSTEM).alias("system_content"),

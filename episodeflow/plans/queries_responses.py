@@ -30,7 +30,7 @@ def _s_clean(x: str) -> str:
 
 
 def _s_shell_action(t: str) -> str:
-    pat = f"'(?s)ACTION:{WS}*```(?:[a-zA-Z]*)?{WS}*(.*?){WS}*```'"
+    pat = f"'(?s)ACTION:{WS}*```[a-zA-Z]*{WS}*(.*?){WS}*```'"
     return (f"(CASE WHEN regexp_matches({t}, {pat}) THEN trim(regexp_extract({t}, {pat}, 1), {WSC}) "
             f"ELSE {_s_line(t)} END)")
 
@@ -269,3 +269,72 @@ def q_candidate_check(spark, sf_dir):
     return st.select("episode_id", "step",
                      C.candidate_check(F.col("corrected_action"), F.col("candidate_actions")).alias("in_candidates"),
                      F.size("candidate_actions").cast("long").alias("n_candidates"))
+
+
+# --- the correction job from fenced answers to corrections and rejects --------
+
+def _s_parsed(x: str) -> str:
+    """A text after json.dumps, the repair rules and parsing (repair keeps the escapes as text)."""
+    s = f"replace({Q.json_str(x)}, '\\\"', '''')"
+    s = f"regexp_replace({s}, '{WS}+', ' ', 'g')"
+    s = f"regexp_replace({s}, ',{WS}*}}', '}}', 'g')"
+    s = f"regexp_replace({s}, ',{WS}*]', ']', 'g')"
+    return f"regexp_replace({s}, '^\"|\"$', '', 'g')"
+
+
+CORRECT_SQL = Q.with_(Q.TEXT_STEPS) + """,
+eps AS (SELECT episode_id, count(*) AS n FROM tsteps GROUP BY episode_id),
+verdicts AS (SELECT episode_id, CASE WHEN episode_id % 13 = 5 THEN 'no answer' WHEN episode_id % 11 = 3 THEN 'invalid_json'
+       WHEN episode_id % 11 = 5 THEN 'missing summary' WHEN episode_id % 5 = 1 AND n > 1 THEN 'length mismatch'
+       WHEN episode_id % 7 = 2 AND episode_id % 3 <> 0 THEN 'missing corrected_action' END AS reject_reason FROM eps)"""
+
+
+def _correct(spark, sf_dir):
+    st = bind.text_steps(bind.Tables(spark, sf_dir).conversations)
+    return C.correct_job(bind.correction_responses(st), st, 3)
+
+
+@register("correct_pipeline", ids=("J3", "R6", "R7", "R8", "R12", "R13", "W6", "X21"), sql=CORRECT_SQL + f""",
+c AS (SELECT t.*, {_s_parsed('t.corrected_reason')} AS cr,
+             CASE WHEN t.episode_id % 7 = 2 AND t.step = 0 THEN 'zzz' ELSE {_s_parsed('t.corrected_action')} END AS ca,
+             {_s_parsed('t.reason')} AS pr
+      FROM tsteps t JOIN verdicts v USING (episode_id) WHERE v.reject_reason IS NULL)
+SELECT episode_id, step, CASE WHEN episode_id % 11 = 4 THEN 2 ELSE 1 END AS attempt,
+       'episode ' || CAST(episode_id AS VARCHAR) AS summary, observation AS original_observation,
+       CASE WHEN step % 2 = 0 THEN pr ELSE reason END AS original_reason, action AS original_action,
+       cr AS corrected_reason, ca AS corrected_action, {Q.py_list('candidate_actions')} AS candidates_text,
+       CASE WHEN is_corrected IS NOT NULL AND NOT list_contains(candidate_actions, ca) THEN false ELSE is_corrected END AS is_corrected
+FROM c""")
+def q_correct_pipeline(spark, sf_dir):
+    good, _ = _correct(spark, sf_dir)
+    return good.select("episode_id", "step", "attempt", "summary", "original_observation", "original_reason", "original_action",
+                       "corrected_reason", "corrected_action", py_list_of("candidate_actions").alias("candidates_text"), "is_corrected")
+
+
+@register("correct_rejects", ids=("R12", "X21"), sql=CORRECT_SQL + """
+SELECT episode_id, reject_reason FROM verdicts WHERE reject_reason IS NOT NULL""")
+def q_correct_rejects(spark, sf_dir):
+    return _correct(spark, sf_dir)[1]
+
+
+def _trajectory_json(spark, sf_dir):
+    """A fenced JSON answer per conversation, with a fault of each kind by its number."""
+    from episodeflow.functions.pytext import json_dict
+    st = bind.text_steps(bind.Tables(spark, sf_dir).conversations)
+    item = F.struct("step", json_dict([("reason", F.col("reason")), ("action", F.col("action"))]).alias("j"))
+    per = st.groupBy("episode_id").agg(F.array_sort(F.collect_list(item)).alias("l"))
+    e = F.col("episode_id")
+    traj = F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["j"]), ", "), F.lit("]"))
+    body = (F.when(e % 5 == 1, F.lit('{"answer": 1}')).when(e % 5 == 2, F.lit('{"trajectory": ["text"]}'))
+             .otherwise(F.concat(F.lit('{"trajectory": '), traj, F.lit("}"))))
+    return per.select("episode_id", F.when(e % 5 == 3, F.lit("no block")).otherwise(
+        F.concat(F.lit("```json\n"), body, F.lit("\n```"))).alias("response"))
+
+
+@register("trajectory_answers", ids=("R9",), sql=Q.with_(Q.TEXT_STEPS) + """
+SELECT episode_id, CASE WHEN episode_id % 5 = 3 THEN 'no_block' WHEN episode_id % 5 IN (1, 2) THEN 'not_a_list_of_objects' ELSE 'ok' END AS status,
+       CAST(CASE WHEN episode_id % 5 IN (1, 2, 3) THEN 0 ELSE count(*) END AS INTEGER) AS n_steps
+FROM tsteps GROUP BY episode_id""")
+def q_trajectory_answers(spark, sf_dir):
+    rows = RS.trajectory_answers(_trajectory_json(spark, sf_dir))
+    return rows.select("episode_id", "status", F.greatest(F.coalesce(F.size("trajectory"), F.lit(0)), F.lit(0)).alias("n_steps"))

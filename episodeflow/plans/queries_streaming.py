@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from episodeflow.operators.generate import EchoGenerator, batch_generate
 from episodeflow.plans import bind
+from episodeflow.plans import sqlgen as Q
 from episodeflow.plans.registry import register
 from episodeflow.sources import sinks
 from episodeflow.streaming import stream as ST
 
+GEN_SYSTEM = "You correct the steps of a student agent."
+
 
 @register("stream_summary", ids=("ST1", "S12"), sql="""
 SELECT user_id AS episode_id, count(*) AS num_actions, arg_max(value, (ts, event_id)) AS score
@@ -58,10 +61,19 @@ def q_use_db(spark, sf_dir):
     return j.select("n_nationkey", F.concat(F.lit("use "), db, F.lit("; SELECT * FROM "), F.col("n_name")).alias("statement"))
 
 
-@register("batch_generate", ids=("R15", "U2", "W6"))
+_GEN_ITEM = Q.request_item()
+
+
+@register("batch_generate", ids=("R15", "U2", "W6"), sql=Q.with_(Q.TEXT_STEPS) + f""",
+r AS (SELECT episode_id, '[' || string_agg({_GEN_ITEM}, ', ' ORDER BY step) || ']' AS traj, max(task) AS task FROM tsteps GROUP BY episode_id),
+u AS (SELECT episode_id AS request_id, '{GEN_SYSTEM}' AS sys, length('Trajectory:' || chr(10) || traj || chr(10) || chr(10) ||
+             'Privileged state:' || chr(10) || {Q.shown('task')}) AS n FROM r),
+a AS (SELECT *, CAST(unnest(CASE WHEN n % 7 = 0 THEN [1, 2] ELSE [1] END) AS INTEGER) AS attempt FROM u),
+t AS (SELECT *, n % 7 <> 0 OR attempt = 2 AS ok, 'REASON: ' || sys || chr(10) || 'ACTION: ' || CAST(n AS VARCHAR) AS x FROM a)
+SELECT request_id, attempt, 'echo' AS model, CASE WHEN ok THEN x END AS text, CASE WHEN ok THEN length(sys) + n END AS prompt_tokens,
+       CASE WHEN ok THEN length(x) END AS completion_tokens, ok, CASE WHEN NOT ok THEN 'RuntimeError: overloaded' END AS error FROM t""")
 def q_batch_generate(spark, sf_dir):
     from episodeflow.operators import prompts as P
     st = bind.text_steps(bind.Tables(spark, sf_dir).conversations)
-    req = P.teacher_request(st, state=F.col("task")).select(
-        F.col("episode_id").alias("request_id"), F.col("messages")[1]["content"].alias("prompt"))
+    req = P.teacher_request(st, state=F.col("task"), system_text=GEN_SYSTEM).select(F.col("episode_id").alias("request_id"), "messages")
     return batch_generate(req, EchoGenerator, retries=3)

@@ -43,6 +43,6 @@ def load_all() -> dict[str, Spec]:
     """Import every query module so that the registry is filled."""
     from episodeflow.plans import (  # noqa: F401
         queries_joins, queries_metrics, queries_ordering, queries_prompts,
-        queries_responses, queries_select, queries_streaming,
+        queries_responses, queries_select, queries_sources, queries_streaming,
     )
     return REGISTRY

@@ -78,6 +78,14 @@ goals AS (
          p_retailprice AS price_upper, p_type AS category
   FROM part)"""
 
+def request_item() -> str:
+    """A step as a teacher request shows it (Python text of a dict)."""
+    return ("'{''timestep'': ' || CAST(step AS VARCHAR) || ', ''observation'': ' || " + py_str("observation")
+            + " || ', ''candidate_actions'': ' || " + py_list("candidate_actions")
+            + " || ', ''reason'': ' || " + py_str("reason") + " || ', ''action'': ' || " + py_str("action")
+            + " || '}'")
+
+
 HISTORY_ITEM = ("'{''observation'': ' || " + py_str("e.observation")
                 + " || ', ''action'': ' || " + py_str("e.action") + " || '}'")
 

@@ -185,23 +185,24 @@ def test_batch_generate_retries_and_pluggable_generator(spark):
     from episodeflow.operators.generate import batch_generate
 
     class FlakyFactory:
-        """Fails the first two calls for every prompt (deterministic, picklable)."""
+        """Garbled on the first attempt, then a raising call for one prompt (deterministic, picklable)."""
 
         def __call__(self):
-            seen = {}
-
-            def gen(prompt):
-                seen[prompt] = seen.get(prompt, 0) + 1
-                ok = seen[prompt] > 2
-                return ("ACTION: go" if ok else "garbled", 3, 2)
+            def gen(batch, attempt, temperature):
+                if attempt == 2 and any(m[-1]["content"] == "b" for m in batch):
+                    raise TimeoutError("slow")
+                return [("ACTION: go" if attempt > 1 else "garbled", len(m), 2) for m in batch]
             return gen
 
-    req = spark.createDataFrame([(1, "a"), (2, "b")], "request_id long, prompt string")
+    kind = "request_id string, messages array<struct<role:string,content:string>>"
+    req = spark.createDataFrame([("x1", [("system", "s"), ("user", "a")]), ("x2", [("user", "b")])], kind).coalesce(1)
     out = batch_generate(req, FlakyFactory(), retries=3)
-    rows = sorted((r.request_id, r.attempt, r.ok) for r in out.collect())
-    assert rows == [(1, 1, False), (1, 2, False), (1, 3, True), (2, 1, False), (2, 2, False), (2, 3, True)]
+    rows = sorted((r.request_id, r.attempt, r.ok, r.error, r.prompt_tokens) for r in out.collect())
+    assert rows == [("x1", 1, False, None, 2), ("x1", 2, True, None, 2), ("x2", 1, False, None, 1),
+                    ("x2", 2, False, "TimeoutError: slow", None), ("x2", 3, True, None, 1)]
     out2 = batch_generate(req, FlakyFactory(), retries=2)
-    assert {(r.request_id, r.ok) for r in out2.collect()} == {(1, False), (2, False)}
+    assert {(r.request_id, r.attempt, r.ok) for r in out2.collect()} == {("x1", 1, False), ("x1", 2, True), ("x2", 1, False), ("x2", 2, False)}
+    assert batch_generate(req.limit(0), FlakyFactory()).collect() == []
 
 
 def test_running_summary_updates_incrementally(spark, tmp_path):

@@ -37,4 +37,5 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle_but_row_checks():
-    assert set(QUERIES) - set(ORACLE) == {"batch_generate"}
+    # The training-data operators that SQL cannot express are tested against brute force in tests/llm.
+    assert {k for k in set(QUERIES) - set(ORACLE) if not k.startswith("op") and k != "pipeline"} == set()

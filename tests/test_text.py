@@ -1,7 +1,6 @@
-"""Python text form, parsers and JSON repair vs plain-Python re-derivations."""
+"""Python text form against repr and json.dumps; parsers and JSON repair against literal cases and properties."""
 
 import json
-import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -42,68 +41,78 @@ def test_json_str_equals_dumps(spark, values):
     assert _col(spark, values, json_str) == [json.dumps(v) for v in values]
 
 
-# Plain-Python re-derivations of the answer parsers (written for the tests).
-def py_parse(text, dialect):
-    if dialect in ("shell", "sql"):
-        text = text.replace("\\n", "\n")
-    r, a = ("CORRECTED_REASON:", "CORRECTED_ACTION:") if dialect == "corrected" else ("REASON:", "ACTION:")
-    m = re.search(rf"{r}\s*(.*?)\s*{a}", text, re.DOTALL)
-    reason = m.group(1).strip() if m else text
-    if dialect in ("shell", "sql"):
-        m2 = re.search(r"ACTION:\s*```(?:[a-zA-Z]*)?\s*(.*?)\s*```", text, re.DOTALL) or \
-            re.search(r"ACTION:\s*([^\n]+)", text, re.DOTALL)
-    else:
-        m2 = re.search(rf"{a}\s*([^\n]+)", text)
-    action = m2.group(1).strip() if m2 else ""
-    if dialect in ("game", "corrected"):
-        action = re.sub(r"[^a-z0-9 /]", "", action.lower())
-    if dialect == "sql":
-        action = action.split("\n", 1)[0]
-        if ";" in action:
-            action = action.split(";", 1)[0] + ";"
-    return reason, action
-
-
-FIXED = [
-    "no markers at all", "REASON: only a reason", "REASON: r\nACTION: go north\nACTION: second",
-    "REASON: r\nACTION:\n\n  open door  \nmore", "REASON: r\nACTION: ```bash\nls -la\ncd /\n```",
-    "REASON: r\nACTION: ```sql\nSELECT 1; SELECT 2;", "CORRECTED_REASON: x\nCORRECTED_ACTION: Take Apple!",
-    "REASON:\\nliteral newline\\nACTION: ls;rm", "REASON:\xa0\tpad\xa0\nACTION: Go\r\n", "ACTION:   \n",
-    "REASON: a ACTION: b", "",
+# dialect, answer, reason, action
+PARSED = [
+    ("game", "no markers at all", "no markers at all", ""),
+    ("game", "REASON: only a reason", "REASON: only a reason", ""),
+    ("game", "REASON: a ACTION: b", "a", "b"),
+    ("game", "REASON: r\nACTION: go north\nACTION: second", "r", "go north"),
+    ("game", "REASON: r\nACTION:\n\n  Open Door 1!  \nmore", "r", "open door 1"),
+    ("game", "CORRECTED_REASON: x\nCORRECTED_ACTION: Take Apple!", "x\nCORRECTED_", "take apple"),
+    ("game", "REASON:\xa0\tpad\xa0\nACTION: Go\r\n", "pad", "go"),
+    ("game", "ACTION:   \n", "ACTION:   \n", ""),
+    ("game", "", "", ""),
+    ("shop", "REASON: r\nACTION: Search[Red Shoe]", "r", "Search[Red Shoe]"),
+    ("shop", "REASON: one\nREASON: two\nACTION: click[x]\nmore", "one\nREASON: two", "click[x]"),
+    ("shell", "REASON: r\nACTION: ```bash\nls -la\ncd /\n```", "r", "ls -la\ncd /"),
+    ("shell", "REASON: r\nACTION: ``` ls ```", "r", "ls"),
+    ("shell", "REASON:\\nliteral newline\\nACTION: ls;rm", "literal newline", "ls;rm"),
+    ("shell", "REASON: r\nACTION: ```sql\nSELECT 1", "r", "```sql"),
+    ("sql", "REASON: r\nACTION: ```sql\nSELECT 1; SELECT 2\n```", "r", "SELECT 1;"),
+    ("sql", "REASON: r\nACTION: ```SELECT a\nFROM t;```", "r", "a"),
+    ("sql", "REASON: r\nACTION: SELECT a FROM t", "r", "SELECT a FROM t"),
+    ("corrected", "CORRECTED_REASON: x\nCORRECTED_ACTION: Take Apple!", "x", "take apple"),
+    ("corrected", "REASON: x\nACTION: y", "REASON: x\nACTION: y", ""),
 ]
 
 
-@settings(max_examples=12, deadline=None)
-@given(st.lists(TEXTS, min_size=1, max_size=25))
-def test_parsers_match_python(spark, values):
-    values = values + FIXED
-    for dialect in R.PARSERS:
-        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, s string")
-        r, a = R.get_parser(dialect)(F.col("s"))
-        got = [(x[0], x[1]) for x in df.orderBy("i").select(r, a).collect()]
-        assert got == [py_parse(v, dialect) for v in values], dialect
-
-
-def py_block(text):
-    m = re.search(r"```json\n([\s\S]*?)\n```", text)
-    return m.group(1) if m else None
+def _parsed(spark, dialect, values):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, s string")
+    return [tuple(r) for r in df.orderBy("i").select(*R.get_parser(dialect)(F.col("s"))).collect()]
 
 
-def py_repair(s):
-    s = s.replace('\\"', "'").replace("\\", "\\\\")
-    s = re.sub(r"\s+", " ", s)
-    s = re.sub(r",\s*}", "}", s)
-    return re.sub(r",\s*]", "]", s)
+def test_parsed_answers(spark):
+    for dialect in R.PARSERS:
+        mine = [row for row in PARSED if row[0] == dialect]
+        assert _parsed(spark, dialect, [row[1] for row in mine]) == [row[2:] for row in mine], dialect
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab {}\"\t\xa0é;`\n"), max_size=30), min_size=1, max_size=20))
+def test_parser_properties(spark, values):
+    plain = _parsed(spark, "shop", values)
+    assert plain == [(v, "") for v in values]  # no marker: the whole text is the reason
+    lines = [" ".join(v.split()) or "x" for v in values]
+    built = _parsed(spark, "shop", [f"REASON: {v}\nACTION: {v}\nACTION: other" for v in lines])
+    assert built == [(v, v) for v in lines]  # what was put in comes out; the first action counts
+    cut = _parsed(spark, "sql", [f"REASON: r\nACTION: {v}; second; third" for v in lines])
+    assert all(a.count(";") == 1 and a.endswith(";") for (_, a), v in zip(cut, lines) if not {"`", ";"} & set(v))
+
+
+# answer, block, repaired
+JSON_BLOCKS = [
+    ('x ```json\n{"a": 1,}\n``` y ```json\n{"b": 2}\n```', '{"a": 1,}', '{"a": 1}'),
+    ('```json\n{"t": [1, 2, ],\n "n": "l"}\n```', '{"t": [1, 2, ],\n "n": "l"}', '{"t": [1, 2], "n": "l"}'),
+    ('```json\n' + r'{"a": "q\"x\"", "b": "C:\d"}' + '\n```', r'{"a": "q\"x\"", "b": "C:\d"}', r"""{"a": "q'x'", "b": "C:\\d"}"""),
+    ('```json\n{"a": NaN}\n```', '{"a": NaN}', '{"a": NaN}'),
+    ('```json\n{"a": 1}```', None, None),
+    ("no fence", None, None),
+]
 
 
 def test_json_block_and_repair(spark):
-    cases = ['x ```json\n{"a": 1,}\n``` y ```json\n{"b": 2}\n```', '```json\n{"a": "q\\"x\\"", "b": "C:\\\\d"}```',
-             '```json\n{"t": [1, 2, ],\n "n": "l\\nm"}\n```', "no fence", '```json\n{"a": NaN}\n```']
-    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, s string")
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(JSON_BLOCKS)], "i int, s string")
     rows = df.orderBy("i").select(R.json_block(F.col("s")), R.json_repair(R.json_block(F.col("s")))).collect()
-    for (blk, rep), c in zip(rows, cases):
-        assert blk == py_block(c)
-        assert rep == (py_repair(blk) if blk is not None else None)
+    assert [tuple(r) for r in rows] == [c[1:] for c in JSON_BLOCKS]
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from('ab {}[]",:\t\n'), max_size=40), min_size=1, max_size=20))
+def test_repair_is_idempotent_without_backslashes(spark, values):
+    once = _col(spark, values, R.json_repair)
+    assert [v for v in once if "\n" in v or "  " in v] == []
+    whole = [v for v in once if not any(c in v for c in (",}", ", }", ",]", ", ]"))] or ["a"]
+    assert _col(spark, whole, R.json_repair) == whole
 
 
 def test_task_extract_and_path_key(spark):
