@@ -96,6 +96,9 @@ def induce(pages: list[Node]) -> dict:
         matched = seen.get(id(node), [])
         return others + 1 >= AGREE and len(matched) == others and len({_text(x) for x in [node, *matched]}) == 1
 
+    def over_pages(node: Node) -> int:
+        return sum(_mass(x, False) for x in [node, *seen.get(id(node), [])])
+
     def walk(node: Node) -> dict:
         label = node.label()
         if is_clutter(node, False):
@@ -105,11 +108,11 @@ def induce(pages: list[Node]) -> dict:
         kids = nodes(node)
         if any(_has_article(k) for k in kids):
             return {"l": label, "r": "n", "k": [walk(k) if _has_article(k) else {"l": k.label(), "r": "b"} for k in kids]}
-        mass = {id(k): 0 if constant(k) or is_clutter(k, False) else _mass(k, False) for k in kids}
+        mass = {id(k): 0 if constant(k) or is_clutter(k, False) else over_pages(k) for k in kids}
         total = sum(mass.values())
         blocks = [k for k in kids if k.tag in dom.BLOCK and k.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr")]
         best = max(blocks, key=lambda k: mass[id(k)], default=None)
-        if best is not None and total and mass[id(best)] >= FOCUS * max(_mass(node, False), 1):
+        if best is not None and total and mass[id(best)] >= FOCUS * max(over_pages(node), 1):
             return {"l": label, "r": "n", "k": [walk(k) if k is best else {"l": k.label(), "r": "b"} for k in kids]}
         return {"l": label, "r": "c", "k": [{"l": k.label(), "r": "b" if constant(k) else "t"} for k in kids] if any(constant(k) for k in kids) else []}
 
