@@ -42,14 +42,24 @@ def price_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "model string, in_units long, out_units long")
 
 
+#: The provider whose models have a price per token; calls of others cost nothing.
+PRICED_PROVIDER = "openai"
+
+
 def usage_cost(usage: DataFrame) -> DataFrame:
-    """J10 + R16: cost per call; an unknown model gets status ``unpriced`` and no cost."""
+    """J10 + R16: cost per call.
+
+    A call of another provider (column ``provider``, if there is one) costs 0
+    and has status ``free``; an unknown model of the priced provider gets
+    status ``unpriced`` and no cost.
+    """
     prices = F.broadcast(price_table(usage.sparkSession))  # 11 rows by construction
     j = usage.join(prices, "model", "left")
     units = F.col("prompt_tokens") * F.col("in_units") + F.col("completion_tokens") * F.col("out_units")
-    return (j.withColumn("cost_units", units)
+    free = F.col("provider") != F.lit(PRICED_PROVIDER) if "provider" in usage.columns else F.lit(False)
+    return (j.withColumn("cost_units", F.when(free, F.lit(0).cast("long")).otherwise(units))
              .withColumn("cost", F.col("cost_units").cast("double") * F.lit(float(UNIT)))
-             .withColumn("status", F.when(F.col("in_units").isNull(), F.lit("unpriced")).otherwise(F.lit("ok")))
+             .withColumn("status", F.when(free, F.lit("free")).when(F.col("in_units").isNull(), F.lit("unpriced")).otherwise(F.lit("ok")))
              .drop("in_units", "out_units"))
 
 

@@ -21,12 +21,23 @@ def _ep_window(key: str = "episode_id", order: Iterable[str] = ("step",)) -> Win
 
 # --- episode-level derived columns ------------------------------------------
 
-def episodes(steps: DataFrame, key: str = "episode_id") -> DataFrame:
-    """A1 shape: n_steps and last_score per episode (partial + final aggregate)."""
-    return steps.groupBy(key).agg(
+def episodes(steps: DataFrame, key: str = "episode_id", started: DataFrame | None = None) -> DataFrame:
+    """A1 shape: n_steps and last_score per episode (partial + final aggregate).
+
+    With ``started`` (the episodes there are), one without steps has 0 steps and score 0.
+    """
+    found = steps.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_steps"),
         F.max_by("score", "step").alias("last_score"),
     )
+    return found if started is None else with_empty(started, found, key)
+
+
+def with_empty(started: DataFrame, found: DataFrame, key: str = "episode_id") -> DataFrame:
+    """A1 for episodes without steps: 0 steps and score 0."""
+    return (started.select(key).distinct().join(found, key, "left")
+            .select(key, F.coalesce("n_steps", F.lit(0)).alias("n_steps"),
+                    F.when(F.col("n_steps").isNull(), 0.0).otherwise(F.col("last_score")).alias("last_score")))
 
 
 # --- F1..F14 ------------------------------------------------------------------
@@ -68,10 +79,11 @@ def failed_select(summ: DataFrame, threshold: float = 0.0) -> DataFrame:
 def start_index(rows: DataFrame, start: int | None, key: str = "env_idx",
                 inclusive: bool = True) -> DataFrame:
     """resume position; inclusive (evaluation) or strict (self-correction). 0/None = off."""
-    if not start:
-        return rows
-    c = F.col(key)
-    return rows.where(c >= start if inclusive else c > start)
+    return rows.where(after_start(F.col(key), start, inclusive)) if start else rows
+
+
+def after_start(c: Column, start: int, inclusive: bool = True) -> Column:
+    return c >= start if inclusive else c > start
 
 
 def id_subset(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:

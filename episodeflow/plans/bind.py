@@ -28,7 +28,7 @@ goals                    part           idx = p_partkey, instruction = p_name,
 datasets                 documents      directory = source, row = doc_id
 usage                    conversations  prompt_tokens = len(user text),
                                         completion_tokens = len(assistant text), model by
-                                        conv_id % 3 (one model has no price)
+                                        conv_id % 4 (one local, free; one without a price)
 attempts                 events         attempt = number within (user_id, event_type),
                                         valid = value > 5
 responses                events+docs    doc_id = event_id; 'REASON: ' + whole document text +
@@ -189,12 +189,13 @@ def datasets(documents: DataFrame) -> DataFrame:
 
 def usage(steps: DataFrame) -> DataFrame:
     """Text steps -> one usage row per model call (prompt = observation, completion = reason)."""
-    model = (F.when(F.col("episode_id") % 3 == 0, F.lit("gpt-4o"))
-              .when(F.col("episode_id") % 3 == 1, F.lit("gpt-4o-mini"))
-              .otherwise(F.lit("local-student")))
+    kind = F.col("episode_id") % 4
+    model = (F.when(kind == 0, F.lit("gpt-4o")).when(kind == 1, F.lit("gpt-4o-mini"))
+              .when(kind == 2, F.lit("local-student")).otherwise(F.lit("new-model")))
     return steps.select(
         F.col("episode_id").alias("run_id"), "step",
         model.alias("model"),
+        F.when(kind == 2, F.lit("local")).otherwise(F.lit("openai")).alias("provider"),
         F.length("observation").cast("long").alias("prompt_tokens"),
         F.length("reason").cast("long").alias("completion_tokens"),
     )

@@ -114,14 +114,15 @@ def _priced(spark, sf_dir):
 USAGE_SQL = """
 usage AS (
   SELECT episode_id AS run_id, step,
-         CASE WHEN episode_id % 3 = 0 THEN 'gpt-4o' WHEN episode_id % 3 = 1 THEN 'gpt-4o-mini'
-              ELSE 'local-student' END AS model,
+         CASE WHEN episode_id % 4 = 0 THEN 'gpt-4o' WHEN episode_id % 4 = 1 THEN 'gpt-4o-mini'
+              WHEN episode_id % 4 = 2 THEN 'local-student' ELSE 'new-model' END AS model,
+         CASE WHEN episode_id % 4 = 2 THEN 'local' ELSE 'openai' END AS provider,
          CAST(length(observation) AS BIGINT) AS prompt_tokens, CAST(length(reason) AS BIGINT) AS completion_tokens
   FROM tsteps),
 prices AS (SELECT * FROM (VALUES {values}) p(model, in_units, out_units)),
 priced AS (
-  SELECT u.*, u.prompt_tokens * p.in_units + u.completion_tokens * p.out_units AS cost_units,
-         CASE WHEN p.in_units IS NULL THEN 'unpriced' ELSE 'ok' END AS status
+  SELECT u.*, CASE WHEN u.provider <> 'openai' THEN 0 ELSE u.prompt_tokens * p.in_units + u.completion_tokens * p.out_units END AS cost_units,
+         CASE WHEN u.provider <> 'openai' THEN 'free' WHEN p.in_units IS NULL THEN 'unpriced' ELSE 'ok' END AS status
   FROM usage u LEFT JOIN prices p USING (model))""".format(
     values=", ".join(f"('{m}', {M._units(i)}, {M._units(o)})" for m, i, o in M.PRICES_USD))
 

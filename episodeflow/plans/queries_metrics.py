@@ -157,12 +157,14 @@ def q_click_rank(spark, sf_dir):
     named = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_partkey").alias("pk")).join(
         t.part.select(F.col("p_partkey").alias("pk"), "p_name"), "pk")
     # Visible list per order: orders are small groups (a handful of lines each).
-    vis = named.groupBy("l_orderkey").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "pk", "p_name"))), lambda s: s["p_name"])
-        .alias("visible"))
     clicked = t.part.select(F.col("p_partkey").alias("l_suppkey"), F.col("p_name").alias("clicked"))
-    j = named.join(vis, "l_orderkey").join(clicked, "l_suppkey")
-    return j.select("l_orderkey", "l_linenumber", MT.click_rank(F.col("visible"), F.col("clicked")).alias("click_rank"))
+    lines = named.join(clicked, "l_suppkey", "left").select(
+        "l_orderkey", F.struct("l_linenumber", "pk", "p_name", "clicked").alias("line"))
+    # One grouping gives an order's visible list and its clicks: orders are small groups (a handful of lines each).
+    orders = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    each = orders.select("l_orderkey", F.transform("lines", lambda s: s["p_name"]).alias("visible"), F.explode("lines").alias("line"))
+    return (each.where(F.col("line.clicked").isNotNull())
+            .select("l_orderkey", "line.l_linenumber", MT.click_rank(F.col("visible"), F.col("line.clicked")).alias("click_rank")))
 
 
 @register("episode_metrics", ids=("A11",), sql="""

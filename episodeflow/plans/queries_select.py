@@ -22,13 +22,15 @@ def scored_episodes(spark, sf_dir):
     return bind.scored_episodes(bind.Tables(spark, sf_dir).events)
 
 
-@register("episode_summary", ids=("A1",), sql=Q.with_(Q.SCORED_STEPS) + """
-SELECT episode_id, count(*) AS num_actions, coalesce(arg_max(score, step), 0.0) AS score
-FROM ssteps GROUP BY episode_id""")
+@register("episode_summary", ids=("A1",), sql=Q.with_(Q.SCORED_STEPS) + """,
+e AS (SELECT episode_id, count(*) AS n_steps, arg_max(score, step) AS last_score FROM ssteps GROUP BY episode_id)
+SELECT c.c_custkey AS episode_id, coalesce(e.n_steps, 0) AS num_actions, coalesce(e.last_score, 0.0) AS score
+FROM customer c LEFT JOIN e ON e.episode_id = c.c_custkey""")
 def q_episode_summary(spark, sf_dir):
-    e = scored_episodes(spark, sf_dir)
-    return e.select("episode_id", F.col("n_steps").alias("num_actions"),
-                    F.coalesce("last_score", F.lit(0.0)).alias("score"))
+    """Every customer starts an episode; one without events has no steps."""
+    started = bind.Tables(spark, sf_dir).customer.select(F.col("c_custkey").alias("episode_id"))
+    e = S.with_empty(started, scored_episodes(spark, sf_dir))
+    return e.select("episode_id", F.col("n_steps").alias("num_actions"), F.coalesce("last_score", F.lit(0.0)).alias("score"))
 
 
 @register("score_filter", ids=("F1", "X11"), sql=Q.with_(Q.SCORED_STEPS) + EP_SQL + """
@@ -77,9 +79,7 @@ FROM ssteps WHERE episode_id >= 40 GROUP BY episode_id""")
 def q_start_index(spark, sf_dir):
     e = scored_episodes(spark, sf_dir).withColumnRenamed("episode_id", "env_idx")
     kept = S.start_index(e, 40, "env_idx", inclusive=True)
-    strict = S.start_index(kept, 40, "env_idx", inclusive=False).select("env_idx", F.lit(True).alias("s"))
-    return (kept.join(strict, "env_idx", "left")
-                .select("env_idx", "n_steps", F.coalesce("s", F.lit(False)).alias("after_start_strict")))
+    return kept.select("env_idx", "n_steps", S.after_start(F.col("env_idx"), 40, inclusive=False).alias("after_start_strict"))
 
 
 @register("id_subset", ids=("F7",), sql=Q.with_(Q.SCORED_STEPS) + EP_SQL + """
