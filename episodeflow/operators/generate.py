@@ -103,7 +103,7 @@ def attempts(requests: DataFrame, make_generator: Callable[[], Generator], retri
 
 
 def batch_generate(requests: DataFrame, make_generator: Callable[[], Generator], **options) -> DataFrame:
-    """Run the generator over every request (``key``, ``messages``) and land the attempts."""
+    """R15 (+U2): run the generator over every request (``key``, ``messages``) and land the attempts."""
     from episodeflow.session import scratch_path
 
     spark = requests.sparkSession

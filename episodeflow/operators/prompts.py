@@ -134,7 +134,7 @@ def teacher_request(steps: DataFrame, state: Column | None = None,
                     user_template: str = "Trajectory:\n{trajectory}\n\nPrivileged state:\n{state}",
                     key: str = "episode_id",
                     fields: tuple[str, ...] = ("observation", "candidate_actions", "reason", "action")) -> DataFrame:
-    """P5: one request per episode: system message + user message with the trajectory text.
+    """P5 (+F11, X2): one request per episode: system message + user message with the trajectory text.
 
     ``fields`` are the step's fields after its ``timestep``; the annotation
     job shows only observation and action. Each step's text is rendered on its own row; the per-episode list is a

@@ -46,17 +46,23 @@ def q_reason_merge(spark, sf_dir):
             .unionByName(rejects, allowMissingColumns=True))
 
 
-@register("detail_enrich", ids=("J4", "S8"), sql=Q.with_(Q.SCORED_STEPS) + """
-SELECT e.env_idx, e.score, coalesce(l.quality, 0) AS r_att, coalesce(l.toxic, 0) AS r_type
-FROM (SELECT episode_id AS env_idx, arg_max(score, step) AS score FROM ssteps GROUP BY episode_id) e
-LEFT JOIN labels l ON l.doc_id = e.env_idx""")
+@register("detail_enrich", ids=("J4",), sql=Q.with_(Q.SUMMARIES) + """,
+d AS (SELECT 'run' || CAST(o_custkey % 3 AS VARCHAR) AS run_dir, o_orderstatus AS model_id, o_custkey AS env_idx, 1.0 AS r_type,
+             CAST(count(*) AS DOUBLE) / 8 AS r_att, 0.5 AS r_price, CAST(max(o_orderkey) % 4 AS DOUBLE) / 4 AS r_option
+      FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY ALL)
+SELECT s.*, 'run' || CAST(s.env_idx % 3 AS VARCHAR) AS run_dir, CAST(coalesce(d.r_type, 0) AS DOUBLE) AS r_type, coalesce(d.r_att, 0) AS r_att,
+       CAST(coalesce(d.r_price, 0) AS DOUBLE) AS r_price, coalesce(d.r_option, 0) AS r_option
+FROM summ s LEFT JOIN d ON d.run_dir = 'run' || CAST(s.env_idx % 3 AS VARCHAR) AND d.model_id = s.model_id AND d.env_idx = s.env_idx""")
 def q_detail_enrich(spark, sf_dir):
-    t = bind.Tables(spark, sf_dir)
-    sm = bind.scored_episodes(t.events).select(
-        F.col("episode_id").alias("env_idx"), F.col("last_score").alias("score"))
-    detail = t.labels.select(F.col("doc_id").alias("env_idx"), F.col("quality").alias("r_att"),
-                             F.col("toxic").alias("r_type"))
-    return sm.join(detail, "env_idx", "left").na.fill(0, ["r_att", "r_type"])
+    """Summaries of several runs with the details of those that have an urgent order."""
+    orders = bind.Tables(spark, sf_dir).orders
+    run = lambda c: F.concat(F.lit("run"), (F.col(c) % 3).cast("string"))
+    sm = bind.summaries(orders).withColumn("run_dir", run("env_idx"))
+    detail = (orders.where(F.col("o_orderpriority") == "1-URGENT")
+              .groupBy(run("o_custkey").alias("run_dir"), F.col("o_orderstatus").alias("model_id"), F.col("o_custkey").alias("env_idx"))
+              .agg(F.lit(1.0).alias("r_type"), (F.count("*").cast("double") / 8).alias("r_att"), F.lit(0.5).alias("r_price"),
+                   ((F.max("o_orderkey") % 4).cast("double") / 4).alias("r_option")))
+    return MT.detail_enrich(sm, detail)
 
 
 MODELS = ["F", "O", "P"]
@@ -88,6 +94,7 @@ def q_model_pivot(spark, sf_dir):
 @register("resume_anti", ids=("J7", "ST2"), sql="""
 SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def q_resume_anti(spark, sf_dir):
+    """J7 as the batch form of ST2's resume."""
     t = bind.Tables(spark, sf_dir)
     return C.resume_anti(t.documents.select("doc_id"), t.labels, "doc_id")
 
@@ -97,6 +104,7 @@ WITH m AS (SELECT lower(p_name) AS title, max(p_partkey) AS item_id FROM part GR
 SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, m.item_id
 FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey LEFT JOIN m ON m.title = lower(upper(p.p_name))""")
 def q_name_to_id(spark, sf_dir):
+    """J9 (+X5): clicked title -> item id; of a repeated title the last id counts."""
     t = bind.Tables(spark, sf_dir)
     # Title -> id dictionary: on a duplicate title the last id (highest position) wins.
     names = t.part.groupBy(F.lower("p_name").alias("title")).agg(F.max_by("p_partkey", "p_partkey").alias("item_id"))

@@ -98,7 +98,7 @@ def q_failure_fix(spark, sf_dir):
     return MT.failure_fix(sm, 20, 30)
 
 
-@register("dup_models", ids=("A7", "S4"), sql="""
+@register("dup_models", ids=("A7",), sql="""
 SELECT lang AS model_id, count(DISTINCT source) AS n_runs FROM documents GROUP BY lang HAVING count(DISTINCT source) > 1""")
 def q_dup_models(spark, sf_dir):
     d = bind.Tables(spark, sf_dir).documents.select(F.col("lang").alias("model_id"), F.col("source").alias("run"))
@@ -108,6 +108,7 @@ def q_dup_models(spark, sf_dir):
 @register("action_counts", ids=("A8", "ST3"), sql="""
 SELECT event_type AS action, count(*) AS n FROM events GROUP BY event_type""")
 def q_action_counts(spark, sf_dir):
+    """How often each action occurs."""
     ev = bind.Tables(spark, sf_dir).events
     return ev.groupBy(F.col("event_type").alias("action")).agg(F.count(F.lit(1)).alias("n"))
 

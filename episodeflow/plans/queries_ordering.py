@@ -9,7 +9,7 @@ from episodeflow.plans import bind
 from episodeflow.plans.registry import register
 
 
-@register("natural_sort_limit", ids=("O1", "X15", "S1"), sql="""
+@register("natural_sort_limit", ids=("O1", "X15"), sql="""
 WITH f AS (SELECT CAST(doc_id AS VARCHAR) || '.json' AS name FROM documents)
 SELECT name FROM f ORDER BY CAST(regexp_extract(name, '^(\\d+)\\.', 1) AS BIGINT), name LIMIT 10""")
 def q_natural_sort_limit(spark, sf_dir):
@@ -57,6 +57,7 @@ def q_balanced_mix(spark, sf_dir):
 @register("key_intersect", ids=("O6",), sql="""
 SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels""")
 def q_key_intersect(spark, sf_dir):
+    """Keys that both sides have."""
     t = bind.Tables(spark, sf_dir)
     return t.documents.select("doc_id").intersect(t.labels.select("doc_id"))
 

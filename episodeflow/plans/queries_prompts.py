@@ -152,6 +152,7 @@ SELECT idx, 'Instruction: ' || instruction || chr(10) || 'Attributes: ' || {Q.py
        'Example product: ' || instruction AS state
 FROM goals""")
 def q_goal_state_text(spark, sf_dir):
+    """P6 as the state builder (U4) of a shop goal."""
     g = bind.goals(bind.Tables(spark, sf_dir).part)
     return P.goal_state_text(g)
 
@@ -246,7 +247,7 @@ def q_search_texts(spark, sf_dir):
     return P.search_texts(bind.goals(bind.Tables(spark, sf_dir).part))
 
 
-@register("candidate_build", ids=("P13", "J9"), sql=Q.with_(Q.EVENT_CANDIDATES) + """,
+@register("candidate_build", ids=("P13",), sql=Q.with_(Q.EVENT_CANDIDATES) + """,
 c AS (SELECT episode_id, list_concat(candidate_actions, ['search', CAST(episode_id AS VARCHAR)]) AS clickables
       FROM ecands),
 x AS (SELECT c.episode_id, list_transform(list_filter(c.clickables, lambda v: v <> 'search'),
@@ -280,7 +281,7 @@ demo AS (SELECT user_id, rn // 20 AS chunk, CAST(rn % 20 AS INTEGER) AS step, pr
          FROM ev)"""
 
 
-@register("zip_demo", ids=("P14", "M4", "S2"), sql=Q.with_(DEMO_SQL) + """,
+@register("zip_demo", ids=("P14", "M4"), sql=Q.with_(DEMO_SQL) + """,
 s AS (SELECT user_id, chunk, step, observation,
              CASE WHEN len(cands) = 0 THEN ['search[search query]'] ELSE cands END AS c, idx, action_text
       FROM demo),

@@ -68,6 +68,7 @@ def q_uncorrected_skip(spark, sf_dir):
 failed AS (SELECT episode_id FROM ssteps GROUP BY episode_id HAVING arg_max(score, step) <= 25.0)
 SELECT episode_id, step, action FROM ssteps WHERE episode_id IN (SELECT episode_id FROM failed)""")
 def q_failed_select(spark, sf_dir):
+    """The steps of failed episodes, a semi join on the episode."""
     summ = scored_episodes(spark, sf_dir).withColumnRenamed("last_score", "score")
     ids = S.failed_select(summ, 25.0).select("episode_id")
     return S.id_subset(scored(spark, sf_dir), ids, "episode_id").select("episode_id", "step", "action")

@@ -54,6 +54,7 @@ def q_encode_values(spark, sf_dir):
 SELECT n.n_nationkey, 'use ' || lower(replace(r.r_name, ' ', '_')) || '; SELECT * FROM ' || n.n_name AS statement
 FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey""")
 def q_use_db(spark, sf_dir):
+    """The statement that selects a task's database."""
     t = bind.Tables(spark, sf_dir)
     nation, region = t.nation, t.region
     j = nation.join(region, nation["n_regionkey"] == region["r_regionkey"])

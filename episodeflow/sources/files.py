@@ -153,7 +153,7 @@ def scan_summary_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def discover_summaries(spark: SparkSession, root: str, name: str = "summary.csv") -> DataFrame:
-    """Every ``summary.csv`` below ``root``, with its folder as ``run_dir``."""
+    """S4 (S3 for many runs): every ``summary.csv`` below ``root``, with its folder as ``run_dir``."""
     raw = _raw_csv(spark).option("recursiveFileLookup", True).option("pathGlobFilter", name).csv(root)
     return (_by_header(raw).withColumn("run_dir", F.regexp_replace(decoded_path(F.col("path")), "/[^/]*$", "")).drop("path"))
 

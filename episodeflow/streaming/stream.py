@@ -68,7 +68,7 @@ def run_to_sink(agg: DataFrame, name: str, keys: Sequence[str], checkpoint: str
 
 
 def summary_stream(events: DataFrame) -> DataFrame:
-    """ST1: running episode summary (steps so far, score of the latest step)."""
+    """ST1 (+S12): running episode summary (steps so far, score of the latest step)."""
     from episodeflow.plans.bind import seq_key
     return events.groupBy(F.col("user_id").alias("episode_id")).agg(
         F.count(F.lit(1)).alias("num_actions"),
