@@ -127,9 +127,10 @@ def select(docs: DataFrame, mix: Mix = PRODUCTION, id_col: str = "doc_id", text_
 
 
 def mixed(docs: DataFrame, mix: Mix = PRODUCTION, id_col: str = "doc_id") -> DataFrame:
-    """The selected rows of ``docs``, a row for each time one is selected, with the columns of ``docs``."""
-    chosen = select(docs, mix, id_col).select(F.col(id_col).alias("_id"))
-    return docs.join(chosen, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
+    """The selected rows of ``docs`` with the columns of ``docs``, a row for each epoch that selects its id."""
+    chosen = select(docs, mix, id_col).groupBy(F.col(id_col).alias("_id")).agg(F.countDistinct("epoch").cast("int").alias("_times"))
+    rows = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("_id"))).withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return rows.drop("_id", "_times", "_time")
 
 
 def _case(values: dict, column: str, default) -> str:

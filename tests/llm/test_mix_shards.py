@@ -82,7 +82,9 @@ def test_mix_of_odd_rows(odd_docs, no_docs):
     rows = select(odd_docs).collect()
     assert {r.lang for r in rows} <= {"", "en"} and {r.source for r in rows} <= {"", "src0"}
     assert select(no_docs).collect() == [] and mixed(no_docs).collect() == []
-    assert mixed(odd_docs, Mix(percent=100, epochs=1)).columns == odd_docs.columns
+    whole = mixed(odd_docs, Mix(percent=100, epochs=1))
+    assert whole.columns == odd_docs.columns
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, odd_docs.collect()))  # a repeated id is not multiplied
 
 
 def test_rendezvous_law(spark, documents):
