@@ -123,6 +123,16 @@ def step_cap(steps: DataFrame, k: int) -> DataFrame:
     return steps.where(F.col("step") < F.lit(int(k)))
 
 
+def first_steps(rows: DataFrame, k: int, order: Iterable[str], key: str = "episode_id", out: str = "step") -> DataFrame:
+    """F12 over rows that are not numbered yet: the first ``k`` steps of every episode, numbered from 0.
+
+    A row-number filter: every task keeps at most ``k`` rows of an episode
+    before the shuffle, so a long episode is neither moved nor sorted whole.
+    """
+    ranked = rows.withColumn("_rn", F.row_number().over(_ep_window(key, order))).where(F.col("_rn") <= F.lit(int(k)))
+    return ranked.withColumn(out, (F.col("_rn") - 1).cast("int")).drop("_rn")
+
+
 def episode_cap(eps: DataFrame, n: int | None, key: str = "episode_id") -> DataFrame:
     """first ``n`` episodes by index (TakeOrderedAndProject); None/0 = all."""
     if not n:

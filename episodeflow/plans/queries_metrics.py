@@ -92,7 +92,8 @@ s AS (SELECT episode_id, count(*) AS num_actions, CAST(CASE WHEN arg_max(score,
       FROM ssteps WHERE step < 20 GROUP BY episode_id)
 SELECT episode_id, CASE WHEN score = 0 AND num_actions = 20 THEN 30 ELSE num_actions END AS num_actions, score FROM s""")
 def q_failure_fix(spark, sf_dir):
-    st = S.step_cap(bind.scored_steps(bind.Tables(spark, sf_dir).events), 20)
+    rows = bind.scored_rows(bind.Tables(spark, sf_dir).events).select("episode_id", "event_id", "ts", "score")
+    st = S.first_steps(rows, 20, ("ts", "event_id"))
     sm = S.episodes(st).select("episode_id", F.col("n_steps").alias("num_actions"),
                                F.when(F.col("last_score") > 100, 1.0).otherwise(0.0).alias("score"))
     return MT.failure_fix(sm, 20, 30)

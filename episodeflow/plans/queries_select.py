@@ -131,7 +131,8 @@ def q_optional_defaults(spark, sf_dir):
 @register("step_cap", ids=("F12",), sql=Q.with_(Q.SCORED_STEPS) + """
 SELECT episode_id, step, action FROM ssteps WHERE step < 20""")
 def q_step_cap(spark, sf_dir):
-    return S.step_cap(scored(spark, sf_dir), 20).select("episode_id", "step", "action")
+    rows = bind.scored_rows(bind.Tables(spark, sf_dir).events).select("episode_id", "event_id", "ts", "action")
+    return S.first_steps(rows, 20, ("ts", "event_id")).select("episode_id", "step", "action")
 
 
 @register("episode_cap", ids=("F13",), sql=Q.with_(Q.SCORED_STEPS) + EP_SQL + """

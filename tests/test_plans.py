@@ -54,6 +54,11 @@ def test_step_numbering_uses_range_partitions_not_a_per_user_window(static):
     assert not re.search(r"Window \[.*windowspecdefinition\(user_id", p)
 
 
+def test_step_cap_prunes_before_the_shuffle(static):
+    for k in ("step_cap", "failure_fix"):
+        assert plan(static, k).count("WindowGroupLimit") == 2, k
+
+
 def test_no_python_evaluation_outside_generation_and_prefix_sums(static):
     for k in QS:
         if k == "batch_generate" or k == "pipeline" or re.match(r"op\d+_", k):
