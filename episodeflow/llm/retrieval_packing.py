@@ -188,8 +188,8 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
                 ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     # A null id and repeated ids are dealt by their ids of tokens as well.
-    dealt = (rows.filter("token_docs is null").withColumn("task", F.pmod(F.xxhash64("id", F.xxhash64("ids")), F.lit(n_shards)))
+    dealt = (rows.filter("token_docs is null").withColumn("task", F.pmod(F.xxhash64("id", F.xxhash64("ids")), F.lit(n_shards)).cast("int"))
              .withColumn("seed", F.xxhash64("id", F.lit(3))).select("task", "seed", "id", "ids", "n"))
-    out = (dealt.repartition(n_shards, "task").sortWithinPartitions("task", "seed", "id").select("task", "id", "ids", "n")
+    out = (dealt.repartitionById(n_shards, "task").sortWithinPartitions("task", "seed", "id").select("task", "id", "ids", "n")
            .mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"))
     return out.withColumnRenamed("id", id_col)

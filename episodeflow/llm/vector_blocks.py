@@ -48,8 +48,8 @@ def search(rows: DataFrame, answer: Callable, block: int, query_block: int, k: i
         for t in task_groups(batches):
             asks = t["asks"].to_numpy()
             ids = t["id"].to_numpy()
-            flat = t["v"].combine_chunks()
-            matrix = flat.flatten().to_numpy().reshape(len(ids), -1)
+            flat = t["v"].combine_chunks().flatten().to_numpy()
+            matrix = flat.reshape(len(ids), len(flat) // len(ids))  # of equal length; it may be 0
             own = np.flatnonzero(~asks)
             own = own[np.argsort(ids[own], kind="stable")]
             if not len(own) or not asks.any():

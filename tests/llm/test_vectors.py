@@ -71,14 +71,14 @@ def test_recall_on_the_table(spark):
 
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1, 0]), (100, [0, 0]), (1, None), (2, [nan, 1]), (3, [inf, 1]), (4, [None, 1]), (5, [1, 0]), (6, [-1, 2]), (None, [1, 0]), (200, [1, 2, 3]), (7, []), (8, [-3000.5, 1e7])]
+    rows = [(0, [1, 0]), (100, [0, 0]), (1, None), (2, [nan, 1]), (3, [inf, 1]), (4, [None, 1]), (5, [1, 0]), (6, [-1, 2]), (None, [1, 0]), (200, [1, 2, 3]), (7, []), (300, []), (8, [-3000.5, 1e7])]
     df = frame(spark, *zip(*rows))
     assert result(nearest_neighbours(df))[0][0] == (5, 0.0)
     assert {i for i, _ in result(nearest_neighbours(df))[0]} == {5, 6, 8}
     assert 100 not in result(nearest_neighbours(df)) and 200 not in result(nearest_neighbours(df))
     got = result(top_products(df))
     assert got[0] == [(5, 1024 * 1024), (100, 0), (6, -1024 * 1024), (8, 1024 * -3072512)]
-    assert [i for i, _ in got[100]] == [0, 5, 6, 8]
+    assert [i for i, _ in got[100]] == [0, 5, 6, 8] and got[300] == [(7, 0)]
     assert nearest_neighbours(df.limit(0)).collect() == [] and top_products(df.limit(0)).collect() == []
 
 
