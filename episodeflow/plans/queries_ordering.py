@@ -10,12 +10,14 @@ from episodeflow.plans.registry import register
 
 
 @register("natural_sort_limit", ids=("O1", "X15"), sql="""
-WITH f AS (SELECT CAST(doc_id AS VARCHAR) || '.json' AS name FROM documents)
-SELECT name FROM f ORDER BY CAST(regexp_extract(name, '^(\\d+)\\.', 1) AS BIGINT), name LIMIT 10""")
+WITH f AS (SELECT CASE WHEN doc_id % 7 = 3 THEN 'x' ELSE '' END || CAST(doc_id AS VARCHAR) || '.json' AS name FROM documents),
+good AS (SELECT name FROM f WHERE name NOT LIKE 'x%' ORDER BY CAST(regexp_extract(name, '^(\\d+)\\.', 1) AS BIGINT), name LIMIT 10)
+SELECT name, NULL::VARCHAR AS reject_reason FROM good UNION ALL SELECT name, 'non-numeric stem' FROM f WHERE name LIKE 'x%'""")
 def q_natural_sort_limit(spark, sf_dir):
-    files = bind.Tables(spark, sf_dir).documents.select(F.concat(F.col("doc_id").cast("string"), F.lit(".json")).alias("name"))
-    good, _rejects = O.natural_sort_limit(files, "name", 10)
-    return good
+    stem = F.concat(F.when(F.col("doc_id") % 7 == 3, "x").otherwise(""), F.col("doc_id").cast("string"))
+    files = bind.Tables(spark, sf_dir).documents.select(F.concat(stem, F.lit(".json")).alias("name"))
+    good, rejects = O.natural_sort_limit(files, "name", 10)
+    return good.withColumn("reject_reason", F.lit(None).cast("string")).unionByName(rejects)
 
 
 @register("seeded_shuffle", ids=("O2",), sql="""

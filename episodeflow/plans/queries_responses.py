@@ -141,18 +141,22 @@ def q_json_repair(spark, sf_dir):
 
 
 @register("json_parse", ids=("R8", "X21"), sql="""
-SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
-       json_exists(props, '$.k') AS has_k, 'ok' AS status
-FROM events""")
+WITH x AS (SELECT event_id, event_id % 5 AS r, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, CASE WHEN r = 2 THEN 7 WHEN r = 0 THEN k END AS k, r IN (0, 2) AS has_k,
+       CASE WHEN r IN (1, 3) THEN 'invalid_json' ELSE 'ok' END AS status
+FROM x""")
 def q_json_parse(spark, sf_dir):
+    """Answers by event number: whole, cut off, with a repeated key, with trailing text, without the key but with NaN."""
     ev = bind.Tables(spark, sf_dir).events
-    ok = RS.json_valid(F.col("props"))
-    parsed = F.when(ok, F.from_json("props", "k long"))
-    keys = F.when(ok, F.json_object_keys("props"))
-    return ev.select(
-        "event_id", parsed["k"].alias("k"),
-        F.coalesce(F.array_contains(keys, "k"), F.lit(False)).alias("has_k"),
-        F.when(ok, F.lit("ok")).otherwise(F.lit("invalid_json")).alias("status"))
+    r, props = F.col("event_id") % 5, F.col("props")
+    text = (F.when(r == 1, F.substr(props, F.lit(1), F.length(props) - 1)).when(r == 2, F.lit('{"k": 1, "k": 7}'))
+             .when(r == 3, F.concat(props, F.lit(" more"))).when(r == 4, F.lit('{"n": NaN}')).otherwise(props))
+    rows = ev.select("event_id", text.alias("t")).withColumn("ok", RS.json_valid(F.col("t")))
+    parsed = F.when(F.col("ok"), F.from_json("t", "k long"))
+    keys = F.when(F.col("ok"), F.map_keys(F.from_json("t", "map<string,string>")))
+    return rows.select(
+        "event_id", parsed["k"].alias("k"), F.coalesce(F.array_contains(keys, "k"), F.lit(False)).alias("has_k"),
+        F.when(F.col("ok"), F.lit("ok")).otherwise(F.lit("invalid_json")).alias("status"))
 
 
 @register("task_extract", ids=("R10",), sql="""

@@ -46,14 +46,14 @@ def q_length_filter(spark, sf_dir):
 
 
 @register("skip_missing", ids=("F3",), sql="""
-SELECT d.doc_id, l.quality AS trajectory FROM documents d LEFT JOIN labels l USING (doc_id)
-WHERE l.quality IS NOT NULL""")
+SELECT d.doc_id, l.quality AS trajectory, CASE WHEN l.quality IS NULL THEN 'no trajectory' END AS reject_reason
+FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def q_skip_missing(spark, sf_dir):
     t = bind.Tables(spark, sf_dir)
     eps = t.documents.select("doc_id").join(
         t.labels.select("doc_id", F.col("quality").alias("trajectory")), "doc_id", "left")
-    ok, _rejects = S.skip_missing(eps, "trajectory")
-    return ok
+    ok, rejects = S.skip_missing(eps, "trajectory")
+    return ok.withColumn("reject_reason", F.lit(None).cast("string")).unionByName(rejects)
 
 
 @register("uncorrected_skip", ids=("F4", "X20"), sql=Q.with_(Q.TEXT_STEPS, HIST_CTE) + """
