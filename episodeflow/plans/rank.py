@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from episodeflow.session import ensure_checkpoint_dir
+from episodeflow.session import ensure_checkpoint_dir, ship_package
 
 _LOCAL_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row index in the low 33 bits
 
@@ -51,6 +51,7 @@ def ranged(df: DataFrame, order: Sequence[str | Column], num_partitions: int | N
                .withColumn("_pid", F.spark_partition_id())
                .withColumn("_local", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_BITS))))
     ensure_checkpoint_dir(df.sparkSession)
+    ship_package(df.sparkSession)
     return parts.checkpoint(eager=True)
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
+_ZIP = "episodeflow_package.zip"
 # Defaults applied only when the key is not already set on the session.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -63,6 +65,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the session was started.
+
+    Nothing to do when the package's folder is on ``PYTHONPATH`` or is the
+    working folder. Otherwise Spark distributes a zip of it, once a session.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == root:
+        return
+    sc = spark.sparkContext
+    if any(os.path.basename(p) == _ZIP for p in getattr(sc, "_python_includes", [])):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="episodeflow-zip-"), _ZIP)  # the driver's copy; Spark serves it
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "episodeflow")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for landed tables."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
