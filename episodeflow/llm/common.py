@@ -9,13 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from episodeflow.session import ensure_checkpoint_dir
+from episodeflow.session import ensure_checkpoint_dir, ship_package
 
 #: Text bytes that one vectorised pass inside a task holds at once (a longer text is one pass).
 PASS_BYTES = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -25,6 +26,7 @@ def land(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: a lost executor re-reads the copy instead of repeating the work.
     """
     spark = df.sparkSession
+    ship_package(spark)
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
