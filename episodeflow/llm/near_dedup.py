@@ -230,8 +230,11 @@ def _confirm_blocks(num: int, den: int):
             a, b = promising(t, num, den)
             if not len(a):
                 continue
-            (_, data, offsets), = passes(t.select(["text"]).combine_chunks().to_batches()[0], "text", 1 << 62)
-            values, at = distinct_in_rows(*shingle_hashes(data, offsets)[:2])
+            sets = []  # of the task's rows; one pass of texts at a time
+            for batch in t.select(["text"]).to_batches():
+                for _, data, offsets in passes(batch, "text"):
+                    values, at = distinct_in_rows(*shingle_hashes(data, offsets)[:2])
+                    sets += [values[i:j] for i, j in zip(at[:-1], at[1:])]
             comp, ids = t["comp"].to_pylist(), t["rep"].to_pylist()
             parent = {c: c for c in comp}
 
@@ -246,7 +249,7 @@ def _confirm_blocks(num: int, den: int):
                 p, q = root(comp[i]), root(comp[j])
                 if p == q:
                     continue
-                x, y = values[at[i]: at[i + 1]], values[at[j]: at[j + 1]]
+                x, y = sets[i], sets[j]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if den * both >= num * (len(x) + len(y) - both):
                     parent[p] = q
