@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 from episodeflow.llm.common import land, passes
 
 BINS = 1 << 15
-SAMPLE = 2_000
+SAMPLE = 1_000
 LEAST_SHARE = 0.002
 WEIGHT = 60.0
 SMOOTH = 1.0
