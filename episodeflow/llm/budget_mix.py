@@ -112,7 +112,7 @@ def select(docs: DataFrame, mix: Mix = PRODUCTION, id_col: str = "doc_id", text_
     leaves = rows.groupBy(*leaf).agg(F.sum("n_words").alias("tokens"))
     plan = budgets(leaves, mix).join(leaves, leaf).select(*leaf, F.col("share").alias("budget"), F.expr("if(tokens > 0, share div tokens, 0)").cast("int").alias("passes"),
                                                           F.expr("if(tokens > 0, share % tokens, 0)").alias("rest"))
-    plan = land(plan, "mix-plan")
+    plan = land(plan, "mix-plan", 1)  # one row for each leaf
     rows = rows.join(plan, leaf)
     whole = rows.filter("passes > 0").withColumn("epoch", F.explode(F.expr("sequence(0, passes - 1)"))).select("id", *leaf, "epoch", "n_words", "budget")
     part = rows.filter("rest > 0").withColumn("epoch", F.col("passes")).withColumn("hash", order_hash(mix.seed, F.col("epoch"), F.col("id"))).withColumn("cell", F.substring("hash", 1, CELL_DIGITS))

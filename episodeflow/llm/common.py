@@ -20,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def land(df: DataFrame, name: str) -> DataFrame:
+def land(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
 
-    Cuts the lineage: a lost executor re-reads the copy instead of repeating the work.
+    Cuts the lineage: a lost executor re-reads the copy instead of repeating the work. ``files``
+    (a number that grows with the rows) keeps a small table from being hundreds of tiny files.
     """
+    if files is not None:
+        df = df.coalesce(files)
     spark = df.sparkSession
     ship_package(spark)
     root = ensure_checkpoint_dir(spark).rstrip("/")
@@ -33,6 +36,11 @@ def land(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts(rows: int, each: int) -> int:
+    """How many parts of about ``each`` rows."""
+    return max(1, -(-rows // each))
+
+
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its row offsets; a null row is empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episodeflow.llm.common import land, passes
+from episodeflow.llm.common import land, parts, passes
 from episodeflow.llm.components import components
 from episodeflow.llm.shingles import distinct_in_rows, shingle_hashes
 
@@ -264,22 +264,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``id_col, n_shingles, component_id, kept`` of each row; linked from ``similar[0] / similar[1]`` on."""
     num, den = similar
     sketch = land(sketches(docs, id_col, text_col), "sketches")
+    n_docs = sketch.count()
     reps = land(sketch.filter("n > 0 and id is not null").groupBy("c1", "c2")
-                .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+                .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes", parts(n_docs, 25_000))
 
     # Mates: representatives that share a band with another one.
     bands = reps.select("rep", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "sig").select(
         "rep", "band", F.expr(f"substring(sig, band * {2 * ROWS} + 1, {2 * ROWS})").alias("key"))
     sizes = bands.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
-    mates = land(bands.join(sizes, ["band", "key"]), "mates")
+    mates = land(bands.join(sizes, ["band", "key"]), "mates", parts(n_docs, 15_000))
     fame = mates.groupBy("rep").agg(F.sum("size").alias("fame"))
     known = mates.join(fame, "rep")
     leaders = known.groupBy("band", "key").agg(F.max(F.struct("fame", (-F.col("rep")).alias("neg"))).alias("top"))
     stars = (mates.join(leaders, ["band", "key"]).filter("rep <> -top.neg").groupBy("rep").agg(F.max("top").alias("top"))
              .select((-F.col("top.neg")).alias("a"), F.col("rep").alias("b")))
     texts = land(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-                 .join(fame.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi"), "mate-texts")  # one plan at every size
-    links = land(confirmed(stars, texts, num, den), "star-links")
+                 .join(fame.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi"), "mate-texts", parts(n_docs, 10_000))  # one plan at every size
+    links = land(confirmed(stars, texts, num, den), "star-links", parts(n_docs, 10_000))
     comp = components(links)
 
     # Buckets that still hold several components, in blocks against blocks.
@@ -303,7 +304,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     needed = land(rows.repartition("task").sortWithinPartitions("task").mapInArrow(_needed(num, den), kind), "needed")
     more = (needed.join(texts.withColumnRenamed("id", "rep"), "rep").repartition("task").sortWithinPartitions("task")
             .mapInArrow(_confirm_blocks(num, den), "a long, b long"))
-    comp = components(links.unionByName(more))
+    comp = components(links.unionByName(more), most=links.count() + needed.count())
 
     found = reps.select("c1", "c2", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
     lone = sketch.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
