@@ -3,14 +3,21 @@
 1. Whole texts become token ids once (``bpe.Merger``), landed as packed 16-bit ids; the same pass
    counts in how many documents each token occurs. These document frequencies over all documents
    are one row a token, so at most the vocabulary's size reaches the driver.
-2. Documents are dealt by a hash of their id to index shards of about ``SHARD_TOKENS`` tokens. Each
-   task builds the inverted index of its shard (postings by token, BM25 weights from the global
-   statistics) and packs its documents: a seed document opens a window, its ``QUERY_TERMS`` tokens of
-   highest BM25 weight retrieve unused neighbours, best first, which fill the window greedily. The
-   document that does not fit is cut; its rest opens the next window as seed.
-3. Only the last window of a shard is padded.
-
-A shard's memory is bounded by ``SHARD_TOKENS`` plus its longest document. Documents without a match
+2. Documents are dealt by content to index shards of at most ``SHARD_TOKENS`` tokens (only one row
+   can be longer): a tree of centres, fitted on a bounded sample (``PER_SHARD`` documents a shard),
+   splits the vectors of BM25 weights by cosine until a cell is half a shard. Every document goes
+   down the tree, the exact sizes of the cells are summed over all rows, cells that follow each
+   other share a shard, and a cell over the limit (copies, mostly) is dealt on by a hash.
+3. Each task builds the inverted index of its shard (BM25 weights from the global statistics) and
+   packs its documents: a seed document opens a window, all its tokens retrieve unused neighbours,
+   best first, which fill the window greedily. The document that does not fit is cut; its rest opens
+   the next window as seed.
+4. Only the last window of a shard is padded.
+
+A document in another shard is never a neighbour. With one shard nothing is missed; with more, the
+neighbours that lie on the other side of a cell's border are (``neighbour_recall`` measures them;
+figures in the README). A shard's memory is bounded by ``SHARD_TOKENS`` plus its longest document;
+sample, tree and cell sizes on the driver grow with the number of shards. Documents without a match
 follow in seeded order, so every document is packed whole.
 
 Defined results: a null or empty text is the end id alone; a null id is packed like any other; equal
@@ -35,7 +42,10 @@ from episodeflow.llm.token_counts import tokenizer_path
 
 WINDOW, END = 2048, 1
 SHARD_TOKENS = 6_000_000
-QUERY_TERMS = 24
+#: Centres a node of the tree has at most, documents of the sample for each shard, fitting rounds of a node.
+FAN, PER_SHARD, ROUNDS = 32, 32, 5
+#: Documents of the sample that one node's centres are fitted on.
+NODE_SAMPLE = 512
 #: BM25 parameters.
 K1, B = 1.2, 0.75
 _SPAN = 1 << 32
@@ -95,35 +105,202 @@ def document_frequencies(rows: DataFrame) -> np.ndarray:
     return out
 
 
+class Statistics:
+    """Document frequencies, number and mean length of all documents."""
+
+    def __init__(self, doc_freq: np.ndarray, n_docs: int, mean_length: float):
+        self.idf = np.log1p((n_docs - doc_freq + 0.5) / (doc_freq + 0.5))
+        self.mean_length = max(mean_length, 1e-9)
+
+    def weights(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, token and BM25 weight of each distinct token of each row."""
+        row, token, times = row_tokens(ids.astype(np.int64), offsets)
+        length = np.diff(offsets)[row]
+        return row, token, (self.idf[token] * times * (K1 + 1) / (times + K1 * (1 - B + B * length / self.mean_length))).astype(np.float32)
+
+    def vectors(self, ids: np.ndarray, offsets: np.ndarray) -> Vectors:
+        """Unit vectors of the rows' weights."""
+        row, token, weight = self.weights(ids, offsets)
+        size = np.sqrt(np.bincount(row, weight.astype(np.float64) ** 2, len(offsets) - 1))
+        return Vectors(np.searchsorted(row, np.arange(len(offsets))), token, (weight / size[row]).astype(np.float32))
+
+
+class Vectors:
+    """Sparse rows."""
+
+    def __init__(self, at: np.ndarray, token: np.ndarray, weight: np.ndarray):
+        self.at, self.token, self.weight = at, token, weight
+
+    def take(self, rows: np.ndarray) -> Vectors:
+        n = self.at[rows + 1] - self.at[rows]
+        k = ragged(self.at[rows], n)
+        return Vectors(np.concatenate([[0], np.cumsum(n)]), self.token[k], self.weight[k])
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+
+class Centres:
+    """Centres of one node: its terms in order and, sparse, a weight of each term and centre."""
+
+    def __init__(self, table: np.ndarray, terms: np.ndarray):
+        i, j = np.nonzero(table)
+        self.terms, self.i, self.j, self.weight, self.n = terms.astype(np.int32), i.astype(np.int32), j.astype(np.int16), table[i, j].astype(np.float32), table.shape[1]
+
+    def nearest(self, rows: Vectors) -> np.ndarray:
+        """Centre of the largest cosine for each row, the first one of equals."""
+        table = np.zeros((len(self.terms) + 1, self.n), np.float32)
+        table[self.i, self.j] = self.weight
+        out = np.zeros(len(rows), np.int64)
+        begin = 0
+        while begin < len(rows):  # about PASS_TOKENS tokens at once
+            end = max(begin + 1, int(np.searchsorted(rows.at, rows.at[begin] + PASS_TOKENS, side="right")) - 1)
+            a, b = rows.at[begin], rows.at[end]
+            k = np.searchsorted(self.terms, rows.token[a:b])
+            k[(k == len(self.terms)) | (self.terms[np.minimum(k, len(self.terms) - 1)] != rows.token[a:b])] = len(self.terms)
+            at = rows.at[begin: end + 1] - a
+            full = np.flatnonzero(np.diff(at))
+            if len(full):
+                out[begin + full] = np.add.reduceat(table[k] * rows.weight[a:b, None], at[full], axis=0).argmax(1)
+            begin = end
+        return out
+
+
+PASS_TOKENS = 1 << 16
+
+
+def fit_centres(rows: Vectors, n: int) -> Centres | None:
+    """At most ``n`` centres of the rows by spherical k-means, similar ones next to each other; None if rows do not differ."""
+    terms, column = np.unique(rows.token, return_inverse=True)
+    x = np.zeros((len(rows), len(terms)), np.float32)
+    x[np.repeat(np.arange(len(rows)), np.diff(rows.at)), column] = rows.weight
+    centres = np.unique(x[:n], axis=0)
+    for _ in range(ROUNDS):
+        near = (x @ centres.T).argmax(1)
+        centres = np.stack([x[near == k].sum(0) for k in np.unique(near)])
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+    if len(centres) < 2:
+        return None
+    like, order = centres @ centres.T, [0]
+    left = np.ones(len(centres), bool)
+    left[0] = False
+    while left.any():
+        order.append(int(np.where(left, like[order[-1]], -np.inf).argmax()))
+        left[order[-1]] = False
+    return Centres(centres[order].T, terms)
+
+
+class Tree:
+    """Nodes of centres; a cell is a centre without a node below, numbered from left to right."""
+
+    def __init__(self, sample: Vectors, cells: float):
+        """Splits until about ``cells`` cells of equal share would be left."""
+        self.nodes: list[Centres] = []
+        self.below: list[list[int]] = []  # node of each centre, or -1 - cell
+        self.n_cells = 0
+        self.root = self._grow(sample, np.arange(len(sample)), len(sample) / max(cells, 1.0))
+
+    def _grow(self, sample: Vectors, rows: np.ndarray, share: float) -> int:
+        centres = None
+        if len(rows) > max(share, 1):
+            some = rows[:: -(-len(rows) // NODE_SAMPLE)]
+            centres = fit_centres(sample.take(some), int(np.clip(np.ceil(len(rows) / share), 2, FAN)))
+        near = centres.nearest(sample.take(rows)) if centres is not None else np.zeros(0, np.int64)
+        if not len(near) or np.bincount(near).max() == len(rows):
+            self.n_cells += 1
+            return -self.n_cells
+        node = len(self.nodes)
+        self.nodes.append(centres)
+        self.below.append([])
+        for k in range(centres.n):
+            self.below[node].append(self._grow(sample, rows[near == k], share))
+        return node
+
+    def cell(self, rows: Vectors) -> np.ndarray:
+        where = np.full(len(rows), self.root, np.int64)
+        while (inner := np.unique(where[where >= 0])).size:
+            for node in inner.tolist():
+                own = np.flatnonzero(where == node)
+                where[own] = np.array(self.below[node])[self.nodes[node].nearest(rows.take(own))]
+        return -1 - where
+
+
+def cell_tasks(sizes: dict[int, int], limit: int) -> dict[int, tuple[int, int]]:
+    """First task and number of tasks of each cell: cells in order share a task, a cell over the limit has several."""
+    tasks, task, held = {}, 0, 0
+    for cell in sorted(sizes):
+        n = -(-sizes[cell] // limit)
+        if held and held + sizes[cell] > limit:
+            task, held = task + 1, 0
+        tasks[cell] = task, n
+        if n > 1:
+            task, held = task + n, 0
+        else:
+            held += sizes[cell]
+    return tasks
+
+
+def row_cells(rows: DataFrame, tree: Tree, statistics: Statistics) -> DataFrame:
+    """``rows`` (id, ids, n) with their ``cell``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in passes(batch, "ids"):
+                cell = tree.cell(statistics.vectors(data.view("<u2") if data.flags.aligned else np.frombuffer(data.tobytes(), "<u2"), offsets // 2))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell)], [*part.schema.names, "cell"])
+
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", cell long")
+
+
+def dealt(rows: DataFrame, statistics: Statistics, n_docs: int, size: int, limit: int) -> tuple[DataFrame, int]:
+    """``rows`` (id, ids, n) with their ``task`` by content, and the number of tasks; ``size`` is the sum of n + 1."""
+    n_shards = max(1, -(-size // limit))
+    if n_shards == 1:
+        return rows.withColumn("task", F.lit(0)), 1
+    # Copies are one row of the sample; a null id and repeated ids are dealt by their ids of tokens as well.
+    mixed = F.xxhash64("id", F.xxhash64("ids"))
+    rate = min(1.0, n_shards * PER_SHARD / n_docs)
+    sample = rows.filter(F.pmod(F.xxhash64(mixed, F.lit(7)), F.lit(1 << 30)) < int(rate * (1 << 30))).select("ids").distinct().orderBy(F.xxhash64("ids")).collect()
+    raw = [bytes(r.ids) for r in sample]
+    vectors = statistics.vectors(np.frombuffer(b"".join(raw), "<u2"), np.concatenate([[0], np.cumsum([len(r) // 2 for r in raw], dtype=np.int64)]).astype(np.int64))
+    tree = Tree(vectors, 2.0 * size / limit)
+    placed = row_cells(rows, tree, statistics)
+    sizes = {r.cell: r["size"] for r in placed.groupBy("cell").agg(F.sum(F.col("n") + 1).alias("size")).collect()}  # one row for each cell
+    tasks = cell_tasks(sizes, limit)
+    table = rows.sparkSession.createDataFrame([(c, *t) for c, t in tasks.items()], "cell long, first int, parts int")
+    out = placed.join(F.broadcast(table), "cell").withColumn("task", (F.col("first") + F.pmod(F.xxhash64(mixed, F.lit(11)), F.col("parts"))).cast("int"))
+    return out.drop("cell", "first", "parts"), max(a + n for a, n in tasks.values())
+
+
 class Shard:
     """Inverted index of one shard's documents (token ids with the end id left out)."""
 
     def __init__(self, ids: np.ndarray, offsets: np.ndarray, doc_freq: np.ndarray, n_docs: int, mean_length: float):
         self.n = len(offsets) - 1
-        length = np.diff(offsets)
-        row, token, times = row_tokens(ids.astype(np.int64), offsets)
-        idf = np.log1p((n_docs - doc_freq + 0.5) / (doc_freq + 0.5))
-        weight = idf[token] * times * (K1 + 1) / (times + K1 * (1 - B + B * length[row] / max(mean_length, 1e-9)))
+        row, token, weight = Statistics(doc_freq, n_docs, mean_length).weights(ids, offsets)
         self.of_doc = np.searchsorted(row, np.arange(self.n + 1))
-        self.doc_token, self.doc_weight = token, weight.astype(np.float32)
+        self.doc_token = token
         order = np.argsort(token, kind="stable")
-        self.posting_doc, self.posting_weight = row[order].astype(np.int32), self.doc_weight[order]
+        self.posting_doc, self.posting_weight = row[order].astype(np.int32), weight[order]
         self.terms, self.term_at = np.unique(token[order], return_index=True)
         self.term_at = np.append(self.term_at, len(token))
+        # Postings of terms in at least one of eight documents are also rows over all documents.
+        common = np.flatnonzero(np.diff(self.term_at) * 8 >= self.n)
+        self.common = np.full(len(self.terms), -1)
+        self.common[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.n), np.float32)
+        for r, k in enumerate(common.tolist()):
+            a, b = self.term_at[k], self.term_at[k + 1]
+            self.rows[r, self.posting_doc[a:b]] = self.posting_weight[a:b]
 
     def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with ``doc``, best BM25 score first."""
-        a, b = self.of_doc[doc], self.of_doc[doc + 1]
-        token, weight = self.doc_token[a:b], self.doc_weight[a:b]
-        if b - a > QUERY_TERMS:
-            token = token[np.argpartition(-weight, QUERY_TERMS - 1)[:QUERY_TERMS]]
-        k = np.searchsorted(self.terms, token)
-        at = ragged(self.term_at[k], self.term_at[k + 1] - self.term_at[k])
-        docs = self.posting_doc[at]
-        open_ = unused[docs]
-        score = np.bincount(docs[open_], self.posting_weight[at[open_]], self.n)
-        found = np.flatnonzero(score)
-        return found[np.lexsort((found, -score[found]))]
+        """Unused documents that share a term with ``doc``, best BM25 score first."""
+        k = np.searchsorted(self.terms, self.doc_token[self.of_doc[doc]: self.of_doc[doc + 1]])
+        rare = k[self.common[k] < 0]
+        at = ragged(self.term_at[rare], self.term_at[rare + 1] - self.term_at[rare])
+        score = self.rows[self.common[k[self.common[k] >= 0]]].sum(0) + np.bincount(self.posting_doc[at], self.posting_weight[at], self.n)
+        found = np.flatnonzero((score > 0) & unused)
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 def pack(lengths: np.ndarray, shard: Shard, window: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -165,7 +342,6 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     rows = land(tokenized(docs, id_col, text_col, path or tokenizer_path()), "token-ids")
     n_docs, n_tokens = rows.filter("token_docs is null").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     doc_freq = document_frequencies(rows)
-    n_shards = max(1, -(-(n_tokens + n_docs) // SHARD_TOKENS))
     mean_length = n_tokens / max(n_docs, 1)
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -187,9 +363,22 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
                  pa.array(sequence + t["task"][0].as_py() * _SPAN), pa.array(offset)],
                 ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    # A null id and repeated ids are dealt by their ids of tokens as well.
-    dealt = (rows.filter("token_docs is null").withColumn("task", F.pmod(F.xxhash64("id", F.xxhash64("ids")), F.lit(n_shards)).cast("int"))
-             .withColumn("seed", F.xxhash64("id", F.lit(3))).select("task", "seed", "id", "ids", "n"))
-    out = (dealt.repartitionById(n_shards, "task").sortWithinPartitions("task", "seed", "id").select("task", "id", "ids", "n")
+    shards, n_shards = dealt(rows.filter("token_docs is null").select("id", "ids", "n"), Statistics(doc_freq, n_docs, mean_length), n_docs, n_tokens + n_docs, SHARD_TOKENS)
+    shards = shards.withColumn("seed", F.xxhash64("id", F.lit(3))).select("task", "seed", "id", "ids", "n")
+    out = (shards.repartitionById(n_shards, "task").sortWithinPartitions("task", "seed", "id").select("task", "id", "ids", "n")
            .mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"))
     return out.withColumnRenamed("id", id_col)
+
+
+def neighbour_recall(task: np.ndarray, vectors: tuple[np.ndarray, np.ndarray, np.ndarray], queries: np.ndarray, k: int = 10) -> float:
+    """Share of the ``k`` best BM25 neighbours over all documents (row, token, weight) that lie in the query's own task."""
+    row, token, weight = vectors
+    at = np.searchsorted(row, np.arange(len(task) + 1))
+    hits = []
+    for q in queries.tolist():
+        asked = np.zeros(1 << 17, bool)
+        asked[token[at[q]: at[q + 1]]] = True
+        score = np.bincount(row, np.where(asked[token], weight, 0), len(task))
+        score[q] = -1
+        hits.append(np.mean(task[np.argsort(-score, kind="stable")[:k]] == task[q]))
+    return float(np.mean(hits))

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from episodeflow.llm.bpe import Merger
 from episodeflow.llm.common import passes
-from episodeflow.llm.retrieval_packing import END, Shard, pack, packed, row_tokens
+from episodeflow.llm.retrieval_packing import END, Shard, Statistics, Tree, cell_tasks, neighbour_recall, pack, packed, row_tokens
 from episodeflow.llm.token_counts import token_counts, tokenizer_path
 
 
@@ -136,3 +136,40 @@ def test_windows_take_neighbours_first():
 def test_row_tokens():
     row, token, times = row_tokens(np.array([3, 3, 1, 2, 2]), np.array([0, 3, 3, 5]))
     assert (row.tolist(), token.tolist(), times.tolist()) == ([0, 0, 2], [1, 3, 2], [1, 2, 2])
+
+
+def test_a_long_seed_asks_for_all_its_tokens():
+    """Neighbours that share only the 26th to 30th heaviest token of the seed are found."""
+    docs = [list(range(10, 40)), [39], [38, 38], [50]]
+    flat, at = np.concatenate([np.array(d) for d in docs]), np.cumsum([0] + [len(d) for d in docs])
+    freq = np.full(1 << 17, 500)
+    freq[10:35] = 2
+    assert sorted(Shard(flat, at, freq, 1000, 10.0).neighbours(0, np.array([False, True, True, True])).tolist()) == [1, 2]
+
+
+def test_neighbours_meet_over_shards(spark, library, monkeypatch):
+    """Topics whose words do not overlap: a window holds documents of one topic, however many shards there are."""
+    monkeypatch.setattr("episodeflow.llm.retrieval_packing.SHARD_TOKENS", 12_000)
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(800)]
+    texts = [(i, " ".join(rnd.choices(words[i % 40 * 20: i % 40 * 20 + 20], k=60))) for i in range(320)]
+    rows = packed(spark.createDataFrame(texts, "doc_id long, text string"), window=512).collect()
+    shards = len({r.sequence_id >> 32 for r in rows})
+    assert shards > 3 and check_pieces(rows, texts, library, 512) <= shards
+    by_sequence = defaultdict(list)
+    for r in rows:
+        by_sequence[r.sequence_id].append(r.doc_id % 40)
+    assert np.mean([len(set(x)) == 1 for x in by_sequence.values()]) > 0.7
+
+
+def test_copies_are_dealt_on_and_cells_share_tasks():
+    assert cell_tasks({0: 3, 1: 4, 2: 25, 3: 1, 4: 9, 5: 1}, 10) == {0: (0, 1), 1: (0, 1), 2: (1, 3), 3: (4, 1), 4: (4, 1), 5: (5, 1)}
+    ids = np.array([7, 8, 9] * 50)
+    freq = np.full(1 << 17, 1)
+    assert Tree(Statistics(freq, 50, 3.0).vectors(ids, np.arange(0, 151, 3)), 8.0).n_cells == 1
+
+
+def test_neighbour_recall_counts_the_own_task():
+    row, token, weight = np.array([0, 1, 2, 3]), np.array([5, 5, 6, 6]), np.ones(4)
+    assert neighbour_recall(np.array([0, 0, 1, 1]), (row, token, weight), np.arange(4), 1) == 1.0
+    assert neighbour_recall(np.array([0, 1, 0, 1]), (row, token, weight), np.arange(4), 1) == 0.0
