@@ -1,13 +1,18 @@
 """Operator 9: language identification by Bayesian evidence fusion.
 
 log posterior(l) = tempered text log-likelihood + log P(declared | l) + log P(address suffix | l)
-                   + log prior(l | host), normalised over the candidate languages.
+                   + log prior(l | host), normalised over the candidate languages and the class 'other'.
 
 * Text: byte trigrams (A-Z lower-cased) hashed to ``BINS`` bins, one multinomial for each candidate
   language, fitted on at most ``SAMPLE`` declared rows of each language. Candidates are the
   declared values with at least ``LEAST_SHARE`` of all declared rows (so at most 1 / LEAST_SHARE).
   Trigrams of a text are not independent, so its log-likelihood is its mean over the trigrams,
   weighted by at most ``WEIGHT`` of them.
+* Other: any other language or no language. It has the evidence of the best language besides the
+  text, and of the text the likelihood of a row that lies ``FLOOR`` spreads below the median row of
+  that language. A row's deviation is its mean log-likelihood less the one expected under the
+  language's own trigrams, in standard errors of at most ``WEIGHT`` trigrams; median and spread
+  (lower quartile) are taken over all rows declared in the language whose text agrees.
 * Declared markup language and address suffix: confusion tables of declared value and suffix
   against the language of the text alone, counted over all rows, with add-``SMOOTH`` smoothing.
 * Host prior: counts of the text's language over all rows, smoothed hierarchically from all rows
@@ -20,6 +25,7 @@ Defined results: a null or blank text has no text evidence, language null and co
 rejected. Null or unknown declared value, suffix or host give no evidence. A null id stays null; a
 repeated row gets a row each time; ties go to the alphabetically first language; without candidates
 every row is rejected; an empty table gives an empty result; other columns are ignored.
+A row that 'other' wins keeps its most likely candidate as language and is not accepted.
 """
 
 from __future__ import annotations
@@ -40,6 +46,8 @@ LEAST_SHARE = 0.002
 WEIGHT = 60.0
 SMOOTH = 1.0
 STRENGTH = 20.0
+#: Spreads below the median row of a language at which 'other' is as likely, and the least spread in standard errors.
+FLOOR, LEAST_SPREAD = 12.0, 1.0
 #: Posterior that the best language needs.
 CONFIDENCE = 0.5
 
@@ -90,16 +98,26 @@ def fit_text_model(rows: DataFrame, languages: list[str], key: str = "id") -> np
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], ["lang", "bin", "n"])
 
     counts = texts.select("declared", "text").mapInArrow(count, "lang long, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    table = np.full((BINS, len(languages)), 0.5)
+    table = np.zeros((BINS, len(languages)))
     for r in counts.collect():  # at most BINS rows of each candidate
         table[r.bin, r.lang] += r.n
+    # Smoothing is at most a tenth of a language's trigrams: a rare language is no class for everything.
+    table += np.clip(0.1 * table.sum(0) / BINS, 1e-4, 0.5)
     return np.log(table / table.sum(0)).astype(np.float32)
 
 
+def spread_of(model: np.ndarray) -> np.ndarray:
+    """Variance of the log-probability of one trigram of each language."""
+    p = np.exp(model.astype(np.float64))
+    return np.maximum((p * model * model).sum(0) - (p * model).sum(0) ** 2, 1e-3)
+
+
 def text_likelihoods(rows: DataFrame, model: np.ndarray) -> DataFrame:
-    """``rows`` without text, with ``n`` (trigrams) and ``ll`` (tempered log-likelihood of each language)."""
+    """``rows`` without text, with ``n`` (trigrams), ``ll`` (tempered log-likelihood of each language) and ``dev`` (its deviation)."""
     keep = [c for c in rows.columns if c != "text"]
     width = model.shape[1]
+    expected = (np.exp(model.astype(np.float64)) * model).sum(0)
+    variance = spread_of(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,12 +128,15 @@ def text_likelihoods(rows: DataFrame, model: np.ndarray) -> DataFrame:
                 full = n > 0
                 if full.any():
                     total[full] = np.add.reduceat(model[bins], at[:-1][full], axis=0, dtype=np.float64)
-                total *= (np.minimum(n, WEIGHT) / np.maximum(n, 1))[:, None]
+                weight = np.minimum(n, WEIGHT)[:, None]
+                total *= weight / np.maximum(n, 1)[:, None]
+                # (mean - expected) * sqrt(weight / variance)
+                deviation = (total - weight * expected) / np.sqrt(np.maximum(weight, 1) * variance)
                 total -= total.max(1, keepdims=True) if width else 0
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * width, pa.int32()), pa.array(total.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.names.index(c)) for c in keep] + [pa.array(n), flat], keep + ["n", "ll"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * width, pa.int32()), pa.array(x.ravel())) for x in (total, deviation)]
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.names.index(c)) for c in keep] + [pa.array(n), *lists], keep + ["n", "ll", "dev"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(keep).schema) + ", n long, ll array<double>"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(keep).schema) + ", n long, ll array<double>, dev array<double>"
     return rows.select(*keep, "text").mapInArrow(run, schema)
 
 
@@ -160,12 +181,21 @@ def identify(rows: DataFrame, languages: list[str] | None = None) -> DataFrame:
     hosts = hosts.select("host", F.transform(langs, lambda i: F.log(
         (F.get("h", i) + STRENGTH * F.get(F.coalesce("site_prior", base), i)) / (F.aggregate("h", F.lit(0.0), lambda a, x: a + x) + STRENGTH))).alias("log_host"))
 
+    # Deviation of each language at which 'other' is as likely as the language.
+    own = seen.withColumn("d", F.element_at("dev", F.col("best") + 1)).filter(F.col("declared") == F.element_at(F.array(*[F.lit(x) for x in languages]), F.col("best") + 1))
+    quartiles = {r.best: r.q for r in own.groupBy("best").agg(F.percentile_approx("d", [0.25, 0.5]).alias("q")).collect()}  # one row for each candidate
+    middle = [quartiles.get(i, (0.0, 0.0)) for i in range(len(languages))]
+    floor = F.array(*[F.lit(float(m - FLOOR * max((m - low) / 0.6745, LEAST_SPREAD))) for low, m in middle])
+    scale = F.array(*[F.lit(float(x)) for x in np.sqrt(spread_of(model))])
+
     nothing = F.array_repeat(F.lit(0.0), len(languages))
     fused = (scored.join(hosts, "host", "left").join(reliability("declared"), "declared", "left").join(reliability("suffix"), "suffix", "left")
              .withColumn("lp", F.transform(langs, lambda i: F.get("ll", i) + F.get(F.coalesce("log_host", F.transform(base, lambda x: F.log(x))), i)
                                            + F.get(F.coalesce("log_declared", nothing), i) + F.get(F.coalesce("log_suffix", nothing), i)))
-             .withColumn("top", F.array_max("lp"))
-             .withColumn("confidence", F.when(F.col("n") > 0, 1.0 / F.aggregate("lp", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))).otherwise(0.0))
+             .withColumn("top", F.array_max("lp")).withColumn("at", F.array_position("lp", F.col("top")).cast("int") - 1)
+             # log-likelihood of 'other' less that of the best language
+             .withColumn("other", (F.get(floor, F.col("at")) - F.get("dev", F.col("at"))) * F.get(scale, F.col("at")) * F.sqrt(F.least(F.col("n").cast("double"), F.lit(WEIGHT))))
+             .withColumn("confidence", F.when(F.col("n") > 0, 1.0 / (F.aggregate("lp", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))) + F.exp(F.least(F.lit(500.0), F.col("other"))))).otherwise(0.0))
              .withColumn("language", F.when(F.col("n") > 0, F.element_at(F.array(*[F.lit(x) for x in languages]), F.array_position("lp", F.col("top")).cast("int")))))
     return fused.select(*carried, "language", "confidence", "declared", (F.col("confidence") >= CONFIDENCE).alias("accepted"))
 

@@ -104,3 +104,17 @@ def test_language_of_odd_rows(odd_docs, no_docs):
     assert len(rows) == odd_docs.count()
     assert {r.accepted for r in rows if r.id in (3, 4, 5, 12)} == {False} and {r.accepted for r in rows if r.id in (8, 9)} == {True}
     assert identify(language_id.document_rows(no_docs)).collect() == []
+
+
+def test_other_languages_and_gibberish_are_rejected(spark):
+    """A language left out of the candidates and random letters are not accepted, also below a host of one language; clean rows stay."""
+    docs = language_id.document_rows(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    rng = np.random.default_rng(4)
+    garbage = [(10**9 + i, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), 300)), "en", None, "src0") for i in range(100)]
+    garbage += [(2 * 10**9 + i, x * 3, "en", None, "src0") for i, x in enumerate(["Привет, как дела сегодня вечером?", "今日はとても良い天気ですね。", "Hyvää huomenta, mitä sinulle kuuluu tänään?"])]
+    rows = [(r.id, r.text, None if r.declared == "es" else r.declared, None, r.host) for r in docs] + garbage
+    got = {r.id: r.accepted for r in identify(rows_for(spark, rows)).collect()}
+    left_out, clean = [r.id for r in docs if r.declared == "es"], [r.id for r in docs if r.declared not in (None, "es")]
+    assert len(left_out) > 20
+    assert np.mean([got[i] for i in left_out]) < 0.05 and np.mean([got[r[0]] for r in garbage]) < 0.02
+    assert np.mean([got[i] for i in clean]) > 0.98
