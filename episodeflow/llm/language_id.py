@@ -4,8 +4,10 @@ log posterior(l) = tempered text log-likelihood + log P(declared | l) + log P(ad
                    + log prior(l | host), normalised over the candidate languages and the class 'other'.
 
 * Text: byte trigrams (A-Z lower-cased) hashed to ``BINS`` bins, one multinomial for each candidate
-  language, fitted on at most ``SAMPLE`` declared rows of each language. Candidates are the
-  declared values with at least ``LEAST_SHARE`` of all declared rows (so at most 1 / LEAST_SHARE).
+  language, fitted on at most ``SAMPLE`` declared rows of each language. Candidates are all
+  declared values with about ``LEAST_ROWS`` different ids, whatever share of the rows they have;
+  the model holds ``BINS`` numbers for each. Rows of rarer declared values have no model to win:
+  they are judged by the others and 'other'.
   Trigrams of a text are not independent, so its log-likelihood is its mean over the trigrams,
   weighted by at most ``WEIGHT`` of them.
 * Other: any other language or no language. It has the evidence of the best language besides the
@@ -41,8 +43,8 @@ from pyspark.sql.window import Window
 from episodeflow.llm.common import land, passes
 
 BINS = 1 << 15
-SAMPLE = 1_000
-LEAST_SHARE = 0.002
+SAMPLE = 2_000
+LEAST_ROWS = 5
 WEIGHT = 60.0
 SMOOTH = 1.0
 STRENGTH = 20.0
@@ -71,18 +73,20 @@ def trigram_bins(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return bins, np.searchsorted(at, offsets)
 
 
-def candidates(rows: DataFrame) -> list[str]:
-    """Declared values with a share of at least ``LEAST_SHARE``, in order."""
-    counts = rows.filter("declared is not null and declared <> ''").groupBy("declared").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return sorted(r.declared for r in counts.filter(F.col("n") >= LEAST_SHARE * total).collect())
+def declared_sizes(rows: DataFrame, key: str = "id") -> dict[str, int]:
+    """About how many different ids each declared value has."""
+    known = rows.filter("declared is not null and declared <> ''").filter(F.col(key).isNotNull())
+    return {r.declared: r.n for r in known.groupBy("declared").agg(F.approx_count_distinct(key, 0.02).alias("n")).collect()}
 
 
-def fit_text_model(rows: DataFrame, languages: list[str], key: str = "id") -> np.ndarray:
+def fit_text_model(rows: DataFrame, languages: list[str], sizes: dict[str, int], key: str = "id") -> np.ndarray:
     """Log-probability of each bin (rows) in each language (columns), from at most ``SAMPLE`` rows of each."""
+    # Only rows whose hash is among the lowest of about 2 * SAMPLE ids of their language are ranked.
+    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, 2.0 * SAMPLE / max(sizes.get(lang, 0), 1)))])
     order = Window.partitionBy("declared").orderBy(F.xxhash64(key, F.lit(41)), key)
     chosen = (rows.filter(F.col("declared").isin(languages)).filter(F.col(key).isNotNull()).select(key, "declared")
-              .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE).select(key, "declared").distinct())
+              .filter(F.xxhash64(key, F.lit(41)) <= F.element_at(share, F.col("declared")) * 2.0**64 - 2.0**63).distinct()
+              .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE).select(key, "declared"))
     texts = rows.select(key, "text").join(F.broadcast(chosen), key)  # at most SAMPLE rows of each candidate
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,11 +149,12 @@ def identify(rows: DataFrame, languages: list[str] | None = None) -> DataFrame:
 
     Returns the carried columns and id with ``language, confidence, declared, accepted``.
     """
-    languages = candidates(rows) if languages is None else sorted(languages)
+    sizes = declared_sizes(rows)
+    languages = sorted(x for x, n in sizes.items() if n >= LEAST_ROWS) if languages is None else sorted(languages)
     carried = [c for c in rows.columns if c not in ("text", "declared", "suffix", "host")]
     if not languages:
         return rows.select(*carried, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), "declared", F.lit(False).alias("accepted"))
-    model = fit_text_model(rows, languages)
+    model = fit_text_model(rows, languages, sizes)
     scored = land(text_likelihoods(rows, model).withColumn(
         "best", F.when(F.col("n") > 0, F.array_position("ll", F.array_max("ll")).cast("int") - 1)), "likelihoods")
     langs = F.array(*[F.lit(i) for i in range(len(languages))])

@@ -118,3 +118,15 @@ def test_other_languages_and_gibberish_are_rejected(spark):
     assert len(left_out) > 20
     assert np.mean([got[i] for i in left_out]) < 0.05 and np.mean([got[r[0]] for r in garbage]) < 0.02
     assert np.mean([got[i] for i in clean]) > 0.98
+
+
+def test_rare_declared_languages_are_candidates(spark):
+    """0.1 % of the rows are enough, and more rows of another language do not change that."""
+    rng = np.random.default_rng(6)
+    words = {"en": "the cat with other thing and this that house water", "cy": "mae ddim gyda rhywbeth chwarae ysgol llyfr gwybodaeth"}
+    text = lambda lang: " ".join(rng.choice(words[lang].split(), 30))
+    rows = [(i, text("en"), "en", None, "h") for i in range(8000)] + [(10_000 + i, text("cy"), "cy", None, "h") for i in range(8)]
+    rows += [(20_000, text("cy"), None, None, "h")]
+    got = {r.id: r for r in identify(rows_for(spark, rows)).collect()}
+    assert {(got[i].language, got[i].accepted) for i in (*range(10_000, 10_008), 20_000)} == {("cy", True)}
+    assert np.mean([got[i].language == "en" and got[i].accepted for i in range(8000)]) > 0.99
