@@ -9,7 +9,9 @@
    and the text of its content slots is read from the whole page.
 
 A slot that is a menu, header, footer, side bar, notice, advert, form, script, style or comment
-section by its element or marks is never content, although it varies. Inside an article or main
+section by its element or marks is never content, although it varies. On pages without an article,
+everything else is content but nodes that are the same on all example pages and, beside a block
+that holds most of the text, nodes other than headings that differ in their digits only. Inside an article or main
 element nothing else is dropped. A page that its wrapper does not fit, or whose host has no other
 page, gets a wrapper of its own.
 
@@ -20,6 +22,7 @@ host ''; a null page_id stays null; repeated rows each get their row; other colu
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,8 +38,9 @@ from episodeflow.llm.dom import Node, is_clutter, nodes, text_blocks, tree_match
 EXAMPLES = 6
 #: Example pages that must agree before a varying region's constant node counts as template.
 AGREE = 4
-#: Share of a node's main text that one child must hold for the search to go on inside it.
+#: Share of a node's main text that one child must hold for the search for template to go on inside it.
 FOCUS = 0.8
+HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
@@ -75,7 +79,8 @@ def _has_article(node: Node) -> bool:
 def induce(pages: list[Node]) -> dict:
     """Wrapper of the aligned trees: nested ``{"l": label, "r": role, "k": [...]}``.
 
-    Roles: c content slot, b template or clutter, n a node to look inside.
+    Roles: c content slot, b template or clutter, t content as a whole, n a node to look inside for
+    an article, f content whose template is also looked for deeper.
     """
     base = pages[0]
     seen: dict[int, list[Node]] = {}
@@ -92,9 +97,15 @@ def induce(pages: list[Node]) -> dict:
             align(base, page)
     others = len(pages) - 1
 
-    def constant(node: Node) -> bool:
+    def constant(node: Node, but_digits: bool = False) -> bool:
         matched = seen.get(id(node), [])
-        return others + 1 >= AGREE and len(matched) == others and len({_text(x) for x in [node, *matched]}) == 1
+        texts = (_text(x) for x in [node, *matched])
+        return others + 1 >= AGREE and len(matched) == others and len({re.sub(r"\d+", "0", x) if but_digits else x for x in texts}) == 1
+
+    def beside(node: Node) -> dict:
+        """A sibling of the main block."""
+        template = is_clutter(node, False) or constant(node, node.tag not in HEADINGS)
+        return {"l": node.label(), "r": "b" if template else "t"}
 
     def over_pages(node: Node) -> int:
         return sum(_mass(x, False) for x in [node, *seen.get(id(node), [])])
@@ -110,10 +121,10 @@ def induce(pages: list[Node]) -> dict:
             return {"l": label, "r": "n", "k": [walk(k) if _has_article(k) else {"l": k.label(), "r": "b"} for k in kids]}
         mass = {id(k): 0 if constant(k) or is_clutter(k, False) else over_pages(k) for k in kids}
         total = sum(mass.values())
-        blocks = [k for k in kids if k.tag in dom.BLOCK and k.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr")]
+        blocks = [k for k in kids if k.tag in dom.BLOCK and k.tag not in ("p", "li", "tr") and k.tag not in HEADINGS]
         best = max(blocks, key=lambda k: mass[id(k)], default=None)
         if best is not None and total and mass[id(best)] >= FOCUS * max(over_pages(node), 1):
-            return {"l": label, "r": "n", "k": [walk(k) if k is best else {"l": k.label(), "r": "b"} for k in kids]}
+            return {"l": label, "r": "f", "k": [walk(k) if k is best else beside(k) for k in kids]}
         return {"l": label, "r": "c", "k": [{"l": k.label(), "r": "b" if constant(k) else "t"} for k in kids] if any(constant(k) for k in kids) else []}
 
     return walk(base)
@@ -132,8 +143,22 @@ def read(page: Node, wrapper: Node) -> list[str] | None:
     out: list[str] = []
     fits = False
 
+    def template(node: Node, plan: Node, found: set[int]):
+        for p, q in tree_match(plan, node, 3 if plan.size == ord("f") else 1)[1]:
+            if p.size == ord("b"):
+                found.add(id(q))
+            elif p.size in (ord("f"), ord("c")) and p.kids:
+                template(q, p, found)
+
     def walk(node: Node, plan: Node):
         nonlocal fits
+        if plan.size == ord("f"):
+            if not _has_article(node):  # a page with an article gets its own wrapper
+                fits = True
+                found: set[int] = set()
+                template(node, plan, found)
+                text_blocks(node, out, False, frozenset(found))
+            return
         if plan.size == ord("c"):
             fits = True
             fixed = frozenset(id(q) for p, q in tree_match(plan, node, 1)[1] if p.size == ord("b")) if plan.kids else frozenset()

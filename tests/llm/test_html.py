@@ -73,3 +73,17 @@ def test_odd_pages(spark):
     assert by[1, None] == "" and by[2, "not a url"] == "x" and by[None, "http://h/1"] == "y" and by[3, "http://h/2"] == "" and by[4, "http://h/3"] == "core"
     assert len(by[5, "http://big/"]) == 200_000 * 5 - 1
     assert main_text(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("n_pages", [1, 3, 6])
+def test_title_lead_and_second_block_outside_the_main_block_stay(n_pages):
+    body = "".join(f"<p>Sentence {k} of the page with many words in it.</p>" for k in range(12))
+    names = ["ant", "bee", "cat", "dog", "elk", "fox"][:n_pages]
+    page = "<html><head><title>no</title></head><body>Own text {n}<h1>On {n} 7</h1><div class='lead'>All about the {n}.</div><div class='content'>{b}<p>The {n}.</p></div><div class='more'><p>More of the {n}.</p></div><div class='ad'>buy</div></body></html>"
+    sources = [page.format(n=n, b=body) for n in names]
+    wrapper = _skeleton(induce([dom.parse(s) for s in sources]))
+    for n, source in zip(names, sources):
+        text = extract(source, wrapper).split("\n\n")
+        assert text[:3] == [f"Own text {n}", f"On {n} 7", f"All about the {n}."] and text[-2:] == [f"The {n}.", f"More of the {n}."]
+    extra = sources[0].replace("<div class='more'>", "<section><p>No example has this.</p></section><div class='more'>")
+    assert "No example has this." in extract(extra, wrapper)
