@@ -13,7 +13,7 @@ from episodeflow.operators import steps as S
 from episodeflow.plans import bind
 from episodeflow.plans.rank import global_rank, prefix_sum
 
-from conftest import SF001
+from data_paths import SF001
 
 
 @pytest.mark.parametrize("n", [0, 1, 7, 20, 100])

@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as E  # noqa: E402
 from oracle_check import compare, duck  # noqa: E402
 
-from conftest import SMOKE  # noqa: E402
+from data_paths import SMOKE  # noqa: E402
 
 QUERIES = E.queries()
 ORACLE = E.oracle_sql()

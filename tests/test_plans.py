@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 
-from conftest import SF001
+from data_paths import SF001
 
 QS = E.queries()
 

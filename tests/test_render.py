@@ -6,7 +6,7 @@ from episodeflow.operators import prompts as P
 from episodeflow.operators import steps as S
 from episodeflow.plans import bind
 
-from conftest import SMOKE
+from data_paths import SMOKE
 
 
 def _python_prompt(tpl, task, history, observation, candidates):
@@ -36,8 +36,7 @@ def test_teacher_request_matches_python(spark):
     for ep, steps in by_ep.items():
         steps.sort(key=lambda r: r.step)
         traj = [{"timestep": r.step, "observation": r.observation, "candidate_actions": list(r.candidate_actions),
-                 "reason": r.reason, "action": r.action, "is_corrected": r.is_corrected,
-                 "corrected_reason": r.corrected_reason, "corrected_action": r.corrected_action} for r in steps]
+                 "reason": r.reason, "action": r.action} for r in steps]
         want = f"Trajectory:\n{traj!r}\n\nPrivileged state:\n{steps[0].task}"
         assert req[ep][1].content == want
         assert req[ep][0].role == "system" and req[ep][1].role == "user"
