@@ -47,9 +47,9 @@ def _upto(count: Column) -> Column:
     return F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def span(start: Column, n: Column | int) -> Column:
-    """The ``n`` words from ``start`` (0 first) as text."""
-    return F.array_join(F.slice("words", start + 1, n), " ")
+def span(start: Column, n: Column | int, most: int) -> Column:
+    """The ``n`` (at most ``most``) words from ``start`` (0 first) as text; ``slice`` would copy all words for each span."""
+    return F.concat_ws(" ", *[F.get("words", start + j) if isinstance(n, int) else F.when(n > j, F.get("words", start + j)) for j in range(most)])
 
 
 def short_hash(n: int, text: Column) -> Column:
@@ -65,7 +65,7 @@ def winnowed(rows: DataFrame, lengths: list[int], window: int, gram: int) -> Dat
             keep = window - gram + 1
             spans.append(F.transform(_upto(F.size("grams") - (keep - 1)), lambda i: F.least(*[F.get("grams", i + j) for j in range(keep)]) if keep > 1 else F.get("grams", i)))
         else:
-            spans.append(F.transform(_upto(F.size("words") - (n - 1)), lambda i, n=n: short_hash(n, span(i, n))))
+            spans.append(F.transform(_upto(F.size("words") - (n - 1)), lambda i, n=n: short_hash(n, span(i, n, n))))
     return out.withColumn("spans", F.array(*spans).cast("array<array<bigint>>")).drop("grams")
 
 
@@ -73,7 +73,7 @@ def benchmark_windows(items: DataFrame, item_col: str, text_col: str, window: in
     """Landed ``window, n, fp, same`` (one row a distinct window) and ``same, item``; and the lengths of windows."""
     rows = (items.select(F.col(item_col).cast("string").alias("item"), words(F.col(text_col).cast("string")).alias("words")).filter(F.size("words") > 0)
             .withColumn("n", F.least(F.size("words"), F.lit(window))))
-    pairs = land(rows.withColumn("window", F.explode(F.transform(F.sequence(F.lit(0), F.size("words") - F.col("n")), lambda i: span(i, F.col("n")))))
+    pairs = land(rows.withColumn("window", F.explode(F.transform(F.sequence(F.lit(0), F.size("words") - F.col("n")), lambda i: span(i, F.col("n"), window))))
                  .select("window", "n", "item").distinct(), "benchmark-pairs")
     wide = "decimal(38,0)"
     same = F.struct(F.count("item").alias("items"), F.coalesce(F.sum(F.xxhash64("item").cast(wide)), F.lit(0).cast(wide)).alias("a"),
@@ -97,19 +97,20 @@ def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
     fingerprints = windows.select("fp").distinct()
 
-    # Texts with a fingerprint of the benchmark.
+    # Texts with a fingerprint of the benchmark. (The outer forms of the generators keep the optimizer from filtering by their
+    # arrays below the projections that make them, where nested transforms would run once for each element.)
     kept = winnowed(rows.select(*_KEY, words(F.col("text")).alias("words")), lengths, window, gram)
-    kept = kept.select(*_KEY, F.explode(F.array_distinct(F.flatten("spans"))).alias("fp"))
+    kept = kept.select(*_KEY, F.explode_outer(F.array_distinct(F.flatten("spans"))).alias("fp"))
     met = land(kept.join(fingerprints, "fp", "left_semi").select(*_KEY).distinct(), "met-texts")
     texts = land(rows.join(met, _KEY, "left_semi").dropDuplicates(_KEY).select(*_KEY, words(F.col("text")).alias("words")), "met-words")
 
     # Their spans at such fingerprints, word by word.
-    spans = winnowed(texts, lengths, window, gram).select(*_KEY, F.posexplode("spans").alias("length", "fps"))
+    spans = winnowed(texts, lengths, window, gram).select(*_KEY, F.posexplode_outer("spans").alias("length", "fps"))
     n = F.element_at(F.array(*[F.lit(x) for x in lengths or [0]]), F.col("length") + 1)
-    spans = spans.select(*_KEY, n.alias("n"), F.posexplode("fps").alias("start", "fp")).join(fingerprints, "fp", "left_semi")
+    spans = spans.select(*_KEY, n.alias("n"), F.posexplode_outer("fps").alias("start", "fp")).join(fingerprints, "fp", "left_semi")
     spans = spans.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "n")).alias("at"))  # no more than the text has words, for each length
-    spans = (texts.join(spans, _KEY).withColumn("at", F.transform("at", lambda x: F.struct(x.start.alias("start"), x.n.alias("n"), span(x.start, x.n).alias("window"))))
-             .select(*_KEY, F.inline("at")))
+    spans = (texts.join(spans, _KEY).withColumn("at", F.transform("at", lambda x: F.struct(x.start.alias("start"), x.n.alias("n"), span(x.start, x.n, window).alias("window"))))
+             .select(*_KEY, F.inline_outer("at")))
     hits = land(spans.join(windows.select("window", "n", "same"), ["window", "n"]).select(*_KEY, "start", (F.col("start") + F.col("n")).alias("stop"), "same"), "hit-spans")
 
     before = Window.partitionBy(*_KEY).orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)

@@ -3,12 +3,12 @@
 1. The bytes of each language are summed. A shard is a run of texts of one task of at most
    ``SHARD_BYTES`` bytes (or one longer text).
 2. Each shard is mined completely, with numpy inside a task: all phrases of 1 to ``longest`` words
-   with at least the support lowered by the shard's share of the language's bytes, rounded up. A
-   phrase with the full support reaches that in at least one shard. Phrases are 64-bit hashes of
+   with at least the support lowered by the shard's share of the language's bytes, rounded up (1 in
+   languages of more than a shard's bytes). A phrase with the full support reaches that in at least one shard. Phrases are 64-bit hashes of
    (lang, words) here; equal hashes of different phrases can only add candidates.
 3. The union over the shards: a candidate is a phrase whose local counts, plus the most that the
-   shards which did not report it can hold, reach the support. Beyond ten shards a language the
-   lowered support is 1, so all phrases are handed on and this bound does the pruning.
+   shards which did not report it can hold, reach the support. Where the lowered support is 1, all
+   phrases are handed on and this bound does the pruning.
 4. All candidates are counted exactly over all texts, by their words. A bit table of the candidates
    (two bits each, at most ``FILTER_BITS`` bits, so of bounded size) leaves most other phrases out
    before the shuffle; what it lets through wrongly is counted and falls at the support.
@@ -38,6 +38,8 @@ SHARD_BYTES = 8 << 20
 SECTIONS = 64
 #: Bits of the candidates' table: 16 for each candidate, at most these.
 FILTER_BITS = 1 << 28
+#: Parts of a language that are ranked by themselves first.
+SALTS = 256
 #: Rows of an Arrow batch that a task hands on.
 OUT_ROWS = 1 << 18
 _SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -121,8 +123,8 @@ def lowered_support(support: int, own: np.ndarray, whole: np.ndarray) -> np.ndar
 def mined(rows: DataFrame, support: int, longest: int) -> DataFrame:
     """``h, v, spare`` of each shard's frequent phrases: v is the count less what an unreported phrase can have there.
 
-    ``spare`` is the most that all shards together can hold of a phrase they do not report: 0 in a
-    language of more than ``support`` shards, whose lowered support is taken as 1.
+    ``spare`` is the most that all shards together can hold of a phrase they do not report. It is 0 in
+    a language of more bytes than a shard, whose support is lowered to 1 in every shard at once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +132,7 @@ def mined(rows: DataFrame, support: int, longest: int) -> DataFrame:
             for part, data, offsets in passes(batch, "text", SHARD_BYTES):
                 shard = Shard(data, offsets)
                 lang, total = lang_hashes(part.column(0)), part.column(2).to_numpy(zero_copy_only=False)
-                few = total <= support * SHARD_BYTES  # languages of few shards
+                few = total <= SHARD_BYTES
                 need = np.ones(len(lang), np.int64)
                 if few.any():
                     _, code = np.unique(lang, return_inverse=True)
@@ -267,8 +269,11 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
               .groupBy("lang", "phrase").agg(F.max("n").alias("longer")))
     left = (best.join(within, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < inside * F.col("a")))
             .select("lang", "phrase", "a", "best.l", "best.r", "best.score"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    top = left.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= ranks)
+    order = F.desc("score"), F.desc("a"), F.asc("phrase")
+    # The best of each of SALTS parts of a language, then the best of those.
+    some = left.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    some = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("rank") <= ranks)
+    top = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= ranks)
     words = exact.filter("k = 0").select("lang", F.col("n").alias("n"))
     return top.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
