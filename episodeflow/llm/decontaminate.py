@@ -56,6 +56,10 @@ def short_hash(n: int, text: Column) -> Column:
     return F.xxhash64(F.lit(n), text)
 
 
+def short_spans(n: int):
+    return lambda start: short_hash(n, span(start, n, n))
+
+
 def winnowed(rows: DataFrame, lengths: list[int], window: int, gram: int) -> DataFrame:
     """``rows`` (with ``words``) and ``spans``: the fingerprint of every span, one array for each length."""
     out = rows.withColumn("grams", F.transform(_upto(F.size("words") - (gram - 1)), lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(gram)])))
@@ -65,7 +69,7 @@ def winnowed(rows: DataFrame, lengths: list[int], window: int, gram: int) -> Dat
             keep = window - gram + 1
             spans.append(F.transform(_upto(F.size("grams") - (keep - 1)), lambda i: F.least(*[F.get("grams", i + j) for j in range(keep)]) if keep > 1 else F.get("grams", i)))
         else:
-            spans.append(F.transform(_upto(F.size("words") - (n - 1)), lambda i, n=n: short_hash(n, span(i, n, n))))
+            spans.append(F.transform(_upto(F.size("words") - (n - 1)), short_spans(n)))
     return out.withColumn("spans", F.array(*spans).cast("array<array<bigint>>")).drop("grams")
 
 

@@ -199,6 +199,16 @@ class Table:
         return out
 
 
+def runs(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal pairs (h, g) lie together, and where each run of them starts."""
+    order = np.argsort(h)
+    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+    if (~new[1:] & (g[order][1:] != g[order][:-1])).any():  # one hash, two phrases
+        order = np.lexsort((g, h))
+        new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])])
+    return order, np.flatnonzero(new)
+
+
 def counted(rows: DataFrame, table: Table, longest: int) -> DataFrame:
     """``lang, k, phrase, n`` of each shard: counts of the phrases that the table holds; k = 0: all words."""
     names = ["lang", "k", "phrase", "n"]
@@ -218,12 +228,7 @@ def counted(rows: DataFrame, table: Table, longest: int) -> DataFrame:
                     at, h, g = at[keep], h[keep], g[keep]
                     if not len(at):
                         continue
-                    order = np.argsort(h)
-                    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-                    if (~new[1:] & (g[order][1:] != g[order][:-1])).any():  # one hash, two phrases
-                        order = np.lexsort((g, h))
-                        new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])])
-                    starts = np.flatnonzero(new)
+                    order, starts = runs(h, g)
                     n, first = np.diff(np.append(starts, len(order))), at[order[starts]]
                     for a in range(0, len(first), OUT_ROWS):
                         some = first[a: a + OUT_ROWS]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from episodeflow.llm import (
     bit_sliced_topk, budget_mix, collision_ann, decontaminate, language_id, near_dedup, phrase_mining, quality_gam, rendezvous_shards, retrieval_packing,
-    token_counts, wrapper_extract,
+    token_alignment, token_counts, wrapper_extract,
 )
 from episodeflow.llm.common import table
 
@@ -59,6 +59,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper_extract.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment(table(spark, sf_dir, "documents"))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -70,7 +74,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_classifier, op2_nearest_neighbours, op3_near_dedup, op4_token_counts, op5_budget_mix, op6_exact_topk, op7_sharding,
-        op8_retrieval_packing, op9_language_id, op10_html_extraction, op12_decontamination, op13_collocations)}
+        op8_retrieval_packing, op9_language_id, op10_html_extraction, op11_token_alignment, op12_decontamination, op13_collocations)}
 
 SQL: dict[str, str] = {"op5_budget_mix": budget_mix.sql(), "op6_exact_topk": bit_sliced_topk.SQL, "op7_sharding": rendezvous_shards.SQL,
                        "op12_decontamination": decontaminate.SQL, "op13_collocations": phrase_mining.SQL}
