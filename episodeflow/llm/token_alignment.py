@@ -37,7 +37,8 @@ from episodeflow.llm.bpe import merger
 from episodeflow.llm.common import land, passes, ragged
 from episodeflow.llm.token_counts import tokenizer_path
 
-BLOCK_BYTES = 4 << 20
+#: Text bytes of a block, and of one pass of encoding and aligning within it.
+BLOCK_BYTES, PASS = 4 << 20, 1 << 19
 _MARK = "▁"
 
 
@@ -209,15 +210,22 @@ def _blocks(path_a: str, path_b: str):
         names = ["block", "ids", "n_a", "n_b", "n_links", "sha", "link", "pair", "times"]
         part_id, made = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part, data, offsets in passes(batch, "text", BLOCK_BYTES):
-                ids_a, at_a, ids_b, at_b, cut_a, cut_b = aligned(part.column(1).to_pylist(), data, offsets, path_a, path_b)
-                links = np.diff(np.searchsorted(cut_a, at_a))
-                pair, link, times = np.unique((ids_a[cut_a] << 32) | ids_b[cut_b], return_inverse=True, return_counts=True)
-                one = [pa.array([(part_id << 32) + made]), _one(part.column(0)), _one(pa.array(np.diff(at_a))), _one(pa.array(np.diff(at_b))), _one(pa.array(links)),
-                       _one(pa.array(group_digests(ids_a, at_a, ids_b, at_b, cut_a, cut_b) if len(links) else [], pa.string())), _one(pa.array(link.astype(np.int32))),
-                       _one(pa.array(pair)), _one(pa.array(times))]
+            for block, _, _ in passes(batch, "text", BLOCK_BYTES):
+                n_a, n_b, links, shas, pairs = [], [], [], [], []
+                for part, data, offsets in passes(block, "text", PASS):
+                    ids_a, at_a, ids_b, at_b, cut_a, cut_b = aligned(part.column(1).to_pylist(), data, offsets, path_a, path_b)
+                    n_a.append(np.diff(at_a))
+                    n_b.append(np.diff(at_b))
+                    links.append(np.diff(np.searchsorted(cut_a, at_a)))
+                    pairs.append((ids_a[cut_a] << 32) | ids_b[cut_b])
+                    shas += group_digests(ids_a, at_a, ids_b, at_b, cut_a, cut_b)
+                if not shas:
+                    continue
+                pair, link, times = np.unique(np.concatenate(pairs), return_inverse=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([(part_id << 32) + made]), _one(block.column(0)), *[_one(pa.array(np.concatenate(x))) for x in (n_a, n_b, links)], _one(pa.array(shas, pa.string())),
+                     _one(pa.array(link.astype(np.int32))), _one(pa.array(pair)), _one(pa.array(times))], names)
                 made += 1
-                yield pa.RecordBatch.from_arrays(one, names)
 
     return run
 
