@@ -2,16 +2,16 @@
 
 1. The bytes of each language are summed. A shard is a run of texts of one task of at most
    ``SHARD_BYTES`` bytes (or one longer text).
-2. Each shard is mined completely, with numpy inside a task: all phrases of 1 to ``longest`` words
-   with at least the support lowered by the shard's share of the language's bytes, rounded up (1 in
+2. Each shard is mined completely, with numpy inside a task, phrases of 1 word, then of 2, up to
+   ``longest``: all phrases whose two parts of one word less are candidates of the level before, with at least the support lowered by the shard's share of the language's bytes, rounded up (1 in
    languages of more than a shard's bytes). A phrase with the full support reaches that in at least one shard. Phrases are 64-bit hashes of
    (lang, words) here; equal hashes of different phrases can only add candidates.
 3. The union over the shards: a candidate is a phrase whose local counts, plus the most that the
    shards which did not report it can hold, reach the support. Where the lowered support is 1, all
    phrases are handed on and this bound does the pruning.
-4. All candidates are counted exactly over all texts, by their words. A bit table of the candidates
-   (two bits each, at most ``FILTER_BITS`` bits, so of bounded size) leaves most other phrases out
-   before the shuffle; what it lets through wrongly is counted and falls at the support.
+4. All candidates are counted exactly over all texts, by their words. Tasks know candidates, here and
+   from level to level, by a bit table (two bits each, at most ``FILTER_BITS`` bits, so of bounded
+   size); what it lets through wrongly is counted and falls at the support.
 5. Scores, the rule on longer candidates and the ranks are joins and grouped aggregates.
 
 Counts of a shard are merged before the shuffle, so a phrase or language in a third of all rows
@@ -25,6 +25,7 @@ result; a language without a phrase that qualifies has no rows; other columns ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 from episodeflow.llm.common import land, parts, passes, ragged, text_bytes
 from episodeflow.llm.shingles import mix
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+#: Bytes of words hashed at once.
+HASH_BYTES = 1 << 19
 SECTIONS = 64
 #: Bits of the candidates' table: 16 for each candidate, at most these.
 FILTER_BITS = 1 << 28
@@ -56,11 +59,17 @@ def byte_hashes(data: np.ndarray, lengths: np.ndarray, seed: np.uint64) -> np.nd
     """64-bit hash of each of the adjoining byte ranges of ``data`` (an empty range has one too)."""
     out = lengths.astype(np.uint64) * seed
     full = np.flatnonzero(lengths)
-    if len(full):
-        starts = (np.cumsum(lengths) - lengths)[full]
-        powers = np.cumprod(np.full(int(lengths.max()), seed, np.uint64))
-        inside = np.arange(len(data)) - np.repeat(starts, lengths[full])
-        out[full] += np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers[inside], starts)
+    n = lengths[full]
+    ends = np.cumsum(n)
+    powers = np.cumprod(np.full(int(n.max(initial=0)), seed, np.uint64))
+    row = 0
+    while row < len(full):
+        begin = int(ends[row] - n[row])
+        stop = max(row + 1, int(np.searchsorted(ends, begin + HASH_BYTES, side="right")))
+        starts = ends[row:stop] - n[row:stop] - begin
+        inside = np.arange(int(ends[stop - 1]) - begin) - np.repeat(starts, n[row:stop])
+        out[full[row:stop]] += np.add.reduceat((data[begin: ends[stop - 1]].astype(np.uint64) + np.uint64(1)) * powers[inside], starts)
+        row = stop
     return mix(out)
 
 
@@ -120,11 +129,12 @@ def lowered_support(support: int, own: np.ndarray, whole: np.ndarray) -> np.ndar
     return np.maximum(1, -(-support * own // np.maximum(whole, 1)))
 
 
-def mined(rows: DataFrame, support: int, longest: int) -> DataFrame:
-    """``h, v, spare`` of each shard's frequent phrases: v is the count less what an unreported phrase can have there.
+def mined(rows: DataFrame, support: int, k: int, before: Table | None) -> DataFrame:
+    """``h, v, spare`` of each shard's frequent phrases of ``k`` words: v is the count less what an unreported phrase can have there.
 
-    ``spare`` is the most that all shards together can hold of a phrase they do not report. It is 0 in
-    a language of more bytes than a shard, whose support is lowered to 1 in every shard at once.
+    ``before`` holds the candidates of k - 1 words. ``spare`` is the most that all shards together can
+    hold of a phrase they do not report. It is 0 in a language of more bytes than a shard, whose
+    support is lowered to 1 in every shard at once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,19 +148,26 @@ def mined(rows: DataFrame, support: int, longest: int) -> DataFrame:
                     _, code = np.unique(lang, return_inverse=True)
                     own = np.bincount(code, np.diff(offsets)).astype(np.int64)[code]
                     need = np.where(few, lowered_support(support, own, total), 1)
-                for _, at, h in shard.phrases(lang, longest):
-                    if few.any():
-                        h, first, n = np.unique(h, return_index=True, return_counts=True)
-                        row = shard.row[at[first]]
-                        least, spare = need[row], np.where(few[row], support - 1, 0)
-                        keep = n >= least
-                        h, v, spare = h[keep], (n - least + 1)[keep], spare[keep]
-                    else:
-                        h, v = np.unique(h, return_counts=True)
-                        spare = np.zeros(len(h), np.int64)
-                    for a in range(0, len(h), OUT_ROWS):
-                        b = a + OUT_ROWS
-                        yield pa.RecordBatch.from_arrays([pa.array(h[a:b].view(np.int64)), pa.array(v[a:b].astype(np.int32)), pa.array(spare[a:b].astype(np.int32))], ["h", "v", "spare"])
+                ok = np.ones(len(shard.begin) + 1, bool)
+                for n, at, h in shard.phrases(lang, k):
+                    if n == k - 1:
+                        ok[:] = False
+                        ok[at] = before.has(h)
+                    elif n == k and k > 1:
+                        go = ok[at] & ok[at + 1]
+                        at, h = at[go], h[go]
+                if few.any():
+                    h, first, n = np.unique(h, return_index=True, return_counts=True)
+                    row = shard.row[at[first]]
+                    least, spare = need[row], np.where(few[row], support - 1, 0)
+                    keep = n >= least
+                    h, v, spare = h[keep], (n - least + 1)[keep], spare[keep]
+                else:
+                    h, v = np.unique(h, return_counts=True)
+                    spare = np.zeros(len(h), np.int64)
+                for a in range(0, len(h), OUT_ROWS):
+                    b = a + OUT_ROWS
+                    yield pa.RecordBatch.from_arrays([pa.array(h[a:b].view(np.int64)), pa.array(v[a:b].astype(np.int32)), pa.array(spare[a:b].astype(np.int32))], ["h", "v", "spare"])
 
     return rows.mapInArrow(run, "h long, v int, spare int")
 
@@ -243,8 +260,14 @@ def frequent(docs: DataFrame, text_col: str, lang_col: str, support: int, longes
     """``lang, k, phrase, n``: exact counts of all phrases with the support, and of all words (k = 0); landed."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     totals = land(rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("total")), "lang-bytes", 1)
-    union = mined(rows.join(totals, "lang").select("lang", "text", "total"), support, longest)
-    found = land(union.groupBy("h").agg(F.sum("v").alias("v"), F.max("spare").alias("spare")).filter(F.col("v") + F.col("spare") >= support).select("h"), "phrase-candidates")
+    sized = rows.join(totals, "lang").select("lang", "text", "total")
+    levels: list[DataFrame] = []
+    table = None
+    for k in range(1, longest + 1):
+        union = mined(sized, support, k, table).groupBy("h").agg(F.sum("v").alias("v"), F.max("spare").alias("spare"))
+        levels.append(land(union.filter(F.col("v") + F.col("spare") >= support).select("h"), f"phrase-candidates-{k}"))
+        table = Table.of(levels[-1], levels[-1].count())
+    found = reduce(DataFrame.unionByName, levels)
     table = Table.of(found, found.count())
     exact = counted(rows, table, longest).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
     return land(exact.filter(f"k = 0 or n >= {int(support)}"), "phrases")
