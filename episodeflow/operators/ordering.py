@@ -1,9 +1,10 @@
 """Sort, limit, sampling, shuffling and mixing of data sets.
 
 Seeded "random" order is md5('<seed>:<key>') so that it is reproducible on
-any cluster and in any engine. Ranks that would need a global window use
-the distributed ``global_rank``; per-group ranks are rebased global ranks,
-so a dominant group is still spread over many tasks.
+any cluster and in any engine. Taking the first rows of such an order needs
+no sort: ``radix.first_rows`` finds the threshold key from counts, and the
+rows are filtered by it. Only an explicit position (O2) sorts, with the
+distributed ``global_rank``.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from episodeflow.plans.radix import FEW_GROUPS, first_rows, hex_digits
 from episodeflow.plans.rank import global_rank, in_group
 
 
@@ -37,14 +39,20 @@ def seeded_shuffle(rows: DataFrame, key: str, seed: int = 42, position: str | No
     return out
 
 
-def prior_mix(cur: DataFrame, prior: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """O3 (+O5): at most ``len(cur)`` shuffled prior rows appended to the current rows.
+def reshuffled(rows: DataFrame, keys: Sequence[str], seed: int = 42, out: str = "shuffle_key") -> DataFrame:
+    """The seeded order of a merged set, a key over its columns ``keys``; a writer sorts by it, files by files."""
+    return rows.withColumn(out, seeded_key(F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]), seed))
 
-    The cap is a scalar subquery (planned by Catalyst, no driver round trip).
-    """
-    n_cur = cur.select(F.count(F.lit(1))).scalar()
-    ranked = global_rank(prior.withColumn("_h", seeded_key(F.col(key), seed)), ["_h", key], "_rk")
-    taken = ranked.where(F.col("_rk") <= n_cur).drop("_h", "_rk")
+
+def first_seeded(rows: DataFrame, n: int, key: str, seed: int, group: Sequence[str] = ()) -> DataFrame:
+    """The first ``n`` rows (of each group) of the seeded order, found by counts (``plans.radix``)."""
+    keyed = rows.withColumn("_h", seeded_key(F.col(key), seed))
+    return first_rows(keyed, n, ["_h", key], hex_digits(F.col("_h")), group, "_in").where("_in").select(*rows.columns)
+
+
+def prior_mix(cur: DataFrame, prior: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """O3 (+O5): at most ``len(cur)`` shuffled prior rows appended to the current rows. ``reshuffled`` orders the whole."""
+    taken = first_seeded(prior, cur.count(), key, seed)
     return cur.withColumn("origin", F.lit("current")).unionByName(taken.withColumn("origin", F.lit("prior")))
 
 
@@ -55,12 +63,23 @@ def rank_in_group(rows: DataFrame, group: str | Sequence[str], order: Sequence[s
 
 
 def balanced_mix(rows: DataFrame, group: str, key: str, seed: int = 42) -> DataFrame:
-    """From every group take min-group-size rows after a seeded shuffle."""
+    """From every group take min-group-size rows after a seeded shuffle. ``reshuffled`` orders the whole."""
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    min_n = sizes.select(F.min("_n")).scalar()
-    keyed = rows.withColumn("_h", seeded_key(F.col(key), seed))
-    ranked = rank_in_group(keyed, group, ["_h", key], "_r")
-    return ranked.where(F.col("_r") <= min_n).drop("_h", "_r")
+    n, groups = sizes.agg(F.coalesce(F.min("_n"), F.lit(0)), F.count(F.lit(1))).first()
+    if groups <= FEW_GROUPS:
+        return first_seeded(rows, n, key, seed, [group])
+    # More groups than thresholds are kept for on the driver: ranks in a range-partitioned order.
+    ranked = rank_in_group(rows.withColumn("_h", seeded_key(F.col(key), seed)), group, ["_h", key], "_r")
+    return ranked.where(F.col("_r") <= n).drop("_h", "_r")
+
+
+def training_mix(rows: DataFrame, splits: Sequence[str], folder: str, key: str, split: str = "split", seed: int = 42) -> DataFrame:
+    """O4 whole: the data sets of several folders, balanced and shuffled for each split by itself (train and eval apart)."""
+    parts = [balanced_mix(rows.where(F.col(split) == s), folder, key, seed) for s in splits]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return reshuffled(out, [split, folder, key], seed)
 
 
 def candidate_cap(cands: Column, keep_first: int = 6, sample: int = 10, limit: int = 20,

@@ -12,6 +12,7 @@ from typing import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from episodeflow.plans.radix import INTEGRAL, first_rows, hex_digits, long_digits
 from episodeflow.plans.rank import global_rank, in_group
 
 
@@ -203,21 +204,28 @@ def episode_split(eps: DataFrame, key: str = "episode_id", frac: float = 0.85,
                   seed: int = 42) -> DataFrame:
     """Seeded episode-level shuffle, first floor(n*frac) are train.
 
-    Rank by md5('seed:id') with a distributed exact rank (no single-task window).
+    The order is md5('seed:id'); its threshold is found from counts
+    (``radix.first_rows``), so the rows are only compared with it.
     """
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    ranked = global_rank(eps.withColumn("_h", h), ["_h", key], "_rank", total_col="_n")
-    cut = F.floor(F.col("_n") * F.lit(float(frac)))
-    return (ranked.withColumn("split", F.when(F.col("_rank") <= cut, "train").otherwise("test"))
-                  .drop("_h", "_n"))
+    cut = F.floor(F.col("_total") * F.lit(float(frac)))
+    return _labelled(first_rows(eps.withColumn("_h", h), cut, ["_h", key], hex_digits(F.col("_h"))).drop("_h"))
 
 
 def prefix_split(items: DataFrame, idx: str, frac: float = 0.7) -> DataFrame:
-    """First floor(n*frac) indices (unshuffled) are train."""
+    """First floor(n*frac) indices (unshuffled) are train.
+
+    Whole-number indices are cut by their digits; other types need the
+    distributed rank.
+    """
+    if isinstance(items.schema[idx].dataType, INTEGRAL):
+        return _labelled(first_rows(items, F.floor(F.col("_total") * F.lit(float(frac))), [idx], long_digits(F.col(idx))))
     ranked = global_rank(items, [idx], "_rank", total_col="_n")
-    cut = F.floor(F.col("_n") * F.lit(float(frac)))
-    return (ranked.withColumn("split", F.when(F.col("_rank") <= cut, "train").otherwise("test"))
-                  .drop("_n"))
+    return _labelled(ranked.withColumn("_first", F.col("_rank") <= F.floor(F.col("_n") * F.lit(float(frac)))).drop("_n", "_rank"))
+
+
+def _labelled(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("split", F.when(F.col("_first"), "train").otherwise("test")).drop("_first")
 
 
 def first_valid_attempt(att: DataFrame, retries: int,

@@ -56,6 +56,31 @@ def q_balanced_mix(spark, sf_dir):
     return O.balanced_mix(d, "dir", "doc_id", 42).select("dir", "doc_id")
 
 
+@register("prior_mix_order", ids=("O3", "O2"), sql="""
+WITH cur AS (SELECT doc_id FROM documents WHERE lang <> 'en'),
+prior AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rk
+          FROM documents WHERE lang = 'en'),
+m AS (SELECT 'current' AS origin, doc_id FROM cur
+      UNION ALL SELECT 'prior', doc_id FROM prior WHERE rk <= (SELECT count(*) FROM cur))
+SELECT origin, doc_id, md5('42:' || origin || ':' || CAST(doc_id AS VARCHAR)) AS shuffle_key FROM m""")
+def q_prior_mix_order(spark, sf_dir):
+    """The prior-data mix as it goes into training: appended, then shuffled as a whole."""
+    return O.reshuffled(q_prior_mix(spark, sf_dir), ["origin", "doc_id"], 42).select("origin", "doc_id", "shuffle_key")
+
+
+@register("training_mix", ids=("O4", "S6"), sql="""
+WITH d AS (SELECT lang AS dir, CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train' END AS split, doc_id FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY split, dir ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn,
+      count(*) OVER (PARTITION BY split, dir) AS n FROM d),
+m AS (SELECT *, min(n) OVER (PARTITION BY split) AS least FROM r)
+SELECT split, dir, doc_id, md5('42:' || split || ':' || dir || ':' || CAST(doc_id AS VARCHAR)) AS shuffle_key FROM m WHERE rn <= least""")
+def q_training_mix(spark, sf_dir):
+    """Training and evaluation sets of several folders (one a language), each balanced and shuffled by itself."""
+    d = bind.Tables(spark, sf_dir).documents
+    rows = d.select(F.col("lang").alias("dir"), F.when(F.col("doc_id") % 10 == 0, "test").otherwise("train").alias("split"), "doc_id")
+    return O.training_mix(rows, ["train", "test"], "dir", "doc_id").select("split", "dir", "doc_id", "shuffle_key")
+
+
 @register("key_intersect", ids=("O6",), sql="""
 SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels""")
 def q_key_intersect(spark, sf_dir):
