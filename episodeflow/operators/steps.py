@@ -183,6 +183,52 @@ def step_history_text(steps: DataFrame, obs: str = "observation", act: str = "ac
     return out_df
 
 
+#: Steps of one episode that share a row while their histories are built.
+CHUNK = 256
+
+
+def shared_history(steps: DataFrame, obs: str = "observation", act: str = "action", key: str = "episode_id",
+                   out: str = "history_text", count_out: str | None = "n_history", chunk: int = CHUNK) -> DataFrame:
+    """W1 rendered, for episodes of any length: the text of ``step_history_text`` from shared prefixes.
+
+    Steps are numbered from 0. ``chunk`` of them are one row with their rendered
+    items, so grouping, state and shuffle are linear in the steps. An episode of
+    more chunks is joined to one text as well; each chunk gets the part of it that
+    lies before, and a step's history is that prefix and the chunk's items before
+    the step. Chunks are dealt by (episode, chunk), so a long episode is written
+    by many tasks; only the output is quadratic, as histories are. Rows of a null
+    episode are one episode; further columns pass unchanged.
+    """
+    from episodeflow.functions.pytext import py_dict_of
+
+    rows = steps.withColumn("_item", py_dict_of([("observation", obs), ("action", act)])).withColumn("_chunk", F.expr(f"step div {int(chunk)}"))
+    rest = [c for c in steps.columns if c != key]
+    by_step = lambda a, b: F.when(a["_s"] < b["_s"], -1).when(a["_s"] > b["_s"], 1).otherwise(0)
+    packed = (rows.groupBy(key, "_chunk").agg(F.collect_list(F.struct(F.col("step").alias("_s"), "_item", F.struct(*rest).alias("_row"))).alias("_l"))
+              .select(key, "_chunk", F.array_sort("_l", by_step).alias("_l")))
+    parts = packed.select(key, "_chunk", F.size("_l").alias("_n"), F.array_join(F.transform("_l", lambda x: x["_item"]), ", ").alias("_text"))
+    same = lambda a, b: F.col(f"{a}.{key}").eqNullSafe(F.col(f"{b}.{key}"))
+    several = packed.where("_chunk > 0").select(key).distinct()
+    whole = (parts.alias("p").join(several.alias("s"), same("p", "s"), "left_semi").groupBy(key)
+             .agg(F.array_sort(F.collect_list(F.struct("_chunk", "_n", "_text"))).alias("_parts")))
+    before = whole.select(key, "_parts", F.posexplode_outer(F.transform("_parts", lambda x: x["_chunk"])).alias("_p", "_chunk")).select(
+        key, "_chunk", F.aggregate(F.slice("_parts", 1, F.col("_p")), F.lit(0), lambda acc, x: acc + x["_n"]).alias("_before"),
+        F.array_join(F.transform(F.slice("_parts", 1, F.col("_p")), lambda x: x["_text"]), ", ").alias("_prefix"))
+    heads = packed.where("_chunk <= 0").select(key, "_l", F.lit(0).alias("_before"), F.lit("").alias("_prefix"))
+    later = (packed.where("_chunk > 0").alias("l").join(before.alias("r"), same("l", "r") & (F.col("l._chunk") == F.col("r._chunk")))
+             .select(F.col(f"l.{key}").alias(key), "l._l", "r._before", "r._prefix", "l._chunk"))
+    # A stated number of partitions: sizes before the histories are written say nothing about the work.
+    n = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = heads.unionByName(later.repartition(n, key, "_chunk").drop("_chunk")).withColumn("_items", F.transform("_l", lambda x: x["_item"]))
+    each = joined.select(key, "_before", "_prefix", "_items", F.posexplode_outer("_l").alias("_i", "_x"))
+    own = F.array_join(F.slice("_items", 1, F.col("_i")), ", ")
+    text = F.concat(F.lit("["), "_prefix", F.when((F.col("_before") > 0) & (F.col("_i") > 0), ", ").otherwise(""), own, F.lit("]"))
+    cols = [F.col(key) if c == key else F.col(f"_x._row.{c}").alias(c) for c in steps.columns]
+    if count_out:
+        return each.select(*cols, text.alias(out), (F.col("_before") + F.col("_i")).cast("long").alias(count_out))
+    return each.select(*cols, text.alias(out))
+
+
 def step_number(rows: DataFrame, key: str | list[str], order: Iterable[str], out: str = "step",
                 skew_safe: bool = True) -> DataFrame:
     """0-based step number within the episode.

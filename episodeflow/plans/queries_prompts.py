@@ -79,7 +79,10 @@ def q_response_build(spark, sf_dir):
 
 def sft_frame(spark, sf_dir):
     """Flagship: training rows with full history; F4 drops steps flagged false after W1."""
-    rows = P.sft_rows(S.uncorrected_skip(history_steps(spark, sf_dir)), TPL)
+    return flat_messages(P.sft_rows(S.uncorrected_skip(history_steps(spark, sf_dir)), TPL))
+
+
+def flat_messages(rows):
     return rows.select("episode_id", "step",
                        F.col("prompt")[0]["role"].alias("prompt_role"),
                        F.col("prompt")[0]["content"].alias("prompt"),
@@ -95,6 +98,26 @@ def q_sft_rows(spark, sf_dir):
     return sft_frame(spark, sf_dir)
 
 
+@register("sft_rows_shared", ids=("W1", "P1", "P3"), sql=Q.with_(Q.TEXT_STEPS, HIST_CTE) + f"""
+SELECT episode_id, step, 'user' AS prompt_role, {PROMPT_SQL} AS prompt,
+       'assistant' AS response_role, {RESPONSE_SQL} AS response
+FROM hsteps WHERE is_corrected IS DISTINCT FROM false""")
+def q_sft_rows_shared(spark, sf_dir):
+    """``sft_rows`` for conversations of any length: steps from distributed ranks, histories from shared prefixes."""
+    st = bind.text_steps(bind.Tables(spark, sf_dir).conversations, skew_safe=True)
+    return flat_messages(P.sft_rows(S.uncorrected_skip(S.shared_history(st)), TPL))
+
+
+@register("event_history", ids=("W1", "W2"), sql=Q.with_(Q.SCORED_STEPS, HIST_CTE.replace("tsteps", "ssteps")) + f"""
+SELECT episode_id, step, CAST(coalesce(len(history), 0) AS BIGINT) AS n_history,
+       CAST(length({Q.history_text('history')}) AS BIGINT) AS history_chars, md5({Q.history_text('history')}) AS history_md5
+FROM hsteps""")
+def q_event_history(spark, sf_dir):
+    """Histories of users of any number of events: size and digest of each step's history text."""
+    h = S.shared_history(bind.scored_steps(bind.Tables(spark, sf_dir).events))
+    return h.select("episode_id", "step", "n_history", F.char_length("history_text").cast("long").alias("history_chars"), F.md5("history_text").alias("history_md5"))
+
+
 # --- P4..P14 -----------------------------------------------------------------
 
 @register("pref_rows", ids=("P4", "M9"), sql=Q.with_(Q.TEXT_STEPS, HIST_CTE) + f"""
