@@ -43,3 +43,22 @@ def q_iteration_scan(spark, sf_dir):
     root = _root(spark, "iterations")
     sinks.write_rows(rows, root, ["iter", "split"])
     return files.scan_iterations(spark, root, 2, fmt="parquet", split="train").select("iter", "doc_id", "text")
+
+
+@register("episode_scan", ids=("S1", "S9", "W2"), sql=Q.with_(Q.TEXT_STEPS) + """
+SELECT episode_id, step, task, observation, reason, action, is_corrected, corrected_reason, corrected_action,
+       array_to_string(candidate_actions, '|') AS candidates
+FROM tsteps""")
+def q_episode_scan(spark, sf_dir):
+    """Every conversation as an episode file under its own name, written and read back."""
+    st = bind.text_steps(bind.Tables(spark, sf_dir).conversations)
+    step = ["observation", "candidate_actions", "reason", "action", "is_corrected", "corrected_reason", "corrected_action"]
+    # An episode's steps are one file, so they are one row (episodes are bounded by the action caps).
+    eps = st.groupBy("episode_id").agg(F.first("task", ignorenulls=True).alias("task"),
+                                       F.array_sort(F.collect_list(F.struct("step", *step))).alias("trajectory"))
+    eps = eps.withColumn("trajectory", F.transform("trajectory", lambda s: F.struct(*[s[c].alias(c) for c in step])))
+    root = _root(spark, "episodes")
+    sinks.write_episodes(eps.withColumnRenamed("episode_id", "episode_name"), root)
+    good, _ = files.scan_episode_dir(spark, root, numbered=True)
+    return files.episode_steps(good).select("episode_id", "step", "task", "observation", "reason", "action", "is_corrected", "corrected_reason",
+                                            "corrected_action", F.array_join("candidate_actions", "|").alias("candidates"))

@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from episodeflow.session import ship_package
+from episodeflow.sources.named_files import NamedFiles
+
 
 def write_rows(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet",
                mode: str = "overwrite") -> None:
@@ -28,6 +31,21 @@ def write_splits(rows: DataFrame, path: str, fmt: str = "json") -> None:
     write_rows(rows, path, ["split"], fmt)
 
 
+def write_named(rows: DataFrame, path: str, name: str, text: str, mode: str = "overwrite") -> None:
+    """``text`` of each row as a file called ``name`` (see ``named_files``); rows are dealt by name."""
+    spark = rows.sparkSession
+    ship_package(spark)
+    spark.dataSource.register(NamedFiles)
+    rows.select(F.col(name).alias("name"), F.col(text).alias("text")).repartition("name").write.format("named_files").mode(mode).save(path)
+
+
+def write_episodes(eps: DataFrame, path: str, name: str = "episode_name", mode: str = "overwrite", pretty: bool = False) -> None:
+    """One JSON file ``<name>.json`` an episode, all its other columns as fields (nulls too)."""
+    fields = F.struct(*[c for c in eps.columns if c != name])
+    text = F.to_json(fields, {"ignoreNullFields": "false", "pretty": str(pretty).lower()})
+    write_named(eps.select(F.concat(F.col(name).cast("string"), F.lit(".json")).alias("name"), text.alias("text")), path, "name", "text", mode)
+
+
 def state_last_wins(rows: DataFrame, key: str, text: str, seq: Sequence[str]) -> DataFrame:
     """Keyed state map; on repeated ids the last write (highest ``seq``) wins.
 
