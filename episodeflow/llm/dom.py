@@ -30,26 +30,40 @@ _SCOPE = {"li": frozenset({"ul", "ol", "menu"}), "dt": frozenset({"dl"}), "dd":
           "p": frozenset({"li", "td", "th", "table", "ul", "ol"}) | (BLOCK - {"p"}), "head": frozenset()}
 #: Elements that never hold main text.
 DROPPED = frozenset("nav footer aside form script style noscript template button select textarea iframe svg canvas menu dialog head title object "
-                    "audio video math datalist".split())
-#: Words in a class, an id or a role that mark what is not main text.
+                    "audio video datalist".split())
+#: Class names, ids or roles (or all words of one, beside ``NEUTRAL``) that mark what is not main text.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
     "sidebar footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
     "share sharing social related recommended comment comments commentlist reply replies disqus respond search login widget pagination pager toolbar "
     "contentinfo complementary skip topbar".split())
+#: Words that only say what kind of box a marked one is.
+NEUTRAL = frozenset("box block bar list item wrap wrapper container inner outer area top bottom left right main site page global button buttons links form".split())
 _WORDS = re.compile(r"[a-z]+")
 KEPT = frozenset({"html", "body", "article", "main"})
+#: Text of the page's own; a mark on it says what it is about, not that it is clutter.
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre li td th dd dt figure figcaption b i em strong span a code".split())
 
-
-#: Open elements at most; deeper ones stay childless and their content joins the deepest open one.
+#: Nested nodes at most; deeper elements are not nodes, but their content and the ends of their blocks are kept.
 DEEPEST = 200
 
 
+def marks_of(names: str) -> frozenset:
+    """Marks among the class names, ids or roles of an attribute's value."""
+    found = set()
+    for name in names.split():
+        words = _WORDS.findall(name)
+        marks = [w for w in words if w in MARKS]
+        if marks and all(w in MARKS or w in NEUTRAL for w in words):
+            found.update(marks)
+    return frozenset(found)
+
+
 class Node:
-    __slots__ = ("tag", "marks", "kids", "size")
+    __slots__ = ("tag", "marks", "kids", "size", "text")
 
     def __init__(self, tag: str, marks: frozenset = frozenset()):
-        self.tag, self.marks, self.kids, self.size = tag, marks, [], 0
+        self.tag, self.marks, self.kids, self.size, self.text = tag, marks, [], 0, None
 
     def label(self) -> str:
         return f"{self.tag}.{'.'.join(sorted(self.marks))}"
@@ -60,6 +74,13 @@ def parse(source: str) -> Node:
     root = Node("#root")
     stack = [root]
     pos, n = 0, len(source)
+
+    def close(k: int):
+        for node in stack[:k - 1:-1]:
+            if node.size < 0 and node.tag in BLOCK:  # an element that is no node: its block ends here
+                node.kids.append(Node("div"))
+        del stack[k:]
+
     while pos < n:
         m = _TOKEN.search(source, pos)
         if m is None:
@@ -77,7 +98,7 @@ def parse(source: str) -> Node:
         if m[1]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if tag not in BLOCK and stack[k].tag in BLOCK:
                     break  # a stray inline end tag does not end a block
@@ -85,17 +106,23 @@ def parse(source: str) -> Node:
         for k in range(len(stack) - 1, 0, -1):
             closing = CLOSED_BY.get(stack[k].tag)
             if closing and tag in closing:
-                del stack[k:]
+                close(k)
                 break
             if stack[k].tag in _SCOPE.get(tag, ()) or (tag in BLOCK and stack[k].tag in BLOCK):
                 break
         marks = frozenset()
         if m[3]:
             found = [(a.lower(), b or c or d) for a, b, c, d in _ATTR.findall(m[3])]
-            marks = frozenset(w for a, v in found if a in ("class", "id", "role") for w in _WORDS.findall(html.unescape(v).lower()))
+            marks = frozenset(w for a, v in found if a in ("class", "id", "role") for w in marks_of(html.unescape(v).lower()))
         node = Node(tag, marks)
+        if len(stack) > DEEPEST and tag not in RAW and tag not in VOID and not is_clutter(node, True):
+            node.kids, node.size = stack[-1].kids, -1  # its content goes where its parent's goes
+            if tag in BLOCK:
+                node.kids.append(Node("div"))
+            stack.append(node)
+            continue
         stack[-1].kids.append(node)
-        if tag not in RAW and len(stack) > DEEPEST or tag in VOID or m[3].endswith("/") and tag in ("svg", "path", "g"):
+        if tag in VOID or m[3].endswith("/") and tag in ("svg", "path", "g"):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, pos)
@@ -103,9 +130,39 @@ def parse(source: str) -> Node:
             pos = end.end() if end else n
             continue
         stack.append(node)
+    unwrap(root)
     return root
 
 
+def unwrap(root: Node) -> None:
+    """Elements that look like clutter but hold the page's article, or a form around most of its text, become plain blocks."""
+    order: list[tuple[Node, Node | None]] = [(root, None)]
+    for node, _ in order:
+        order += [(k, node) for k in node.kids if not isinstance(k, str)]
+    above = {id(n): p for n, p in order}
+    outside: set[int] = set()  # in clutter
+    for node, parent in order:
+        if parent is not None and (id(parent) in outside or is_clutter(node, False)):
+            outside.add(id(node))
+    articles = [n for n, _ in order if n.tag in ("article", "main")]
+    if articles and all(id(a) in outside for a in articles):
+        for a in articles:
+            chain = []
+            while (a := above[id(a)]) is not None:
+                chain.append(a)
+            if not any(n.tag in DROPPED and n.tag != "form" for n in chain):
+                for n in chain:
+                    n.marks, n.tag = frozenset(), "div" if n.tag == "form" else n.tag
+    elif not articles:
+        size: dict[int, int] = {}
+        for node, _ in reversed(order):
+            hidden = node.tag in DROPPED and node.tag != "form"
+            size[id(node)] = 0 if hidden else sum(len(k.strip()) if isinstance(k, str) else size[id(k)] for k in node.kids)
+        for node, _ in order:
+            if id(node) in outside and node.tag not in DROPPED - {"form"} and 2 * size[id(node)] > size[id(root)]:
+                node.marks, node.tag = frozenset(), "div" if node.tag == "form" else node.tag
+
+
 def is_clutter(node: Node, inside_article: bool) -> bool:
     """Menus, page headers, footers, side bars, notices, adverts, forms, scripts, styles, comments."""
     if node.tag in DROPPED:
@@ -114,8 +171,9 @@ def is_clutter(node: Node, inside_article: bool) -> bool:
         return False
     if node.tag == "header":
         return not inside_article
-    marks = node.marks & MARKS
-    return bool(marks - {"header"} if inside_article else marks)
+    if node.tag in PROSE:
+        return False
+    return bool(node.marks - {"header"} if inside_article else node.marks)
 
 
 def text_blocks(node: Node, out: list[str], inside_article: bool, constant: frozenset = frozenset()) -> None:

@@ -11,8 +11,11 @@
 A slot that is a menu, header, footer, side bar, notice, advert, form, script, style or comment
 section by its element or marks is never content, although it varies. On pages without an article,
 everything else is content but nodes that are the same on all example pages and, beside a block
-that holds most of the text, nodes other than headings that differ in their digits only. Inside an article or main
-element nothing else is dropped. A page that its wrapper does not fit, or whose host has no other
+that holds most of the text, nodes other than headings that differ in their digits only; a page's node is
+dropped only if its own text is the template's. Inside an article or main element nothing but marked clutter
+is dropped, and headings, paragraphs and other prose elements never by a mark. A class name is a mark as a
+whole (``sidebar``, ``ad-box``), not by a word in it (``has-sidebar``). An element around the page's article,
+or a form around most of a page's text, is no clutter. A page that its wrapper does not fit, or whose host has no other
 page, gets a wrapper of its own.
 
 Defined results: a null html is empty and gives an empty text; a null or odd url belongs to the
@@ -102,10 +105,17 @@ def induce(pages: list[Node]) -> dict:
         texts = (_text(x) for x in [node, *matched])
         return others + 1 >= AGREE and len(matched) == others and len({re.sub(r"\d+", "0", x) if but_digits else x for x in texts}) == 1
 
+    def fixed(node: Node, but_digits: bool = False) -> dict:
+        """Template (with its text) or content."""
+        if is_clutter(node, False):
+            return {"l": node.label(), "r": "b"}
+        if constant(node, but_digits):
+            return {"l": node.label(), "r": "b", "x": _plain(_text(node))}
+        return {"l": node.label(), "r": "t"}
+
     def beside(node: Node) -> dict:
         """A sibling of the main block."""
-        template = is_clutter(node, False) or constant(node, node.tag not in HEADINGS)
-        return {"l": node.label(), "r": "b" if template else "t"}
+        return fixed(node, node.tag not in HEADINGS)
 
     def over_pages(node: Node) -> int:
         return sum(_mass(x, False) for x in [node, *seen.get(id(node), [])])
@@ -125,7 +135,7 @@ def induce(pages: list[Node]) -> dict:
         best = max(blocks, key=lambda k: mass[id(k)], default=None)
         if best is not None and total and mass[id(best)] >= FOCUS * max(over_pages(node), 1):
             return {"l": label, "r": "f", "k": [walk(k) if k is best else beside(k) for k in kids]}
-        return {"l": label, "r": "c", "k": [{"l": k.label(), "r": "b" if constant(k) else "t"} for k in kids] if any(constant(k) for k in kids) else []}
+        return {"l": label, "r": "c", "k": [fixed(k) for k in kids] if any(constant(k) for k in kids) else []}
 
     return walk(base)
 
@@ -134,10 +144,19 @@ def _skeleton(spec: dict) -> Node:
     tag, _, marks = spec["l"].partition(".")
     node = Node(tag, frozenset(marks.split(".")) if marks else frozenset())
     node.kids = [_skeleton(k) for k in spec.get("k", ())]
-    node.size = ord(spec["r"])
+    node.size, node.text = ord(spec["r"]), spec.get("x")
     return node
 
 
+def _plain(text: str) -> str:
+    return re.sub(r"\d+", "0", text)
+
+
+def _is_template(node: Node, plan: Node) -> bool:
+    """Clutter by its label, or a node whose own text is the template's (but for digits)."""
+    return plan.size == ord("b") and (plan.text is None or _plain(_text(node)) == plan.text)
+
+
 def read(page: Node, wrapper: Node) -> list[str] | None:
     """Text blocks of the page's content slots; None if the wrapper does not fit."""
     out: list[str] = []
@@ -146,7 +165,8 @@ def read(page: Node, wrapper: Node) -> list[str] | None:
     def template(node: Node, plan: Node, found: set[int]):
         for p, q in tree_match(plan, node, 3 if plan.size == ord("f") else 1)[1]:
             if p.size == ord("b"):
-                found.add(id(q))
+                if _is_template(q, p):
+                    found.add(id(q))
             elif p.size in (ord("f"), ord("c")) and p.kids:
                 template(q, p, found)
 
@@ -161,7 +181,7 @@ def read(page: Node, wrapper: Node) -> list[str] | None:
             return
         if plan.size == ord("c"):
             fits = True
-            fixed = frozenset(id(q) for p, q in tree_match(plan, node, 1)[1] if p.size == ord("b")) if plan.kids else frozenset()
+            fixed = frozenset(id(q) for p, q in tree_match(plan, node, 1)[1] if _is_template(q, p)) if plan.kids else frozenset()
             text_blocks(node, out, node.tag in ("article", "main"), fixed)
             return
         matched = {id(q): p for p, q in tree_match(plan, node, 3)[1]}

@@ -20,6 +20,15 @@ SHELL = "<html><body><div class='top'>My site {n}</div><div id='menu'><a href='/
     ("<!-- <p>no</p> --><p>yes<!DOCTYPE html>", "yes"),
     ("a < b and c > d", "a < b and c > d"),
     ("<table><tr><td>a<td>b<tr><td>c</table>", "a b\n\nc"),
+    ("<div class='content-sidebar-wrap'><article><p>one</p></article><div class='sidebar'>no</div></div>", "one"),
+    ("<div class='has-sidebar'><p>one</p><div class='ad-box'>no</div></div>", "one"),
+    ("<form id='aspnetForm'><div id='menu'>m</div><article><p>one</p></article></form>", "one"),
+    ("<div><form id='aspnetForm'><p>All of the text of this page.</p></form><p>x</p></div>", "All of the text of this page.\n\nx"),
+    ("<article><h2 id='search'>On search</h2><p class='social-history'>a</p><section class='related-work'><p>b</p></section><p>x <math><mi>y</mi></math></p></article>", "On search\n\na\n\nb\n\nx y"),
+    ("<article><div class='post-header'><h1>T</h1></div><p>a</p><div class='related'>no</div></article>", "T\n\na"),
+    ("<div><article>" + "<div>" * 210 + "in" + "</div>" * 210 + "<p>after</p></article></div>", "in\n\nafter"),
+    ("<article>" + "<div>" * 400 + "<p>a</p><p>b <b>c</b></p><nav>no</nav>d" + "</div>" * 400 + "<p>e</p></article>", "a\n\nb c\n\nd\n\ne"),
+    ("<aside><article>teaser</article></aside><div><p>The text of the page.</p></div>", "The text of the page."),
     ("<div>", ""), ("", ""), ("<p>unclosed <b>bold", "unclosed bold"),
 ])
 def test_single_pages(page, text):
@@ -45,6 +54,14 @@ def test_a_page_unlike_its_host_gets_its_own_wrapper():
     assert extract("<body><section><article><p>other</p></article></section></body>", wrapper) == "other"
 
 
+def test_a_page_without_the_constant_last_line_keeps_its_last_paragraph():
+    pages = ["<body><div><h1>On {n}</h1><p>First of {n} with words.</p><p>Second of {n}.</p>{end}</div></body>".format(n=n, end="" if n == "fox" else "<p>All rights reserved.</p>")
+             for n in ("ant", "bee", "cat", "dog", "elk", "fox")]
+    wrapper = _skeleton(induce([dom.parse(p) for p in pages[:5]]))
+    assert extract(pages[5], wrapper) == "On fox\n\nFirst of fox with words.\n\nSecond of fox."
+    assert extract(pages[0], wrapper) == "On ant\n\nFirst of ant with words.\n\nSecond of ant."
+
+
 def test_simple_tree_matching():
     a, b = dom.parse("<div><p>1</p><ul><li>x</li></ul><p>2</p></div>"), dom.parse("<div><ul><li>y</li><li>z</li></ul><p>3</p></div>")
     size, pairs = dom.tree_match(a, b)
