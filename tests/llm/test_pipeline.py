@@ -1,5 +1,7 @@
 """The pipeline's stages against brute force on their own inputs."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from episodeflow.llm.common import land
 from test_near_dedup import brute
@@ -41,3 +43,25 @@ def test_odd_rows_and_empty_input(spark, tmp_path):
         spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/{name}/labels.parquet")
     assert P.run(spark, f"{tmp_path}/odd").count() > 0
     assert P.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_repeated_and_null_ids(spark):
+    """Rows repeated with their id stay once after near_dedup; rows without an id are judged by their text and stay."""
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    good = documents.join(spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1").select("doc_id"), "doc_id", "left_semi").orderBy("doc_id").limit(40)
+    null = good.orderBy("doc_id").limit(11).withColumn("doc_id", F.lit(None).cast("long")).select(documents.columns)
+    junk = spark.createDataFrame([(None, "12 34 56 78", None, None, 11)], documents.schema)
+    docs = land(documents.unionByName(good).unionByName(null).unionByName(null).unionByName(junk), "test-odd")
+    frames = {}
+    at = docs
+    for name, stage in P.STAGES[:3]:
+        at = frames[name] = land(stage(spark, at, SF), f"test-odd-{name}")
+    texts = {r.text for r in null.collect()}
+    for name in ("language", "quality"):
+        assert sum(r.doc_id is None and r.text in texts for r in frames[name].collect()) >= 2 * 10
+        assert not any(r.doc_id is None and r.text not in texts for r in frames[name].collect())
+    after = [(r.doc_id, r.text) for r in frames["near_dedup"].collect()]
+    assert len(after) == len(set(after)) and sum(i is None for i, _ in after) >= 10
+    before = {(r.doc_id, r.text) for r in frames["quality"].collect()}
+    want = {i for i, _, _, kept in brute(sorted((x for x in before if x[0] is not None))) if kept}
+    assert {i for i, _ in after if i is not None} == want
