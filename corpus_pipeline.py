@@ -8,6 +8,11 @@ again as the next stage's docs. All but the last return the columns of documents
 3. near_dedup keeps one document of each near-duplicate component (operator 3)
 4. mix        selects each source's share of the token budget, one epoch at most (operator 5)
 5. pack       packs the rest into token windows, retrieved neighbours together (operator 8)
+
+Ids may be null or repeated. Language and quality judge each row by its id and text, so rows equal in
+both share their verdict and a null id loses nothing. near_dedup keeps one row of those that are equal in
+id and text, whichever comes; a row without an id is in no component and stays, but once. A repeated id
+with different texts is one document to it: all such rows stay if one of them does.
 """
 
 from __future__ import annotations
@@ -25,19 +30,36 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIX = replace(budget_mix.PRODUCTION, epochs=1)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_key``, the same for rows that are equal in id and text only (128 bits)."""
+    return docs.withColumn("_key", F.concat(F.hex(F.xxhash64("doc_id", "text")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "doc_id", "text"))))
+
+
+def accepted(docs: DataFrame, verdicts: DataFrame, condition: str) -> DataFrame:
+    """Rows of keyed ``docs`` whose verdict (by ``_key``) fulfils the condition."""
+    return docs.join(verdicts.filter(condition).select("_key").distinct(), "_key", "left_semi").select(*COLUMNS)
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of those that are equal in id and text; only repeated rows are shuffled."""
+    rows = keyed(docs)
+    repeated = land(rows.groupBy("_key").count().filter("count > 1").select("_key"), "repeated-rows")
+    return rows.join(repeated, "_key", "left_anti").unionByName(rows.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])).select(*COLUMNS)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdict = language_id.identify(language_id.document_rows(docs)).filter("accepted").select(F.col("id").alias("_id")).distinct()
-    return docs.join(verdict, F.col("doc_id") == F.col("_id"), "left_semi").select(*COLUMNS)
+    rows = keyed(docs)
+    return accepted(rows, language_id.identify(language_id.document_rows(rows, "_key")).withColumnRenamed("id", "_key"), "accepted")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    good = quality_gam.quality(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(good, F.col("doc_id") == F.col("_id"), "left_semi").select(*COLUMNS)
+    rows = keyed(docs)
+    return accepted(rows, quality_gam.score(rows, quality_gam.train(docs, table(spark, sf_dir, "labels")), "_key"), "predicted = 1")
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").select(*COLUMNS)
+    kept = land(near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct(), "kept")
+    return one_of_each(docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
