@@ -58,8 +58,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = land(near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct(), "kept")
-    return one_of_each(docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"))
+    kept = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return one_of_each(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
