@@ -10,7 +10,7 @@ from episodeflow.plans import bind
 from episodeflow.plans import sqlgen as Q
 from episodeflow.plans.registry import register
 from episodeflow.session import scratch_path
-from episodeflow.sources import files, sinks
+from episodeflow.sources import details, files, sinks
 
 
 def _root(spark, name: str) -> str:
@@ -62,3 +62,38 @@ def q_episode_scan(spark, sf_dir):
     good, _ = files.scan_episode_dir(spark, root, numbered=True)
     return files.episode_steps(good).select("episode_id", "step", "task", "observation", "reason", "action", "is_corrected", "corrected_reason",
                                             "corrected_action", F.array_join("candidate_actions", "|").alias("candidates"))
+
+
+@register("detail_scan", ids=("S8", "J4", "S3", "S4"), sql="""
+WITH summ AS (SELECT 'run ' || l_linestatus AS run, 'lab+' || l_returnflag || '/' || CAST(l_suppkey % 2 AS VARCHAR) AS model_id, l_suppkey AS env_idx,
+                     CAST(count(*) AS INTEGER) AS num_actions, CAST(sum(l_linenumber) % 11 AS DOUBLE) / 10 AS score, sum(l_linenumber) AS n
+              FROM lineitem GROUP BY ALL)
+SELECT run, model_id, env_idx, num_actions, score,
+       CASE n % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'unreadable' ELSE 'read' END AS detail_status,
+       CAST(CASE WHEN n % 5 >= 2 THEN (n % 8) / 8 ELSE 0 END AS DOUBLE) AS r_type, CAST(CASE WHEN n % 5 >= 2 THEN 0.5 ELSE 0 END AS DOUBLE) AS r_att,
+       CAST(CASE WHEN n % 5 >= 2 AND n % 2 = 1 THEN 1 ELSE 0 END AS DOUBLE) AS r_price, CAST(0 AS DOUBLE) AS r_option
+FROM summ""")
+def q_detail_scan(spark, sf_dir):
+    """Two run folders with summaries and detail files of nested model ids; some files are missing, cut short or not asked for."""
+    n = F.sum("l_linenumber")
+    sm = (bind.Tables(spark, sf_dir).lineitem
+          .groupBy(F.concat(F.lit("run "), F.col("l_linestatus")).alias("run"),
+                   F.concat(F.lit("lab+"), F.col("l_returnflag"), F.lit("/"), (F.col("l_suppkey") % 2).cast("string")).alias("model_id"),
+                   F.col("l_suppkey").alias("env_idx"))
+          .agg(F.count("*").cast("int").alias("num_actions"), ((n % 11).cast("double") / 10).alias("score"), n.alias("n")))
+    root = _root(spark, "details")
+    sinks.write_rows(sm.select("run", "env_idx", "model_id", "num_actions", "score", "n"), f"{root}/rows")
+    sm = spark.read.parquet(f"{root}/rows")
+    runs = f"{root}/runs"
+    info = F.struct(F.struct(((F.col("n") % 8).cast("double") / 8).alias("r_type"), F.lit(0.5).alias("r_att"),
+                             F.when(F.col("n") % 2 == 1, 1.0).alias("r_price")).alias("verbose")).alias("info")
+    text = F.to_json(F.struct(info))
+    place = F.concat("run", F.lit("/"), "model_id", F.lit("/"), F.col("env_idx").cast("string"), F.lit(".json"))
+    held = sm.where("n % 5 <> 0").select(place.alias("name"), F.when(F.col("n") % 5 == 1, F.left(text, F.lit(20))).otherwise(text).alias("text"))
+    other = sm.where("n % 3 = 0").select(F.concat("run", F.lit("/not compared/"), "model_id", F.lit("/"), F.col("env_idx").cast("string"), F.lit(".json")).alias("name"), text.alias("text"))
+    sinks.write_named(held.unionByName(other), runs, "name", "text", folders=True)
+    for run in ("run F", "run O"):
+        sm.where(F.col("run") == run).select("env_idx", "model_id", "num_actions", "score").write.option("header", True).csv(f"{runs}/{run}/summary")
+    found = files.discover_summaries(spark, runs, name="*.csv").drop("gamefile").withColumn("run_dir", F.regexp_replace("run_dir", "/summary$", ""))
+    return details.detail_scan(found, runs).select(F.substring_index("run_dir", "/", -1).alias("run"), "model_id", "env_idx", "num_actions", "score",
+                                                   "detail_status", *files.SCORES)

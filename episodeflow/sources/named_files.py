@@ -7,7 +7,8 @@ the target and the job's commit renames the folder: readers see all files or non
 leaves the target as it was. ``append`` renames into the target itself.
 
 Names must be plain and different; a null name, a separator in it or a name that a task meets twice is
-an error (``sinks.write_named`` deals rows by name, so equal names meet).
+an error (``sinks.write_named`` deals rows by name, so equal names meet). With the option ``folders`` a
+name may be a path below the target.
 """
 
 from __future__ import annotations
@@ -34,11 +35,16 @@ class Written(WriterCommitMessage):
 
 
 class NamedFilesWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, overwrite: bool):
+    def __init__(self, path: str, overwrite: bool, folders: bool = False):
         self.target = path.rstrip("/")
         self.overwrite = overwrite
+        self.folders = folders
         self.staging = f"{self.target}.writing-{uuid.uuid4().hex}"
 
+    def _plain(self, name: str | None) -> bool:
+        parts = (name or "").split("/")
+        return all(p not in ("", ".", "..") for p in parts) and (self.folders or len(parts) == 1)
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, staging = file_system(self.staging)
         _, target = file_system(self.target)
@@ -49,12 +55,15 @@ class NamedFilesWriter(DataSourceArrowWriter):
         seen: set[str] = set()
         for batch in iterator:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not name or "/" in name or name in (".", "..") or name in seen:
+                if not self._plain(name) or name in seen:
                     raise ValueError(f"file name {name!r} is missing, repeated or not plain")
                 seen.add(name)
-                with fs.open_output_stream(f"{attempt}/{name}") as f:
+                folder, _, last = name.rpartition("/")
+                if folder:
+                    fs.create_dir(f"{place}/{folder}", recursive=True)
+                with fs.open_output_stream(f"{attempt}/{last}") as f:
                     f.write((text or "").encode())
-                fs.move(f"{attempt}/{name}", f"{place}/{name}")
+                fs.move(f"{attempt}/{last}", f"{place}/{name}")
         return Written(len(seen), attempt)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -91,4 +100,4 @@ class NamedFiles(DataSource):
         return "name string, text string"
 
     def writer(self, schema, overwrite: bool) -> NamedFilesWriter:
-        return NamedFilesWriter(self.options["path"], overwrite)
+        return NamedFilesWriter(self.options["path"], overwrite, self.options.get("folders", "") == "true")

@@ -31,12 +31,15 @@ def write_splits(rows: DataFrame, path: str, fmt: str = "json") -> None:
     write_rows(rows, path, ["split"], fmt)
 
 
-def write_named(rows: DataFrame, path: str, name: str, text: str, mode: str = "overwrite") -> None:
-    """``text`` of each row as a file called ``name`` (see ``named_files``); rows are dealt by name."""
+def write_named(rows: DataFrame, path: str, name: str, text: str, mode: str = "overwrite", folders: bool = False) -> None:
+    """``text`` of each row as a file called ``name`` (see ``named_files``); rows are dealt by name.
+
+    With ``folders`` a name may be a path below ``path``.
+    """
     spark = rows.sparkSession
     ship_package(spark)
     spark.dataSource.register(NamedFiles)
-    rows.select(F.col(name).alias("name"), F.col(text).alias("text")).repartition("name").write.format("named_files").mode(mode).save(path)
+    rows.select(F.col(name).alias("name"), F.col(text).alias("text")).repartition("name").write.format("named_files").option("folders", str(folders).lower()).mode(mode).save(path)
 
 
 def write_episodes(eps: DataFrame, path: str, name: str = "episode_name", mode: str = "overwrite", pretty: bool = False) -> None:
