@@ -5,12 +5,17 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from episodeflow.plans import bind
 from episodeflow.plans import sqlgen as Q
 from episodeflow.plans.registry import register
 from episodeflow.session import scratch_path
-from episodeflow.sources import details, files, sinks
+from episodeflow.sources import details, files, json_ranges, sinks
+
+
+#: The written files are of a few MB, so their ranges are smaller than a large file's.
+SMALL_RANGE = 128 << 10
 
 
 def _root(spark, name: str) -> str:
@@ -97,3 +102,41 @@ def q_detail_scan(spark, sf_dir):
     found = files.discover_summaries(spark, runs, name="*.csv").drop("gamefile").withColumn("run_dir", F.regexp_replace("run_dir", "/summary$", ""))
     return details.detail_scan(found, runs).select(F.substring_index("run_dir", "/", -1).alias("run"), "model_id", "env_idx", "num_actions", "score",
                                                    "detail_status", *files.SCORES)
+
+
+def _entries(rows, file_no, order, entry):
+    """One file's entries in order, joined by commas; ``file_no`` bounds how many rows a file holds."""
+    held = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], entry.alias("entry"))))
+    return rows.groupBy(F.coalesce(file_no, F.lit(-1)).cast("string").alias("file_no")).agg(F.array_join(F.transform(held, lambda e: e["entry"]), ",\n").alias("entries"))
+
+
+@register("training_set_scan", ids=("S6",), sql="""
+SELECT CAST(conv_id // 200 AS INTEGER) AS file_no, conv_id, turn, role, text FROM conversations""")
+def q_training_set_scan(spark, sf_dir):
+    """Every turn as a training row of JSON array files (200 conversations a file), each read in many byte ranges."""
+    c = bind.Tables(spark, sf_dir).conversations
+    message = lambda role, content: F.array(F.struct(role.alias("role"), content.alias("content")))
+    row = F.to_json(F.struct("conv_id", "turn", message(F.col("role"), F.col("text")).alias("prompt"),
+                             message(F.lit("assistant"), F.lit("[]{},\\")).alias("response")))
+    root = _root(spark, "training-sets")
+    texts = _entries(c, F.floor(F.col("conv_id") / 200), ("conv_id", "turn"), row)
+    sinks.write_named(texts.select(F.concat("file_no", F.lit(".json")).alias("name"), F.concat(F.lit("[\n"), "entries", F.lit("\n]")).alias("text")), root, "name", "text")
+    schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), *files.SFT_ROW.fields])
+    rows, _ = json_ranges.scan_array(spark, root, schema, size=SMALL_RANGE)
+    first = F.get("prompt", F.lit(0))
+    return rows.select(F.regexp_extract("file", "([^/]*)[.]json$", 1).cast("int").alias("file_no"), "conv_id", "turn", first["role"].alias("role"),
+                       first["content"].alias("text"))
+
+
+@register("state_map_scan", ids=("S5", "S11"), sql="""
+SELECT CAST(event_id // 4096 AS INTEGER) AS file_no, CAST(user_id AS VARCHAR) AS id, arg_max(props, (ts, event_id)) AS state
+FROM events GROUP BY event_id // 4096, user_id""")
+def q_state_map_scan(spark, sf_dir):
+    """JSON object files (4096 events a file) that name an id many times, each read in many byte ranges; the last state counts."""
+    ev = bind.Tables(spark, sf_dir).events
+    entry = F.to_json(F.create_map(F.col("user_id").cast("string"), F.col("props")))
+    root = _root(spark, "state-maps")
+    texts = _entries(ev, F.floor(F.col("event_id") / 4096), ("ts", "event_id"), F.substr(entry, F.lit(2), F.length(entry) - 2))
+    sinks.write_named(texts.select(F.concat("file_no", F.lit(".json")).alias("name"), F.concat(F.lit("{"), "entries", F.lit("}")).alias("text")), root, "name", "text")
+    rows, _ = json_ranges.scan_map(spark, root, size=SMALL_RANGE // 8)
+    return rows.select(F.regexp_extract("file", "([^/]*)[.]json$", 1).cast("int").alias("file_no"), "id", "state")

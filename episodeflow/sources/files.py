@@ -161,8 +161,7 @@ def discover_summaries(spark: SparkSession, root: str, name: str = "summary.csv"
 def scan_state_map(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object file ``{id: text}`` -> rows (id, state).
 
-    A single JSON object cannot be split; keep such maps small or land
-    them as keyed Parquet (see ``sinks.state_last_wins``).
+    One file is one task here; ``json_ranges.scan_map`` reads a large one in many.
     """
     txt = spark.read.text(path, wholetext=True)
     m = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
@@ -175,7 +174,7 @@ def scan_training_set(spark: SparkSession, path: str | Sequence[str], schema: T.
 
     ``path`` is a file, or with ``split`` a data folder or a list of them
     (``<folder>/<split>.json``); a list also adds the folder as ``data_dir``.
-    One array file is one task; large sets are kept as JSON lines or Parquet (S10).
+    One array file is one task here; ``json_ranges.scan_array`` reads a large one in many.
     """
     if split is None:
         return spark.read.schema(schema).option("multiLine", True).json(path)
