@@ -23,6 +23,8 @@ from episodeflow.sources.named_files import file_system
 #: Bytes of detail files a task reads, and what opening a file counts.
 TASK_BYTES = 64 << 20
 OPEN_BYTES = 64 << 10
+#: Scan partitions that one listing task takes: Spark packs files as if each were opened, a few to a partition.
+LISTED_PARTITIONS = 64
 #: Bytes of text in one Arrow batch of a task.
 BATCH_BYTES = 8 << 20
 
@@ -33,7 +35,9 @@ def listed_files(spark: SparkSession, root: str | Sequence[str], glob: str = "*.
     """Files below ``root`` from metadata alone: ``detail_path`` (plain), ``uri``, ``length``."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     plain = F.regexp_replace("path", "^[a-zA-Z][a-zA-Z0-9+.-]*:/+", "/")
-    return raw.select(plain.alias("detail_path"), F.col("path").alias("uri"), "length")
+    found = raw.select(plain.alias("detail_path"), F.col("path").alias("uri"), "length")
+    n = found.rdd.getNumPartitions()
+    return found.coalesce(max(n // LISTED_PARTITIONS, min(n, spark.sparkContext.defaultParallelism), 1))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
