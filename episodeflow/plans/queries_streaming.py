@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from episodeflow.operators.answer_log import generate_logged
 from episodeflow.operators.generate import EchoGenerator, batch_generate
 from episodeflow.plans import bind
 from episodeflow.plans import sqlgen as Q
 from episodeflow.plans.registry import register
+from episodeflow.session import scratch_path
 from episodeflow.sources import sinks
 from episodeflow.streaming import stream as ST
 
@@ -78,3 +82,20 @@ def q_batch_generate(spark, sf_dir):
     st = bind.text_steps(bind.Tables(spark, sf_dir).conversations)
     req = P.teacher_request(st, state=F.col("task"), system_text=GEN_SYSTEM).select(F.col("episode_id").alias("request_id"), "messages")
     return batch_generate(req, EchoGenerator, retries=3)
+
+
+@register("generate_resume", ids=("R15", "U2", "J7"), sql=f"""
+WITH u AS (SELECT conv_id || '-' || turn AS request_id, length(text) AS n, CASE WHEN min(conv_id % 2) OVER (PARTITION BY text) = 0 THEN 'first' ELSE 'second' END AS run
+           FROM conversations WHERE role = 'user'),
+a AS (SELECT *, CAST(unnest(CASE WHEN n % 7 = 0 THEN [1, 2] ELSE [1] END) AS INTEGER) AS attempt FROM u)
+SELECT request_id, attempt, run, n % 7 <> 0 OR attempt = 2 AS ok, CASE WHEN n % 7 <> 0 OR attempt = 2 THEN 'REASON: {GEN_SYSTEM}' || chr(10) || 'ACTION: ' || n END AS text
+FROM a""")
+def q_generate_resume(spark, sf_dir):
+    """Every user turn as a request; a first run covers half of the conversations, the second asks only what the log lacks."""
+    c = bind.Tables(spark, sf_dir).conversations.where("role = 'user'")
+    said = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    req = c.select("conv_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request_id"),
+                   F.array(said("system", F.lit(GEN_SYSTEM)), said("user", F.col("text"))).alias("messages"))
+    log = scratch_path(spark, f"answer-log-{uuid.uuid4().hex}")
+    generate_logged(req.where("conv_id % 2 = 0"), EchoGenerator, log, "first", batch_size=1024)
+    return generate_logged(req, EchoGenerator, log, "second", batch_size=1024).select("request_id", "attempt", "run", "ok", "text")
