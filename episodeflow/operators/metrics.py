@@ -121,15 +121,13 @@ def match_score(attrs: Column, opts: Column, texts: Sequence[Column], cands: Col
     ``texts`` are the description, the features and the page; an attribute
     counts if any of them holds it in lower case.
     """
-    lowered = [F.lower(F.coalesce(t, F.lit(""))) for t in texts]
+    lowered = F.array(*[F.lower(F.coalesce(t, F.lit(""))) for t in texts])
 
-    def held(a: Column) -> Column:
-        out = F.lit(False)
-        for t in lowered:
-            out = out | F.contains(t, a)
-        return out
+    def held(ts: Column) -> Column:
+        return F.size(F.filter(attrs, lambda a: F.exists(ts, lambda t: F.contains(t, a))))
 
-    n_att = F.size(F.filter(attrs, held))
+    # The lowered texts are bound as one element, so they are lowered once a row and not once an attribute.
+    n_att = F.element_at(F.transform(F.array(lowered), held), 1)
     n_opt = F.size(F.filter(opts, lambda o: F.exists(cands, lambda c: F.contains(c, o))))
     la, lo = F.size(attrs), F.size(opts)
     return {
