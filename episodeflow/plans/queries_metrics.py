@@ -226,7 +226,7 @@ def q_cost_totals(spark, sf_dir):
     return M.cost_totals(_priced(spark, sf_dir), "model")
 
 
-@register("running_cost", ids=("W3",), sql=Q.with_(Q.TEXT_STEPS, USAGE_SQL) + """,
+RUNNING_COST_SQL = Q.with_(Q.TEXT_STEPS, USAGE_SQL) + """,
 r AS (SELECT model, run_id, step,
              sum(coalesce(cost_units, 0)) OVER (PARTITION BY model ORDER BY run_id, step
                                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cu,
@@ -236,7 +236,10 @@ r AS (SELECT model, run_id, step,
 SELECT model, run_id, step, CAST(cu AS DOUBLE) * 1e-10 AS running_cost, position,
        CAST(cu AS DOUBLE) * 1e-10 / position AS running_mean,
        CAST(cu AS DOUBLE) * 1e-10 / position * n AS projected_cost
-FROM r""")
+FROM r"""
+
+
+@register("running_cost", ids=("W3",), sql=RUNNING_COST_SQL)
 def q_running_cost(spark, sf_dir):
     r = M.running_cost(_priced(spark, sf_dir), "model", ["run_id", "step"])
     return r.select("model", "run_id", "step", "running_cost", "position", "running_mean", "projected_cost")

@@ -10,9 +10,13 @@ from episodeflow.operators.answer_log import generate_logged
 from episodeflow.operators.generate import EchoGenerator, batch_generate
 from episodeflow.plans import bind
 from episodeflow.plans import sqlgen as Q
+from episodeflow.plans.queries_joins import _priced
+from episodeflow.plans.queries_metrics import RUNNING_COST_SQL
 from episodeflow.plans.registry import register
 from episodeflow.session import scratch_path
 from episodeflow.sources import sinks
+from episodeflow.sources.state_map import read_states, upsert_states
+from episodeflow.streaming import landed as L
 from episodeflow.streaming import stream as ST
 
 GEN_SYSTEM = "You correct the steps of a student agent."
@@ -42,6 +46,62 @@ def q_state_last_wins(spark, sf_dir):
     return sinks.state_last_wins(rows, "id", "state", ["seq"])
 
 
+@register("state_upsert", ids=("S11",), sql="""
+SELECT conv_id, arg_max(text, (turn, text)) AS state, max(turn) AS turn, 'run-' || max(turn) % 3 AS run
+FROM conversations GROUP BY conv_id""")
+def q_state_upsert(spark, sf_dir):
+    """The last text of every conversation, kept as a stored map by three runs, one of them called twice."""
+    c = bind.Tables(spark, sf_dir).conversations
+    path = scratch_path(spark, f"state-map-{uuid.uuid4().hex}")
+    for i in (2, 0, 1, 0):
+        upsert_states(c.where(F.col("turn") % 3 == i), path, f"run-{i}", "conv_id", "text", ["turn"])
+    kinds = {f.name: f.dataType.simpleString() for f in c.schema}
+    states = read_states(spark, path, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, text string, run string")
+    return states.select("conv_id", F.col("text").alias("state"), "turn", "run")
+
+
+def _add_files(rows, folder: str, key: str) -> int:
+    """New files for a stream, one a shuffle partition; returns their number."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows.repartition(n, key).write.mode("append").parquet(folder)
+    return n
+
+
+@register("stream_resume", ids=("ST2", "ST1", "S12"), sql="""
+SELECT conv_id, count(*) AS num_turns, CAST(sum(length(text)) AS BIGINT) AS n_chars, max(turn) AS last_turn
+FROM conversations GROUP BY conv_id""")
+def q_stream_resume(spark, sf_dir):
+    """Two runs over one checkpoint: the first ends mid-way, files are added, the second goes on."""
+    c = bind.Tables(spark, sf_dir).conversations
+    place = scratch_path(spark, f"streams/resume-{uuid.uuid4().hex}")
+    n = _add_files(c.where("conv_id % 2 = 0"), f"{place}/in", "conv_id")
+    turns = ST.file_stream(spark, f"{place}/in", c.schema, max_files=max(n // 2, 1))
+    L.append_batches(turns, f"{place}/checkpoint", f"{place}/out", max_batches=1)
+    _add_files(c.where("conv_id % 2 <> 0"), f"{place}/in", "conv_id")
+    L.append_batches(turns, f"{place}/checkpoint", f"{place}/out")
+    rows = L.read_landed(spark, f"{place}/out", c.schema)
+    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("num_turns"), F.sum(F.length("text")).alias("n_chars"),
+                                       F.max("turn").alias("last_turn"))
+
+
+@register("stream_cost", ids=("W3", "A14", "ST1"), sql=RUNNING_COST_SQL)
+def q_stream_cost(spark, sf_dir):
+    """Running cost over calls that arrive in four runs of a stream, each ended once before its batch is committed."""
+    place = scratch_path(spark, f"streams/cost-{uuid.uuid4().hex}")
+    calls = _priced(spark, sf_dir).select("model", "run_id", "step", "cost_units")
+    calls.write.parquet(f"{place}/calls")
+    calls = spark.read.schema(calls.schema).parquet(f"{place}/calls")
+    low, high = calls.agg(F.min("run_id"), F.max("run_id")).first()
+    part = F.floor((F.col("run_id") - F.lit(low)) * 4 / F.lit((high or 0) - (low or 0) + 1))
+    for i in range(4):
+        _add_files(calls.where(part == i), f"{place}/in", "run_id")
+        arriving = ST.file_stream(spark, f"{place}/in", calls.schema)
+        for most in (1, None):
+            L.stream_cost(arriving, f"{place}/checkpoint", f"{place}/out", "model", ["run_id", "step"], most)
+    r = L.read_cost(spark, f"{place}/out", calls.schema, "model")
+    return r.select("model", "run_id", "step", "running_cost", "position", "running_mean", "projected_cost")
+
+
 @register("encode_values", ids=("S13", "X23"), sql="""
 SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS DOUBLE) AS total,
        CASE WHEN strftime(o_orderdate, '%f') = '000000' THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from episodeflow.session import scratch_path
+from episodeflow.streaming.landed import fold_batches, read_current, run_landed
 
 EVENTS = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -42,29 +43,28 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, schema: T.StructTy
     return file_stream(spark, f"{sf_dir.rstrip('/')}/{name}.parque[t]", schema)
 
 
-def run_to_sink(agg: DataFrame, name: str, keys: Sequence[str], checkpoint: str | None = None) -> DataFrame:
+def run_to_sink(agg: DataFrame, name: str, keys: Sequence[str], checkpoint: str | None = None, fold_every: int = 50) -> DataFrame:
     """Run an aggregate stream over everything available and return its current result.
 
     Update mode: a micro-batch lands only the keys that changed, as
     ``batch=<id>`` of a sink that belongs to the checkpoint (a repeated batch
     overwrites itself). The result is the row of the latest batch for each
-    key, so a resumed run without new data returns what is there.
+    key, so a resumed run without new data returns what is there. Every
+    ``fold_every`` batches the committed ones are folded into one, so a read
+    does not grow with the number of batches.
     """
     spark = agg.sparkSession
     ckpt = checkpoint or scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
     sink = f"{ckpt.rstrip('/')}-results"
     schema = agg.schema
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{sink}/batch=-1")
 
     def land(batch: DataFrame, batch_id: int) -> None:
+        if batch_id and batch_id % fold_every == 0:
+            fold_batches(batch.sparkSession, sink, schema, keys, batch_id)
         batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
-    q = (agg.writeStream.outputMode("update").foreachBatch(land)
-            .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    rows = spark.read.schema(T.StructType(schema.fields + [T.StructField("batch", T.LongType())])).parquet(sink)
-    values = [c for c in schema.names if c not in keys]
-    return rows.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in values]).select(*schema.names)
+    run_landed(agg, ckpt, land, mode="update")
+    return read_current(spark, sink, schema, keys)
 
 
 def summary_stream(events: DataFrame) -> DataFrame:
