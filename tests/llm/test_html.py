@@ -104,3 +104,35 @@ def test_title_lead_and_second_block_outside_the_main_block_stay(n_pages):
         assert text[:3] == [f"Own text {n}", f"On {n} 7", f"All about the {n}."] and text[-2:] == [f"The {n}.", f"More of the {n}."]
     extra = sources[0].replace("<div class='more'>", "<section><p>No example has this.</p></section><div class='more'>")
     assert "No example has this." in extract(extra, wrapper)
+
+
+def plain_page(n, top="", end="", words=6):
+    """Without an article or any class name."""
+    own = "".join(f"<p>Sentence {chr(97 + n % 26)}{chr(97 + n // 26)} {w} of this page only.</p>" for w in "abcdef"[:words])
+    return f"<html><body><div><p>Read more on our site.</p><p>Printed version</p></div><div>{top}{own}{end}</div></body></html>"
+
+
+def test_template_is_counted_on_all_pages_of_a_host(spark):
+    """Most pages of the host hold a line, few hold another; which pages serve as examples decides neither."""
+    most, few = "<p>Sign up for our letter today.</p>", "<p>From our archive of the year.</p>"
+    rows = [(n, "http://one/x", plain_page(n, most if n % 3 else "", few if n % 4 == 0 else "")) for n in range(40)]
+    rows += [(100 + n, "http://two/x", plain_page(n, most if n < 3 else "")) for n in range(3)]  # too few pages to tell
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_text(df.repartition(7)).collect()}
+    own = lambda n: [f"Sentence {chr(97 + n % 26)}{chr(97 + n // 26)} {w} of this page only." for w in "abcdef"]
+    for n in range(40):
+        assert got[n].split("\n\n") == own(n) + (["From our archive of the year."] if n % 4 == 0 else [])
+    for n in range(3):
+        assert got[100 + n].split("\n\n") == ["Read more on our site.", "Printed version", "Sign up for our letter today."] + own(n)
+
+
+def test_copies_of_a_page_are_one_page_and_no_template(spark):
+    rows = [(n, "http://h/", plain_page(0)) for n in range(30)] + [(30 + n, "http://h/", plain_page(1 + n)) for n in range(5)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[n].startswith("Sentence aa a") and got[n].count("\n\n") == 5 for n in range(30)) and "our site" not in got[33]
+
+
+def test_a_page_of_template_lines_only_keeps_them(spark):
+    rows = [(n, "http://h/", plain_page(n, words=n % 7)) for n in range(14)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == got[7] == "Read more on our site.\n\nPrinted version" and got[1] == "Sentence ba a of this page only."
