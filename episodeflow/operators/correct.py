@@ -90,15 +90,15 @@ def _take(ans_has: str, ans_val: str, orig: str) -> Column:
     return F.when(F.col(ans_has), F.col(ans_val)).otherwise(F.col(orig))
 
 
-def correction_merge(steps: DataFrame, answers: DataFrame, key: str = "episode_id") -> DataFrame:
+def correction_merge(steps: DataFrame, answers: DataFrame, key: str = "episode_id", carried: Iterable[str] = ()) -> DataFrame:
     """J3 (+R13): merge validated answers with the rollout steps.
 
     ``answers`` has (key, step, corrected_reason, corrected_action,
     has_original_* / original_*, has_candidate_actions / candidate_actions,
-    has_is_corrected / is_corrected).
+    has_is_corrected / is_corrected); its columns ``carried`` go along.
     """
     a = answers.select(
-        key, "step", "corrected_reason", "corrected_action",
+        key, "step", "corrected_reason", "corrected_action", *carried,
         *[F.col(c).alias(f"a_{c}") for c in
           ("has_original_observation", "original_observation", "has_original_reason", "original_reason",
            "has_original_action", "original_action", "has_candidate_actions", "candidate_actions",
@@ -117,7 +117,7 @@ def correction_merge(steps: DataFrame, answers: DataFrame, key: str = "episode_i
         cands.alias("candidate_actions"),
         F.col("s_candidate_actions").isNotNull().alias("_rollout_has_cands"),
         F.col("a_has_is_corrected").alias("has_is_corrected"),
-        F.col("a_is_corrected").alias("is_corrected"),
+        F.col("a_is_corrected").alias("is_corrected"), *carried,
     )
     return teacher_flag(merged).drop("_rollout_has_cands")
 
@@ -159,26 +159,35 @@ def correct_job(responses: DataFrame, steps: DataFrame, retries: int = 3, key: s
 
     Parse (R6-R8), guard (X21, R12), first usable attempt within the retry
     budget (W6), merge with the rollout (J3, R13). A reject names the fault of
-    the last attempt; an episode without an answer is a reject too.
+    the last attempt; an episode without an answer, one whose answers all lie
+    beyond the budget and answers of an episode that has no steps are rejects too.
+
+    The first usable answer is taken by the same grouping that finds the last
+    fault, and its attempt and summary travel with its steps.
     """
-    parsed = parse_corrections(responses).where(F.col("attempt") <= F.lit(int(retries)))
+    within = F.coalesce(F.col("attempt") <= F.lit(int(retries)), F.lit(False))
+    asked = responses.select(key, "attempt", within.alias("_within"), F.when(within, F.col("response")).alias("response"))
     lengths = steps.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     fault = F.when(F.col("fault").isNotNull(), F.col("fault")).when(F.size("answer") != F.col("_n"), F.lit("length mismatch"))
     for k in required:
         fault = fault.when(F.exists("answer", lambda m: ~F.map_contains_key(m, k)), F.lit(f"missing {k}"))
-    judged = parsed.join(lengths, key).withColumn("fault", fault)
-    usable = F.when(F.col("fault").isNull(), F.col("attempt"))
-    tries = judged.groupBy(key).agg(F.min(usable).alias("attempt"), F.max_by("fault", "attempt").alias("fault"))
-    good = judged.select(key, "attempt", "summary", "answer").join(tries.select(key, "attempt"), [key, "attempt"])
-    rows = good.select(key, F.posexplode("answer").alias("step", "m"))
-    answers = rows.select(key, F.col("step").cast("int").alias("step"),
+    judged = parse_corrections(asked).join(lengths, key, "left").withColumn("fault", F.when(F.col("_n").isNotNull(), fault))
+    usable = F.when(F.col("_within") & F.col("_n").isNotNull() & F.col("fault").isNull(), F.col("attempt"))
+    tries = judged.groupBy(key).agg(
+        F.min_by(F.struct("attempt", "summary", "answer"), usable).alias("_first"),
+        F.max_by("fault", F.when(F.col("_within"), F.col("attempt"))).alias("fault"),
+        F.max("_within").alias("_asked"), F.max("_n").alias("_n"))
+    rows = tries.where(F.col("_first").isNotNull()).select(key, "_first.attempt", "_first.summary", F.posexplode("_first.answer").alias("step", "m"))
+    answers = rows.select(key, F.col("step").cast("int").alias("step"), "attempt", "summary",
                           *[F.map_contains_key("m", k).alias(f"has_{k}") for k in ANSWER_KEYS],
                           *[_last_value(F.col("m"), k).alias(k) for k in ANSWER_KEYS[:5]],
                           F.from_json(_last_value(F.col("m"), "candidate_actions"), "array<string>").alias("candidate_actions"),
                           _last_value(F.col("m"), "is_corrected").try_cast("boolean").alias("is_corrected"))
-    merged = correction_merge(steps, answers, key).join(good.select(key, "attempt", "summary"), key)
-    failed = lengths.join(tries, key, "left").where(F.col("attempt").isNull())
-    return merged, failed.select(key, F.coalesce("fault", F.lit("no answer")).alias("reject_reason"))
+    merged = correction_merge(steps, answers, key, carried=("attempt", "summary"))
+    reason = (F.when(F.col("_asked").isNull(), F.lit("no answer")).when(F.col("_n").isNull(), F.lit("unknown episode"))
+               .when(~F.col("_asked"), F.lit("attempts beyond the budget")).otherwise(F.col("fault")))
+    failed = lengths.drop("_n").join(tries, key, "full").where(F.col("_first").isNull())
+    return merged, failed.select(key, reason.alias("reject_reason"))
 
 
 def teacher_flag(df: DataFrame) -> DataFrame:

@@ -51,25 +51,28 @@ def json_answers(df: DataFrame, schema: str, text: str = "response") -> DataFram
     )
 
 
-TRAJECTORY = "struct<trajectory: array<map<string, string>>>"
+def _last_keys(m: Column) -> Column:
+    """A parsed object whose repeated keys keep their last value only."""
+    pairs = F.map_entries(m)
+    return F.map_from_entries(F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda x: x["key"] == e["key"])))
 
 
 def trajectory_answers(df: DataFrame, text: str = "response") -> DataFrame:
     """The block must be an object whose ``trajectory`` is a list of objects.
 
-    Shape is checked on the parsed VARIANT (``schema_of_variant``), so a list
-    of strings or a missing key is a reject, not a list of nulls.
+    Whatever R8 accepts is parsed, repeated keys (the last one counts) and NaN too. A list of
+    anything but objects or a missing key is a reject, not a list of nulls.
     """
-    fixed = R.json_repair(R.json_block(F.col(text)))
-    v = F.try_parse_json(fixed)
-    traj = F.try_variant_get(v, "$.trajectory", "variant")
-    shape = F.schema_of_variant(traj)
-    ok = json_valid(fixed) & traj.isNotNull() & (shape.startswith("ARRAY<OBJECT") | (shape == "ARRAY<VOID>"))
-    parsed = F.from_json(fixed, TRAJECTORY)["trajectory"]
-    return df.select(
-        "*",
-        F.when(ok, parsed).alias("trajectory"),
-        F.when(R.json_block(F.col(text)).isNull(), F.lit("no_block"))
-         .when(~json_valid(fixed), F.lit("invalid_json"))
-         .when(~ok, F.lit("not_a_list_of_objects")).otherwise(F.lit("ok")).alias("status"),
+    top = F.get(F.from_json(F.concat(F.lit("["), R.strip(F.col("_fixed")), F.lit("]")), "array<map<string,string>>"), 0)
+    hits = F.filter(F.map_entries(F.col("_top")), lambda e: e["key"] == F.lit("trajectory"))
+    rows = (df.withColumn("_block", R.json_block(F.col(text))).withColumn("_fixed", R.json_repair(F.col("_block")))
+              .withColumn("_valid", json_valid(F.col("_fixed"))).withColumn("_top", F.when(F.col("_valid"), top))
+              .withColumn("_parsed", F.from_json(F.get(hits, F.size(hits) - 1)["value"], "array<map<string,string>>")))
+    listed = F.col("_parsed").isNotNull() & ~F.exists("_parsed", lambda m: m.isNull())
+    return rows.select(
+        *df.columns,
+        F.when(listed, F.transform("_parsed", _last_keys)).alias("trajectory"),
+        F.when(F.col("_block").isNull(), F.lit("no_block"))
+         .when(~F.col("_valid"), F.lit("invalid_json"))
+         .when(~F.coalesce(listed, F.lit(False)), F.lit("not_a_list_of_objects")).otherwise(F.lit("ok")).alias("status"),
     )

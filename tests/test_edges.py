@@ -48,6 +48,33 @@ def test_trajectory_only_variant(spark):
     assert rows[0].trajectory[0]["corrected_action"] == "go"
 
 
+def test_trajectory_with_repeated_keys_and_nan(spark):
+    fence = "```json\n{}\n```"
+    texts = [fence.format('{"trajectory": [{"score": NaN, "a": "one", "b": "x", "a": "two"}]}'),
+             fence.format('{"trajectory": 1, "trajectory": [{"a": "x"}]}'),
+             fence.format('{"trajectory": [{"a": "x"}], "trajectory": "no"}'),
+             fence.format('{"trajectory": [null]}'), fence.format('[{"a": 1}]'), fence.format('{"trajectory": null}'), None, "no block"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, response string")
+    rows = RS.trajectory_answers(df).selectExpr("i", "status", "trajectory[0]['a'] AS a", "trajectory[0]['score'] AS score").orderBy("i").collect()
+    no = "not_a_list_of_objects"
+    assert [r.status for r in rows] == ["ok", "ok", no, no, no, no, "no_block", "no_block"]
+    assert [r.a for r in rows] == ["two", "x"] + [None] * 6 and rows[0].score == "NaN"
+
+
+def test_correction_job_names_unknown_episodes_and_spent_budgets(spark):
+    from episodeflow.operators import correct as C
+    answer = '```json\n{"summary": "s%d", "trajectory": [{"corrected_reason": "r", "corrected_action": "%s"}]}\n```'
+    responses = spark.createDataFrame(
+        [(1, 1, "nothing"), (1, 2, answer % (2, "b")), (1, 3, answer % (3, "a")), (2, 4, answer % (4, "a")), (3, 1, "nothing"), (3, 2, "```json\n{]\n```"),
+         (3, 9, answer % (9, "a")), (7, 1, answer % (1, "a")), (None, 1, answer % (1, "a"))], "episode_id long, attempt int, response string")
+    steps = spark.createDataFrame([(e, 0, "o", "r0", "a", ["a", "b"]) for e in (1, 2, 3, 4)],
+                                  "episode_id long, step int, observation string, reason string, action string, candidate_actions array<string>")
+    good, rejects = C.correct_job(responses, steps, 3)
+    assert [(r.episode_id, r.step, r.attempt, r.summary, r.corrected_action) for r in good.collect()] == [(1, 0, 2, "s2", "b")]
+    assert sorted(((r.episode_id, r.reject_reason) for r in rejects.collect()), key=str) == [
+        (2, "attempts beyond the budget"), (3, "invalid_json"), (4, "no answer"), (7, "unknown episode"), (None, "unknown episode")]
+
+
 def test_polymorphic_fields_and_boolean_score(spark, tmp_path):
     d = str(tmp_path / "logs")
     os.makedirs(d)
