@@ -65,3 +65,22 @@ def test_a_task_tried_again_writes_the_same_files(spark, tmp_path):
     w.commit([])
     assert listing(path) == sorted(f"n{i}" for i in range(30)) and {open(f"{path}/n{i}").read() for i in range(30)} == {str(i) for i in range(30)}
     assert os.listdir(tmp_path) == ["f"]
+
+
+def test_many_small_files_share_tasks(spark, tmp_path):
+    """A task takes many files, and types steps once, not for each few files that Spark packs."""
+    steps = [[("o", "a")] * (i % 3) for i in range(40)]
+    eps = spark.createDataFrame([(str(i), s) for i, s in enumerate(steps)], "episode_name string, trajectory array<struct<observation:string,action:string>>")
+    path = str(tmp_path / "out")
+    sinks.write_episodes(eps, path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")  # a scan partition for each file
+    try:
+        good, bad = files.scan_episode_dir(spark, path, numbered=True)
+        rows = files.episode_steps(good).select("episode_id", "step", "observation", "action")
+        assert rows.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        plan = rows._jdf.queryExecution().optimizedPlan().toString().split("Repartition ")
+        assert "try_variant_get" in plan[0] and "try_variant_get" not in plan[1]
+        assert sorted(map(tuple, rows.collect())) == [(i, k, "o", "a") for i, s in enumerate(steps) for k in range(len(s))]
+        assert good.count() == 40 and bad.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
