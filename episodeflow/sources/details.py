@@ -17,14 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from episodeflow.session import scratch_path, ship_package
-from episodeflow.sources.files import DETAIL, SCORES, detail_key
+from episodeflow.sources.files import DETAIL, SCORES, detail_key, packed_scan
 from episodeflow.sources.named_files import file_system
 
 #: Bytes of detail files a task reads, and what opening a file counts.
 TASK_BYTES = 64 << 20
 OPEN_BYTES = 64 << 10
-#: Scan partitions that one listing task takes: Spark packs files as if each were opened, a few to a partition.
-LISTED_PARTITIONS = 64
 #: Bytes of text in one Arrow batch of a task.
 BATCH_BYTES = 8 << 20
 
@@ -35,9 +33,7 @@ def listed_files(spark: SparkSession, root: str | Sequence[str], glob: str = "*.
     """Files below ``root`` from metadata alone: ``detail_path`` (plain), ``uri``, ``length``."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     plain = F.regexp_replace("path", "^[a-zA-Z][a-zA-Z0-9+.-]*:/+", "/")
-    found = raw.select(plain.alias("detail_path"), F.col("path").alias("uri"), "length")
-    n = found.rdd.getNumPartitions()
-    return found.coalesce(max(n // LISTED_PARTITIONS, min(n, spark.sparkContext.defaultParallelism), 1))
+    return packed_scan(raw.select(plain.alias("detail_path"), F.col("path").alias("uri"), "length"))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,11 +58,19 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(uris, pa.string()), pa.array(texts, pa.string())], schema=_TEXTS)
 
 
+def wanted_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """The listed ``files`` whose path is in ``wanted``.
+
+    Not a semi-join: Spark moves one below the packed scan partitions, and each of them then counts a table of paths.
+    """
+    return files.join(wanted.select("detail_path").distinct(), "detail_path")
+
+
 def matched_texts(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """(detail_path, text) of the listed ``files`` whose path is in ``wanted``; only these are opened."""
     spark = files.sparkSession
     path = scratch_path(spark, f"matched/{uuid.uuid4().hex}")
-    files.join(wanted.select("detail_path").distinct(), "detail_path", "left_semi").write.parquet(path)
+    wanted_files(wanted, files).write.parquet(path)
     matched = spark.read.schema(files.schema).parquet(path)
     total = matched.agg(F.sum(F.col("length") + OPEN_BYTES)).first()[0] or 0
     ship_package(spark)

@@ -53,6 +53,19 @@ def test_only_matched_files_are_opened(spark, tmp_path):
     assert sorted(os.path.basename(r.detail_path) for r in opened.collect()) == ["1.json", "4.json"]
 
 
+def test_paths_are_joined_above_the_packed_listing(spark, tmp_path):
+    """Below it, a listing task would take a table of all paths for each of its scan partitions."""
+    root = str(tmp_path)
+    for i in range(3):
+        put(f"{root}/r/m/{i}.json", verbose(r_type=i))
+    wanted = spark.createDataFrame([(f"{root}/r/m/{i}.json",) for i in (1, 1, 2, 9)] + [(None,)], "detail_path string")
+    found = details.wanted_files(wanted, details.listed_files(spark, root))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan.split("Repartition ")[0] and "Join" not in plan.split("Repartition ")[1]
+    assert found.columns == ["detail_path", "uri", "length"]
+    assert sorted(os.path.basename(r.detail_path) for r in found.collect()) == ["1.json", "2.json"]
+
+
 def test_no_rows_no_files_and_clashes(spark, tmp_path):
     os.makedirs(tmp_path / "empty")
     sm = spark.createDataFrame([("/r", "m", 1, 0)], SM)
