@@ -5,14 +5,15 @@
    are one row a token, so at most the vocabulary's size reaches the driver.
 2. Documents are dealt by content to index shards of at most ``SHARD_TOKENS`` tokens (only one row
    can be longer): a tree of centres, fitted on a bounded sample (``PER_SHARD`` documents a shard),
-   splits the vectors of BM25 weights by cosine until a cell is half a shard. Every document goes
-   down the tree, the exact sizes of the cells are summed over all rows, cells that follow each
-   other share a shard, and a cell over the limit (copies, mostly) is dealt on by a hash.
-3. Each task builds the inverted index of its shard (BM25 weights from the global statistics) and
-   packs its documents: a seed document opens a window, all its tokens retrieve unused neighbours,
+   splits the vectors of BM25 weights by cosine until a cell is half a shard. The sizes of the cells
+   are counted on ``COUNTED`` documents a shard and all long ones, cells that follow each other share
+   a task, and a cell over the limit (copies, mostly) is dealt on by a hash. Then every document goes
+   down the tree, once, to its task.
+3. Each task cuts its rows into shards of at most ``SHARD_TOKENS`` tokens (one, mostly), builds the
+   inverted index of each (BM25 weights from the global statistics) and packs its documents: a seed document opens a window, all its tokens retrieve unused neighbours,
    best first, which fill the window greedily. The document that does not fit is cut; its rest opens
    the next window as seed.
-4. Only the last window of a shard is padded.
+4. Only the last window of a task is padded: its next shard goes on in the open window.
 
 A document in another shard is never a neighbour. With one shard nothing is missed; with more, the
 neighbours that lie on the other side of a cell's border are (``neighbour_recall`` measures them;
@@ -44,8 +45,14 @@ WINDOW, END = 2048, 1
 SHARD_TOKENS = 6_000_000
 #: Centres a node of the tree has at most, documents of the sample for each shard, fitting rounds of a node.
 FAN, PER_SHARD, ROUNDS = 32, 32, 5
+#: Documents a shard whose cells are counted to deal the cells to tasks; fewer documents are counted all.
+COUNTED = 512
 #: Documents of the sample that one node's centres are fitted on.
 NODE_SAMPLE = 512
+#: Used documents leave a shard's postings when less than this share, and at least so many documents, are left (speed only).
+LEFT, LEAST_LEFT = 0.85, 64
+#: Neighbours that are sorted at once (speed only).
+FIRST = 32
 #: BM25 parameters.
 K1, B = 1.2, 0.75
 _SPAN = 1 << 32
@@ -149,24 +156,30 @@ class Centres:
 
     def nearest(self, rows: Vectors) -> np.ndarray:
         """Centre of the largest cosine for each row, the first one of equals."""
-        table = np.zeros((len(self.terms) + 1, self.n), np.float32)
+        table = np.zeros((len(self.terms), self.n), np.float32)
         table[self.i, self.j] = self.weight
+        place = np.full(1 << 17, -1, np.int32)
+        place[self.terms] = np.arange(len(self.terms))
+        k = place[rows.token]
+        known = np.flatnonzero(k >= 0)  # other tokens weigh nothing here
+        k, weight, at = k[known], rows.weight[known, None], np.searchsorted(known, rows.at)
         out = np.zeros(len(rows), np.int64)
         begin = 0
         while begin < len(rows):  # about PASS_TOKENS tokens at once
-            end = max(begin + 1, int(np.searchsorted(rows.at, rows.at[begin] + PASS_TOKENS, side="right")) - 1)
-            a, b = rows.at[begin], rows.at[end]
-            k = np.searchsorted(self.terms, rows.token[a:b])
-            k[(k == len(self.terms)) | (self.terms[np.minimum(k, len(self.terms) - 1)] != rows.token[a:b])] = len(self.terms)
-            at = rows.at[begin: end + 1] - a
-            full = np.flatnonzero(np.diff(at))
+            end = max(begin + 1, int(np.searchsorted(at, at[begin] + PASS_TOKENS, side="right")) - 1)
+            a, b = at[begin], at[end]
+            own = at[begin:end] - a
+            full = np.flatnonzero(np.diff(at[begin: end + 1]))
             if len(full):
-                out[begin + full] = np.add.reduceat(table[k] * rows.weight[a:b, None], at[full], axis=0).argmax(1)
+                share = table[k[a:b]]
+                share *= weight[a:b]
+                out[begin + full] = np.add.reduceat(share, own[full], axis=0).argmax(1)
             begin = end
         return out
 
 
-PASS_TOKENS = 1 << 16
+#: So many that what they gather stays in a core's cache.
+PASS_TOKENS = 1 << 13
 
 
 def fit_centres(rows: Vectors, n: int) -> Centres | None:
@@ -264,11 +277,15 @@ def dealt(rows: DataFrame, statistics: Statistics, n_docs: int, size: int, limit
     raw = [bytes(r.ids) for r in sample]
     vectors = statistics.vectors(np.frombuffer(b"".join(raw), "<u2"), np.concatenate([[0], np.cumsum([len(r) // 2 for r in raw], dtype=np.int64)]).astype(np.int64))
     tree = Tree(vectors, 2.0 * size / limit)
-    placed = row_cells(rows, tree, statistics)
-    sizes = {r.cell: r["size"] for r in placed.groupBy("cell").agg(F.sum(F.col("n") + 1).alias("size")).collect()}  # one row for each cell
+    # A cell's size from its long rows and a share of the others: all rows go down the tree once, where they are dealt.
+    share = min(1.0, n_shards * COUNTED / n_docs)
+    some = (F.col("n") * COUNTED >= limit) | (F.pmod(F.xxhash64(mixed, F.lit(13)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    counts = F.sum((F.col("n") + 1) / F.when(F.col("n") * COUNTED >= limit, 1.0).otherwise(share))
+    counted = row_cells(rows.filter(some), tree, statistics).groupBy("cell").agg(counts.alias("size")).collect()  # one row for each cell
+    sizes = dict.fromkeys(range(tree.n_cells), 1) | {r.cell: max(1, round(r["size"])) for r in counted}
     tasks = cell_tasks(sizes, limit)
     table = rows.sparkSession.createDataFrame([(c, *t) for c, t in tasks.items()], "cell long, first int, parts int")
-    out = placed.join(F.broadcast(table), "cell").withColumn("task", (F.col("first") + F.pmod(F.xxhash64(mixed, F.lit(11)), F.col("parts"))).cast("int"))
+    out = row_cells(rows, tree, statistics).join(F.broadcast(table), "cell").withColumn("task", (F.col("first") + F.pmod(F.xxhash64(mixed, F.lit(11)), F.col("parts"))).cast("int"))
     return out.drop("cell", "first", "parts"), max(a + n for a, n in tasks.values())
 
 
@@ -292,22 +309,50 @@ class Shard:
         for r, k in enumerate(common.tolist()):
             a, b = self.term_at[k], self.term_at[k + 1]
             self.rows[r, self.posting_doc[a:b]] = self.posting_weight[a:b]
+        self.docs = np.arange(self.n)  # document of each number in the postings
+
+    def _leave(self, left: np.ndarray) -> None:
+        """Takes the documents that are used out of the postings; the others keep their order."""
+        place, keep = np.cumsum(left) - 1, left[self.posting_doc]
+        self.term_at = np.concatenate([[0], np.cumsum(keep)])[self.term_at]
+        self.posting_doc, self.posting_weight = place[self.posting_doc[keep]].astype(np.int32), self.posting_weight[keep]
+        self.rows = np.compress(left, self.rows, axis=1)
+        self.docs = self.docs[left]
 
     def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with ``doc``, best BM25 score first."""
+        """Unused documents that share a term with ``doc``, best BM25 score first; a document once used is not asked for again."""
+        return np.concatenate([np.zeros(0, np.int64), *self.best(doc, unused)])
+
+    def best(self, doc: int, unused: np.ndarray) -> Iterator[np.ndarray]:
+        """``neighbours`` in two parts: the first few, mostly enough for a window, are sorted alone."""
+        left = unused[self.docs]
+        if LEAST_LEFT <= (n := int(left.sum())) < LEFT * len(left):
+            self._leave(left)
+            left = np.ones(n, bool)
         k = np.searchsorted(self.terms, self.doc_token[self.of_doc[doc]: self.of_doc[doc + 1]])
         rare = k[self.common[k] < 0]
         at = ragged(self.term_at[rare], self.term_at[rare + 1] - self.term_at[rare])
-        score = self.rows[self.common[k[self.common[k] >= 0]]].sum(0) + np.bincount(self.posting_doc[at], self.posting_weight[at], self.n)
-        found = np.flatnonzero((score > 0) & unused)
-        return found[np.argsort(-score[found], kind="stable")]
+        score = self.rows[self.common[k[self.common[k] >= 0]]].sum(0) + np.bincount(self.posting_doc[at], self.posting_weight[at], len(self.docs))
+        found = np.flatnonzero((score > 0) & left)
+        docs, score = self.docs[found], score[found]
+        first = score >= (np.partition(score, len(score) - FIRST)[len(score) - FIRST] if len(score) > FIRST else 0)
+        for part in (first, ~first):
+            yield docs[part][np.argsort(-score[part], kind="stable")]
+
+
+def shard_rows(lengths: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most ``limit`` tokens; a longer row is a range of its own."""
+    at, begin = np.concatenate([[0], np.cumsum(lengths)]), 0
+    while begin < len(lengths):
+        end = max(begin + 1, int(np.searchsorted(at, at[begin] + limit, side="right")) - 1)
+        yield begin, end
+        begin = end
 
 
-def pack(lengths: np.ndarray, shard: Shard, window: int) -> Iterator[tuple[int, int, int, int, int]]:
+def pack(lengths: np.ndarray, shard: Shard, window: int, sequence: int = 0, offset: int = 0) -> Iterator[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset): every document whole, cut only at window ends."""
     unused = np.ones(len(lengths), bool)
     following = 0
-    sequence = offset = 0
     rest: tuple[int, int] | None = None  # document and start of its unpacked part
     while True:
         if rest is None:
@@ -329,7 +374,7 @@ def pack(lengths: np.ndarray, shard: Shard, window: int) -> Iterator[tuple[int,
                 sequence, offset = sequence + 1, 0
                 break
             if queue is None:
-                queue = iter(shard.neighbours(seed, unused).tolist())
+                queue = (d for part in shard.best(seed, unused) for d in part.tolist())
             doc = next(queue, None)
             if doc is None:
                 break  # no neighbour left: the next document in order goes on in the open window
@@ -344,14 +389,19 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     doc_freq = document_frequencies(rows)
     mean_length = n_tokens / max(n_docs, 1)
     kind = rows.schema["id"].dataType.simpleString()
+    limit = SHARD_TOKENS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in task_groups(batches):
             n = t["n"].to_numpy()
             ids = np.frombuffer(b"".join(t["ids"].to_pylist()), "<u2")
             at = np.concatenate([[0], np.cumsum(n)])
-            shard = Shard(ids, at, doc_freq, n_docs, mean_length)
-            pieces = list(pack(n + 1, shard, window))
+            pieces: list[tuple[int, int, int, int, int]] = []
+            for begin, end in shard_rows(n + 1, limit):
+                shard = Shard(ids[at[begin]: at[end]], at[begin: end + 1] - at[begin], doc_freq, n_docs, mean_length)
+                filled = pieces[-1][4] + pieces[-1][2] if pieces else 0
+                place = (pieces[-1][3] + filled // window, filled % window) if pieces else (0, 0)
+                pieces += [(begin + d, *piece) for d, *piece in pack(n[begin:end] + 1, shard, window, *place)]
             doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces))
             crc = []
             for d, s, k in zip(doc.tolist(), start.tolist(), length.tolist()):
@@ -363,7 +413,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
                  pa.array(sequence + t["task"][0].as_py() * _SPAN), pa.array(offset)],
                 ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    shards, n_shards = dealt(rows.filter("token_docs is null").select("id", "ids", "n"), Statistics(doc_freq, n_docs, mean_length), n_docs, n_tokens + n_docs, SHARD_TOKENS)
+    shards, n_shards = dealt(rows.filter("token_docs is null").select("id", "ids", "n"), Statistics(doc_freq, n_docs, mean_length), n_docs, n_tokens + n_docs, limit)
     shards = shards.withColumn("seed", F.xxhash64("id", F.lit(3))).select("task", "seed", "id", "ids", "n")
     out = (shards.repartitionById(n_shards, "task").sortWithinPartitions("task", "seed", "id").select("task", "id", "ids", "n")
            .mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"))

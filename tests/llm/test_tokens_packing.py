@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 from episodeflow.llm.bpe import Merger
 from episodeflow.llm.common import passes
 from episodeflow.llm.retrieval_packing import END, Shard, Statistics, Tree, cell_tasks, neighbour_recall, pack, packed, row_tokens
+from episodeflow.llm.retrieval_packing import shard_rows as r_shards
 from episodeflow.llm.token_counts import token_counts, tokenizer_path
 
 
@@ -162,6 +163,40 @@ def test_neighbours_meet_over_shards(spark, library, monkeypatch):
     assert np.mean([len(set(x)) == 1 for x in by_sequence.values()]) > 0.7
 
 
+def test_rows_go_down_the_tree_once(documents, doc_rows, library, monkeypatch):
+    """Cells are counted on a share of the rows; whatever the estimate, a task's rows are cut into shards within the limit."""
+    from episodeflow.llm import retrieval_packing as r
+    seen = []
+    real = r.row_cells
+    monkeypatch.setattr(r, "row_cells", lambda rows, *a: seen.append(rows.count()) or real(rows, *a))
+    monkeypatch.setattr(r, "SHARD_TOKENS", 30_000)
+    monkeypatch.setattr(r, "COUNTED", 1)
+    rows = packed(documents).collect()
+    assert seen[0] < len(doc_rows) and seen[1:] == [len(doc_rows)]
+    assert check_pieces(rows, doc_rows, library) <= len({x.sequence_id >> 32 for x in rows})
+
+
+def test_shards_of_a_task_go_on_in_the_open_window():
+    assert [*r_shards(np.array([4, 4, 3, 20, 1]), 10)] == [(0, 2), (2, 3), (3, 4), (4, 5)] and not [*r_shards(np.zeros(0, int), 10)]
+    lengths, at = np.array([5, 5]), np.array([0, 4, 8])
+    freq = np.full(1 << 17, 1)
+    shard = Shard(np.array([7] * 8), at, freq, 2, 4.0)
+    assert [*pack(lengths, shard, 8, 3, 6)] == [(0, 0, 2, 3, 6), (0, 2, 3, 4, 0), (1, 0, 5, 4, 3)]
+
+
+def test_used_documents_leave_the_postings(monkeypatch):
+    """The same neighbours in the same order, ties too, as without leaving and with one sort."""
+    from episodeflow.llm import retrieval_packing as r
+    rnd = np.random.default_rng(3)
+    ids, at = rnd.integers(0, 60, 3000), np.arange(0, 3001, 10)
+    freq = np.bincount(row_tokens(ids, at)[1], minlength=1 << 17)
+    lengths = np.diff(at) + 1
+    pieces = [*pack(lengths, Shard(ids, at, freq, 300, 10.0), 32)]
+    monkeypatch.setattr(r, "LEFT", 0.0)
+    monkeypatch.setattr(r, "FIRST", 10_000)
+    assert pieces == [*pack(lengths, Shard(ids, at, freq, 300, 10.0), 32)]
+
+
 def test_copies_are_dealt_on_and_cells_share_tasks():
     assert cell_tasks({0: 3, 1: 4, 2: 25, 3: 1, 4: 9, 5: 1}, 10) == {0: (0, 1), 1: (0, 1), 2: (1, 3), 3: (4, 1), 4: (4, 1), 5: (5, 1)}
     ids = np.array([7, 8, 9] * 50)
