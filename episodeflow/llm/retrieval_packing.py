@@ -47,6 +47,8 @@ SHARD_TOKENS = 6_000_000
 FAN, PER_SHARD, ROUNDS = 32, 32, 5
 #: Documents a shard whose cells are counted to deal the cells to tasks; fewer documents are counted all.
 COUNTED = 512
+#: A document of this part of a shard is long: it is always counted.
+LONG = 128
 #: Documents of the sample that one node's centres are fitted on.
 NODE_SAMPLE = 512
 #: Used documents leave a shard's postings when less than this share, and at least so many documents, are left (speed only).
@@ -164,6 +166,14 @@ class Centres:
         known = np.flatnonzero(k >= 0)  # other tokens weigh nothing here
         k, weight, at = k[known], rows.weight[known, None], np.searchsorted(known, rows.at)
         out = np.zeros(len(rows), np.int64)
+        if len(known) * DENSE >= len(rows) * len(self.terms):  # full rows of terms are cheaper
+            own, step = np.repeat(np.arange(len(rows)), np.diff(at)), max(1, PASS_TERMS // max(len(self.terms), 1))
+            for begin in range(0, len(rows), step):
+                a, b = at[begin], at[min(begin + step, len(rows))]
+                full = np.zeros((min(step, len(rows) - begin), len(self.terms)), np.float32)
+                full[own[a:b] - begin, k[a:b]] = weight[a:b, 0]
+                out[begin: begin + step] = (full @ table).argmax(1)
+            return out
         begin = 0
         while begin < len(rows):  # about PASS_TOKENS tokens at once
             end = max(begin + 1, int(np.searchsorted(at, at[begin] + PASS_TOKENS, side="right")) - 1)
@@ -180,6 +190,8 @@ class Centres:
 
 #: So many that what they gather stays in a core's cache.
 PASS_TOKENS = 1 << 13
+#: Rows that hold at least one of so many terms are multiplied as full rows, about so many numbers at once.
+DENSE, PASS_TERMS = 16, 1 << 18
 
 
 def fit_centres(rows: Vectors, n: int) -> Centres | None:
@@ -279,8 +291,8 @@ def dealt(rows: DataFrame, statistics: Statistics, n_docs: int, size: int, limit
     tree = Tree(vectors, 2.0 * size / limit)
     # A cell's size from its long rows and a share of the others: all rows go down the tree once, where they are dealt.
     share = min(1.0, n_shards * COUNTED / n_docs)
-    some = (F.col("n") * COUNTED >= limit) | (F.pmod(F.xxhash64(mixed, F.lit(13)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    counts = F.sum((F.col("n") + 1) / F.when(F.col("n") * COUNTED >= limit, 1.0).otherwise(share))
+    some = (F.col("n") * LONG >= limit) | (F.pmod(F.xxhash64(mixed, F.lit(13)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    counts = F.sum((F.col("n") + 1) / F.when(F.col("n") * LONG >= limit, 1.0).otherwise(share))
     counted = row_cells(rows.filter(some), tree, statistics).groupBy("cell").agg(counts.alias("size")).collect()  # one row for each cell
     sizes = dict.fromkeys(range(tree.n_cells), 1) | {r.cell: max(1, round(r["size"])) for r in counted}
     tasks = cell_tasks(sizes, limit)

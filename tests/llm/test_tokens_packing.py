@@ -184,6 +184,19 @@ def test_shards_of_a_task_go_on_in_the_open_window():
     assert [*pack(lengths, shard, 8, 3, 6)] == [(0, 0, 2, 3, 6), (0, 2, 3, 4, 0), (1, 0, 5, 4, 3)]
 
 
+def test_centres_by_full_and_by_sparse_rows(monkeypatch):
+    from episodeflow.llm import retrieval_packing as r
+    rnd = np.random.default_rng(4)
+    ids, at = rnd.integers(0, 90, 4000), np.concatenate([[0], np.sort(rnd.integers(0, 4000, 299)), [4000]])  # some rows are empty
+    rows = Statistics(np.bincount(row_tokens(ids, at)[1], minlength=1 << 17), 300, 13.0).vectors(ids, at)
+    centres = r.fit_centres(rows.take(np.arange(0, 300, 3)), 8)
+    monkeypatch.setattr(r, "PASS_TERMS", 1000)
+    full = centres.nearest(rows)
+    monkeypatch.setattr(r, "DENSE", 0)
+    monkeypatch.setattr(r, "PASS_TOKENS", 50)
+    assert len(set(full.tolist())) > 3 and full.tolist() == centres.nearest(rows).tolist()
+
+
 def test_used_documents_leave_the_postings(monkeypatch):
     """The same neighbours in the same order, ties too, as without leaving and with one sort."""
     from episodeflow.llm import retrieval_packing as r
