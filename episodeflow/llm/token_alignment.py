@@ -8,11 +8,13 @@
    finishes. All ends of a block of texts take each step together as arrays.
 3. Common ends cut both lists into groups. The ranks of neighbouring common ends are the ranges of A
    and B tokens that overlap each other; the two tokens at a common end are a link.
-4. A block of texts (``BLOCK_BYTES``, or one longer text) is one landed row: its documents with their
-   links as numbers of the block's distinct id pairs, and those pairs with their counts. The pairs of
+4. A block of texts (``BLOCK_BYTES``, or one longer text) lands a row for each document, with its links
+   as packed numbers of the block's distinct id pairs, and a row for each of those pairs with its count.
+   No row is wider than a document, so readers, writers and sorts hold few bytes at once. The pairs of
    all blocks are summed by a grouped aggregate, so a pair that is in a third of all links is one row
    a block. The highest count of each B id is a table of at most the vocabulary's size.
-5. The sums go back to the blocks by a join on the pair, and each block finishes its documents.
+5. The sums go back to the blocks by a join on the pair; the documents and the sums of a block meet by
+   its number, and each block finishes its documents.
 
 A text whose joined token bytes are not a space and the text (it holds U+2581, say) has no tokens.
 
@@ -32,9 +34,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from episodeflow.llm.bpe import merger
-from episodeflow.llm.common import land, passes, ragged
+from episodeflow.llm.common import land, passes, ragged, text_bytes
 from episodeflow.llm.token_counts import tokenizer_path
 
 #: Text bytes of a block, and of one pass of encoding and aligning within it.
@@ -205,9 +208,13 @@ def aligned(texts: list[str], data: np.ndarray, offsets: np.ndarray, path_a: str
     return ids_a, at_a, ids_b, at_b, cut_a, cut_b
 
 
+def number_kind(size: int) -> type:
+    """The narrowest numbers of the pairs of a block that has ``size`` of them."""
+    return np.uint16 if size <= 1 << 16 else np.uint32
+
+
 def _blocks(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "ids", "n_a", "n_b", "n_links", "sha", "link", "pair", "times"]
         part_id, made = TaskContext.get().partitionId(), 0
         for batch in batches:
             for block, _, _ in passes(batch, "text", BLOCK_BYTES):
@@ -222,33 +229,38 @@ def _blocks(path_a: str, path_b: str):
                 if not shas:
                     continue
                 pair, link, times = np.unique(np.concatenate(pairs), return_inverse=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([(part_id << 32) + made]), _one(block.column(0)), *[_one(pa.array(np.concatenate(x))) for x in (n_a, n_b, links)], _one(pa.array(shas, pa.string())),
-                     _one(pa.array(link.astype(np.int32))), _one(pa.array(pair)), _one(pa.array(times))], names)
+                n_links, number = np.concatenate(links), (part_id << 32) + made
+                yield _rows(number, len(shas), id=block.column(0), n_a=pa.array(np.concatenate(n_a)), n_b=pa.array(np.concatenate(n_b)), n_links=pa.array(n_links),
+                            sha=pa.array(shas, pa.string()), link=_packed(link.astype(number_kind(len(pair))), offsets_of(n_links)))
+                yield _rows(number, len(pair), id=pa.nulls(len(pair), block.column(0).type), pair=pa.array(pair), times=pa.array(times))
                 made += 1
 
     return run
 
 
-def _one(values: pa.Array) -> pa.Array:
-    """A list column of one row."""
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+def _rows(block: int, n: int, **columns: pa.Array) -> pa.RecordBatch:
+    """Rows of a block: columns that are not given are null."""
+    kinds = {"id": None, "n_a": pa.int64(), "n_b": pa.int64(), "n_links": pa.int64(), "sha": pa.string(), "link": pa.binary(), "pair": pa.int64(), "times": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *[columns[k] if k in columns else pa.nulls(n, kind) for k, kind in kinds.items()]], ["block", *kinds])
+
 
+def _packed(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A binary column: the bytes of each row's values."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = {name: batch.column(name).slice(i, 1).flatten() for name in batch.schema.names}
-            pair, known = row["pair"].to_numpy(), row["known"].to_numpy()
-            order = np.argsort(known)
-            where = order[np.searchsorted(known[order], pair)] if len(pair) else np.zeros(0, np.int64)
-            count, best = row["count"].to_numpy()[where], row["best"].to_numpy(zero_copy_only=False)[where]
-            link, n = row["link"].to_numpy(), row["n_links"].to_numpy()
-            at = offsets_of(n)
-            sums = np.concatenate([[0], np.cumsum(count[link])])[at] if len(pair) else at
-            hits = np.concatenate([[0], np.cumsum(best[link])])[at] if len(pair) else at
-            yield pa.RecordBatch.from_arrays([row["ids"], row["n_a"], row["n_b"], pa.array(n), pa.array(n), pa.array(np.diff(hits).astype(np.int64)), pa.array(np.diff(sums).astype(np.int64)), row["sha"]],
-                                             ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+
+def _finish(id_type: pa.DataType):
+    def run(docs: pa.Table, stats: pa.Table) -> pa.Table:
+        """The documents of one block; its pairs are numbered in rising order."""
+        order = np.argsort(stats["pair"].to_numpy())
+        count, best = stats["count"].to_numpy()[order], stats["best"].to_numpy()[order]
+        link, n = text_bytes(docs["link"])[0].view(number_kind(len(order))), docs["n_links"]
+        at = offsets_of(n.to_numpy())
+        sums, hits = (np.diff(np.concatenate([[0], np.cumsum(x[link], dtype=np.int64)])[at]) for x in (count, best))
+        return pa.table([docs["id"].cast(id_type), docs["n_a"], docs["n_b"], n, n, pa.array(hits), pa.array(sums), docs["sha"].cast(pa.string())],
+                        ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+
+    return run
 
 
 def alignment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_a: str | None = None, path_b: str | None = None) -> DataFrame:
@@ -256,15 +268,14 @@ def alignment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     path_a, path_b = path_a or tokenizer_path("byte_bpe_50k.json"), path_b or tokenizer_path("piece_bpe_32k.model")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    blocks = land(rows.mapInArrow(_blocks(path_a, path_b), f"block long, ids array<{kind}>, n_a array<long>, n_b array<long>, n_links array<long>, sha array<string>, "
-                                  "link array<int>, pair array<long>, times array<long>"), "token-blocks")
-    pairs = blocks.select("block", F.inline(F.arrays_zip("pair", "times")))
+    blocks = land(rows.mapInArrow(_blocks(path_a, path_b), f"block long, id {kind}, n_a long, n_b long, n_links long, sha string, link binary, pair long, times long"), "token-blocks")
+    pairs = blocks.filter("pair is not null").select("block", "pair", "times")
     counts = land(pairs.groupBy("pair").agg(F.sum("times").alias("count")), "pair-counts")
     b_id = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
     top = counts.groupBy(b_id.alias("b")).agg(F.max("count").alias("top"))
-    counts = counts.withColumn("b", b_id).join(top, "b").select("pair", F.struct(F.col("pair").alias("pair"), "count", (F.col("count") == F.col("top")).alias("best")).alias("stat"))
-    known = pairs.select("block", "pair").join(counts, "pair").groupBy("block").agg(F.collect_list("stat").alias("stats"))  # a block's distinct pairs, bounded by its bytes
-    empty = F.array().cast("array<struct<pair:bigint,count:bigint,best:boolean>>")
-    out = blocks.join(known, "block", "left").withColumn("stats", F.coalesce("stats", empty)).select(
-        "ids", "n_a", "n_b", "n_links", "sha", "link", "pair", F.col("stats.pair").alias("known"), F.col("stats.count").alias("count"), F.col("stats.best").alias("best"))
-    return out.mapInArrow(_finish, f"id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string").withColumnRenamed("id", id_col)
+    counts = counts.withColumn("b", b_id).join(top, "b").select("pair", "count", (F.col("count") == F.col("top")).alias("best"))
+    stats = pairs.select("block", "pair").join(counts, "pair").select(F.col("block").alias("of"), "pair", "count", "best")
+    texts = blocks.filter("pair is null").select("block", "id", "n_a", "n_b", "n_links", "sha", "link")
+    out = texts.groupBy("block").cogroup(stats.groupBy("of")).applyInArrow(
+        _finish(to_arrow_type(blocks.schema["id"].dataType)), f"id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    return out.withColumnRenamed("id", id_col)

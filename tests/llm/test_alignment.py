@@ -143,3 +143,51 @@ def test_common_ends_of_ragged_rows():
     i, j = common_ends(a, at_a, b, at_b)
     want = [(at_a[r] + int(np.searchsorted(x, e)), at_b[r] + int(np.searchsorted(y, e))) for r, (x, y) in enumerate(rows) for e in np.intersect1d(x, y)]
     assert list(zip(i.tolist(), j.tolist())) == want
+
+
+def test_landed_rows_are_no_wider_than_a_text(spark, monkeypatch):
+    from episodeflow.llm import token_alignment
+    landed, land = [], token_alignment.land
+
+    def spy(df, name, files=None):
+        landed.append(land(df, name, files))
+        return landed[-1]
+
+    monkeypatch.setattr(token_alignment, "land", spy)
+    rows = [(i, f"row {i} of the table, as short as all others") for i in range(2000)]
+    out = alignment(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert out.count() == 2000
+    widest = [df.select(F.max(F.length(F.to_json(F.struct("*"))))).first()[0] for df in landed]
+    assert len(landed) == 2 and max(widest) < 1000  # one row of a block of 2000 texts had 250,000
+
+
+@pytest.mark.parametrize("n_pairs", [0, 100, 1 << 16, 70_000])
+def test_pair_numbers_of_a_block(n_pairs):
+    import pyarrow as pa
+
+    from episodeflow.llm.token_alignment import _finish, _packed, number_kind
+    rng = np.random.default_rng(6)
+    n_links = np.array([3, 0, 500, 1]) * (n_pairs > 0)
+    link = rng.integers(0, max(n_pairs, 1), n_links.sum())
+    if n_pairs:
+        link[-1] = n_pairs - 1
+    pair = np.sort(rng.choice(1 << 40, n_pairs, replace=False))
+    count, best = rng.integers(1, 9, n_pairs), rng.random(n_pairs) < 0.5
+    mixed = rng.permutation(n_pairs)
+    stats = pa.table({"pair": pair[mixed], "count": count[mixed], "best": pa.array(best[mixed])})
+    packed = _packed(link.astype(number_kind(n_pairs)), offsets_of(n_links))
+    docs = pa.table({"id": [7, 7, None, 8], "n_a": n_links, "n_b": n_links, "n_links": n_links, "sha": ["a", "", "b", "c"], "link": packed})
+    got = _finish(pa.int64())(docs, stats).to_pydict()
+    each = np.split(link, np.cumsum(n_links)[:-1])
+    assert got["id"] == [7, 7, None, 8] and got["groups_sha256"] == ["a", "", "b", "c"]
+    assert got["count_sum"] == [int(count[x].sum()) for x in each]
+    assert got["n_best"] == [int(best[x].sum()) for x in each]
+
+
+def test_wide_arrow_types(spark, libraries):
+    rows = [(None, "one"), ("x", "two three"), ("x", None)]
+    spark.conf.set("spark.sql.execution.arrow.useLargeVarTypes", "true")
+    try:
+        assert result(alignment(spark.createDataFrame(rows, "doc_id string, text string"))) == brute(libraries, rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.useLargeVarTypes")
